@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clearprose.llm import lm_scoring
+from clearprose.llm import lm_scoring, packing, token_count
 from clearprose.llm.tables import bucket_of, read_table
 
 
@@ -15,8 +16,18 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.score(docs, "doc_id", "text", "doc_id", "held_out")
 
 
+def op3_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
+    "op3_token_count": op3_token_count,
+    "op4_packing": op4_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
