@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clearprose.llm import lm_scoring, packing, token_count
+from clearprose.llm import byte_bpe, lm_scoring, packing, token_count
 from clearprose.llm.tables import bucket_of, read_table
 
 
@@ -24,10 +24,15 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.encode_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op3_token_count": op3_token_count,
     "op4_packing": op4_packing,
+    "op6_byte_bpe": op6_byte_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {}
