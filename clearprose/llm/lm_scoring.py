@@ -42,7 +42,7 @@ MU = 50.0
 SEGMENT_TOKENS = 1 << 16
 #: Bytes of filter that a Python worker holds at a time.
 WAVE_BYTES = 192 << 20
-#: Bytes of text scored against one wave before the next is read.
+#: Bytes of text scored against one wave before the next is read, where there are several.
 WINDOW_BYTES = 16 << 20
 #: Most words whose exact counts are broadcast (16 bytes each); rarer ones are joined.
 HEAD_WORDS = 1 << 20
@@ -85,7 +85,7 @@ def _positions(keys: np.ndarray, j: int, size: np.ndarray | int) -> Iterator[np.
     a = mix(keys ^ _LEVELS[j])
     b = mix(a) | np.uint64(1)
     for i in range(HASHES):
-        yield ((a + np.uint64(i) * b) >> np.uint64(11)) % size
+        yield (((a + np.uint64(i) * b) >> np.uint64(32)) * size) >> np.uint64(32)
 
 
 def segment_bits(keys: np.ndarray, counts: np.ndarray) -> bytes:
@@ -122,9 +122,10 @@ class FilterPart:
             size, offset, a = self.size[segments[held]], self.offset[segments[held]], mix(keys[held] ^ _LEVELS[j])
             b = mix(a) | np.uint64(1)
             for i in range(HASHES):
-                at = offset + (((a + np.uint64(i) * b) >> np.uint64(11)) % size).astype(np.int64)
-                hit = (self.data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-                held, size, offset, a, b = held[hit], size[hit], offset[hit], a[hit], b[hit]
+                at = offset + (((a >> np.uint64(32)) * size) >> np.uint64(32)).view(np.int64)
+                hit = np.flatnonzero((self.data[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+                held, size, offset, b = held[hit], size[hit], offset[hit], b[hit]
+                a = a[hit] + b
             q[held] = j
             alive = held
         return q
@@ -327,7 +328,7 @@ class LogFrequencyModel:
                 for part in slices(batch, "text"):
                     window.append(part)
                     held += part.get_total_buffer_size() if part.num_rows == 1 else 1 << 20
-                    if held >= WINDOW_BYTES:
+                    if held >= WINDOW_BYTES or len(waves) == 1:
                         yield from flush(window)
                         window, held = [], 0
             if window:
