@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clearprose.llm import byte_bpe, lm_scoring, packing, token_count
+from clearprose.llm import byte_bpe, lm_scoring, near_dedup, packing, token_count
 from clearprose.llm.tables import bucket_of, read_table
 
 
@@ -16,6 +16,10 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.score(docs, "doc_id", "text", "doc_id", "held_out")
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), threshold=85)
+
+
 def op3_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -30,6 +34,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
+    "op2_near_dedup": op2_near_dedup,
     "op3_token_count": op3_token_count,
     "op4_packing": op4_packing,
     "op6_byte_bpe": op6_byte_bpe,
