@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clearprose.llm import byte_bpe, lm_scoring, near_dedup, packing, token_count
+from clearprose.llm import byte_bpe, lm_scoring, near_dedup, packing, secrets, token_count
 from clearprose.llm.tables import bucket_of, read_table
 
 
@@ -32,12 +32,17 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_near_dedup": op2_near_dedup,
     "op3_token_count": op3_token_count,
     "op4_packing": op4_packing,
     "op6_byte_bpe": op6_byte_bpe,
+    "op8_secrets": op8_secrets,
 }
 
 ORACLE_SQL: dict[str, str] = {}
