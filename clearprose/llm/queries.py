@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clearprose.llm import byte_bpe, lm_scoring, near_dedup, packing, secrets, token_count
+from clearprose.llm import byte_bpe, lm_scoring, near_dedup, packing, quality, secrets, token_count
 from clearprose.llm.tables import bucket_of, read_table
 
 
@@ -36,6 +36,14 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read_table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = quality.training_labels(read_table(spark, sf_dir, "labels"))
+    model = quality.train(quality.training_documents(docs), labels)
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", (bucket_of("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_near_dedup": op2_near_dedup,
@@ -43,6 +51,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_secrets": op8_secrets,
+    "op9_quality": op9_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
