@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clearprose.llm import byte_bpe, lm_scoring, near_dedup, packing, quality, secrets, token_count
+from clearprose.llm import byte_bpe, embedding_dedup, lm_scoring, near_dedup, packing, quality, secrets, token_count
 from clearprose.llm.tables import bucket_of, read_table
 
 
@@ -44,6 +44,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (bucket_of("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_near_dedup": op2_near_dedup,
@@ -52,6 +56,7 @@ QUERIES = {
     "op6_byte_bpe": op6_byte_bpe,
     "op8_secrets": op8_secrets,
     "op9_quality": op9_quality,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
