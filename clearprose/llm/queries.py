@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clearprose.llm import byte_bpe, embedding_dedup, lm_scoring, near_dedup, packing, quality, secrets, token_count
+from clearprose.llm import ann, byte_bpe, embedding_dedup, lm_scoring, near_dedup, packing, quality, secrets, token_count
 from clearprose.llm.tables import bucket_of, read_table
 
 
@@ -28,6 +28,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings")
+    return ann.nearest(rows, rows.filter(F.col("vec_id") % 50 == 0))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -53,6 +58,7 @@ QUERIES = {
     "op2_near_dedup": op2_near_dedup,
     "op3_token_count": op3_token_count,
     "op4_packing": op4_packing,
+    "op5_ann": op5_ann,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_secrets": op8_secrets,
     "op9_quality": op9_quality,
