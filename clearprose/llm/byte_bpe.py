@@ -44,6 +44,8 @@ FOLD_BYTES = 128
 #: Distinct space-separated units whose ids a worker remembers.
 REMEMBERED = 1 << 18
 SLICE = 8 << 20
+#: Distinct units held before partial counts are sent on.
+PARTIAL_UNITS = 1 << 18
 
 # Fixed sizes of the pair table: primes, so that remainders spread.
 _SLOTS, _GROUPS, _STEPS = 262139, 32749, 8191
@@ -194,7 +196,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str
             for part in slices(batch, "text", SLICE):
                 for t in part.column(0).to_pylist():
                     held.update(own.units(t))
-                if len(held) > 1 << 20:
+                if len(held) > PARTIAL_UNITS:
                     yield flush()
                     held.clear()
         yield flush()
@@ -214,15 +216,16 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str
 
     common = words.filter(F.col("n") >= 1 << least).select("word").repartition(8 * max(1, (HEAD_WORDS - room) >> 15), "word").mapInArrow(spelled, "word string, symbols array<bigint>")
     got = common.select("word", fold_merges(F.col("symbols"), ranks_path).alias("ids")).toArrow()
-    head = docs.sparkSession.sparkContext.broadcast(dict(zip(got["word"].to_pylist(), (" ".join(map(str, i)) for i in got["ids"].to_pylist()), strict=True)))
+    coded = dict(zip(got["word"].to_pylist(), (" ".join(map(str, i)) for i in got["ids"].to_pylist()), strict=True))
+    head, head_words = (docs.sparkSession.sparkContext.broadcast(x) for x in (coded, frozenset(coded)))
 
     def sent(batches) -> Iterator[pa.RecordBatch]:
-        own, known, slice_ = splitter(pattern, ranks_path), head.value, 0
+        own, known, slice_ = splitter(pattern, ranks_path), head_words.value, 0
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 slice_ += 1
                 units = set(chain.from_iterable(own.units(t) for t in part.column(1).to_pylist()))
-                new = {w for u in units for w in own.pattern.findall(u)} - known.keys()
+                new = {w for u in units for w in own.pattern.findall(u)} - known
                 new = [w for w in new if (b := w.encode()) not in own.ranks and len(b) <= FOLD_BYTES]
                 if new:
                     coded = pa.array([own.symbols(w.encode()) for w in new], pa.list_(pa.int64()))
@@ -275,5 +278,5 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str
 
     kind = docs.schema[doc_id].dataType.simpleString()
     stream = texts.mapInArrow(sent, f"slice long, doc_id {kind}, text string, symbols array<bigint>")
-    coded = stream.select("slice", "doc_id", "text", fold_merges(F.col("symbols"), ranks_path).alias("ids"))
-    return coded.mapInArrow(assembled, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    folded = stream.select("slice", "doc_id", "text", fold_merges(F.col("symbols"), ranks_path).alias("ids"))
+    return folded.mapInArrow(assembled, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
