@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clearprose.llm import ann, byte_bpe, embedding_dedup, lm_scoring, near_dedup, packing, quality, secrets, token_count
+from clearprose.llm import ann, byte_bpe, embedding_dedup, lm_scoring, near_dedup, packing, quality, secrets, substring_dedup, token_count
 from clearprose.llm.tables import bucket_of, read_table
 
 
@@ -37,6 +37,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(read_table(spark, sf_dir, "documents"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read_table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_ann": op5_ann,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_secrets": op8_secrets,
     "op9_quality": op9_quality,
     "op10_embedding_dedup": op10_embedding_dedup,
