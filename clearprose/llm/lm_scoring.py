@@ -4,7 +4,8 @@ Fitting counts words and word pairs over all training texts in Spark, turns each
 count c into the level q = 1 + floor(log_b c), and inserts the pair (n-gram, j)
 for every j up to q. A lookup probes j = 1, 2, ... until a probe misses, so a
 count costs about ten bits a level and no key is stored. The filter is built in
-segments by a grouped job; scoring broadcasts it in waves of bounded size.
+segments by a grouped job; scoring broadcasts it in waves of bounded size. All bits of
+a probe lie in one 64-bit word of its segment, so a probe touches memory once.
 
 A text's probability is the product over its words and one end token of
     p(w | v) = (lo(v, w) + mu * p1(w)) / (hi(v) + mu),
@@ -12,7 +13,7 @@ A text's probability is the product over its words and one end token of
 where lo and hi are the bounds of a level's counts, v is the word before (the end
 token at a text's start), and an unseen v leaves p1(w). Rounding down above and up
 below keeps the sum over words at 1 or less, apart from the filter's false hits
-(2 ** -HASHES a probe).
+(about one in a hundred probes of absent n-grams).
 
 Defined results: a null or empty text has one token, the end. Rows with a null id
 are scored like others; repeated rows are scored each. With no training rows N and
@@ -27,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +36,9 @@ from clearprose.llm.tables import Workspace
 from clearprose.llm.words import Words, batch_words, mix, signed, slices, unique_sum, unsigned
 
 LEVEL_BASE = 1.5
-HASHES = 7
-BITS_AN_ENTRY = 10
+#: Bits set for an entry, and bits of filter for it.
+HASHES = 5
+BITS_AN_ENTRY = 11
 #: Dirichlet weight of the word model in the pair model.
 MU = 50.0
 #: Training tokens for each filter segment.
@@ -51,6 +54,7 @@ PARTIAL_KEYS = 1 << 20
 
 END = np.uint64(0x243F6A8885A308D3)
 _PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
+_ONE, _SIX = np.uint64(1), np.uint64(63)
 _LEVELS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -81,53 +85,51 @@ def _highest(q: np.ndarray) -> np.ndarray:
     return np.where(q > 0, np.ceil(LEVEL_BASE**q - 1e-9) - 1, 0.0)
 
 
-def _positions(keys: np.ndarray, j: int, size: np.ndarray | int) -> Iterator[np.ndarray]:
+def _probe(keys: np.ndarray, j: int, words: np.ndarray | np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """For entries (key, j): the 64-bit word among ``words``, and the bits in it."""
     a = mix(keys ^ _LEVELS[j])
-    b = mix(a) | np.uint64(1)
-    for i in range(HASHES):
-        yield (((a + np.uint64(i) * b) >> np.uint64(32)) * size) >> np.uint64(32)
+    bits = a * _PAIR >> np.uint64(64 - 6 * HASHES)
+    mask = _ONE << (bits & _SIX)
+    for i in range(1, HASHES):
+        mask |= _ONE << (bits >> np.uint64(6 * i) & _SIX)
+    return ((a >> np.uint64(32)) * words >> np.uint64(32)).view(np.int64), mask
 
 
 def segment_bits(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """One segment's filter: whole 64-bit words, sized by its entries."""
+    """One segment's filter: 64-bit words, as many as its entries need."""
     keys, counts = unique_sum(keys, counts)
     q = level(counts)
-    size = max(64, -(-int(q.sum()) * BITS_AN_ENTRY // 64) * 64)
-    bits = np.zeros(size, dtype=np.uint8)
+    data = np.zeros(max(1, -(-int(q.sum()) * BITS_AN_ENTRY // 64)), np.uint64)
     for j in range(1, int(q.max(initial=0)) + 1):
-        for at in _positions(keys[q >= j], j, np.uint64(size)):
-            bits[at.astype(np.int64)] = 1
-    return np.packbits(bits, bitorder="little").tobytes()
+        np.bitwise_or.at(data, *_probe(keys[q >= j], j, np.uint64(len(data))))
+    return data.tobytes()
 
 
 class FilterPart:
     """Some segments of the filter, ready to probe."""
 
-    def __init__(self, segments: dict[int, bytes], count: int):
-        self.data = np.frombuffer(b"".join(segments[s] for s in sorted(segments)) or b"\0" * 8, np.uint8)
-        self.size, self.offset = np.ones(count, np.uint64), np.zeros(count, np.int64)
-        at = 0
-        for s in sorted(segments):
-            self.size[s], self.offset[s] = len(segments[s]) * 8, at
-            at += len(segments[s]) * 8
+    def __init__(self, segments: list[tuple[int, int]], count: int):
+        """``segments``: number and bytes of each; they are filled in afterwards."""
+        self.size, self.offset, at = np.ones(count, np.uint64), np.zeros(count, np.int64), 0
+        for number, length in sorted(segments):
+            self.size[number], self.offset[number] = length // 8, at
+            at += length // 8
+        self.data = np.zeros(max(at, 1), np.uint64)
+
+    def put(self, number: int, bits: bytes) -> None:
+        self.data[self.offset[number] : self.offset[number] + len(bits) // 8] = np.frombuffer(bits, np.uint64)
 
     def levels(self, keys: np.ndarray, segments: np.ndarray) -> np.ndarray:
         """The level of each key, 0 where the first probe misses."""
         q = np.zeros(len(keys), np.int64)
-        alive = np.arange(len(keys))
+        size, offset, alive = self.size[segments], self.offset[segments], np.arange(len(keys))
         for j in range(1, len(_LEVELS)):
             if not len(alive):
                 break
-            held = alive
-            size, offset, a = self.size[segments[held]], self.offset[segments[held]], mix(keys[held] ^ _LEVELS[j])
-            b = mix(a) | np.uint64(1)
-            for i in range(HASHES):
-                at = offset + (((a >> np.uint64(32)) * size) >> np.uint64(32)).view(np.int64)
-                hit = np.flatnonzero((self.data[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
-                held, size, offset, b = held[hit], size[hit], offset[hit], b[hit]
-                a = a[hit] + b
-            q[held] = j
-            alive = held
+            word, mask = _probe(keys, j, size)
+            hit = np.flatnonzero(self.data[offset + word] & mask == mask)
+            keys, size, offset, alive = keys[hit], size[hit], offset[hit], alive[hit]
+            q[alive] = j
         return q
 
 
@@ -151,30 +153,37 @@ class Layout:
         return self.words + self.slot(before) * self.each + (mix(keys ^ _PAIR) % np.uint64(self.each)).astype(np.int64)
 
 
-def _counted(batches, text: str, keys_of) -> Iterator[pa.RecordBatch]:
-    """Distinct keys of the texts with partial counts."""
-    held: list[tuple[np.ndarray, ...]] = []
+def _counted(batches, text: str, keys_of, sent) -> Iterator[pa.RecordBatch]:
+    """Distinct keys of the texts with partial counts, as ``sent`` lays them out."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
     rows = 0
-
-    def flush():
-        parts = [np.concatenate(x) for x in zip(*held, strict=True)]
-        keys, first = np.unique(parts[0], return_index=True)
-        _, counts = unique_sum(parts[0], parts[1])
-        return pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(parts[2][first]), pa.array(counts)], ["key", "segment", "n"])
-
     for batch in batches:
         for part in slices(batch, text):
-            keys, segments = keys_of(*tokens_of(batch_words(part, text)))
-            order = np.argsort(keys, kind="stable")
-            keys, segments = keys[order], segments[order]
-            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            held.append((keys[first], np.diff(np.append(first, len(keys))), segments[first]))
-            rows += len(first)
+            segments, keys = keys_of(*tokens_of(batch_words(part, text)))
+            if len(keys):
+                held.append((segments, keys))
+            rows += len(keys)
             if rows >= PARTIAL_KEYS:
-                yield flush()
+                yield sent(*(np.concatenate(x) for x in zip(*held, strict=True)))
                 held, rows = [], 0
     if held:
-        yield flush()
+        yield sent(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+
+def _by_key(_: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+    keys, counts = np.unique(keys, return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(counts)], ["key", "n"])
+
+
+def _by_segment(segments: np.ndarray, keys: np.ndarray, counts: np.ndarray | None = None) -> pa.RecordBatch:
+    """A row for each segment: its keys and counts as bytes, so that a grouping moves few rows."""
+    keys, first, total = np.unique(keys, return_index=True, return_counts=True)
+    counts, segments = (total if counts is None else counts[first]), segments[first]
+    order = np.argsort(segments, kind="stable")
+    keys, counts, segments = keys[order], counts[order].astype(np.int64), segments[order]
+    cuts = np.append(np.flatnonzero(np.append(True, segments[1:] != segments[:-1])), len(keys)).tolist()
+    cells = [[x[s:e].tobytes() for s, e in zip(cuts[:-1], cuts[1:], strict=True)] for x in (keys, counts)]
+    return pa.RecordBatch.from_arrays([pa.array(segments[cuts[:-1]]), *(pa.array(c, pa.binary()) for c in cells)], ["segment", "keys", "counts"])
 
 
 class LogFrequencyModel:
@@ -190,9 +199,9 @@ class LogFrequencyModel:
         texts = docs.select(F.col(text).alias("text"))
 
         def words_part(batches):
-            return _counted(batches, "text", lambda tokens, bounds: (tokens, np.zeros(len(tokens), np.int64)))
+            return _counted(batches, "text", lambda tokens, bounds: (np.zeros(0, np.int64), tokens), _by_key)
 
-        counts = texts.mapInArrow(words_part, "key long, segment long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+        counts = texts.mapInArrow(words_part, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
         words = work.written(counts, "words")
         total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
         layout = Layout(total.n, total.v)
@@ -200,19 +209,21 @@ class LogFrequencyModel:
         def pairs_part(batches):
             def keys_of(tokens, bounds):
                 keys, before = pair_keys(tokens, bounds)
-                return keys, layout.pair(keys, before)
+                return layout.pair(keys, before), keys
 
-            return _counted(batches, "text", keys_of)
+            return _counted(batches, "text", keys_of, _by_segment)
 
         def placed(batches):
             for b in batches:
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(layout.word(unsigned(b.column(0).to_numpy()))), b.column(1)], ["key", "segment", "n"])
+                if b.num_rows:
+                    keys = unsigned(b.column(0).to_numpy())
+                    yield _by_segment(layout.word(keys), keys, b.column(1).to_numpy())
 
         def build(table: pa.Table) -> pa.Table:
-            bits = segment_bits(unsigned(table["key"].to_numpy()), table["n"].to_numpy())
-            return pa.table({"segment": table["segment"][:1].combine_chunks(), "bits": pa.array([bits], pa.binary())})
+            keys, counts = (np.frombuffer(b"".join(table[c].to_pylist()), kind) for c, kind in (("keys", np.uint64), ("counts", np.int64)))
+            return pa.table({"segment": table["segment"][:1].combine_chunks(), "bits": pa.array([segment_bits(keys, counts)], pa.binary())})
 
-        schema = "key long, segment long, n long"
+        schema = "segment long, keys binary, counts binary"
         entries = texts.mapInArrow(pairs_part, schema).unionByName(words.mapInArrow(placed, schema))
         segments = work.written(entries.groupBy("segment").applyInArrow(build, "segment long, bits binary"), "segments")
         return cls(work, words, segments, total.n, total.v, layout)
@@ -233,7 +244,10 @@ class LogFrequencyModel:
 
         def sent(condition: Column):
             got = self.segments.filter(condition).toArrow()
-            part = FilterPart(dict(zip(got["segment"].to_pylist(), got["bits"].to_pylist(), strict=True)), self.layout.total)
+            numbers = got["segment"].to_pylist()
+            part = FilterPart(list(zip(numbers, pc.binary_length(got["bits"]).to_pylist(), strict=True)), self.layout.total)
+            for number, bits in zip(numbers, got["bits"], strict=True):
+                part.put(number, bits.as_buffer())
             return context.broadcast(part)
 
         first = sent(~pair)
@@ -327,7 +341,7 @@ class LogFrequencyModel:
             for batch in batches:
                 for part in slices(batch, "text"):
                     window.append(part)
-                    held += part.get_total_buffer_size() if part.num_rows == 1 else 1 << 20
+                    held += part.nbytes
                     if held >= WINDOW_BYTES or len(waves) == 1:
                         yield from flush(window)
                         window, held = [], 0

@@ -24,7 +24,7 @@ _STEP = np.uint64(0xD6E8FEB86659FD93)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 #: Bytes of text handled at once; a longer single text is handled alone.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 SHINGLE = 5
 
 
