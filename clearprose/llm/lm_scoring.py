@@ -214,10 +214,20 @@ class LogFrequencyModel:
             return _counted(batches, "text", keys_of, _by_segment)
 
         def placed(batches):
+            held, rows = [], 0
+
+            def sent():
+                keys, counts = (np.concatenate(x) for x in zip(*held, strict=True))
+                return _by_segment(layout.word(keys), keys, counts)
+
             for b in batches:
-                if b.num_rows:
-                    keys = unsigned(b.column(0).to_numpy())
-                    yield _by_segment(layout.word(keys), keys, b.column(1).to_numpy())
+                held.append((unsigned(b.column(0).to_numpy()), b.column(1).to_numpy()))
+                rows += b.num_rows
+                if rows >= PARTIAL_KEYS:
+                    yield sent()
+                    held, rows = [], 0
+            if rows:
+                yield sent()
 
         def build(table: pa.Table) -> pa.Table:
             keys, counts = (np.frombuffer(b"".join(table[c].to_pylist()), kind) for c, kind in (("keys", np.uint64), ("counts", np.int64)))

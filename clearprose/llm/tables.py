@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Most rows of an Arrow batch; it bounds what a Python worker holds of long rows.
+BATCH_ROWS = 1024
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -22,6 +26,9 @@ def ready(spark: SparkSession) -> None:
     paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if _ROOT not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([_ROOT, *paths])
+    # whole texts and shingle sets pass through Python in batches of so many rows
+    if int(spark.conf.get(_BATCH)) > BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
 
 
 def shared_folder(spark: SparkSession) -> str:
