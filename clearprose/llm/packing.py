@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clearprose.llm.tables import Workspace
-from clearprose.llm.words import slices
+from clearprose.llm.words import slices, text_bytes, words_of
 
 LENGTH = 4096
 END_ID = 1
@@ -38,67 +38,79 @@ REMEMBERED = 1_000_000
 
 
 class WordEncoder:
-    """Ids of texts, word by word: the vocabulary's splitting never joins text across a space or line feed.
+    """Ids of texts, word by word, for a vocabulary that drops white space and lower-cases ASCII.
 
-    A full stop or comma after a letter is split off as well, and ASCII words are
-    looked up in lower case, as the vocabulary's normaliser makes them; so fewer
-    words go to the tokenizer. Those of a slice go there in one text, with a special
-    token between them.
+    Words are known by their 64-bit hashes; only words not met before become strings
+    and go to the tokenizer, those of a slice in one text with a special token between
+    them. A full stop or comma after an ASCII letter is a word of its own.
     """
 
     MARK = "<|startoftext|>"
+    STOPS = b".,"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_file(path)
         self.mark = self.own.token_to_id(self.MARK)
-        self.end = np.array([END_ID], "<u4").tobytes()
-        self.ids: dict[str, bytes] = {}
+        self.stop_id = np.zeros(256, np.uint32)
+        for c in self.STOPS:
+            (self.stop_id[c],) = self._one(chr(c))
         self.clear()
 
     def clear(self) -> None:
-        self.ids = {"": b""}
-        self.stops = {c: self._one(c) for c in ".,"}
+        self.number: dict[int, int] = {}
+        self.flat, self.offset, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.used = 0
 
-    def _one(self, text: str) -> bytes:
-        return np.array(self.own.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def _one(self, text: str) -> np.ndarray:
+        return np.array(self.own.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _several(self, words: list[str]) -> list[bytes]:
-        ids = np.array(self.own.encode(self.MARK.join(words), add_special_tokens=False).ids, "<u4")
+    def _several(self, words: list[str]) -> list[np.ndarray]:
+        ids = self._one(self.MARK.join(words))
         cuts = np.flatnonzero(ids == self.mark)
-        return [ids[s:e].tobytes() for s, e in zip(np.append(0, cuts + 1).tolist(), np.append(cuts, len(ids)).tolist(), strict=True)]
-
-    def learn(self, words: set[str]) -> None:
-        known, split, bare = self.ids, [], set()
-        for w in words:
-            stop = w[-1] if w[-1] in self.stops and len(w) > 1 and w[-2].lower()[-1].isalpha() else ""
-            base = w[:-1] if stop else w
-            if base.isascii():
-                base = base.lower()
-            split.append((w, base, stop))
-            if base not in known:
-                bare.add(base)
-        odd = [b for b in bare if "<|" in b]
-        known.update((b, self._one(b)) for b in odd)
-        plain = list(bare.difference(odd))
-        for i in range(0, len(plain), 4096):
-            some = plain[i : i + 4096]
-            known.update(zip(some, self._several(some), strict=True))
-        for w, base, stop in split:
-            known[w] = known[base] + self.stops[stop] if stop else known[base]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        return [ids[s:e] for s, e in zip(np.append(0, cuts + 1).tolist(), np.append(cuts, len(ids)).tolist(), strict=True)]
+
+    def learn(self, keys: list[int], words: list[str]) -> None:
+        odd = {i for i, w in enumerate(words) if "<|" in w}
+        coded: dict[int, np.ndarray] = {i: self._one(words[i]) for i in odd}
+        plain = [i for i in range(len(words)) if i not in odd]
+        for k in range(0, len(plain), 4096):
+            coded.update(zip(plain[k : k + 4096], self._several([words[i] for i in plain[k : k + 4096]]), strict=True))
+        sizes = np.array([len(coded[i]) for i in range(len(words))], np.int64)
+        n, total = len(self.number), int(sizes.sum())
+        while n + len(keys) > len(self.size):
+            self.offset, self.size = np.append(self.offset, np.zeros_like(self.offset)), np.append(self.size, np.zeros_like(self.size))
+        while self.used + total > len(self.flat):
+            self.flat = np.append(self.flat, np.zeros_like(self.flat))
+        self.flat[self.used : self.used + total] = np.concatenate([coded[i] for i in range(len(words))])
+        self.offset[n : n + len(keys)] = self.used + np.append(0, np.cumsum(sizes)[:-1])
+        self.size[n : n + len(keys)] = sizes
+        self.used += total
+        self.number.update(zip(keys, range(n, n + len(keys)), strict=True))
+
+    def encode(self, column: pa.Array) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, then the end id."""
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.ids) > REMEMBERED:
+        blob, origins = text_bytes(column)
+        w = words_of(blob, origins, self.STOPS)
+        keys, first, where = np.unique(w.hashes, return_index=True, return_inverse=True)
+        listed = keys.tolist()
+        if len(self.number) > REMEMBERED:
             self.clear()
-        known = self.ids
-        new = {w for p in parts for w in p if w not in known}
+        new = [i for i, k in enumerate(listed) if k not in self.number]
         if new:
-            self.learn(new)
-        get = known.__getitem__
-        return [b"".join(map(get, p)) + self.end for p in parts]
+            spans = zip(w.starts[first[new]].tolist(), w.ends[first[new]].tolist(), strict=True)
+            self.learn([listed[i] for i in new], [blob[s:e].tobytes().decode() for s, e in spans])
+        known = np.fromiter(map(self.number.__getitem__, listed), np.int64, len(listed))[where]
+        stop = w.stops > 0
+        sizes = self.size[known] + stop
+        ends = np.cumsum(sizes)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.offset[known] - (ends - sizes), sizes)
+        ids = self.flat[np.minimum(at, len(self.flat) - 1)]
+        ids[ends[stop] - 1] = self.stop_id[w.stops[stop]]
+        cuts = np.append(0, ends)[w.bounds].tolist()
+        end = np.array([END_ID], "<u4").tobytes()
+        return [ids[s:e].astype("<u4").tobytes() + end for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 @lru_cache(2)
@@ -112,9 +124,9 @@ def pieces_of(docs: DataFrame, path: str, doc_id: str, text: str, length: int) -
 
         own, uid = encoder(path), TaskContext.get().partitionId() << 40
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text"):
                 rows = defaultdict(list)
-                for i, ids in enumerate(own.encode(["" if t is None else t for t in part.column(1).to_pylist()])):
+                for i, ids in enumerate(own.encode(part.column(1))):
                     for k, at in enumerate(range(0, len(ids), 4 * length)):
                         piece = ids[at : at + 4 * length]
                         for name, value in (("row", i), ("piece", k), ("start", at // 4), ("length", len(piece) // 4), ("ids_crc32", zlib.crc32(piece)), ("uid", uid)):

@@ -56,6 +56,7 @@ class Words:
     starts: np.ndarray  # byte offsets in the concatenated texts
     ends: np.ndarray
     origins: np.ndarray  # byte offset of each text, and the end
+    stops: np.ndarray | None = None  # the byte that was split off a word's end, or 0
 
     @property
     def counts(self) -> np.ndarray:
@@ -78,7 +79,8 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return blob[at[0] : at[-1]], at - at[0]
 
 
-def words_of(blob: np.ndarray, origins: np.ndarray) -> Words:
+def words_of(blob: np.ndarray, origins: np.ndarray, stops: bytes = b"") -> Words:
+    """The texts' words; with ``stops``, one of these bytes after an ASCII letter is no part of the word before it."""
     n = len(blob)
     space = _SPACE[blob]
     first = np.zeros(n + 1, dtype=bool)  # a text begins here, or ends before here
@@ -88,12 +90,19 @@ def words_of(blob: np.ndarray, origins: np.ndarray) -> Words:
     if n:
         opens[1:] &= space[:-1] | first[1:n]
         closes[:-1] &= space[1:] | first[1:n]
-    starts, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+    starts, ends, split = np.flatnonzero(opens), np.flatnonzero(closes) + 1, None
+    if stops:
+        split = np.zeros(len(ends), np.uint8)
+        last, long = blob[ends - 1], ends - starts > 1
+        letter = (blob[np.maximum(ends - 2, 0)] | 0x20) - 97 < 26
+        cut = np.isin(last, np.frombuffer(stops, np.uint8)) & long & letter
+        split[cut] = last[cut]
+        ends = ends - cut
     powers, inverse = _power_tables(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTES[blob] * powers[:n], out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * inverse[starts])
-    return Words(hashes, np.searchsorted(starts, origins), starts, ends, origins)
+    return Words(hashes, np.searchsorted(starts, origins), starts, ends, origins, split)
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
