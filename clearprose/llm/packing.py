@@ -75,8 +75,8 @@ class WordEncoder:
         odd = {i for i, w in enumerate(words) if "<|" in w}
         coded: dict[int, np.ndarray] = {i: self._one(words[i]) for i in odd}
         plain = [i for i in range(len(words)) if i not in odd]
-        for k in range(0, len(plain), 4096):
-            coded.update(zip(plain[k : k + 4096], self._several([words[i] for i in plain[k : k + 4096]]), strict=True))
+        for k in range(0, len(plain), 256):
+            coded.update(zip(plain[k : k + 256], self._several([words[i] for i in plain[k : k + 256]]), strict=True))
         sizes = np.array([len(coded[i]) for i in range(len(words))], np.int64)
         n, total = len(self.number), int(sizes.sum())
         while n + len(keys) > len(self.size):
@@ -124,7 +124,7 @@ def pieces_of(docs: DataFrame, path: str, doc_id: str, text: str, length: int) -
 
         own, uid = encoder(path), TaskContext.get().partitionId() << 40
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 20):
                 rows = defaultdict(list)
                 for i, ids in enumerate(own.encode(part.column(1))):
                     for k, at in enumerate(range(0, len(ids), 4 * length)):
