@@ -96,13 +96,17 @@ def lint_writes(writes: DataFrame, config: LintConfig | None = None) -> DataFram
     return found.join(whole, "doc_id", "left_semi").unionByName(found.join(changed, ["doc_id", "line"], "left_semi").select(*found.columns))
 
 
-def lint_edits(edits: DataFrame, config: LintConfig | None = None) -> DataFrame:
-    """Violations of edits (doc_id, kind, content, old_string, new_string, replace_all).
+def edited_texts(edits: DataFrame) -> DataFrame:
+    """doc_id, kind, new and old of edits (doc_id, kind, content, old_string, new_string, replace_all).
 
     An edit that can't be applied is left out; without content (a missing file) the
-    new string alone is linted in full.
+    new string alone is new.
     """
     told = edits.withColumn("edit", apply_edit(F.col("content"), F.col("old_string"), F.col("new_string"), F.coalesce("replace_all", F.lit(False))))
-    there = told.filter("content is not null and edit.error is null").select("doc_id", "kind", F.col("edit.result").alias("new"), F.col("content").alias("old"))
-    alone = told.filter("content is null").select("doc_id", "kind", F.col("new_string").alias("new"), F.lit(None).cast("string").alias("old"))
-    return lint_writes(there.unionByName(alone), config)
+    told = told.filter("content is null or edit.error is null")
+    return told.select("doc_id", "kind", F.when(F.col("content").isNull(), F.col("new_string")).otherwise(F.col("edit.result")).alias("new"), F.col("content").alias("old"))
+
+
+def lint_edits(edits: DataFrame, config: LintConfig | None = None) -> DataFrame:
+    """Violations of edits on the lines they change; all of them where there is no content."""
+    return lint_writes(edited_texts(edits), config)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from clearprose.config import LintConfig
 from clearprose.operators.classify import path_kind
-from clearprose.operators.diff import lint_edits, lint_writes
+from clearprose.operators.diff import edited_texts, lint_writes
 from clearprose.operators.report import feedback, sorted_violations
 from clearprose.operators.shell import commit_messages
 from clearprose.plans.lint import lint
@@ -36,16 +36,15 @@ def check_calls(calls: DataFrame, files: DataFrame, config: LintConfig | None =
     a = lambda c: F.col(f"arguments.{c}")
     known = files.select(F.col("path").alias("file_path"), F.col("content").alias("held"))
     told = calls.filter("name in ('write', 'edit')").withColumn("file_path", F.coalesce(a("file_path"), F.lit(""))).join(known, "file_path", "left")
-    told = told.withColumn("doc_id", F.col("call_id")).withColumn("kind", path_kind(F.col("file_path")))
+    told = told.withColumn("doc_id", F.struct("call_id", F.lit(0).alias("ord"))).withColumn("kind", path_kind(F.col("file_path")))
     text = lambda c: F.coalesce(a(c), F.lit(""))
     writes = told.filter("name = 'write'").select("doc_id", "kind", text("content").alias("new"), F.col("held").alias("old"))
     edits = told.filter("name = 'edit'").select("doc_id", "kind", F.col("held").alias("content"), text("old_string").alias("old_string"), text("new_string").alias("new_string"), a("replace_all").alias("replace_all"))
     commits = commit_messages(calls.filter("name = 'bash'").select("call_id", text("command").alias("command")))
     dynamic = commits.filter("dynamic").select("call_id").distinct()
-    static = commits.join(dynamic, "call_id", "left_anti").select(F.struct("call_id", "ord").alias("doc_id"), F.lit("commit-message").alias("kind"), F.col("message").alias("text"))
-    of_commits = lint(static, config)
-    merged = of_commits.withColumn("entry_ord", F.col("doc_id.ord") * 1_000_000 + F.col("entry_ord")).withColumn("doc_id", F.col("doc_id.call_id"))
-    found = lint_writes(writes, config).unionByName(lint_edits(edits, config)).unionByName(merged)
+    static = commits.join(dynamic, "call_id", "left_anti").select(F.struct("call_id", "ord").alias("doc_id"), F.lit("commit-message").alias("kind"), F.col("message").alias("new"), F.lit(None).cast("string").alias("old"))
+    found = lint_writes(writes.unionByName(edited_texts(edits)).unionByName(static), config)  # one lint for all
+    found = found.withColumn("entry_ord", F.col("doc_id.ord") * 1_000_000 + F.col("entry_ord")).withColumn("doc_id", F.col("doc_id.call_id"))
     display = F.when(F.col("name") == "bash", "commit message").otherwise(F.coalesce(a("file_path"), a("path"), F.lit("file")))
     shown = calls.select(F.col("call_id").alias("doc_id"), display.alias("path"))
     judged = _by_severity(found).join(shown, "doc_id")

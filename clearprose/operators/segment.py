@@ -41,39 +41,36 @@ def marked_lines(lines: DataFrame) -> DataFrame:
     return out.withColumn("content", F.substring(t, F.length("marker") + 1, F.length(t)))
 
 
-def _cut(content: Column) -> Column:
-    """Fragments of a line: each but the last ends with a terminator and its closers."""
-    guarded = F.regexp_replace(content, r"([0-9])\.", rf"$1{_DOT}")
+def _with_pieces(lines: DataFrame) -> DataFrame:
+    """Adds pieces, array<struct<ord, text, at, skip, ended>> of the fragments that aren't blank.
+
+    Each step is a column of its own: an expression that is used twice would be computed twice.
+    """
+    guarded = F.regexp_replace("content", r"([0-9])\.", rf"$1{_DOT}")
     for _ in range(2):
         guarded = F.regexp_replace(guarded, r"([A-Za-z0-9_])\.([A-Za-z0-9_])", rf"$1{_DOT}$2")
-    head = F.regexp_extract(guarded, r"^(#![.!?。！？]*)", 1)
-    body = F.substring(guarded, F.length(head) + 1, F.length(guarded))
-    cut = F.concat(head, F.regexp_replace(body, r"([.!?。！？]+[\"”»›)\]}]*)", rf"$1{_CUT}"))
-    return F.transform(F.split(cut, _CUT), lambda x: F.replace(x, F.lit(_DOT), F.lit(".")))
-
-
-def _pieces(content: Column, marker: Column) -> Column:
-    """array<struct<ord, text, at, skip, ended>> of the fragments that aren't blank."""
-    start = F.struct(F.octet_length(marker).alias("at"), F.expr("cast(array() as array<struct<text:string,at:int>>)").alias("out"))
-
-    def step(state, x):
-        return F.struct((state["at"] + F.octet_length(x)).alias("at"), F.concat(state["out"], F.array(F.struct(x.alias("text"), state["at"].alias("at")))).alias("out"))
-
-    cut = F.aggregate(_cut(content), start, step)["out"]
-    told = F.transform(
-        cut,
+    told = lines.withColumn("guarded", guarded).withColumn("head", F.regexp_extract("guarded", r"^(#![.!?。！？]*)", 1))
+    body = F.substring(F.col("guarded"), F.length("head") + 1, F.length("guarded"))
+    cut = F.concat("head", F.regexp_replace(body, r"([.!?。！？]+[\"”»›)\]}]*)", rf"$1{_CUT}"))
+    told = told.withColumn("cut", F.split(F.replace(cut, F.lit(_DOT), F.lit(".")), _CUT))
+    start = F.struct(F.octet_length("marker").alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+    ends = F.aggregate("cut", start, lambda s, x: F.struct((s["at"] + F.octet_length(x)).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")))
+    told = told.withColumn("n", F.size("cut")).withColumn("spots", F.arrays_zip("cut", ends["out"].alias("at")))
+    pieces = F.transform(
+        "spots",
         lambda x, i: F.struct(
-            i.alias("ord"), strip(x["text"]).alias("text"), x["at"].alias("at"), leading_bytes(x["text"]).alias("skip"), (i < F.size(cut) - 1).alias("ended")
+            i.alias("ord"), strip(x["cut"]).alias("text"), x["at"].alias("at"), leading_bytes(x["cut"]).alias("skip"), (i < F.col("n") - 1).alias("ended")
         ),
     )
-    return F.filter(told, lambda x: x["text"] != "")
+    told = told.withColumn("pieces", F.filter(pieces, lambda x: x["text"] != ""))
+    return told.withColumn("pieces", F.when(~F.col("block").isin("B", "T"), F.col("pieces"))).drop("guarded", "head", "cut", "n", "spots", "content")
 
 
 def sentences(lines: DataFrame) -> DataFrame:
     """doc_id, kind, sent_no, text, line, col and word_count of each sentence."""
     doc = Window.partitionBy("doc_id")
     by_line = doc.orderBy("line_no")
-    told = marked_lines(lines).withColumn("pieces", F.when(F.col("block").isin("B", "T"), F.expr("cast(null as array<struct<ord:int,text:string,at:int,skip:int,ended:boolean>>)")).otherwise(_pieces(F.col("content"), F.col("marker"))))
+    told = _with_pieces(marked_lines(lines))
     merge = F.col("kind").isin(*PROSE_KINDS)
     hollow = ~F.col("block").isin("B", "T") & (F.size("pieces") == 0)
     told = told.withColumn("hollow", F.coalesce(hollow, F.lit(False))).withColumn("breaks", F.sum(F.when(F.col("block") != "N", 1).otherwise(0)).over(by_line))
