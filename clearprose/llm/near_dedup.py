@@ -7,9 +7,10 @@ register of two documents agrees with about their Jaccard similarity at any size
 Bands of registers are bucket keys. Documents with equal sets are one class first;
 in each band bucket every class is paired with the smallest (a star, not all
 pairs), pairs pass if the collision-corrected estimate allows the threshold, and
-links are confirmed on full shingle sets. Then only buckets that still hold several
-components pair their classes across components, so no candidate pair whose outcome
-can change a component is left out. With ROWS registers in each of BANDS bands a pair at
+links are confirmed on full shingle sets. Plausible pairs, linked or not, also make
+families; the components inside a family are compared on full sets, block against
+block, and buckets that still hold several families pair their classes across them,
+so no candidate pair whose outcome can change a component is left out. With ROWS registers in each of BANDS bands a pair at
 similarity 0.85 shares no bucket with probability 2e-7, at 0.8 with 8e-5.
 
 Defined results: documents without words (null, empty, blank) and rows with a null
@@ -37,6 +38,8 @@ MANTISSA = 10
 #: Estimates this many standard deviations under the threshold are turned away.
 SLACK = 6.0
 THRESHOLD = 80
+#: Documents of one side of a family's group.
+FAMILY_BLOCK = 256
 
 _OWN = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _BAND = mix(np.arange(1000, 1000 + ROWS, dtype=np.uint64)) | np.uint64(1)
@@ -163,16 +166,22 @@ def _plausible(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFram
     return both.select("a", "fa", "b", "fb", "ra", "na", "rb", "nb").mapInArrow(run, "a long, fa long, b long, fb long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, threshold: int, work: Workspace) -> DataFrame:
-    """Links among the pairs, by the intersection and union of whole shingle sets."""
+def _sets(docs: DataFrame, wanted: DataFrame, work: Workspace) -> DataFrame:
+    """id and hashes: the whole shingle sets of the wanted documents."""
 
-    def sets(batches) -> Iterator[pa.RecordBatch]:
+    def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 h, bounds = document_sets(part)
                 cells = [h[s:e].tobytes() for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cells, pa.binary())], ["id", "hashes"])
 
+    return work.written(docs.join(wanted, "id", "left_semi").select("id", "text").mapInArrow(run, "id long, hashes binary"), "sets")
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, threshold: int, work: Workspace) -> DataFrame:
+    """Links among the pairs, by the intersection and union of whole shingle sets."""
+
     def check(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
             linked = []
@@ -183,7 +192,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, threshold: int, work: Workspac
             yield b.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     wanted = work.written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "wanted")
-    table = work.written(docs.join(wanted, "id", "left_semi").select("id", "text").mapInArrow(sets, "id long, hashes binary"), "sets")
+    table = _sets(docs, wanted, work)
     side = lambda c: table.dropDuplicates(["id"]).select(F.col("id").alias(c), F.col("hashes").alias(f"h{c}"))
     linked = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ha", "hb").mapInArrow(check, "a long, b long")
     links = work.written(linked, "links")
@@ -191,6 +200,57 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, threshold: int, work: Workspac
     return links
 
 
+def shared_sizes(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set of x with every set of y."""
+    owner = np.repeat(np.arange(len(x) + len(y)), [len(s) for s in (*x, *y)])
+    _, column, times = np.unique(np.concatenate([*x, *y]), return_inverse=True, return_counts=True)
+    often = times > 1  # what only one set has is in no intersection
+    place = np.cumsum(often) - 1
+    keep = often[column]
+    owner, column = owner[keep], place[column[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(x), len(y)), np.float32)
+    for low in range(0, int(often.sum()), 8192):
+        part = slice(*np.searchsorted(column, [low, low + 8192]))
+        there = np.zeros((len(x) + len(y), 8192), np.float32)
+        there[owner[part], column[part] - low] = 1
+        out += there[: len(x)] @ there[len(x) :].T
+    return out
+
+
+def _family_links(threshold: int):
+    def found(group: pa.Table) -> pa.Table:
+        ids, component, side = (group[c].to_numpy() for c in ("id", "component", "block"))
+        sets = [np.frombuffer(h, np.uint64) for h in group["hashes"].to_pylist()]
+        x, y = np.flatnonzero(side == group["i"][0].as_py()), np.flatnonzero(side == group["j"][0].as_py())
+        n = np.array([len(s) for s in sets], np.float64)
+        shared = shared_sizes([sets[k] for k in x], [sets[k] for k in y]).astype(np.float64)
+        union = n[x][:, None] + n[y][None, :] - shared
+        linked = (100 * shared >= threshold * union) & (component[x][:, None] != component[y][None, :])
+        r, c = np.nonzero(linked)
+        # one link for each pair of components that meet
+        a, b = component[x[r]], component[y[c]]
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(r) else np.zeros((2, 0), np.int64)
+        return pa.table({"a": pairs[0], "b": pairs[1]})
+
+    return found
+
+
+def _within_families(members: DataFrame, docs: DataFrame, threshold: int, work: Workspace) -> DataFrame:
+    """Links between components inside families (id, component, family), block by block; no pairs of documents are emitted."""
+    split = members.groupBy("family").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y")
+    split = work.written(split.select("family", F.ceil(F.col("n") / FAMILY_BLOCK).cast("int").alias("blocks")), "families")
+    some = work.written(members.join(split, "family"), "members")
+    table = _sets(docs, some.select("id"), work)
+    placed = some.join(table.dropDuplicates(["id"]), "id").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
+    spread = placed.withColumn("pair", F.explode(pairs)).select("family", "id", "component", "hashes", "block", "pair.i", "pair.j")
+    links = work.written(spread.groupBy("family", "i", "j").applyInArrow(_family_links(threshold), "a long, b long"), "links")
+    work.drop(table, some)
+    return links
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row; ``threshold`` in hundredths."""
     work = Workspace(docs.sparkSession, "near")
@@ -203,20 +263,27 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     stars = work.written(bands.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("id", "f")).alias("least")).filter("n > 1").select("key", "least"), "stars")
     members = bands.join(stars, "key").filter("f <> least.f")
     pairs = work.written(members.select(F.col("least.id").alias("a"), F.col("least.f").alias("fa"), F.col("id").alias("b"), F.col("f").alias("fb")).distinct(), "pairs")
-    links = _confirmed(work.written(_plausible(pairs, classes, threshold), "plausible"), own, threshold, work)
+    maybe = work.written(_plausible(pairs, classes, threshold), "plausible")
+    links = _confirmed(maybe, own, threshold, work)
     found = components(links, work)
 
-    shared = work.written(bands.join(stars.select("key"), "key").join(found, "id", "left").select("key", "id", "f", F.coalesce("component", "id").alias("component")), "shared")
-    mixed = work.written(shared.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key"), "mixed")
+    # a family: documents that plausible stars join, linked or not; its components are compared inside it
+    plausible = links.unionByName(maybe.select("a", "b"))
+    family = components(plausible, work).withColumnRenamed("component", "family")
+    members = work.written(family.join(found, "id", "left").select("id", "family", F.coalesce("component", "id").alias("component")), "members")
+    merged = _within_families(members, own, threshold, work)
+
+    # what still meets in a bucket lies in different families
+    shared = work.written(bands.join(stars.select("key"), "key").join(family, "id", "left").select("key", "id", "f", F.coalesce("family", "id").alias("family")), "shared")
+    mixed = work.written(shared.groupBy("key").agg(F.min("family").alias("x"), F.max("family").alias("y")).filter("x < y").select("key"), "mixed")
     left = work.written(shared.join(mixed, "key"), "left")
-    other = left.select("key", F.col("id").alias("b"), F.col("f").alias("fb"), F.col("component").alias("cb"))
-    cross = left.withColumnsRenamed({"id": "a", "f": "fa"}).join(other, "key").filter("component < cb").select("a", "fa", "b", "fb").distinct()
-    tested = pairs.select(F.col("fa").alias("x"), F.col("fb").alias("y"))
-    cross = cross.join(tested, (F.col("fa") == F.col("x")) & (F.col("fb") == F.col("y")), "left_anti")
-    cross = cross.join(tested, (F.col("fa") == F.col("y")) & (F.col("fb") == F.col("x")), "left_anti")
+    other = left.select("key", F.col("id").alias("b"), F.col("f").alias("fb"), F.col("family").alias("cb"))
+    cross = left.withColumnsRenamed({"id": "a", "f": "fa"}).join(other, "key").filter("family < cb").select("a", "fa", "b", "fb").distinct()
     more = work.written(_plausible(cross, classes, threshold), "plausible")
+    every = links.unionByName(merged)
     if not more.isEmpty():
-        found = components(links.unionByName(_confirmed(more, own, threshold, work)), work)
+        every = every.unionByName(_confirmed(more, own, threshold, work))
+    found = components(every, work)
 
     labelled = work.written(classes.select("f", "f2", "n_shingles", "id").join(found, "id", "left").select("f", "f2", "n_shingles", F.coalesce("component", "id").alias("component")), "labelled")
     rows = signed_docs.select("doc_id", "n_shingles", "f", "f2")
