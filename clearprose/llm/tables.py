@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -60,6 +61,11 @@ class Workspace:
         out._work_path = path
         return out
 
+    def tidy(self) -> None:
+        """Lets the session's cleaner remove shuffle files that no table needs any more."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables that nothing reads any more."""
         for table in tables:
