@@ -70,4 +70,43 @@ QUERIES = {
     "op10_embedding_dedup": op10_embedding_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+
+
+def _secrets_sql() -> str:
+    kinds = ((0, secrets.ASSIGN, 1, "length(secret) >= 6"), (1, secrets.ACCESS, 0, "true"), (2, secrets.HEX, 0, "true"), (3, secrets.BROAD, 0, "length(regexp_replace(secret, '[^0-9]', '', 'g')) >= 3 AND regexp_matches(secret, '[A-Za-z]')"))
+    found = []
+    for kind, pattern, group, passes in kinds:
+        p = "'" + pattern.replace("'", "''") + "'"
+        found.append(
+            f"SELECT * FROM (SELECT doc_id, source, lang, {kind} AS kind, e - length(m) AS s, e, secret FROM (SELECT *, sum(length(gap) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM "
+            f"(SELECT doc_id, source, lang, unnest(range(1, len(ms) + 1)) AS i, unnest(ms) AS m, unnest(gs) AS secret, unnest(gaps[1:len(ms)]) AS gap FROM "
+            f"(SELECT doc_id, source, lang, regexp_extract_all(t, {p}, 0) AS ms, regexp_extract_all(t, {p}, {group}) AS gs, string_split_regex(t, {p}) AS gaps FROM d WHERE regexp_matches(t, {p}))))) WHERE {passes}"
+        )
+    name = "['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT)"
+    return (
+        f"WITH d AS (SELECT doc_id, source, lang, coalesce(text, '') AS t FROM documents), f AS ({' UNION ALL '.join(found)}), "
+        "g AS (SELECT * FROM f x WHERE kind < 3 OR NOT EXISTS (SELECT 1 FROM f b WHERE b.doc_id = x.doc_id AND b.kind < 3 AND b.s < x.e AND x.s < b.e)), "
+        f"o AS (SELECT secret, count(DISTINCT source) AS owners FROM g GROUP BY secret), j AS (SELECT doc_id, kind, s, {name} AS told, owners FROM g JOIN o USING (secret) WHERE kind < 3 OR owners <= {secrets.MAX_OWNERS}) "
+        "SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, "
+        "sha256(coalesce(string_agg(told, ',' ORDER BY s, kind) FILTER (kind < 3), '')) AS base_sha256, coalesce(string_agg(told, ',' ORDER BY s, kind), '') AS spans, "
+        f"count(*) FILTER (owners < {secrets.EXAMPLE_OWNERS}) AS n_live, count(*) FILTER (owners >= {secrets.EXAMPLE_OWNERS}) AS n_example FROM documents LEFT JOIN j USING (doc_id) GROUP BY doc_id"
+    )
+
+
+_NEAR_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+r(doc_id, m) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.m)
+SELECT r.doc_id, CAST(coalesce(max(n.n), 0) AS BIGINT) AS n_shingles, min(m) AS component_id, r.doc_id = min(m) AS kept FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id"""
+
+_VECTORS_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+e AS (SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.label = q.label AND p.vec_id <> q.vec_id WHERE list_cosine_similarity(p.x, q.x) >= 0.93),
+r(vec_id, m) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, e.b FROM r JOIN e ON e.a = r.m),
+n AS (SELECT a AS vec_id, count(*) AS n FROM e GROUP BY a)
+SELECT r.vec_id, CAST(coalesce(max(n.n), 0) AS BIGINT) AS n_links, min(m) AS component_id, r.vec_id = min(m) AS kept FROM r LEFT JOIN n ON n.vec_id = r.vec_id GROUP BY r.vec_id"""
+
+ORACLE_SQL: dict[str, str] = {"op2_near_dedup": _NEAR_SQL, "op8_secrets": _secrets_sql(), "op10_embedding_dedup": _VECTORS_SQL}
