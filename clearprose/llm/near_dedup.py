@@ -7,7 +7,7 @@ register of two documents agrees with about their Jaccard similarity at any size
 Bands of registers are bucket keys. Documents with equal sets are one class first;
 in each band bucket every class is paired with the smallest (a star, not all
 pairs), pairs pass if the collision-corrected estimate allows the threshold, and
-links are confirmed on full shingle sets. Plausible pairs, linked or not, also make
+links are confirmed on full shingle sets. Fairly similar pairs, linked or not, also make
 families; the components inside a family are compared on full sets, block against
 block, and buckets that still hold several families pair their classes across them,
 so no candidate pair whose outcome can change a component is left out. With ROWS registers in each of BANDS bands a pair at
@@ -40,6 +40,8 @@ SLACK = 6.0
 THRESHOLD = 80
 #: Documents of one side of a family's group.
 FAMILY_BLOCK = 256
+#: Estimated similarity from which a pair joins a family.
+FAMILY_LEAST = 0.4
 
 _OWN = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _BAND = mix(np.arange(1000, 1000 + ROWS, dtype=np.uint64)) | np.uint64(1)
@@ -148,22 +150,23 @@ def _bands(classes: DataFrame) -> DataFrame:
     return classes.select("id", "f", "registers").mapInArrow(run, "key long, id long, f long")
 
 
-def _plausible(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
-    """Pairs whose estimate doesn't rule out the threshold."""
-    least = threshold / 100
-    margin = SLACK * (least * (1 - least) / REGISTERS) ** 0.5
+def _estimated(pairs: DataFrame, classes: DataFrame, least: float, threshold: int) -> DataFrame:
+    """Pairs whose estimate is ``least`` or more; possible tells whether it allows the threshold."""
+    margin = SLACK * (threshold / 100 * (1 - threshold / 100) / REGISTERS) ** 0.5
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 x, y = (_signed_rows(b.column(c), REGISTERS, np.uint16) for c in (4, 6))
                 n, m = (b.column(c).to_numpy().astype(float) for c in (5, 7))
-                passed = (estimate(x, y, n, m) >= least - margin) & (np.minimum(n, m) * 100 >= threshold * np.maximum(n, m))
-                yield b.select(["a", "fa", "b", "fb"]).filter(pa.array(passed))
+                e = estimate(x, y, n, m)
+                possible = (e >= threshold / 100 - margin) & (np.minimum(n, m) * 100 >= threshold * np.maximum(n, m))
+                out = pa.RecordBatch.from_arrays([*(b.column(c) for c in range(4)), pa.array(possible)], ["a", "fa", "b", "fb", "possible"])
+                yield out.filter(pa.array(possible | (e >= least)))
 
     side = lambda c: classes.select(F.col("f").alias(f"f{c}"), F.col("registers").alias(f"r{c}"), F.col("n_shingles").alias(f"n{c}"))
     both = pairs.join(side("a"), "fa").join(side("b"), "fb")
-    return both.select("a", "fa", "b", "fb", "ra", "na", "rb", "nb").mapInArrow(run, "a long, fa long, b long, fb long")
+    return both.select("a", "fa", "b", "fb", "ra", "na", "rb", "nb").mapInArrow(run, "a long, fa long, b long, fb long, possible boolean")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, work: Workspace) -> DataFrame:
@@ -263,13 +266,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     stars = work.written(bands.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("id", "f")).alias("least")).filter("n > 1").select("key", "least"), "stars")
     members = bands.join(stars, "key").filter("f <> least.f")
     pairs = work.written(members.select(F.col("least.id").alias("a"), F.col("least.f").alias("fa"), F.col("id").alias("b"), F.col("f").alias("fb")).distinct(), "pairs")
-    maybe = work.written(_plausible(pairs, classes, threshold), "plausible")
-    links = _confirmed(maybe, own, threshold, work)
+    alike = work.written(_estimated(pairs, classes, FAMILY_LEAST, threshold), "alike")
+    links = _confirmed(alike.filter("possible").drop("possible"), own, threshold, work)
     found = components(links, work)
 
-    # a family: documents that plausible stars join, linked or not; its components are compared inside it
-    plausible = links.unionByName(maybe.select("a", "b"))
-    family = components(plausible, work).withColumnRenamed("component", "family")
+    # a family: documents that stars of fairly similar ones join, linked or not; its components are compared inside it
+    family = components(links.unionByName(alike.select("a", "b")), work).withColumnRenamed("component", "family")
     members = work.written(family.join(found, "id", "left").select("id", "family", F.coalesce("component", "id").alias("component")), "members")
     merged = _within_families(members, own, threshold, work)
 
@@ -279,7 +281,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     left = work.written(shared.join(mixed, "key"), "left")
     other = left.select("key", F.col("id").alias("b"), F.col("f").alias("fb"), F.col("family").alias("cb"))
     cross = left.withColumnsRenamed({"id": "a", "f": "fa"}).join(other, "key").filter("family < cb").select("a", "fa", "b", "fb").distinct()
-    more = work.written(_plausible(cross, classes, threshold), "plausible")
+    more = work.written(_estimated(cross, classes, 1.0, threshold).filter("possible").drop("possible"), "alike")
     every = links.unionByName(merged)
     if not more.isEmpty():
         every = every.unionByName(_confirmed(more, own, threshold, work))
