@@ -34,7 +34,7 @@ GROUP_PIECES = 1024
 #: Rounds of packing; all but the last open the bins with a gap again.
 ROUNDS = 3
 #: Distinct words whose ids a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 1_500_000
 
 
 class WordEncoder:
