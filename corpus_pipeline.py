@@ -23,8 +23,9 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on all labels of the input, doesn't reject."""
-    model = quality.train(docs, read_table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    """Documents that the classifier, fitted without the held-out fifth of labels, doesn't reject."""
+    labels = quality.training_labels(read_table(spark, sf_dir, "labels"))
+    model = quality.train(quality.training_documents(docs), labels)
     return _columns(quality.score(docs, model).filter("predicted = 1"))
 
 
