@@ -21,6 +21,7 @@ columns other than the id and text are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -119,7 +120,7 @@ def _signed_rows(column: pa.Array, width: int, kind) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, n_shingles, two fingerprints of the set, and the registers."""
+    """doc_id, n_shingles, two fingerprints of the set, the last bits of 128 registers, and the registers."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,12 +132,13 @@ def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                     total = np.concatenate([[0], np.cumsum(mix(h ^ np.uint64(salt)), dtype=np.uint64)]).astype(np.uint64)
                     prints.append(mix(total[bounds[1:]] - total[bounds[:-1]] + sizes.astype(np.uint64)))
                 registers = registers_of(h, bounds)
+                bits = np.packbits((registers[:, :128] & 1).astype(np.uint8), axis=1).view(np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sizes.astype(np.int64)), *(pa.array(signed(p)) for p in prints), pa.array([r.tobytes() for r in registers], pa.binary())],
-                    ["doc_id", "n_shingles", "f", "f2", "registers"],
+                    [part.column(0), pa.array(sizes.astype(np.int64)), *(pa.array(signed(p)) for p in prints), pa.array(bits[:, 0]), pa.array(bits[:, 1]), pa.array([r.tobytes() for r in registers], pa.binary())],
+                    ["doc_id", "n_shingles", "f", "f2", "bits", "bits2", "registers"],
                 )
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, f long, f2 long, registers binary")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, f long, f2 long, bits long, bits2 long, registers binary")
 
 
 def _bands(classes: DataFrame) -> DataFrame:
@@ -260,7 +262,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     signed_docs = work.written(signatures(docs, doc_id, text), "signatures")
     own = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     usable = signed_docs.filter("doc_id is not null and n_shingles > 0")
-    classes = work.written(usable.groupBy("f", "f2", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("registers").alias("registers")), "classes")
+    classes = work.written(usable.groupBy("f", "f2", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("bits").alias("bits"), F.first("bits2").alias("bits2"), F.first("registers").alias("registers")), "classes")
     bands = _bands(classes)
 
     stars = work.written(bands.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("id", "f")).alias("least")).filter("n > 1").select("key", "least"), "stars")
@@ -278,9 +280,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # what still meets in a bucket lies in different families
     shared = work.written(bands.join(stars.select("key"), "key").join(family, "id", "left").select("key", "id", "f", F.coalesce("family", "id").alias("family")), "shared")
     mixed = work.written(shared.groupBy("key").agg(F.min("family").alias("x"), F.max("family").alias("y")).filter("x < y").select("key"), "mixed")
-    left = work.written(shared.join(mixed, "key"), "left")
-    other = left.select("key", F.col("id").alias("b"), F.col("f").alias("fb"), F.col("family").alias("cb"))
-    cross = left.withColumnsRenamed({"id": "a", "f": "fa"}).join(other, "key").filter("family < cb").select("a", "fa", "b", "fb").distinct()
+    # last bits of registers differ in half of the share of registers that do; those of a link in at most so many
+    share = (1 - threshold / 100) / 2
+    most = math.ceil(128 * share + SLACK * (128 * share * (1 - share)) ** 0.5)
+    told = classes.select("f", "bits", "bits2", F.col("n_shingles").alias("n"))
+    left = work.written(shared.join(mixed, "key").join(told, "f"), "left")
+    other = left.withColumnsRenamed({"id": "b", "f": "fb", "family": "cb", "bits": "o", "bits2": "o2", "n": "m"})
+    apart = F.bit_count(F.col("bits").bitwiseXOR(F.col("o"))) + F.bit_count(F.col("bits2").bitwiseXOR(F.col("o2")))
+    near = (F.col("family") < F.col("cb")) & (apart <= most) & (F.least("n", "m") * 100 >= F.greatest("n", "m") * threshold)
+    mine = left.withColumnsRenamed({"id": "a", "f": "fa", "key": "k"})
+    cross = mine.join(other, (F.col("k") == F.col("key")) & near).select("a", "fa", "b", "fb").distinct()
     more = work.written(_estimated(cross, classes, 1.0, threshold).filter("possible").drop("possible"), "alike")
     every = links.unionByName(merged)
     if not more.isEmpty():
