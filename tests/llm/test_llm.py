@@ -320,6 +320,38 @@ def test_compact_windows_cover():
             assert x <= at and at + 19 <= y and values[k, x : y + 1].min() == values[k, p]
 
 
+def near_pair(rng, w):
+    """The words with one changed, left out or put in where the similarity stays 0.8 or more."""
+    at, kind = rng.randint(20, len(w) - 21), rng.choice(("change", "drop", "add"))
+    return w[:at] + (["edited"] if kind != "drop" else []) + w[at + (kind != "add") :]
+
+
+def brute_similarity(x, y):
+    x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (x, y))
+    return len(x & y) / len(x | y)
+
+
+def test_near_passages_meet():
+    """Windows of near passages of 0.8 to 1.0 meet, but for the share that HITS of FUNCTIONS hashes miss."""
+    rng, missed, tried = random.Random(5), 0, 0
+    number = {}
+    while tried < 1000:
+        x = sentence(rng, 50).split()
+        y = near_pair(rng, x)
+        if not 0.8 <= brute_similarity(x, y) or len(y) != 50:
+            continue
+        tried += 1
+        sides = []
+        for w in (x, y):
+            w = sentence(rng, 40).split() + w + sentence(rng, 40).split()
+            h = np.array([number.setdefault(t, rng.getrandbits(64)) for t in w], np.uint64)
+            f, key, p, left, right = substring_dedup.compact_windows(substring_dedup._grams(h))
+            sides.append((set(zip(f.tolist(), key.tolist(), strict=True)), f, key, p << 35 | np.minimum(p - left, 65535) << 19 | np.minimum(right - p, 65535) << 3 | f))
+        keep = [(a, b) in sides[0][0] for a, b in zip(sides[1][1].tolist(), sides[1][2].tolist(), strict=True)]
+        missed += len(substring_dedup.meeting_pivots(sides[1][3][np.array(keep, bool)])) == 0
+    assert missed <= 2  # with three hits 13 were missed
+
+
 def brute_secrets(text):
     kinds = [
         ("assign", re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[2]) >= 6),
