@@ -136,47 +136,80 @@ def _runs(a: np.ndarray, b: np.ndarray, shift: int) -> list[tuple[int, int, int]
     return [(low + s, low + e, shift) for s, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True) if e - s >= SHINGLE]
 
 
-def verified(a: np.ndarray, b: np.ndarray, pivots: np.ndarray) -> list[tuple[int, int, int, float]]:
-    """(start, end, start in b, similarity) of the passages of a that b repeats around the pivots."""
-    if len(a) < MIN_WORDS or len(b) < MIN_WORDS:
-        return []
-    ga, gb = _grams(a), _grams(b)
+def _diagonals(ga: np.ndarray, gb: np.ndarray, pivots: np.ndarray) -> list[int]:
+    """Every p - q of a pivot p and a place q of the same shingle in b."""
     order = np.argsort(gb, kind="stable")
     by = gb[order]
+    pivots = pivots[(pivots >= 0) & (pivots < len(ga))]
     first, last = np.searchsorted(by, ga[pivots], "left"), np.searchsorted(by, ga[pivots], "right")
-    shifts, shift = set(), 0
+    found = np.zeros(len(ga) + len(gb), bool)
     for p, f, e in zip(pivots.tolist(), first.tolist(), last.tolist(), strict=True):
-        if f < e:
-            places = order[f:e]
-            shifts.add(p - int(places[0]))
-            k = int(np.searchsorted(places, p - shift))
-            for q in places[max(0, k - 1) : k + 1].tolist():
-                shifts.add(p - q)
-            shift = p - int(places[min(k, e - f - 1)])
-    runs = sorted(r for d in shifts for r in _runs(a, b, d))
-    chains: list[list[tuple[int, int, int]]] = []
-    for run in runs:
-        if chains:
-            s, e, d = chains[-1][-1]
-            ahead = (run[0] - run[2]) - (e - d)
-            if run[1] <= e:
-                continue  # inside the run before
-            if run[0] - e <= GAP and -SHINGLE <= ahead <= GAP:
-                chains[-1].append(run)
+        found[p - order[f:e] + len(gb)] = True
+    return (np.flatnonzero(found) - len(gb)).tolist()
+
+
+def _chains(runs: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
+    """Each run in order of start follows the run of the best chain that ends close before it, in both texts."""
+    score, before, followed = [0] * len(runs), [-1] * len(runs), [False] * len(runs)
+    ends: dict[int, list[int]] = {}  # by the place in b where a run ends
+    for k, (s, e, d) in enumerate(runs):
+        best = -1
+        for at in range(s - d - GAP, s - d + SHINGLE + 1):
+            near = ends.get(at)
+            if near:
+                near[:] = [i for i in near if runs[i][1] >= s - GAP]
+                for i in near:
+                    if runs[i][1] < e and at < e - d and (best < 0 or score[i] - max(0, runs[i][1] - s) > score[best] - max(0, runs[best][1] - s)):
+                        best = i
+        score[k] = e - s
+        if best >= 0:
+            score[k] += score[best] - max(0, runs[best][1] - s)
+            before[k], followed[best] = best, True
+        ends.setdefault(e - d, []).append(k)
+    out = []
+    for k in range(len(runs)):
+        if not followed[k]:
+            chain, i = [], k
+            while i >= 0:
+                chain.append(runs[i])
+                i = before[i]
+            out.append(chain[::-1])
+    return out
+
+
+def _similarity(x: np.ndarray, y: np.ndarray) -> float:
+    x, y = np.unique(_grams(x)), np.unique(_grams(y))
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return shared / (len(x) + len(y) - shared)
+
+
+def verified(a: np.ndarray, b: np.ndarray, pivots: np.ndarray) -> list[tuple[int, int, int, float]]:
+    """(start, end, start in b, similarity) of the passages of a that b repeats around the pivots."""
+    if len(a) < MIN_WORDS or len(b) < MIN_WORDS:
+        return []
+    runs = sorted(r for d in _diagonals(_grams(a), _grams(b), pivots) for r in _runs(a, b, d))
+    found = {(s, e, s - d, 1.0) for s, e, d in runs if e - s >= MIN_WORDS}
+    for chain in _chains(runs):
+        if len(chain) == 1:
+            continue
+        start, end, shift = (np.array(x, np.int64) for x in zip(*chain, strict=True))
+        matched = np.append(0, np.cumsum(end - start - SHINGLE + 1))
+        spans = []  # parts of the chain, the longest first; about as similar as their runs are long
+        for i in range(len(chain) - 1):
+            x, y = end[i + 1 :] - start[i], end[i + 1 :] - shift[i + 1 :] - start[i] + shift[i]
+            m = matched[i + 2 :] - matched[i]
+            about = m >= (SIMILARITY - 0.1) * (x + y - 2 * SHINGLE + 2 - m)
+            spans += [(-int(x[j]), i, i + 1 + int(j)) for j in np.flatnonzero(about & (x >= MIN_WORDS) & (y >= SHINGLE))]
+        taken: list[tuple[int, int]] = []
+        for _, i, j in sorted(spans):
+            if any(f <= i and j <= t for f, t in taken):
                 continue
-        chains.append([run])
-    found = []
-    for chain in chains:
-        s, e, t, u = chain[0][0], chain[-1][1], chain[0][0] - chain[0][2], chain[-1][1] - chain[-1][2]
-        whole = []
-        if e - s >= MIN_WORDS and u - t >= SHINGLE:
-            x, y = np.unique(_grams(a[s:e])), np.unique(_grams(b[t:u]))
-            shared = len(np.intersect1d(x, y, assume_unique=True))
-            similarity = shared / (len(x) + len(y) - shared)
+            s, e, t, u = int(start[i]), int(end[j]), int(start[i] - shift[i]), int(end[j] - shift[j])
+            similarity = _similarity(a[s:e], b[t:u])
             if similarity >= SIMILARITY:
-                whole = [(s, e, t, similarity)]
-        found += whole or [(s, e, s - d, 1.0) for s, e, d in chain if e - s >= MIN_WORDS]
-    return found
+                taken.append((i, j))
+                found.add((s, e, t, similarity))
+    return sorted(found)
 
 
 def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

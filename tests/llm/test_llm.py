@@ -352,6 +352,37 @@ def test_near_passages_meet():
     assert missed <= 2  # with three hits 13 were missed
 
 
+def numbered(*parts):
+    return np.array([w for p in parts for w in p], np.uint32)
+
+
+def test_verified_tries_every_diagonal():
+    """A source whose lines repeat many times, the two together only once."""
+    one, two = list(range(1, 31)), list(range(101, 131))
+    source = numbered(*([one, [901] * 20, two, [902] * 20] * 9), one, two, *([[903] * 20, two, [904] * 20, one] * 9))
+    a = numbered(range(2000, 2040), one, two, range(3000, 3040))
+    got = substring_dedup.verified(a, source, np.array([45, 52, 60, 75, 82, 90]))  # none across the two lines
+    assert any(s <= 40 and 100 <= e and x == 1.0 for s, e, _, x in got)
+
+
+def test_verified_follows_the_right_diagonal_after_an_edit():
+    """The line after an edit begins alike earlier in the source; the right place goes on longer."""
+    one, two = list(range(1, 41)), list(range(101, 141))
+    source = numbered(two[:8], [800] * 3, range(5000, 5005), one, [901], two)
+    a = numbered(range(2000, 2010), one, [902], two, range(3000, 3010))
+    got = substring_dedup.verified(a, source, np.arange(0, len(a) - 4))
+    assert any(s <= 10 and 91 <= e and x >= 0.8 for s, e, _, x in got)
+
+
+def test_verified_keeps_a_similar_part_of_a_chain():
+    """A chain that is not similar as a whole has a part of over 50 words that is."""
+    one, two = list(range(1, 41)), list(range(101, 141))
+    tail = [list(range(k, k + 6)) for k in range(200, 900, 20)]
+    source, a = ([*one, x, *two, *(w for k, t in enumerate(tail) for w in (*[x + k] * 4, *t))] for x in (9000, 7000))
+    got = substring_dedup.verified(numbered(a), numbered(source), np.arange(0, len(a) - 4))
+    assert any(s == 0 and 81 <= e and x >= 0.8 for s, e, _, x in got)
+
+
 def brute_secrets(text):
     kinds = [
         ("assign", re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[2]) >= 6),
