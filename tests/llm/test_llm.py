@@ -383,6 +383,21 @@ def test_verified_keeps_a_similar_part_of_a_chain():
     assert any(s == 0 and 81 <= e and x >= 0.8 for s, e, _, x in got)
 
 
+def passages(spark, texts):
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    return [(r.doc_id, r.start_word, r.end_word, r.source_doc_id, r.similarity) for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, SCHEMA)).collect()]
+
+
+def test_passage_goes_on_where_keys_belong_to_others(spark):
+    """Lines of 40 words at both ends of a long passage are also in smaller documents; the passage keeps its ends."""
+    rng = random.Random(8)
+    w = sentence(rng, 700).split()
+    small = [" ".join(w[k : k + 40]) + " " + sentence(rng, 12) for k in (*range(0, 300, 10), *range(400, 661, 10)) for _ in range(4)]
+    texts = [*small, " ".join(w), sentence(rng, 20) + " " + " ".join(w) + " " + sentence(rng, 20)]
+    got = passages(spark, texts)
+    assert any(d == len(texts) - 1 and s == 20 and e == 720 for d, s, e, _, _ in got)
+
+
 def brute_secrets(text):
     kinds = [
         ("assign", re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[2]) >= 6),
