@@ -6,7 +6,10 @@ these windows as its nodes, and only nodes of at least WINDOW shingles are kept
 (about 2 n / WINDOW for n shingles). Texts that share a passage of WINDOW shingles
 share the smallest shingle of it, and so a window key, under every hash, and texts
 with a passage of Jaccard similarity J under about J of the hashes. Each key's
-windows are paired with the key's smallest document (a star, not all pairs). A pair of
+windows are paired with the key's smallest document (a star, not all pairs). Windows
+whose words no passage covers after that are keyed anew, by all runs of MIN_WORDS and
+of SEED_WORDS words around their pivots, and meet the smallest document with that run,
+whichever document has the pivot. A first pair of
 documents is a candidate where the windows of at least HITS hashes meet in a stretch of
 WINDOW shingles; it is verified on the words of both: exact runs on the candidate's
 diagonals are chained over small gaps, and a chain of at least MIN_WORDS words with
@@ -35,6 +38,8 @@ MIN_WORDS = 50
 WINDOW = MIN_WORDS - SHINGLE + 1
 FUNCTIONS, HITS = 5, 2
 SIMILARITY = 0.8
+#: An exact run of so many words is in any passage of runs in order with at least MIN_WORDS words and SIMILARITY.
+SEED_WORDS = 24
 #: Words that may differ between two exact runs of one passage.
 GAP = 12
 
@@ -175,39 +180,76 @@ def _chains(runs: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]
     return out
 
 
-def _similarity(x: np.ndarray, y: np.ndarray) -> float:
-    x, y = np.unique(_grams(x)), np.unique(_grams(y))
-    shared = len(np.intersect1d(x, y, assume_unique=True))
-    return shared / (len(x) + len(y) - shared)
+def _similar_parts(a: np.ndarray, b: np.ndarray, chain: list[tuple[int, int, int]]) -> list[tuple[int, int, int, float]]:
+    """From each run of the chain on, the longest part of at least MIN_WORDS words and SIMILARITY, by sets of shingles."""
+    start, end, shift = (np.array(x, np.int64) for x in zip(*chain, strict=True))
+    t, u = start - shift, end - shift
+    if end[-1] - start[0] < MIN_WORDS:
+        return []
+    number = np.unique(np.concatenate([_grams(a[start[0] : end[-1]]), _grams(b[t[0] : u[-1]])]), return_inverse=True)[1]
+    size = end[-1] - start[0] - SHINGLE + 1
+    sides = ((number[:size], start - start[0], end - start[0] - SHINGLE), (number[size:], t - t[0], u - t[0] - SHINGLE))
+    found, reached, k = [], -1, len(chain)
+    for i in range(k - 1):
+        if end[-1] - start[i] < MIN_WORDS:
+            break
+        since = []  # for each shingle, the run with which it is first in the part
+        for ids, begin, last in sides:
+            first = np.full(len(number), len(number), np.int64)
+            places = np.arange(len(ids) - 1, begin[i] - 1, -1)
+            first[ids[places]] = places
+            since.append(np.searchsorted(last, first))
+        n, m, shared = (np.cumsum(np.bincount(x, minlength=k + 1)[:k]) for x in (*since, np.maximum(*since)))
+        similarity = shared / np.maximum(1, n + m - shared)
+        good = np.flatnonzero((similarity >= SIMILARITY) & (end - start[i] >= MIN_WORDS) & (u - t[i] >= SHINGLE))
+        if len(good) and good[-1] > max(i, reached):
+            reached = int(good[-1])
+            found.append((int(start[i]), int(end[reached]), int(t[i]), float(similarity[reached])))
+    return found
 
 
 def verified(a: np.ndarray, b: np.ndarray, pivots: np.ndarray) -> list[tuple[int, int, int, float]]:
-    """(start, end, start in b, similarity) of the passages of a that b repeats around the pivots."""
+    """(start, end, start in b, similarity) of the passages of a that b repeats around the pivots, without those inside another."""
     if len(a) < MIN_WORDS or len(b) < MIN_WORDS:
         return []
     runs = sorted(r for d in _diagonals(_grams(a), _grams(b), pivots) for r in _runs(a, b, d))
-    found = {(s, e, s - d, 1.0) for s, e, d in runs if e - s >= MIN_WORDS}
-    for chain in _chains(runs):
-        if len(chain) == 1:
-            continue
-        start, end, shift = (np.array(x, np.int64) for x in zip(*chain, strict=True))
-        matched = np.append(0, np.cumsum(end - start - SHINGLE + 1))
-        spans = []  # parts of the chain, the longest first; about as similar as their runs are long
-        for i in range(len(chain) - 1):
-            x, y = end[i + 1 :] - start[i], end[i + 1 :] - shift[i + 1 :] - start[i] + shift[i]
-            m = matched[i + 2 :] - matched[i]
-            about = m >= (SIMILARITY - 0.1) * (x + y - 2 * SHINGLE + 2 - m)
-            spans += [(-int(x[j]), i, i + 1 + int(j)) for j in np.flatnonzero(about & (x >= MIN_WORDS) & (y >= SHINGLE))]
-        taken: list[tuple[int, int]] = []
-        for _, i, j in sorted(spans):
-            if any(f <= i and j <= t for f, t in taken):
-                continue
-            s, e, t, u = int(start[i]), int(end[j]), int(start[i] - shift[i]), int(end[j] - shift[j])
-            similarity = _similarity(a[s:e], b[t:u])
-            if similarity >= SIMILARITY:
-                taken.append((i, j))
-                found.add((s, e, t, similarity))
-    return sorted(found)
+    found = [(s, e, s - d, 1.0) for s, e, d in runs if e - s >= MIN_WORDS]
+    exact = np.array([x[:2] for x in found], np.int64).reshape(-1, 2)
+    chains = [c for c in _chains(runs) if len(c) > 1]
+    within = _inside(np.array([c[0][0] for c in chains], np.int64), np.array([c[-1][1] for c in chains], np.int64), exact)
+    for chain, inside in zip(chains, within.tolist(), strict=True):
+        if not inside:
+            found += _similar_parts(a, b, chain)
+    out, reached = [], -1
+    for x in sorted(found, key=lambda x: (x[0], -x[1], x[2])):
+        if x[1] > reached:
+            out.append(x)
+            reached = x[1]
+    return out
+
+
+def _span(place: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last start of the stretches of MIN_WORDS words around each pivot in its window."""
+    pivot, left, right, _ = _unpacked(place)
+    return np.maximum(left, pivot - WINDOW + 1), np.minimum(np.minimum(pivot, right - WINDOW + 1), n - MIN_WORDS)
+
+
+def _inside(low: np.ndarray, high: np.ndarray, spans: np.ndarray) -> np.ndarray:
+    """Whether the words from low to high lie inside one span (start, end)."""
+    if not len(spans):
+        return np.zeros(len(low), bool)
+    spans = spans[np.argsort(spans[:, 0], kind="stable")]
+    reach = np.maximum.accumulate(spans[:, 1])
+    k = np.searchsorted(spans[:, 0], low, "right") - 1
+    return (k >= 0) & (reach[np.maximum(k, 0)] >= high)
+
+
+def _hashed(w: np.ndarray, size: int) -> np.ndarray:
+    out = w[: len(w) - size + 1].copy()
+    for j in range(1, size):
+        out *= _STEP
+        out += w[j : len(w) - size + 1 + j]
+    return mix(out ^ np.uint64(size))
 
 
 def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -217,7 +259,8 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     first = windows_of(own).groupBy("key").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last"))
     keys = work.written(first.filter("source < last").select("key", "source"), "keys")
     work.tidy()
-    met = windows_of(own).join(keys, "key").filter("doc_id <> source").groupBy("doc_id", "source").agg(F.collect_set("place").alias("places"))
+    shared = work.written(windows_of(own).join(keys, "key"), "shared")
+    met = shared.filter("doc_id <> source").groupBy("doc_id", "source").agg(F.collect_set("place").alias("places"))
     enough = F.size(F.array_distinct(F.transform("places", lambda p: p.bitwiseAND(7)))) >= HITS
 
     def meeting(batches) -> Iterator[pa.RecordBatch]:
@@ -228,6 +271,70 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pivots], ["doc_id", "source", "pivots"]).filter(pa.array(keep))
 
     pairs = work.written(met.filter(enough).mapInArrow(meeting, "doc_id long, source long, pivots binary"), "pairs")
+    found = work.written(_checked(pairs, own, work), "found")
+    work.tidy()
+
+    # windows whose words no passage covers yet may have met only a smaller document that has their key, not their passage
+    spans = found.groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans"))
+    places = shared.groupBy("doc_id").agg(F.collect_list("key").alias("keys"), F.collect_list("place").alias("places"), F.collect_list(F.col("doc_id") == F.col("source")).alias("owned"))
+
+    def uncovered(batches) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [np.zeros(0, np.int64)]
+            for keys, places, owned, spans in zip(*(b.column(i) for i in range(1, 5)), strict=True):
+                keys, places = keys.values.to_numpy(), places.values.to_numpy()
+                low, high = _span(places, 1 << 40)
+                larger = ~owned.values.to_numpy(zero_copy_only=False)
+                out.append(keys[larger & ~_inside(low, high + MIN_WORDS, _pairs_of(spans))])
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(out)))], ["key"])
+
+    open_keys = work.written(places.join(spans, "doc_id", "left").select("doc_id", "keys", "places", "owned", "spans").mapInArrow(uncovered, "key long").distinct(), "open")
+    again = shared.join(open_keys, "key", "left_semi").groupBy("doc_id").agg(F.collect_set("place").alias("places"))
+    rest = again.join(spans, "doc_id", "left").join(own.dropDuplicates(["doc_id"]), "doc_id").select("doc_id", "places", "spans", "text")
+
+    def grams(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                w = batch_words(part)
+                for i in range(part.num_rows):
+                    h, places = w.hashes[w.bounds[i] : w.bounds[i + 1]], part.column(1)[i].values.to_numpy()
+                    low, high = _span(places, len(h))
+                    every = [(MIN_WORDS, low, high, (places & 7) == 0), (SEED_WORDS, low, high + MIN_WORDS - SEED_WORDS, np.ones(len(places), bool))]
+                    for size, x, y, some in every:
+                        starts = np.zeros(len(h) + 2, np.int64)
+                        np.add.at(starts, x[some & (x <= y)], 1)
+                        np.add.at(starts, y[some & (x <= y)] + 1, -1)
+                        at = np.flatnonzero(np.cumsum(starts)[: len(h) - size + 1])
+                        if len(at):
+                            margin = MIN_WORDS - size
+                            covered = _inside(np.maximum(0, at - margin), np.minimum(len(h), at + size + margin), _pairs_of(part.column(2)[i]))
+                            yield pa.RecordBatch.from_arrays([pa.array(signed(_hashed(h, size)[at])), pa.array(np.full(len(at), part.column(0)[i].as_py())), pa.array(at.astype(np.int32)), pa.array(covered)], ["gram", "doc_id", "at", "covered"])
+
+    some = work.written(rest.mapInArrow(grams, "gram long, doc_id long, at int, covered boolean"), "grams")
+    stars = some.groupBy("gram").agg(F.min("doc_id").alias("source"), F.max(F.when(~F.col("covered"), F.col("doc_id"))).alias("last")).filter("source < last").select("gram", "source")
+    wanted = some.filter("not covered").join(stars, "gram").filter("doc_id <> source").groupBy("doc_id", "source").agg(F.collect_set("at").alias("at"))
+    more = work.written(wanted.mapInArrow(_packed_pivots, "doc_id long, source long, pivots binary"), "pairs")
+    work.tidy()
+    every = found.unionByName(_checked(more, own, work))
+    return every.groupBy("doc_id").applyInArrow(_outermost, every.schema)
+
+
+def _pairs_of(spans: pa.Scalar) -> np.ndarray:
+    """start_word and end_word of a list of spans; null is empty."""
+    if not spans.is_valid:
+        return np.zeros((0, 2), np.int64)
+    values = spans.values
+    return np.stack([values.field(0).to_numpy(), values.field(1).to_numpy()], axis=1).astype(np.int64)
+
+
+def _packed_pivots(batches) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        cells = [np.unique(np.minimum(x.values.to_numpy()[:, None] + np.array([0, SEED_WORDS - SHINGLE]), 1 << 30)).astype(np.int32).tobytes() for x in b.column(2)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cells, pa.binary())], ["doc_id", "source", "pivots"])
+
+
+def _checked(pairs: DataFrame, own: DataFrame, work: Workspace) -> DataFrame:
+    """The passages of pairs (doc_id, source, pivots), by whole word arrays."""
     involved = work.written(pairs.select("doc_id").unionByName(pairs.select(F.col("source").alias("doc_id"))).distinct(), "involved")
 
     def spelled(batches) -> Iterator[pa.RecordBatch]:
@@ -253,8 +360,7 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
     work.tidy()
     both = pairs.join(side("doc_id", "a"), "doc_id").join(side("source", "b"), "source").select("doc_id", "source", "pivots", "a", "b")
-    found = both.mapInArrow(check, "doc_id long, start_word int, end_word int, source_doc_id long, source_start_word int, similarity double")
-    return found.groupBy("doc_id").applyInArrow(_outermost, found.schema)
+    return both.mapInArrow(check, "doc_id long, start_word int, end_word int, source_doc_id long, source_start_word int, similarity double")
 
 
 def _outermost(group: pa.Table) -> pa.Table:

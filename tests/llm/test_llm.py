@@ -398,6 +398,25 @@ def test_passage_goes_on_where_keys_belong_to_others(spark):
     assert any(d == len(texts) - 1 and s == 20 and e == 720 for d, s, e, _, _ in got)
 
 
+def test_passage_around_a_line_of_a_smaller_document(spark):
+    """Passages of 50 words made of lines that smaller documents own, each without the passage."""
+    rng, texts, want = random.Random(9), [], []
+    plans = []
+    for _ in range(30):
+        w = sentence(rng, 50).split()
+        plans.append(w)
+        for k in (0, 5, 10, 15, 20, 25, 28):
+            texts += [sentence(rng, 20) + " " + " ".join(w[k : k + 22]) + " " + sentence(rng, 20) for _ in range(3)]
+    for w in plans:
+        v = [*w[:25], "changed", *w[26:]]
+        for x in (w, w, v):
+            want.append((len(texts), x is v))
+            texts.append(sentence(rng, 30) + " " + " ".join(x) + " " + sentence(rng, 30))
+    got = {(d, s, e) for d, s, e, _, _ in passages(spark, texts)}
+    missed = [d for i, (d, _) in enumerate(want) if i % 3 and not any(x == d and s <= 30 and e >= 80 for x, s, e in got)]
+    assert not missed, len(missed)
+
+
 def brute_secrets(text):
     kinds = [
         ("assign", re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[2]) >= 6),
