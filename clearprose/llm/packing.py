@@ -4,8 +4,9 @@ Pieces (documents with their end token, cut only where longer than a sequence) a
 dealt at random into groups of a fixed expected size; each group is packed alone:
 a bin is filled greedily with the largest pieces that fit, then its smallest piece
 gives way to two unpacked ones whose sum fits the widened gap more tightly. Bins
-with a gap are opened again and packed in later, fewer groups, until one group
-holds what is left, so partly filled sequences do not add up over groups.
+with a gap are opened again and packed in later, fewer groups, in at most ROUNDS rounds
+and until one group holds what is left. Where more is left, as with many pieces of over
+half a sequence, the last round packs groups apart, with slightly more sequences.
 
 Defined results: a null or empty text is a piece of one token. Every row is packed,
 repeated ones and ones with a null id too. Texts are tokenised whole. Ties go to
