@@ -38,7 +38,7 @@ MIN_WORDS = 50
 WINDOW = MIN_WORDS - SHINGLE + 1
 FUNCTIONS, HITS = 5, 2
 SIMILARITY = 0.8
-#: An exact run of so many words is in any passage of runs in order with at least MIN_WORDS words and SIMILARITY.
+#: An exact run of so many words is in a passage of MIN_WORDS words and SIMILARITY, unless lines repeat inside it.
 SEED_WORDS = 24
 #: Words that may differ between two exact runs of one passage.
 GAP = 12
