@@ -4,29 +4,37 @@ A document's shingle hashes are dealt over REGISTERS buckets; a bucket keeps of
 smallest value the count of leading zeros and MANTISSA bits after them. A bucket
 without a shingle takes the minimum of all shingles under a hash of its own, so a
 register of two documents agrees with about their Jaccard similarity at any size.
-Bands of registers are bucket keys. Documents with equal sets are one class first;
-in each band bucket every class is paired with the smallest (a star, not all
-pairs), pairs pass if the collision-corrected estimate allows the threshold, and
-links are confirmed on full shingle sets. Fairly similar pairs, linked or not, also make
-families; the components inside a family are compared on full sets, block against
-block, and buckets that still hold several families pair their classes across them,
-so no candidate pair whose outcome can change a component is left out. With ROWS registers in each of BANDS bands a pair at
-similarity 0.85 shares no bucket with probability 2e-7, at 0.8 with 8e-5.
+Bands of registers are bucket keys; with ROWS registers in each of BANDS bands a pair
+at similarity 0.85 shares no bucket with probability 2e-7, at 0.8 with 8e-5.
+
+Documents with equal sets are one class first. A class meets the smallest class of its
+buckets (a star, not all pairs); a pair whose collision-corrected estimate allows the
+threshold is confirmed on full shingle sets. A second star takes classes that share
+a bucket with a larger component to one of its members. What then still lies in a
+bucket with another component joins the ball of the bucket's largest component: inside
+a ball, blocks of registers are compared across components, and pairs that may be
+links are confirmed on full sets, best estimate first, until two components are one.
+So all pairs of a bucket are examined unless links already join them, a ball holds a class
+once for any number of shared buckets, and no pairs of a group are emitted.
+
+Estimates use the last BITS bits of each register: NIBBLES bytes a class travel, not
+the registers. One SLACK standard deviations too low is turned away (about 1e-9).
 
 Defined results: documents without words (null, empty, blank) and rows with a null
 id are linked with nothing (their component is their id); repeated rows each get
 the same result; ids are unique but for repeated rows; ties go to the smaller id;
-columns other than the id and text are ignored; an empty table gives no rows.
+columns other than the id and text are ignored, whatever their names; an empty table gives
+no rows; texts of any length are taken whole.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from clearprose.llm.graph import components
@@ -36,13 +44,15 @@ from clearprose.llm.words import batch_words, mix, shingles, signed, slices
 ROWS, BANDS = 7, 40
 REGISTERS = ROWS * BANDS
 MANTISSA = 10
+#: Last bits of a register that estimates use.
+BITS = 4
+NIBBLES = REGISTERS * BITS // 8
 #: Estimates this many standard deviations under the threshold are turned away.
 SLACK = 6.0
 THRESHOLD = 80
-#: Documents of one side of a family's group.
-FAMILY_BLOCK = 256
-#: Estimated similarity from which a pair joins a family.
-FAMILY_LEAST = 0.4
+#: Classes of one side of a comparison inside a ball, and bytes of shingle sets of one.
+BLOCK = 1024
+BLOCK_BYTES = 8 << 20
 
 _OWN = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _BAND = mix(np.arange(1000, 1000 + ROWS, dtype=np.uint64)) | np.uint64(1)
@@ -98,29 +108,34 @@ def band_keys(registers: np.ndarray) -> np.ndarray:
     return mix(key + np.arange(1, BANDS + 1, dtype=np.uint64)[None, :] * np.uint64(0xD6E8FEB86659FD93))
 
 
-def chance_agreement(n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Probability that registers of disjoint sets of n and m shingles agree."""
-    k = np.arange(0, 33)
+def nibbles_of(registers: np.ndarray) -> np.ndarray:
+    """The last BITS bits of each register, two registers a byte."""
+    low = (registers & ((1 << BITS) - 1)).astype(np.uint8)
+    return low[:, 0::2] << BITS | low[:, 1::2]
 
-    def zeros(size):
-        load = np.maximum(size / REGISTERS, 1.0)[:, None]
-        return np.exp(-load * 2.0 ** -(k + 1)) - np.exp(-load * 2.0**-k)
 
-    return (zeros(n) * zeros(m)).sum(axis=1) / 2**MANTISSA
+def unpacked(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """(rows, REGISTERS) last bits of registers."""
+    packed = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), NIBBLES)
+    out = np.empty((len(column), REGISTERS), np.uint8)
+    out[:, 0::2], out[:, 1::2] = packed >> BITS, packed & ((1 << BITS) - 1)
+    return out
 
 
-def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Collision-corrected Jaccard similarity of pairs of register rows."""
-    chance = chance_agreement(n, m)
-    return ((a == b).mean(axis=1) - chance) / (1 - chance)
+def corrected(agree: np.ndarray) -> np.ndarray:
+    """Jaccard similarity from the share of agreeing registers; different minima agree in BITS bits by chance."""
+    chance = 2.0**-BITS
+    return (agree - chance) / (1 - chance)
 
 
-def _signed_rows(column: pa.Array, width: int, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), width)
+def least_estimate(threshold: int) -> float:
+    t, chance = threshold / 100, 2.0**-BITS
+    agree = t + (1 - t) * chance
+    return t - SLACK * (agree * (1 - agree) / REGISTERS) ** 0.5 / (1 - chance)
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, n_shingles, two fingerprints of the set, the last bits of 128 registers, and the registers."""
+    """doc_id, n_shingles, two fingerprints of the set, the nibbles of the registers and the band keys."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,43 +147,26 @@ def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                     total = np.concatenate([[0], np.cumsum(mix(h ^ np.uint64(salt)), dtype=np.uint64)]).astype(np.uint64)
                     prints.append(mix(total[bounds[1:]] - total[bounds[:-1]] + sizes.astype(np.uint64)))
                 registers = registers_of(h, bounds)
-                bits = np.packbits((registers[:, :128] & 1).astype(np.uint8), axis=1).view(np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sizes.astype(np.int64)), *(pa.array(signed(p)) for p in prints), pa.array(bits[:, 0]), pa.array(bits[:, 1]), pa.array([r.tobytes() for r in registers], pa.binary())],
-                    ["doc_id", "n_shingles", "f", "f2", "bits", "bits2", "registers"],
-                )
-
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, f long, f2 long, bits long, bits2 long, registers binary")
-
-
-def _bands(classes: DataFrame) -> DataFrame:
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                keys = band_keys(_signed_rows(batch.column(2), REGISTERS, np.uint16))
-                repeat = pa.array(np.repeat(np.arange(batch.num_rows), BANDS))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(keys.reshape(-1))), batch.column(0).take(repeat), batch.column(1).take(repeat)], ["key", "id", "f"])
+                keys = pa.FixedSizeListArray.from_arrays(pa.array(signed(band_keys(registers).reshape(-1))), BANDS).cast(pa.list_(pa.int64()))
+                nibbles = pa.array([r.tobytes() for r in nibbles_of(registers)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes.astype(np.int64)), *(pa.array(signed(p)) for p in prints), nibbles, keys], ["doc_id", "n_shingles", "f", "f2", "nibbles", "bands"])
 
-    return classes.select("id", "f", "registers").mapInArrow(run, "key long, id long, f long")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, f long, f2 long, nibbles binary, bands array<long>")
 
 
-def _estimated(pairs: DataFrame, classes: DataFrame, least: float, threshold: int) -> DataFrame:
-    """Pairs whose estimate is ``least`` or more; possible tells whether it allows the threshold."""
-    margin = SLACK * (threshold / 100 * (1 - threshold / 100) / REGISTERS) ** 0.5
+def _possible(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+    """Pairs whose sizes and corrected estimate allow the threshold."""
+    least = least_estimate(threshold)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x, y = (_signed_rows(b.column(c), REGISTERS, np.uint16) for c in (4, 6))
-                n, m = (b.column(c).to_numpy().astype(float) for c in (5, 7))
-                e = estimate(x, y, n, m)
-                possible = (e >= threshold / 100 - margin) & (np.minimum(n, m) * 100 >= threshold * np.maximum(n, m))
-                out = pa.RecordBatch.from_arrays([*(b.column(c) for c in range(4)), pa.array(possible)], ["a", "fa", "b", "fb", "possible"])
-                yield out.filter(pa.array(possible | (e >= least)))
+                agree = (unpacked(b.column(2)) == unpacked(b.column(3))).mean(axis=1)
+                yield b.select(["a", "b"]).filter(pa.array(corrected(agree) >= least))
 
-    side = lambda c: classes.select(F.col("f").alias(f"f{c}"), F.col("registers").alias(f"r{c}"), F.col("n_shingles").alias(f"n{c}"))
-    both = pairs.join(side("a"), "fa").join(side("b"), "fb")
-    return both.select("a", "fa", "b", "fb", "ra", "na", "rb", "nb").mapInArrow(run, "a long, fa long, b long, fb long, possible boolean")
+    side = lambda c: classes.select(F.col("id").alias(c), F.col("nibbles").alias(f"r{c}"), F.col("n_shingles").alias(f"n{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * threshold)
+    return both.select("a", "b", "ra", "rb").mapInArrow(run, "a long, b long")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, work: Workspace) -> DataFrame:
@@ -181,7 +179,15 @@ def _sets(docs: DataFrame, wanted: DataFrame, work: Workspace) -> DataFrame:
                 cells = [h[s:e].tobytes() for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cells, pa.binary())], ["id", "hashes"])
 
-    return work.written(docs.join(wanted, "id", "left_semi").select("id", "text").mapInArrow(run, "id long, hashes binary"), "sets")
+    some = docs.join(wanted, "id", "left_semi").select("id", "text").mapInArrow(run, "id long, hashes binary")
+    return work.written(some, "sets")
+
+
+def linked(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
+    """Whether two sorted sets of hashes have the threshold's similarity."""
+    at = np.searchsorted(y, x)
+    shared = int(np.count_nonzero(y[np.minimum(at, len(y) - 1)] == x)) if len(y) else 0
+    return 100 * shared >= threshold * (len(x) + len(y) - shared)
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, threshold: int, work: Workspace) -> DataFrame:
@@ -189,71 +195,135 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, threshold: int, work: Workspac
 
     def check(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            linked = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                shared = len(x) + len(y) - len(np.union1d(x, y))
-                linked.append(100 * shared >= threshold * (len(x) + len(y) - shared))
-            yield b.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
-
-    wanted = work.written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "wanted")
-    table = _sets(docs, wanted, work)
+            good = [linked(*(np.frombuffer(c.as_py(), np.uint64) for c in both), threshold) for both in zip(b.column(2), b.column(3), strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    pairs = work.written(pairs, "possible")
+    table = _sets(docs, pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), work)
     side = lambda c: table.dropDuplicates(["id"]).select(F.col("id").alias(c), F.col("hashes").alias(f"h{c}"))
-    linked = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ha", "hb").mapInArrow(check, "a long, b long")
-    links = work.written(linked, "links")
-    work.drop(table, wanted)
+    links = work.written(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ha", "hb").mapInArrow(check, "a long, b long"), "links")
+    work.drop(table, pairs)
     return links
 
 
-def shared_sizes(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of every set of x with every set of y."""
-    owner = np.repeat(np.arange(len(x) + len(y)), [len(s) for s in (*x, *y)])
-    _, column, times = np.unique(np.concatenate([*x, *y]), return_inverse=True, return_counts=True)
-    often = times > 1  # what only one set has is in no intersection
-    place = np.cumsum(often) - 1
-    keep = often[column]
-    owner, column = owner[keep], place[column[keep]]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    out = np.zeros((len(x), len(y)), np.float32)
-    for low in range(0, int(often.sum()), 8192):
-        part = slice(*np.searchsorted(column, [low, low + 8192]))
-        there = np.zeros((len(x) + len(y), 8192), np.float32)
-        there[owner[part], column[part] - low] = 1
-        out += there[: len(x)] @ there[len(x) :].T
-    return out
+def _keyed(classes: DataFrame) -> DataFrame:
+    return classes.withColumn("key", F.explode("bands")).drop("bands")
+
+
+def _first_stars(classes: DataFrame) -> DataFrame:
+    """(a, b): each class b with the smallest class a of all its buckets."""
+    least = F.min("id").over(Window.partitionBy("key"))
+    met = _keyed(classes.select("id", "bands")).withColumn("a", least).filter("a < id")
+    return met.groupBy(F.col("id").alias("b")).agg(F.min("a").alias("a")).select("a", "b")
+
+
+def _placed(classes: DataFrame, components_: DataFrame, work: Workspace) -> DataFrame:
+    """id, component, the component's size and the band keys of the classes that share a bucket."""
+    placed = classes.select("id", "bands").join(components_, "id")
+    sizes = placed.groupBy("component").agg(F.count("*").alias("size"))
+    return work.written(placed.join(sizes, "component").select("id", "component", "size", "bands"), "placed")
+
+
+def _outsiders(placed: DataFrame) -> DataFrame:
+    """id, component, and ball and anchor: the largest component of a bucket that isn't the class's own, and a member of it there."""
+    order = F.struct("size", "component", (-F.col("id")).alias("anchor"))
+    first = F.max(order).over(Window.partitionBy("key"))
+    return _keyed(placed).withColumn("m", first).filter("m.component <> component").select("id", "component", F.col("m.component").alias("ball"), (-F.col("m.anchor")).alias("anchor"))
 
 
-def _family_links(threshold: int):
+def _blocked(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Rows of a ball once for each group (ball, i, j): added rows are on side i, all rows on side j."""
+    own = F.pmod(F.xxhash64("id"), F.when(F.col("added"), F.col("na")).otherwise(F.col("nc"))).cast("int")
+    placed = rows.join(blocks, "ball").withColumn("block", own)
+    struct = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    mine = F.col("block")
+    # groups j < na hold added rows on side j, the others core rows
+    as_j = F.transform(F.sequence(F.lit(0), F.col("na") - 1), lambda i: struct(i, F.when(F.col("added"), mine).otherwise(mine + F.col("na"))))
+    as_j = F.when(F.col("added"), F.filter(as_j, lambda p: p["i"] <= p["j"])).otherwise(as_j)
+    as_i = F.transform(F.sequence(mine, F.col("na") + F.col("nc") - 1), lambda j: struct(mine, j))
+    pairs = F.when(F.col("added"), F.array_distinct(F.concat(as_i, as_j))).otherwise(as_j)
+    return placed.withColumn("p", F.explode(pairs)).withColumn("i", F.col("p.i")).withColumn("j", F.col("p.j")).drop("p")
+
+
+def _sides(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a group on its two sides."""
+    added, block = group["added"].to_numpy(), group["block"].to_numpy()
+    i, j, na = (group[c][0].as_py() for c in ("i", "j", "na"))
+    return np.flatnonzero(added & (block == i)), np.flatnonzero(added & (block == j) if j < na else ~added & (block == j - na))
+
+
+def _near(group: pa.Table, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows x, y of both sides in different components whose estimate allows the threshold, and the estimates."""
+    x, y = _sides(group)
+    least, nibbles = least_estimate(threshold), unpacked(group["nibbles"])
+    component, n = group["component"].to_numpy(), group["n_shingles"].to_numpy().astype(float)
+    for at in range(0, len(x), 32):
+        some = x[at : at + 32]
+        fits = (component[some][:, None] != component[y]) & (np.minimum(n[some][:, None], n[y]) * 100 >= threshold * np.maximum(n[some][:, None], n[y]))
+        columns = np.flatnonzero(fits.any(axis=0))
+        estimate = corrected((nibbles[some][:, None, :] == nibbles[y[columns]][None, :, :]).mean(axis=2))
+        r, c = np.nonzero((estimate >= least) & fits[:, columns])
+        yield some[r], y[columns[c]], estimate[r, c]
+
+
+def _flagged(threshold: int):
+    """Members of a block pair that may have a link across components."""
+
+    def found(group: pa.Table) -> pa.Table:
+        rows = [np.zeros(0, np.int64)]
+        for x, y, _ in _near(group, threshold):
+            rows += [x, y]
+        return group.select(["ball", "id", "component", "added"]).take(pa.array(np.unique(np.concatenate(rows))))
+
+    return found
+
+
+def _block_links(threshold: int):
+    """A link for each two components of a block pair that links join, found best estimate first."""
+
     def found(group: pa.Table) -> pa.Table:
-        ids, component, side = (group[c].to_numpy() for c in ("id", "component", "block"))
         sets = [np.frombuffer(h, np.uint64) for h in group["hashes"].to_pylist()]
-        x, y = np.flatnonzero(side == group["i"][0].as_py()), np.flatnonzero(side == group["j"][0].as_py())
-        n = np.array([len(s) for s in sets], np.float64)
-        shared = shared_sizes([sets[k] for k in x], [sets[k] for k in y]).astype(np.float64)
-        union = n[x][:, None] + n[y][None, :] - shared
-        linked = (100 * shared >= threshold * union) & (component[x][:, None] != component[y][None, :])
-        r, c = np.nonzero(linked)
-        # one link for each pair of components that meet
-        a, b = component[x[r]], component[y[c]]
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(r) else np.zeros((2, 0), np.int64)
-        return pa.table({"a": pairs[0], "b": pairs[1]})
+        names, component = np.unique(group["component"].to_numpy(), return_inverse=True)
+        root = list(range(len(names)))
+
+        def top(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        out = []
+        for x, y, estimate in _near(group, threshold):
+            for k in np.argsort(-estimate, kind="stable").tolist():
+                a, b = top(component[x[k]]), top(component[y[k]])
+                if a != b and linked(sets[x[k]], sets[y[k]], threshold):
+                    root[a] = b
+                    out.append((names[component[x[k]]], names[component[y[k]]]))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
     return found
 
 
-def _within_families(members: DataFrame, docs: DataFrame, threshold: int, work: Workspace) -> DataFrame:
-    """Links between components inside families (id, component, family), block by block; no pairs of documents are emitted."""
-    split = members.groupBy("family").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y")
-    split = work.written(split.select("family", F.ceil(F.col("n") / FAMILY_BLOCK).cast("int").alias("blocks")), "families")
-    some = work.written(members.join(split, "family"), "members")
-    table = _sets(docs, some.select("id"), work)
-    placed = some.join(table.dropDuplicates(["id"]), "id").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
-    spread = placed.withColumn("pair", F.explode(pairs)).select("family", "id", "component", "hashes", "block", "pair.i", "pair.j")
-    links = work.written(spread.groupBy("family", "i", "j").applyInArrow(_family_links(threshold), "a long, b long"), "links")
-    work.drop(table, some)
-    return links
+def _ball_links(outsiders: DataFrame, components_: DataFrame, classes: DataFrame, docs: DataFrame, threshold: int, work: Workspace) -> DataFrame:
+    """Links (between component names) of outsiders with anything in their balls."""
+    added = work.written(outsiders.select("ball", "id", "component").distinct(), "added")
+    told = classes.select("id", "n_shingles", "nibbles")
+    balls = added.select("ball").distinct()
+    core = components_.join(balls, components_["component"] == balls["ball"]).select("ball", "id", "component")
+    rows = added.withColumn("added", F.lit(True)).unionByName(core.withColumn("added", F.lit(False)))
+    rows = work.written(rows.join(told, "id"), "balls")
+
+    def dealt(rows: DataFrame, weight, most: int) -> DataFrame:
+        count = lambda kind: F.greatest(F.ceil(F.sum(F.when(kind, weight)) / most), F.lit(1)).cast("int")
+        blocks = rows.groupBy("ball").agg(F.coalesce(count(F.col("added")), F.lit(0)).alias("na"), F.coalesce(count(~F.col("added")), F.lit(0)).alias("nc"))
+        return _blocked(rows, blocks.filter("na > 0"))
+
+    near = dealt(rows, F.lit(1), BLOCK).groupBy("ball", "i", "j").applyInArrow(_flagged(threshold), "ball long, id long, component long, added boolean").distinct()
+    near = work.written(near, "near")
+    table = _sets(docs, near.select("id").distinct(), work).dropDuplicates(["id"])
+    whole = near.join(table, "id").join(told, "id")
+    spread = dealt(whole, F.length("hashes"), BLOCK_BYTES)
+    return work.written(spread.groupBy("ball", "i", "j").applyInArrow(_block_links(threshold), "a long, b long"), "links")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
@@ -262,43 +332,26 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     signed_docs = work.written(signatures(docs, doc_id, text), "signatures")
     own = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     usable = signed_docs.filter("doc_id is not null and n_shingles > 0")
-    classes = work.written(usable.groupBy("f", "f2", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("bits").alias("bits"), F.first("bits2").alias("bits2"), F.first("registers").alias("registers")), "classes")
-    bands = _bands(classes)
-
-    stars = work.written(bands.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("id", "f")).alias("least")).filter("n > 1").select("key", "least"), "stars")
-    members = bands.join(stars, "key").filter("f <> least.f")
-    pairs = work.written(members.select(F.col("least.id").alias("a"), F.col("least.f").alias("fa"), F.col("id").alias("b"), F.col("f").alias("fb")).distinct(), "pairs")
-    alike = work.written(_estimated(pairs, classes, FAMILY_LEAST, threshold), "alike")
-    links = _confirmed(alike.filter("possible").drop("possible"), own, threshold, work)
-    found = components(links, work)
-
-    # a family: documents that stars of fairly similar ones join, linked or not; its components are compared inside it
-    family = components(links.unionByName(alike.select("a", "b")), work).withColumnRenamed("component", "family")
-    members = work.written(family.join(found, "id", "left").select("id", "family", F.coalesce("component", "id").alias("component")), "members")
-    merged = _within_families(members, own, threshold, work)
-
-    # what still meets in a bucket lies in different families
-    shared = work.written(bands.join(stars.select("key"), "key").join(family, "id", "left").select("key", "id", "f", F.coalesce("family", "id").alias("family")), "shared")
-    mixed = work.written(shared.groupBy("key").agg(F.min("family").alias("x"), F.max("family").alias("y")).filter("x < y").select("key"), "mixed")
-    # last bits of registers differ in half of the share of registers that do; those of a link in at most so many
-    share = (1 - threshold / 100) / 2
-    most = math.ceil(128 * share + SLACK * (128 * share * (1 - share)) ** 0.5)
-    told = classes.select("f", "bits", "bits2", F.col("n_shingles").alias("n"))
-    left = work.written(shared.join(mixed, "key").join(told, "f"), "left")
-    other = left.withColumnsRenamed({"id": "b", "f": "fb", "family": "cb", "bits": "o", "bits2": "o2", "n": "m"})
-    apart = F.bit_count(F.col("bits").bitwiseXOR(F.col("o"))) + F.bit_count(F.col("bits2").bitwiseXOR(F.col("o2")))
-    near = (F.col("family") < F.col("cb")) & (apart <= most) & (F.least("n", "m") * 100 >= F.greatest("n", "m") * threshold)
-    mine = left.withColumnsRenamed({"id": "a", "f": "fa", "key": "k"})
-    cross = mine.join(other, (F.col("k") == F.col("key")) & near).select("a", "fa", "b", "fb").distinct()
-    more = work.written(_estimated(cross, classes, 1.0, threshold).filter("possible").drop("possible"), "alike")
-    every = links.unionByName(merged)
-    if not more.isEmpty():
-        every = every.unionByName(_confirmed(more, own, threshold, work))
-    found = components(every, work)
-
-    labelled = work.written(classes.select("f", "f2", "n_shingles", "id").join(found, "id", "left").select("f", "f2", "n_shingles", F.coalesce("component", "id").alias("component")), "labelled")
-    rows = signed_docs.select("doc_id", "n_shingles", "f", "f2")
     same = ["f", "f2", "n_shingles"]
-    out = rows.join(labelled, same, "left")
+    classes = work.written(usable.groupBy(*same).agg(F.min("doc_id").alias("id"), F.first("nibbles").alias("nibbles"), F.first("bands").alias("bands")), "classes")
+
+    stars = work.written(_first_stars(classes), "stars")
+    sharing = stars.select(F.col("a").alias("id")).unionByName(stars.select(F.col("b").alias("id"))).distinct()
+
+    def labelled(links: DataFrame) -> DataFrame:
+        """id and component of every class that shares a bucket."""
+        joined = sharing.join(components(links, work), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+        return work.written(joined, "labelled")
+
+    links = _confirmed(_possible(stars, classes, threshold), own, threshold, work)
+    found = labelled(links)
+    second = _outsiders(_placed(classes, found, work)).groupBy(F.col("id").alias("b")).agg(F.min("anchor").alias("a"))
+    links = links.unionByName(_confirmed(_possible(second.select("a", "b"), classes, threshold), own, threshold, work))
+    found = labelled(links)
+    merged = _ball_links(_outsiders(_placed(classes, found, work)), found, classes, own, threshold, work)
+    found = labelled(links.unionByName(merged))
+
+    named = classes.select(*same, "id").join(found, "id", "left").select(*same, F.coalesce("component", "id").alias("component"))
+    out = signed_docs.select("doc_id", *same).join(named, same, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
     return out.select("doc_id", "n_shingles", component).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -258,7 +258,6 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     own = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     first = windows_of(own).groupBy("key").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last"))
     keys = work.written(first.filter("source < last").select("key", "source"), "keys")
-    work.tidy()
     shared = work.written(windows_of(own).join(keys, "key"), "shared")
     met = shared.filter("doc_id <> source").groupBy("doc_id", "source").agg(F.collect_set("place").alias("places"))
     enough = F.size(F.array_distinct(F.transform("places", lambda p: p.bitwiseAND(7)))) >= HITS
@@ -272,7 +271,6 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
     pairs = work.written(met.filter(enough).mapInArrow(meeting, "doc_id long, source long, pivots binary"), "pairs")
     found = work.written(_checked(pairs, own, work), "found")
-    work.tidy()
 
     # windows whose words no passage covers yet may have met only a smaller document that has their key, not their passage
     spans = found.groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans"))
@@ -314,7 +312,6 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     stars = some.groupBy("gram").agg(F.min("doc_id").alias("source"), F.max(F.when(~F.col("covered"), F.col("doc_id"))).alias("last")).filter("source < last").select("gram", "source")
     wanted = some.filter("not covered").join(stars, "gram").filter("doc_id <> source").groupBy("doc_id", "source").agg(F.collect_set("at").alias("at"))
     more = work.written(wanted.mapInArrow(_packed_pivots, "doc_id long, source long, pivots binary"), "pairs")
-    work.tidy()
     every = found.unionByName(_checked(more, own, work))
     return every.groupBy("doc_id").applyInArrow(_outermost, every.schema)
 
@@ -358,7 +355,6 @@ def _checked(pairs: DataFrame, own: DataFrame, work: Workspace) -> DataFrame:
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(6)], names)
 
-    work.tidy()
     both = pairs.join(side("doc_id", "a"), "doc_id").join(side("source", "b"), "source").select("doc_id", "source", "pivots", "a", "b")
     return both.mapInArrow(check, "doc_id long, start_word int, end_word int, source_doc_id long, source_start_word int, similarity double")
 

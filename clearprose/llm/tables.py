@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
@@ -33,10 +32,12 @@ def ready(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where none is set."""
+    """The folder named by spark.checkpoint.dir; where none is set, a temporary one of a local session."""
     conf = spark.sparkContext.getConf()
     folder = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-work-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -61,11 +62,6 @@ class Workspace:
         out._work_path = path
         return out
 
-    def tidy(self) -> None:
-        """Lets the session's cleaner remove shuffle files that no table needs any more."""
-        gc.collect()
-        self.spark._jvm.System.gc()
-
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables that nothing reads any more."""
         for table in tables:

@@ -146,8 +146,8 @@ def test_register_estimate():
         pool = rng.integers(0, 2**63, common + 2 * own, dtype=np.uint64)
         a, b = np.sort(pool[: common + own]), np.sort(np.append(pool[:common], pool[common + own :]))
         ra, rb = (near_dedup.registers_of(x, np.array([0, len(x)])) for x in (a, b))
-        n = np.array([1000.0])
-        assert abs(near_dedup.estimate(ra, rb, n, n)[0] - common / (common + 2 * own)) < 0.12
+        agree = (near_dedup.nibbles_of(ra)[:, :, None] >> np.array([0, 4]) & 15) == (near_dedup.nibbles_of(rb)[:, :, None] >> np.array([0, 4]) & 15)
+        assert abs(near_dedup.corrected(agree.mean()) - common / (common + 2 * own)) < 0.12
 
 
 def test_token_counts(spark, docs):
