@@ -169,18 +169,19 @@ def _possible(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame
     return both.select("a", "b", "ra", "rb").mapInArrow(run, "a long, b long")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, work: Workspace) -> DataFrame:
-    """id and hashes: the whole shingle sets of the wanted documents."""
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The columns of wanted and hashes: the whole shingle sets of the documents that it names in id."""
+    names = wanted.columns
+    types = ", ".join(f"{c} {t}" for c, t in wanted.dtypes)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 h, bounds = document_sets(part)
                 cells = [h[s:e].tobytes() for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cells, pa.binary())], ["id", "hashes"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(cells, pa.binary())], [*names, "hashes"])
 
-    some = docs.join(wanted, "id", "left_semi").select("id", "text").mapInArrow(run, "id long, hashes binary")
-    return work.written(some, "sets")
+    return docs.join(wanted, "id").select(*names, "text").mapInArrow(run, f"{types}, hashes binary")
 
 
 def linked(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
@@ -199,10 +200,11 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, threshold: int, work: Workspac
             yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     pairs = work.written(pairs, "possible")
-    table = _sets(docs, pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), work)
-    side = lambda c: table.dropDuplicates(["id"]).select(F.col("id").alias(c), F.col("hashes").alias(f"h{c}"))
-    links = work.written(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ha", "hb").mapInArrow(check, "a long, b long"), "links")
-    work.drop(table, pairs)
+    # a star's rays travel once, to their centre
+    rays = _sets(docs, pairs.select("a", F.col("b").alias("id"))).withColumnRenamed("hashes", "hb")
+    centres = _sets(docs, pairs.select(F.col("a").alias("id")).distinct()).withColumnsRenamed({"id": "a", "hashes": "ha"})
+    links = work.written(rays.join(centres, "a").select("a", F.col("id").alias("b"), "ha", "hb").mapInArrow(check, "a long, b long"), "links")
+    work.drop(pairs)
     return links
 
 
@@ -210,16 +212,16 @@ def _keyed(classes: DataFrame) -> DataFrame:
     return classes.withColumn("key", F.explode("bands")).drop("bands")
 
 
-def _first_stars(classes: DataFrame) -> DataFrame:
-    """(a, b): each class b with the smallest class a of all its buckets."""
-    least = F.min("id").over(Window.partitionBy("key"))
-    met = _keyed(classes.select("id", "bands")).withColumn("a", least).filter("a < id")
-    return met.groupBy(F.col("id").alias("b")).agg(F.min("a").alias("a")).select("a", "b")
+def _shared_keys(classes: DataFrame) -> DataFrame:
+    """id, bands (its keys that other classes have too) and a, the smallest class of their buckets, of each class with such keys."""
+    bucket = Window.partitionBy("key")
+    met = _keyed(classes.select("id", "bands")).withColumn("a", F.min("id").over(bucket)).withColumn("last", F.max("id").over(bucket)).filter("a < last")
+    return met.groupBy("id").agg(F.collect_list("key").alias("bands"), F.min("a").alias("a"))
 
 
-def _placed(classes: DataFrame, components_: DataFrame, work: Workspace) -> DataFrame:
-    """id, component, the component's size and the band keys of the classes that share a bucket."""
-    placed = classes.select("id", "bands").join(components_, "id")
+def _placed(sharing: DataFrame, components_: DataFrame, work: Workspace) -> DataFrame:
+    """id, component, the component's size and the shared keys of the classes that share a bucket."""
+    placed = sharing.select("id", "bands").join(components_, "id")
     sizes = placed.groupBy("component").agg(F.count("*").alias("size"))
     return work.written(placed.join(sizes, "component").select("id", "component", "size", "bands"), "placed")
 
@@ -320,8 +322,8 @@ def _ball_links(outsiders: DataFrame, components_: DataFrame, classes: DataFrame
 
     near = dealt(rows, F.lit(1), BLOCK).groupBy("ball", "i", "j").applyInArrow(_flagged(threshold), "ball long, id long, component long, added boolean").distinct()
     near = work.written(near, "near")
-    table = _sets(docs, near.select("id").distinct(), work).dropDuplicates(["id"])
-    whole = near.join(table, "id").join(told, "id")
+    table = work.written(_sets(docs, near.select("id").distinct()), "sets")
+    whole = near.join(table.dropDuplicates(["id"]), "id").join(told, "id")
     spread = dealt(whole, F.length("hashes"), BLOCK_BYTES)
     return work.written(spread.groupBy("ball", "i", "j").applyInArrow(_block_links(threshold), "a long, b long"), "links")
 
@@ -335,20 +337,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     same = ["f", "f2", "n_shingles"]
     classes = work.written(usable.groupBy(*same).agg(F.min("doc_id").alias("id"), F.first("nibbles").alias("nibbles"), F.first("bands").alias("bands")), "classes")
 
-    stars = work.written(_first_stars(classes), "stars")
-    sharing = stars.select(F.col("a").alias("id")).unionByName(stars.select(F.col("b").alias("id"))).distinct()
+    sharing = work.written(_shared_keys(classes).join(classes.select("id", "n_shingles", "nibbles"), "id"), "sharing")
 
     def labelled(links: DataFrame) -> DataFrame:
         """id and component of every class that shares a bucket."""
-        joined = sharing.join(components(links, work), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+        joined = sharing.select("id").join(components(links, work), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
         return work.written(joined, "labelled")
 
-    links = _confirmed(_possible(stars, classes, threshold), own, threshold, work)
+    stars = sharing.filter("a < id").select("a", F.col("id").alias("b"))
+    links = _confirmed(_possible(stars, sharing, threshold), own, threshold, work)
     found = labelled(links)
-    second = _outsiders(_placed(classes, found, work)).groupBy(F.col("id").alias("b")).agg(F.min("anchor").alias("a"))
-    links = links.unionByName(_confirmed(_possible(second.select("a", "b"), classes, threshold), own, threshold, work))
+    second = _outsiders(_placed(sharing, found, work)).groupBy(F.col("id").alias("b")).agg(F.min("anchor").alias("a"))
+    links = links.unionByName(_confirmed(_possible(second.select("a", "b"), sharing, threshold), own, threshold, work))
     found = labelled(links)
-    merged = _ball_links(_outsiders(_placed(classes, found, work)), found, classes, own, threshold, work)
+    merged = _ball_links(_outsiders(_placed(sharing, found, work)), found, sharing, own, threshold, work)
     found = labelled(links.unionByName(merged))
 
     named = classes.select(*same, "id").join(found, "id", "left").select(*same, F.coalesce("component", "id").alias("component"))
