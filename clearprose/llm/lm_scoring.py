@@ -4,7 +4,10 @@ Fitting counts words and word pairs over all training texts in Spark, turns each
 count c into the level q = 1 + floor(log_b c), and inserts the pair (n-gram, j)
 for every j up to q. A lookup probes j = 1, 2, ... until a probe misses, so a
 count costs about ten bits a level and no key is stored. The filter is built in
-segments by a grouped job; scoring broadcasts it in waves of bounded size. All bits of
+segments by a grouped job. Scoring broadcasts one wave of segments of bounded size at a
+time: each wave adds the levels of its n-grams to the texts' tokens (two bytes a token,
+written with the texts where there are several waves) and is destroyed before the next
+is sent, so the driver and a worker never hold more than one wave. All bits of
 a probe lie in one 64-bit word of its segment, so a probe touches memory once.
 
 A text's probability is the product over its words and one end token of
@@ -17,8 +20,9 @@ below keeps the sum over words at 1 or less, apart from the filter's false hits
 
 Defined results: a null or empty text has one token, the end. Rows with a null id
 are scored like others; repeated rows are scored each. With no training rows N and
-V are 0 and both scores stay finite. Ties need no rule. Columns other than the id
-and the text are ignored.
+V are 0 and both scores stay finite; an empty table gives no rows. Ties need no rule.
+Columns other than the kept ones and the text are ignored, whatever their names. Texts of
+any length are scored whole.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clearprose.llm.tables import Workspace
@@ -43,10 +47,8 @@ BITS_AN_ENTRY = 11
 MU = 50.0
 #: Training tokens for each filter segment.
 SEGMENT_TOKENS = 1 << 16
-#: Bytes of filter that a Python worker holds at a time.
-WAVE_BYTES = 192 << 20
-#: Bytes of text scored against one wave before the next is read, where there are several.
-WINDOW_BYTES = 16 << 20
+#: Bytes of filter that the driver sends and a Python worker holds at a time.
+WAVE_BYTES = 64 << 20
 #: Most words whose exact counts are broadcast (16 bytes each); rarer ones are joined.
 HEAD_WORDS = 1 << 20
 #: Distinct keys held before partial counts are sent on.
@@ -106,23 +108,24 @@ def segment_bits(keys: np.ndarray, counts: np.ndarray) -> bytes:
 
 
 class FilterPart:
-    """Some segments of the filter, ready to probe."""
-
-    def __init__(self, segments: list[tuple[int, int]], count: int):
-        """``segments``: number and bytes of each; they are filled in afterwards."""
-        self.size, self.offset, at = np.ones(count, np.uint64), np.zeros(count, np.int64), 0
-        for number, length in sorted(segments):
-            self.size[number], self.offset[number] = length // 8, at
+    """The segments from ``begin`` to ``end`` of the filter, ready to probe."""
+
+    def __init__(self, begin: int, end: int, table: pa.Table):
+        self.begin, self.end = begin, end
+        self.size, self.offset, at = np.ones(end - begin, np.uint64), np.zeros(end - begin, np.int64), 0
+        numbers, lengths = table["segment"].to_pylist(), pc.binary_length(table["bits"]).to_pylist()
+        self.data = np.zeros(max(sum(lengths) // 8, 1), np.uint64)
+        for number, length, bits in zip(numbers, lengths, table["bits"], strict=True):
+            self.size[number - begin], self.offset[number - begin] = length // 8, at
+            self.data[at : at + length // 8] = np.frombuffer(bits.as_buffer(), np.uint64)
             at += length // 8
-        self.data = np.zeros(max(at, 1), np.uint64)
-
-    def put(self, number: int, bits: bytes) -> None:
-        self.data[self.offset[number] : self.offset[number] + len(bits) // 8] = np.frombuffer(bits, np.uint64)
 
     def levels(self, keys: np.ndarray, segments: np.ndarray) -> np.ndarray:
-        """The level of each key, 0 where the first probe misses."""
-        q = np.zeros(len(keys), np.int64)
-        size, offset, alive = self.size[segments], self.offset[segments], np.arange(len(keys))
+        """The level of each key of these segments, 0 where the first probe misses or another wave has the key."""
+        q = np.zeros(len(keys), np.uint8)
+        alive = np.flatnonzero((segments >= self.begin) & (segments < self.end))
+        keys, segments = keys[alive], segments[alive] - self.begin
+        size, offset = self.size[segments], self.offset[segments]
         for j in range(1, len(_LEVELS)):
             if not len(alive):
                 break
@@ -134,23 +137,18 @@ class FilterPart:
 
 
 class Layout:
-    """Where keys are stored: word segments first, then pair segments by slots of the word before."""
+    """Where keys are stored: word segments first, then pair segments."""
 
     def __init__(self, n_tokens: int, n_words: int):
         self.words = -(-max(n_words, 1) // SEGMENT_TOKENS)
-        pairs = -(-max(n_tokens, 1) // SEGMENT_TOKENS)
-        self.slots = max(1, min(pairs, -(-n_tokens * BITS_AN_ENTRY // (2 * WAVE_BYTES))))
-        self.each = -(-pairs // self.slots)
-        self.total = self.words + self.slots * self.each
+        self.pairs = -(-max(n_tokens, 1) // SEGMENT_TOKENS)
+        self.total = self.words + self.pairs
 
     def word(self, keys: np.ndarray) -> np.ndarray:
         return (mix(keys ^ _PAIR) % np.uint64(self.words)).astype(np.int64)
 
-    def slot(self, before: np.ndarray) -> np.ndarray:
-        return (mix(before + _PAIR) % np.uint64(self.slots)).astype(np.int64)
-
-    def pair(self, keys: np.ndarray, before: np.ndarray) -> np.ndarray:
-        return self.words + self.slot(before) * self.each + (mix(keys ^ _PAIR) % np.uint64(self.each)).astype(np.int64)
+    def pair(self, keys: np.ndarray) -> np.ndarray:
+        return self.words + (mix(keys ^ _PAIR) % np.uint64(self.pairs)).astype(np.int64)
 
 
 def _counted(batches, text: str, keys_of, sent) -> Iterator[pa.RecordBatch]:
@@ -208,8 +206,8 @@ class LogFrequencyModel:
 
         def pairs_part(batches):
             def keys_of(tokens, bounds):
-                keys, before = pair_keys(tokens, bounds)
-                return layout.pair(keys, before), keys
+                keys, _ = pair_keys(tokens, bounds)
+                return layout.pair(keys), keys
 
             return _counted(batches, "text", keys_of, _by_segment)
 
@@ -238,35 +236,16 @@ class LogFrequencyModel:
         segments = work.written(entries.groupBy("segment").applyInArrow(build, "segment long, bits binary"), "segments")
         return cls(work, words, segments, total.n, total.v, layout)
 
-    def _waves(self) -> list:
-        """Broadcasts: the word segments with a first group of pair slots, then further groups of slots."""
-        sizes = self.segments.select("segment", F.length("bits").alias("b"))
-        pair = F.col("segment") >= self.layout.words
-        by_slot = dict(sizes.filter(pair).groupBy(F.floor((F.col("segment") - self.layout.words) / self.layout.each).cast("int")).agg(F.sum("b")).collect())
-        groups, room = [[]], WAVE_BYTES
-        for slot in sorted(by_slot):
-            if groups[-1] and by_slot[slot] > room:
-                groups.append([])
-                room = WAVE_BYTES
-            groups[-1].append(slot)
-            room -= by_slot[slot]
-        context = self.segments.sparkSession.sparkContext
-
-        def sent(condition: Column):
-            got = self.segments.filter(condition).toArrow()
-            numbers = got["segment"].to_pylist()
-            part = FilterPart(list(zip(numbers, pc.binary_length(got["bits"]).to_pylist(), strict=True)), self.layout.total)
-            for number, bits in zip(numbers, got["bits"], strict=True):
-                part.put(number, bits.as_buffer())
-            return context.broadcast(part)
-
-        first = sent(~pair)
-        waves = []
-        for slots in groups:
-            low = self.layout.words + (slots[0] if slots else 0) * self.layout.each
-            high = self.layout.words + (slots[-1] + 1 if slots else 0) * self.layout.each
-            waves.append((slots[0] if slots else 0, slots[-1] + 1 if slots else 0, sent(F.col("segment").between(low, high - 1))))
-        return [first, waves]
+    def _ranges(self, wave_bytes: int) -> list[tuple[int, int]]:
+        """Ranges of segment numbers whose bits take at most ``wave_bytes`` (a segment is never cut)."""
+        longest = self.segments.agg(F.max(F.length("bits"))).first()[0] or 8
+        each = max(1, wave_bytes // longest)
+        return [(low, min(low + each, self.layout.total)) for low in range(0, self.layout.total, each)]
+
+    def _sent(self, begin: int, end: int):
+        """Broadcast of a range of segments; the driver's own copies end with the call."""
+        got = self.segments.filter(F.col("segment").between(begin, end - 1)).toArrow()
+        return self.segments.sparkSession.sparkContext.broadcast(FilterPart(begin, end, got))
 
     def _head(self):
         """Exact counts of the commonest words, and the least count among them."""
@@ -281,90 +260,92 @@ class LogFrequencyModel:
         order = np.argsort(keys)
         return self.segments.sparkSession.sparkContext.broadcast((keys[order], counts[order])), 1 << least
 
-    def score(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *kept: str) -> DataFrame:
+    def score(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *kept: str, wave_bytes: int = WAVE_BYTES) -> DataFrame:
         """Each row's kept columns with n_tokens, n_known, base_score and score."""
         head, least = self._head()
-        first, waves = self._waves()
         layout, norm = self.layout, float(self.n_tokens + self.n_words + 1)
+        ranges = self._ranges(wave_bytes)
+        names = [f"k{i}" for i in range(len(kept))]
+        measures = ["n_tokens", "n_known", "logs", "score"]
+        fields = ["key", "row", "times", *names, *measures]
 
-        def measured(window: list[pa.RecordBatch]) -> Iterator[dict]:
-            """Per slice of the window: tokens, bounds and the log probabilities of all tokens."""
-            parts = []
-            for part in window:
-                tokens, bounds = tokens_of(batch_words(part, "text"))
-                distinct, where = np.unique(tokens, return_inverse=True)
-                q = first.value.levels(distinct, layout.word(distinct))
-                parts.append({"rows": part, "bounds": bounds, "distinct": distinct, "where": where, "low": _lowest(q), "high": _highest(q), "pair": np.zeros(len(tokens)), "tokens": tokens})
-            for begin, end, wave in waves:
-                for x in parts:
-                    keys, before = pair_keys(x["tokens"], x["bounds"])
-                    slot = layout.slot(before)
-                    mine = np.flatnonzero((slot >= begin) & (slot < end))
-                    x["pair"][mine] = _lowest(wave.value.levels(keys[mine], layout.pair(keys[mine], before[mine])))
-                if len(waves) > 1:
-                    wave.__dict__.pop("_value", None)  # read again from the worker's file at the next window
-            for x in parts:
-                before = np.empty_like(x["where"])
-                before[1:] = x["where"][:-1]
-                before[x["bounds"][:-1]] = np.searchsorted(x["distinct"], END)
-                context = x["high"][before]
-                p1 = (x["low"][x["where"]] + 1.0) / norm
-                x["logs"] = np.log10(np.where(context > 0, (np.minimum(x["pair"], context) + MU * p1) / (context + MU), p1))
-                yield x
-
-        def emitted(window):
-            keys, counts = head.value
-            for x in measured(window):
-                starts, n = x["bounds"][:-1], len(x["rows"])
-                at = np.minimum(np.searchsorted(keys, x["distinct"]), max(len(keys) - 1, 0))
-                found = keys[at] == x["distinct"] if len(keys) else np.zeros(len(x["distinct"]), bool)
-                c = np.where(found, counts[at], 0) if len(keys) else np.zeros(len(x["distinct"]), np.int64)
-                logs = np.add.reduceat(np.log10(c + 1.0)[x["where"]], starts)
-                known = np.add.reduceat((c > 0).astype(np.int64)[x["where"]], starts)
-                columns = {"n_tokens": np.diff(x["bounds"]), "n_known": known, "logs": logs, "score": np.add.reduceat(x["logs"], starts)}
-                owner = np.repeat(np.arange(n), np.diff(x["bounds"]))
-                rare = ~found[x["where"]]
-                pair, times = np.unique(owner[rare] * np.int64(len(x["distinct"])) + x["where"][rare], return_counts=True)
-                yield x["rows"], columns, pair // max(len(x["distinct"]), 1), x["distinct"][pair % max(len(x["distinct"]), 1)], times
-
-        fields = ["key", "row", "times", *kept, "n_tokens", "n_known", "logs", "score"]
-
-        def run(batches):
-            from pyspark import TaskContext
-
-            row = TaskContext.get().partitionId() << 40
-            window, held = [], 0
-
-            def flush(window):
-                nonlocal row
-                for rows, columns, owner, rare, times in emitted(window):
-                    ids = row + np.arange(len(rows), dtype=np.int64)
-                    row += len(rows)
-                    own = [pa.array(signed(mix(ids.view(np.uint64)))), pa.array(ids), pa.array(np.zeros(len(ids), np.int64))]
-                    own += [rows.column(rows.schema.get_field_index(c)) for c in kept]
-                    own += [pa.array(columns[c]) for c in fields[3 + len(kept) :]]
-                    yield pa.RecordBatch.from_arrays(own, fields)
-                    if len(rare):
-                        blank = [pa.nulls(len(rare), x.type) for x in own[3:]]
-                        yield pa.RecordBatch.from_arrays([pa.array(signed(rare)), pa.array(ids[owner]), pa.array(times.astype(np.int64)), *blank], fields)
-
+        def measured(batches, wave) -> Iterator[tuple]:
+            """Per slice: its rows, tokens, bounds, and the levels of words and pairs known so far, one byte each."""
             for batch in batches:
                 for part in slices(batch, "text"):
-                    window.append(part)
-                    held += part.nbytes
-                    if held >= WINDOW_BYTES or len(waves) == 1:
-                        yield from flush(window)
-                        window, held = [], 0
-            if window:
-                yield from flush(window)
-
-        texts = docs.select(*kept, F.col(text).alias("text"))
-        types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-        schema = "key long, row long, times long" + (f", {types}" if kept else "") + ", n_tokens long, n_known long, logs double, score double"
-        scored = texts.mapInArrow(run, schema)
+                    tokens, bounds = tokens_of(batch_words(part, "text"))
+                    distinct, where = np.unique(tokens, return_inverse=True)
+                    keys, _ = pair_keys(tokens, bounds)
+                    q = np.stack([wave.value.levels(distinct, layout.word(distinct))[where], wave.value.levels(keys, layout.pair(keys))])
+                    if "levels" in part.schema.names:
+                        column = part.column(part.schema.get_field_index("levels"))
+                        q += np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 2).T
+                    yield part, bounds, distinct, where, q
+
+        def carried(wave):
+            def run(batches):
+                for part, bounds, _, _, q in measured(batches, wave):
+                    cells = [q[:, s:e].T.tobytes() for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
+                    yield pa.RecordBatch.from_arrays([*part.columns[: len(names) + 1], pa.array(cells, pa.binary())], [*names, "text", "levels"])
+
+            return run
+
+        def logs_of(bounds, distinct, where, q) -> np.ndarray:
+            """log10 p of every token."""
+            before = np.empty_like(where)
+            before[1:] = where[:-1]
+            before[bounds[:-1]] = np.searchsorted(distinct, END)
+            level_of = np.zeros(len(distinct), np.int64)
+            level_of[where] = q[0]
+            context, pair = _highest(level_of)[before], _lowest(q[1].astype(np.int64))
+            p1 = (_lowest(level_of)[where] + 1.0) / norm
+            return np.log10(np.where(context > 0, (np.minimum(pair, context) + MU * p1) / (context + MU), p1))
+
+        def finished(wave):
+            def run(batches):
+                from pyspark import TaskContext
+
+                row = TaskContext.get().partitionId() << 40
+                keys, counts = head.value
+                for part, bounds, distinct, where, q in measured(batches, wave):
+                    starts, n = bounds[:-1], part.num_rows
+                    at = np.minimum(np.searchsorted(keys, distinct), max(len(keys) - 1, 0))
+                    found = keys[at] == distinct if len(keys) else np.zeros(len(distinct), bool)
+                    c = np.where(found, counts[at], 0) if len(keys) else np.zeros(len(distinct), np.int64)
+                    logs = np.add.reduceat(np.log10(c + 1.0)[where], starts)
+                    known = np.add.reduceat((c > 0).astype(np.int64)[where], starts)
+                    score = np.add.reduceat(logs_of(bounds, distinct, where, q), starts)
+                    ids = row + np.arange(n, dtype=np.int64)
+                    row += n
+                    own = [pa.array(signed(mix(ids.view(np.uint64)))), pa.array(ids), pa.array(np.zeros(n, np.int64)), *part.columns[: len(names)]]
+                    own += [pa.array(x) for x in (np.diff(bounds), known, logs, score)]
+                    yield pa.RecordBatch.from_arrays(own, fields)
+                    rare = ~found[where]
+                    width = np.int64(len(distinct))
+                    pair, times = np.unique(np.repeat(np.arange(n), np.diff(bounds))[rare] * width + where[rare], return_counts=True)
+                    if len(pair):
+                        blank = [pa.nulls(len(pair), x.type) for x in own[3:]]
+                        yield pa.RecordBatch.from_arrays([pa.array(signed(distinct[pair % width])), pa.array(ids[pair // width]), pa.array(times.astype(np.int64)), *blank], fields)
+
+            return run
+
+        types = "".join(f"{n} {docs.schema[c].dataType.simpleString()}, " for n, c in zip(names, kept, strict=True))
+        state = docs.select(*[F.col(c).alias(n) for n, c in zip(names, kept, strict=True)], F.col(text).alias("text"))
+        earlier = []
+        for begin, end in ranges[:-1]:
+            wave = self._sent(begin, end)
+            state = self.work.written(state.mapInArrow(carried(wave), f"{types}text string, levels binary"), "levels")
+            self.work.drop(*earlier)
+            earlier = [state]
+            wave.destroy()
+        wave = self._sent(*ranges[-1])
+        scored = self.work.written(state.mapInArrow(finished(wave), f"key long, row long, times long, {types}n_tokens long, n_known long, logs double, score double"), "scored")
+        self.work.drop(*earlier)
+        wave.destroy()
+        head.destroy()
         rare = self.words.filter(F.col("n") < least).select("key", F.col("n").alias("c"))
         seen = scored.join(rare, "key", "left")
-        whole = F.struct(*[F.col(c) for c in [*kept, "n_tokens", "n_known", "logs", "score"]])
+        whole = F.struct(*[F.col(c) for c in [*names, *measures]])
         got = F.col("times") * F.when(F.col("c") > 0, 1).otherwise(0)
         out = seen.groupBy("row").agg(
             F.max(F.when(F.col("times") == 0, F.struct(F.lit(1).alias("own"), whole.alias("w")))).alias("m"),
@@ -373,7 +354,7 @@ class LogFrequencyModel:
         )
         w = F.col("m.w")
         return out.select(
-            *[w[c].alias(c) for c in kept],
+            *[w[n].alias(c) for n, c in zip(names, kept, strict=True)],
             w["n_tokens"].alias("n_tokens"),
             (w["n_known"] + F.col("more")).alias("n_known"),
             F.lit(self.n_tokens).cast("long").alias("train_tokens"),
