@@ -7,9 +7,11 @@ these windows as its nodes, and only nodes of at least WINDOW shingles are kept
 share the smallest shingle of it, and so a window key, under every hash, and texts
 with a passage of Jaccard similarity J under about J of the hashes. Each key's
 windows are paired with the key's smallest document (a star, not all pairs). Windows
-whose words no passage covers after that are keyed anew, by all runs of MIN_WORDS and
-of SEED_WORDS words around their pivots, and meet the smallest document with that run,
-whichever document has the pivot. A first pair of
+whose words no passage covers after that are keyed anew by all runs of SEED_WORDS words of
+the passages around their pivots, and meet the smallest document with that run; what is still
+uncovered meets the smallest document with one of its runs of MIN_WORDS words, so exact
+passages are always found.
+A first pair of
 documents is a candidate where the windows of at least HITS hashes meet in a stretch of
 WINDOW shingles; it is verified on the words of both: exact runs on the candidate's
 diagonals are chained over small gaps, and a chain of at least MIN_WORDS words with
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clearprose.llm.tables import Workspace
@@ -40,6 +42,8 @@ FUNCTIONS, HITS = 5, 2
 SIMILARITY = 0.8
 #: An exact run of so many words is in a passage of MIN_WORDS words and SIMILARITY, unless lines repeat inside it.
 SEED_WORDS = 24
+#: Shingles of reach kept on each side of a pivot; a window's further shingles have windows of other pivots' keys.
+REACH = (1 << 16) - 1
 #: Words that may differ between two exact runs of one passage.
 GAP = 12
 
@@ -93,7 +97,7 @@ def windows_of(docs: DataFrame) -> DataFrame:
                     f, key, pivot, left, right = compact_windows(h[bounds[i] : bounds[i + 1]])
                     out[0].append(key)
                     out[1].append(np.full(len(key), ids[i], np.int64))
-                    reach = [np.minimum(x, (1 << 16) - 1) for x in (pivot - left, right - pivot)]
+                    reach = [np.minimum(x, REACH) for x in (pivot - left, right - pivot)]
                     out[2].append(pivot << 35 | reach[0] << 19 | reach[1] << 3 | f)
                 if out[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(out[0]))), pa.array(np.concatenate(out[1])), pa.array(np.concatenate(out[2]))], ["key", "doc_id", "place"])
@@ -256,9 +260,7 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     """doc_id, start_word, end_word, source_doc_id, source_start_word and similarity of each repeated passage."""
     work = Workspace(docs.sparkSession, "passages")
     own = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    first = windows_of(own).groupBy("key").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last"))
-    keys = work.written(first.filter("source < last").select("key", "source"), "keys")
-    shared = work.written(windows_of(own).join(keys, "key"), "shared")
+    shared = work.written(_starred(windows_of(own), "key", F.lit(True)), "shared")
     met = shared.filter("doc_id <> source").groupBy("doc_id", "source").agg(F.collect_set("place").alias("places"))
     enough = F.size(F.array_distinct(F.transform("places", lambda p: p.bitwiseAND(7)))) >= HITS
 
@@ -273,7 +275,6 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     found = work.written(_checked(pairs, own, work), "found")
 
     # windows whose words no passage covers yet may have met only a smaller document that has their key, not their passage
-    spans = found.groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans"))
     places = shared.groupBy("doc_id").agg(F.collect_list("key").alias("keys"), F.collect_list("place").alias("places"), F.collect_list(F.col("doc_id") == F.col("source")).alias("owned"))
 
     def uncovered(batches) -> Iterator[pa.RecordBatch]:
@@ -286,36 +287,126 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
                 out.append(keys[larger & ~_inside(low, high + MIN_WORDS, _pairs_of(spans))])
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(out)))], ["key"])
 
-    open_keys = work.written(places.join(spans, "doc_id", "left").select("doc_id", "keys", "places", "owned", "spans").mapInArrow(uncovered, "key long").distinct(), "open")
+    open_keys = work.written(places.join(_spans(found), "doc_id", "left").select("doc_id", "keys", "places", "owned", "spans").mapInArrow(uncovered, "key long").distinct(), "open")
     again = shared.join(open_keys, "key", "left_semi").groupBy("doc_id").agg(F.collect_set("place").alias("places"))
-    rest = again.join(spans, "doc_id", "left").join(own.dropDuplicates(["doc_id"]), "doc_id").select("doc_id", "places", "spans", "text")
-
-    def grams(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                w = batch_words(part)
-                for i in range(part.num_rows):
-                    h, places = w.hashes[w.bounds[i] : w.bounds[i + 1]], part.column(1)[i].values.to_numpy()
-                    low, high = _span(places, len(h))
-                    every = [(MIN_WORDS, low, high, (places & 7) == 0), (SEED_WORDS, low, high + MIN_WORDS - SEED_WORDS, np.ones(len(places), bool))]
-                    for size, x, y, some in every:
-                        starts = np.zeros(len(h) + 2, np.int64)
-                        np.add.at(starts, x[some & (x <= y)], 1)
-                        np.add.at(starts, y[some & (x <= y)] + 1, -1)
-                        at = np.flatnonzero(np.cumsum(starts)[: len(h) - size + 1])
-                        if len(at):
-                            margin = MIN_WORDS - size
-                            covered = _inside(np.maximum(0, at - margin), np.minimum(len(h), at + size + margin), _pairs_of(part.column(2)[i]))
-                            yield pa.RecordBatch.from_arrays([pa.array(signed(_hashed(h, size)[at])), pa.array(np.full(len(at), part.column(0)[i].as_py())), pa.array(at.astype(np.int32)), pa.array(covered)], ["gram", "doc_id", "at", "covered"])
-
-    some = work.written(rest.mapInArrow(grams, "gram long, doc_id long, at int, covered boolean"), "grams")
-    stars = some.groupBy("gram").agg(F.min("doc_id").alias("source"), F.max(F.when(~F.col("covered"), F.col("doc_id"))).alias("last")).filter("source < last").select("gram", "source")
-    wanted = some.filter("not covered").join(stars, "gram").filter("doc_id <> source").groupBy("doc_id", "source").agg(F.collect_set("at").alias("at"))
-    more = work.written(wanted.mapInArrow(_packed_pivots, "doc_id long, source long, pivots binary"), "pairs")
-    every = found.unionByName(_checked(more, own, work))
+    seeds = again.join(_spans(found), "doc_id", "left").join(own, "doc_id").select("doc_id", "places", "spans", "text").mapInArrow(_seed_runs, RUN)
+    shared_runs = work.written(_starred(seeds, "run", ~F.col("covered")), "runs")
+    more = work.written(_checked(_met_runs(shared_runs, work), own, work), "found")
+    found = found.unionByName(more)
+
+    # the same for what that left: every run of MIN_WORDS around a shared run, so the smallest document with it repeats the passage
+    held = shared_runs.groupBy("doc_id").agg(F.collect_list("run").alias("runs"), F.collect_list("at").alias("places"))
+    left = held.join(_spans(found), "doc_id", "left").select("doc_id", "runs", "places", "spans").mapInArrow(_marked, RUN)
+    still = work.written(_starred(left, "run", ~F.col("covered")), "still")
+    around = still.groupBy("doc_id").agg(F.collect_set("at").alias("places"))
+    whole = around.join(_spans(found), "doc_id", "left").join(own, "doc_id").select("doc_id", "places", "spans", "text").mapInArrow(_whole_runs, RUN)
+    last = _checked(_met_runs(_starred(whole, "run", ~F.col("covered")), work), own, work)
+    every = found.unionByName(last)
     return every.groupBy("doc_id").applyInArrow(_outermost, every.schema)
 
 
+RUN = "run long, doc_id long, at int, size int, covered boolean"
+
+
+def _starred(rows: DataFrame, key: str, waiting: Column) -> DataFrame:
+    """The rows with source, the key's smallest document, of keys for which another document is waiting."""
+    bucket = Window.partitionBy(key)
+    both = rows.withColumn("source", F.min("doc_id").over(bucket)).withColumn("last", F.max(F.when(waiting, F.col("doc_id"))).over(bucket))
+    return both.filter("source < last").drop("last")
+
+
+def _spans(found: DataFrame) -> DataFrame:
+    return found.groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans"))
+
+
+def _marked(batches) -> Iterator[pa.RecordBatch]:
+    """The runs of SEED_WORDS words of each document, marked where spans cover all passages of MIN_WORDS words with them."""
+    size, margin = SEED_WORDS, MIN_WORDS - SEED_WORDS
+    for b in batches:
+        for doc, runs, places, spans in zip(*(b.column(i) for i in range(4)), strict=True):
+            at = places.values.to_numpy()
+            covered = _inside(np.maximum(0, at - margin), at + size + margin, _pairs_of(spans))
+            columns = [runs.values, pa.array(np.full(len(at), doc.as_py())), places.values, pa.array(np.full(len(at), size, np.int32)), pa.array(covered)]
+            yield pa.RecordBatch.from_arrays(columns, ["run", "doc_id", "at", "size", "covered"])
+
+
+def _runs_of(h: np.ndarray, doc: int, at: np.ndarray, size: int, spans: np.ndarray) -> pa.RecordBatch:
+    margin = MIN_WORDS - size
+    covered = _inside(np.maximum(0, at - margin), np.minimum(len(h), at + size + margin), spans)
+    columns = [pa.array(signed(_hashed(h, size)[at])), pa.array(np.full(len(at), doc)), pa.array(at.astype(np.int32)), pa.array(np.full(len(at), size, np.int32)), pa.array(covered)]
+    return pa.RecordBatch.from_arrays(columns, ["run", "doc_id", "at", "size", "covered"])
+
+
+def _texts_with_places(batches) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Document, its word hashes, places and spans."""
+    for batch in batches:
+        for part in slices(batch, "text"):
+            w = batch_words(part)
+            for i in range(part.num_rows):
+                yield part.column(0)[i].as_py(), w.hashes[w.bounds[i] : w.bounds[i + 1]], part.column(1)[i].values.to_numpy(), _pairs_of(part.column(2)[i])
+
+
+def _gathered(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, rows = [], 0
+    for x in parts:
+        held.append(x)
+        rows += x.num_rows
+        if rows >= 1 << 16:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, rows = [], 0
+    if rows:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _starts(low: np.ndarray, high: np.ndarray, n: int) -> np.ndarray:
+    """All places below n in the closed ranges."""
+    steps = np.zeros(max(n, int(high.max(initial=0)) + 1) + 1, np.int64)
+    np.add.at(steps, low, 1)
+    np.add.at(steps, high + 1, -1)
+    return np.flatnonzero(np.cumsum(steps)[: max(n, 0)])
+
+
+def _seed_runs(batches) -> Iterator[pa.RecordBatch]:
+    """The runs of SEED_WORDS words of all passages of MIN_WORDS words around each pivot in its window."""
+
+    def parts():
+        for doc, h, places, spans in _texts_with_places(batches):
+            low, high = _span(places, len(h))
+            some = low <= high
+            at = _starts(low[some], high[some] + MIN_WORDS - SEED_WORDS, len(h) - SEED_WORDS + 1)
+            if len(at):
+                yield _runs_of(h, doc, at, SEED_WORDS, spans)
+
+    return _gathered(parts())
+
+
+def _whole_runs(batches) -> Iterator[pa.RecordBatch]:
+    """All runs of MIN_WORDS words that hold one of the runs of SEED_WORDS words at the places."""
+
+    def parts():
+        for doc, h, places, spans in _texts_with_places(batches):
+            at = _starts(np.maximum(places - (MIN_WORDS - SEED_WORDS), 0), places, len(h) - MIN_WORDS + 1)
+            if len(at):
+                yield _runs_of(h, doc, at, MIN_WORDS, spans)
+
+    return _gathered(parts())
+
+
+def _met_runs(shared: DataFrame, work: Workspace) -> DataFrame:
+    """doc_id, source and pivots at both ends of the uncovered runs that the source has too."""
+
+    def packed(batches) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cells = []
+            for x in b.column(2):
+                at, size = (x.values.field(k).to_numpy().astype(np.int32) for k in (0, 1))
+                cells.append(np.unique(np.concatenate([at, at + size - SHINGLE])).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cells, pa.binary())], ["doc_id", "source", "pivots"])
+
+    met = shared.filter("not covered and doc_id <> source").groupBy("doc_id", "source").agg(F.collect_set(F.struct("at", "size")).alias("runs"))
+    return work.written(met.mapInArrow(packed, "doc_id long, source long, pivots binary"), "pairs")
+
+
 def _pairs_of(spans: pa.Scalar) -> np.ndarray:
     """start_word and end_word of a list of spans; null is empty."""
     if not spans.is_valid:
@@ -324,12 +415,6 @@ def _pairs_of(spans: pa.Scalar) -> np.ndarray:
     return np.stack([values.field(0).to_numpy(), values.field(1).to_numpy()], axis=1).astype(np.int64)
 
 
-def _packed_pivots(batches) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        cells = [np.unique(np.minimum(x.values.to_numpy()[:, None] + np.array([0, SEED_WORDS - SHINGLE]), 1 << 30)).astype(np.int32).tobytes() for x in b.column(2)]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cells, pa.binary())], ["doc_id", "source", "pivots"])
-
-
 def _checked(pairs: DataFrame, own: DataFrame, work: Workspace) -> DataFrame:
     """The passages of pairs (doc_id, source, pivots), by whole word arrays."""
     involved = work.written(pairs.select("doc_id").unionByName(pairs.select(F.col("source").alias("doc_id"))).distinct(), "involved")
@@ -343,7 +428,7 @@ def _checked(pairs: DataFrame, own: DataFrame, work: Workspace) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cells, pa.binary())], ["doc_id", "words"])
 
     words = work.written(own.join(involved, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(spelled, "doc_id long, words binary"), "words")
-    side = lambda c, w: words.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias(c), F.col("words").alias(w))
+    side = lambda c, w: words.select(F.col("doc_id").alias(c), F.col("words").alias(w))
 
     def check(batches) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "start_word", "end_word", "source_doc_id", "source_start_word", "similarity"]
