@@ -2,7 +2,7 @@
 
 Prose texts that hold no fence, span, comment, table or indent are only split, in
 the JVM; the others, and slash-comment sources, need a scan that carries state from
-line to line and go through an Arrow function, routed by a filter.
+line to line: one Arrow function, which gets null for all other rows.
 """
 
 from __future__ import annotations
@@ -20,7 +20,9 @@ from clearprose.functions.text import blanked, lines_of, strip, strip_start
 from clearprose.session import ready
 
 _FENCE = re.compile(r"(\s*)(`{3,}|~{3,})", re.UNICODE)
-_MARKED = r"`|~~~|<!--|\||(?Um)^\s{2,}"
+#: A text with none of these, and without a line that begins with two spaces of any kind, is prose as it is.
+_MARKS = ("`", "~~~", "<!--", "|")
+_INDENTED = r"(?Um)^[\s&&[^\n]]{2}"
 
 
 def _indent(line: str) -> int:
@@ -138,13 +140,8 @@ def slash_lines(lines: list[str]) -> list[str]:
 
 
 @F.pandas_udf(ArrayType(StringType()))
-def _prose_udf(lines: pd.Series) -> pd.Series:
-    return lines.map(lambda x: prose_of(list(x)))
-
-
-@F.pandas_udf(ArrayType(StringType()))
-def _slash_udf(lines: pd.Series) -> pd.Series:
-    return lines.map(lambda x: slash_lines(list(x)))
+def _scanned(lines: pd.Series, slash: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None else (slash_lines if s else prose_of)(list(x)) for x, s in zip(lines, slash, strict=True)], dtype=object)
 
 
 def hash_lines(lines: Column) -> Column:
@@ -156,24 +153,23 @@ def hash_lines(lines: Column) -> Column:
 def prose_arrays(docs: DataFrame, exempt_quotes: bool = False) -> DataFrame:
     """``docs`` (kind, text and others) with ``prose``, the array of prose lines, in place of text."""
     ready(docs.sparkSession)
-    lined = docs.filter(F.col("kind") != "skip").withColumn("lines", lines_of(F.col("text")))
-    is_prose = F.col("kind").isin(*PROSE_KINDS)
-    marked = F.coalesce(F.col("text").rlike(_MARKED), F.lit(False))
-    parts = [
-        lined.filter(is_prose & ~marked).withColumn("prose", F.col("lines")),
-        lined.filter(is_prose & marked).withColumn("prose", _prose_udf("lines")),
-        lined.filter(F.col("kind") == "slash-source").withColumn("prose", _slash_udf("lines")),
-        lined.filter(F.col("kind") == "hash-source").withColumn("prose", hash_lines(F.col("lines"))),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    text, is_prose, is_slash = F.col("text"), F.col("kind").isin(*PROSE_KINDS), F.col("kind") == "slash-source"
+    marked = text.rlike(_INDENTED)
+    for mark in _MARKS:
+        marked = text.contains(mark) | marked
+    kinds = docs.filter((F.col("kind") != "skip") & (is_prose | is_slash | (F.col("kind") == "hash-source")))
+    lined = kinds.withColumn("lines", lines_of(text)).withColumn("scan", F.coalesce(is_slash | (is_prose & marked), F.lit(False)))
+    scanned = lined.withColumn("prose", _scanned(F.when(F.col("scan"), F.col("lines")), is_slash))
+    told = F.when(F.col("scan"), F.col("prose")).when(is_prose, F.col("lines")).otherwise(hash_lines(F.col("lines")))
+    out = scanned.withColumn("prose", told).drop("scan")
     if exempt_quotes:
         out = out.withColumn("prose", F.transform("prose", lambda x: F.when(strip_start(x).startswith(">"), blanked(x)).otherwise(x)))
     return out.drop("lines", "text")
 
 
 def prose_lines(docs: DataFrame, exempt_quotes: bool = False) -> DataFrame:
-    """doc_id, kind, line_no (from 1) and text of each prose line."""
+    """doc_id, kind, line_no (from 1), text and before (the line before, null at the first) of each prose line."""
     arrays = prose_arrays(docs.select("doc_id", "kind", "text"), exempt_quotes)
-    return arrays.select("doc_id", "kind", F.posexplode("prose").alias("p", "text")).select("doc_id", "kind", (F.col("p") + 1).cast("long").alias("line_no"), "text")
+    told = F.transform("prose", lambda x, i: F.struct(x.alias("text"), F.when(i > 0, F.get("prose", i - 1)).alias("before")))
+    rows = arrays.select("doc_id", "kind", F.posexplode(told).alias("p", "x"))
+    return rows.select("doc_id", "kind", (F.col("p") + 1).cast("long").alias("line_no"), "x.text", "x.before")

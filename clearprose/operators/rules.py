@@ -1,8 +1,8 @@
 """Rules over prose lines, sentences and paragraphs.
 
 All line rules are arrays of hits of one projection, exploded once: no rule costs a
-scan or an exchange of its own. Phrase forms are first sought by one alternation;
-only lines that pass it look at single forms.
+scan or an exchange of its own. A form stands alone, so a line with it has the form's
+longest word among its words: only lines with such a word look at single forms.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ _CLOSED = (
 )
 DIRECTIVE = "ste-disable-next-line"
 _DIRECTIVE = rf"(?U)^\s*(?:///|//|#)?\s*!?\s*{DIRECTIVE}"
+#: What a form's neighbours may not be, and what lies between words.
+_TOUCHING, _APART = r"[\p{IsAlphabetic}\p{N}]", r"[^\p{IsAlphabetic}\p{N}]+"
 _HIT = "rule_id string, message string, suggestions array<string>, col bigint, entry_ord int, form_ord int"
 _NO_HITS = f"cast(array() as array<struct<{_HIT.replace(' string', ':string').replace(' array', ':array').replace(' bigint', ':bigint').replace(' int', ':int')}>>)"
 
@@ -56,7 +58,7 @@ def phrase_places(lower: Column, form: Column) -> Column:
     """0-based characters where the form stands alone, from the pieces between its occurrences."""
     pieces = F.split(lower, F.concat(F.lit("\\Q"), form, F.lit("\\E")), -1)
     start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
-    touching = lambda c: F.coalesce(c, F.lit("")).rlike(r"[\p{IsAlphabetic}\p{N}]")
+    touching = lambda c: F.coalesce(c, F.lit("")).rlike(_TOUCHING)
 
     def step(state, piece, i):
         end = state["at"] + F.length(piece)
@@ -72,7 +74,7 @@ def phrase_places(lower: Column, form: Column) -> Column:
 def overlapping_places(lower: Column, form: Column) -> Column:
     """The same for a form that may overlap itself: every start is tried."""
     last = F.length(lower) - F.length(form)
-    touching = lambda c: c.rlike(r"[\p{IsAlphabetic}\p{N}]")
+    touching = lambda c: c.rlike(_TOUCHING)
     every = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.expr("cast(array() as array<int>)"))
     return F.filter(
         every,
@@ -101,8 +103,11 @@ def phrases(text: Column, config: LintConfig) -> Column:
 
     plain, odd = ([r for r in forms if _overlaps_itself(r[3]) is x and "\\e" not in r[3]] for x in (False, True))
     odd += [r for r in forms if "\\e" in r[3]]
-    any_form = "|".join(sorted({re.sub(r"([^\w\s])", r"\\\1", r[3]) for r in forms}, key=lambda x: (-len(x), x)))
-    return F.when(lower.rlike(any_form), F.concat(told(plain, phrase_places), told(odd, overlapping_places))).otherwise(F.expr(_NO_HITS))
+    telling = [max(re.findall(r"[^\W_]+", r[3]), key=len, default="") for r in forms]
+    some = F.lit(True)
+    if all(w and w.isascii() for w in telling):
+        some = F.arrays_overlap(F.split(lower, _APART), F.array(*[F.lit(w) for w in sorted(set(telling))]))
+    return F.when(some, F.concat(told(plain, phrase_places), told(odd, overlapping_places))).otherwise(F.expr(_NO_HITS))
 
 
 def directive_names(text: Column) -> Column:
@@ -123,7 +128,7 @@ def invalid_suppressions(text: Column) -> Column:
     return F.when(bad, F.array(_hit("invalid-suppression", message, at))).otherwise(F.expr(_NO_HITS))
 
 
-def _finished(hits: DataFrame, config: LintConfig) -> DataFrame:
+def finished(hits: DataFrame, config: LintConfig) -> DataFrame:
     """Adds severity and the rule's place in the report order."""
     severity, order = F.lit(None).cast("string"), F.lit(None).cast("int")
     for i, rule in enumerate(RULE_ORDER):
@@ -133,8 +138,8 @@ def _finished(hits: DataFrame, config: LintConfig) -> DataFrame:
     return hits.withColumn("severity", severity).withColumn("rule_ord", order).select(*VIOLATION)
 
 
-def line_violations(lines: DataFrame, config: LintConfig) -> DataFrame:
-    """Violations of contraction, semicolon, phrase and directive rules."""
+def line_hits(config: LintConfig) -> Column:
+    """Hits of the contraction, semicolon, phrase and directive rules on a line (kind, text), as one array."""
     text, hits = F.col("text"), []
     if config.severity("contraction"):
         hits.append(contractions(text))
@@ -143,34 +148,44 @@ def line_violations(lines: DataFrame, config: LintConfig) -> DataFrame:
     hits.append(phrases(text, config))
     if config.severity("invalid-suppression"):
         hits.append(F.when(text.contains(DIRECTIVE), invalid_suppressions(text)).otherwise(F.expr(_NO_HITS)))
-    found = lines.select("doc_id", F.col("line_no").alias("line"), F.explode(F.concat(*hits)).alias("h"))
-    return _finished(found.select("doc_id", "line", "h.*"), config)
+    return F.concat(*hits)
+
 
+def line_violations(lines: DataFrame, config: LintConfig) -> DataFrame:
+    """Violations of contraction, semicolon, phrase and directive rules, suppressed ones too."""
+    found = lines.select("doc_id", F.col("line_no").alias("line"), F.explode(line_hits(config)).alias("h"))
+    return finished(found.select("doc_id", "line", "h.*"), config)
 
-def sentence_violations(found: DataFrame, config: LintConfig) -> DataFrame:
+
+def sentence_hits(config: LintConfig) -> Column:
+    """The hit of a sentence (sent_no, text, col, word_count) that is too long, as an array."""
     most = config.sentence_words
     snippet = F.concat(F.left("text", F.lit(60)), F.when(F.char_length("text") > 60, "...").otherwise(""))
     message = F.concat(F.lit("Sentence has "), F.col("word_count").cast("string"), F.lit(f' words; the maximum is {most}. "'), snippet, F.lit('"'))
-    hits = found.filter(F.col("word_count") > most).select(
-        "doc_id", "line", "col", F.lit("sentence-length").alias("rule_id"), message.alias("message"), F.lit(None).cast("array<string>").alias("suggestions"), F.col("sent_no").alias("entry_ord"), F.lit(0).alias("form_ord")
-    )
-    return _finished(hits, config)
+    long = F.array(_hit("sentence-length", message, F.col("col"), entry=F.col("sent_no")))
+    return F.when(F.col("word_count") > most, long).otherwise(F.expr(_NO_HITS))
 
 
-def paragraph_violations(found: DataFrame, config: LintConfig) -> DataFrame:
-    caps = {k: config.paragraph_sentences(k) for k in (*PROSE_KINDS, *SOURCE_KINDS)}
+def paragraph_hits(config: LintConfig, n_sentences: Column, para_no: Column) -> Column:
+    """The hit of a paragraph with more sentences than its kind allows, as an array."""
     cap = F.lit(0)
-    for kind, most in caps.items():
-        cap = F.when(F.col("kind") == kind, most).otherwise(cap)
-    message = F.concat(F.lit("Paragraph has "), F.col("n_sentences").cast("string"), F.lit(" sentences; the maximum is "), cap.cast("string"), F.lit("."))
-    hits = found.withColumn("cap", cap).filter("cap > 0 and n_sentences > cap").select(
-        "doc_id", "line", F.lit(1).cast("bigint").alias("col"), F.lit("paragraph-length").alias("rule_id"), message.alias("message"), F.lit(None).cast("array<string>").alias("suggestions"), F.col("para_no").alias("entry_ord"), F.lit(0).alias("form_ord")
-    )
-    return _finished(hits, config)
+    for kind in (*PROSE_KINDS, *SOURCE_KINDS):
+        cap = F.when(F.col("kind") == kind, config.paragraph_sentences(kind)).otherwise(cap)
+    message = F.concat(F.lit("Paragraph has "), n_sentences.cast("string"), F.lit(" sentences; the maximum is "), cap.cast("string"), F.lit("."))
+    return F.when((cap > 0) & (n_sentences > cap), F.array(_hit("paragraph-length", message, F.lit(1), entry=para_no))).otherwise(F.expr(_NO_HITS))
+
+
+def hushed(before: Column) -> Column:
+    """Ids of the rules that a directive on the line before turns off."""
+    names = F.filter(directive_names(before), lambda n: n.isin(*REGISTERED))
+    return F.coalesce(F.when(before.contains(DIRECTIVE), names), F.expr("cast(array() as array<string>)"))
+
+
+def heard(hits: Column, quiet: Column) -> Column:
+    """The hits without those of hushed rules."""
+    return F.when(F.size(quiet) > 0, F.filter(hits, lambda h: ~F.array_contains(quiet, h["rule_id"]))).otherwise(hits)
 
 
 def suppressions(lines: DataFrame) -> DataFrame:
     """doc_id, line and rule_id that a directive on the line before turns off."""
-    told = lines.filter(F.col("text").contains(DIRECTIVE)).withColumn("names", directive_names(F.col("text"))).filter("names is not null")
-    every = told.select("doc_id", (F.col("line_no") + 1).alias("line"), F.explode("names").alias("rule_id"))
-    return every.filter(F.col("rule_id").isin(*REGISTERED)).distinct()
+    return lines.select("doc_id", F.col("line_no").alias("line"), F.explode(hushed(F.col("before"))).alias("rule_id")).distinct()

@@ -1,8 +1,9 @@
 """Sentences and paragraphs as gaps and islands over prose lines.
 
-Lines and their fragments carry everything that a boundary depends on, so one
-exchange by document serves all windows and both aggregations. Columns are bytes,
-from 1. A sentence over several lines is placed at its last open fragment.
+Lines and their fragments carry everything that a boundary depends on, and what rules
+need of a line, so one exchange by document serves all windows and both aggregations and
+nothing is joined back. Columns are bytes, from 1. A sentence over several lines is
+placed at its last open fragment.
 """
 
 from __future__ import annotations
@@ -46,9 +47,7 @@ def _with_pieces(lines: DataFrame) -> DataFrame:
 
     Each step is a column of its own: an expression that is used twice would be computed twice.
     """
-    guarded = F.regexp_replace("content", r"([0-9])\.", rf"$1{_DOT}")
-    for _ in range(2):
-        guarded = F.regexp_replace(guarded, r"([A-Za-z0-9_])\.([A-Za-z0-9_])", rf"$1{_DOT}$2")
+    guarded = F.regexp_replace("content", r"(?<=[0-9])\.|(?<=[A-Za-z0-9_])\.(?=[A-Za-z0-9_])", _DOT)
     told = lines.withColumn("guarded", guarded).withColumn("head", F.regexp_extract("guarded", r"^(#![.!?。！？]*)", 1))
     body = F.substring(F.col("guarded"), F.length("head") + 1, F.length("guarded"))
     cut = F.concat("head", F.regexp_replace(body, r"([.!?。！？]+[\"”»›)\]}]*)", rf"$1{_CUT}"))
@@ -66,54 +65,77 @@ def _with_pieces(lines: DataFrame) -> DataFrame:
     return told.withColumn("pieces", F.when(~F.col("block").isin("B", "T"), F.col("pieces"))).drop("guarded", "head", "cut", "n", "spots", "content")
 
 
-def sentences(lines: DataFrame) -> DataFrame:
-    """doc_id, kind, sent_no, text, line, col and word_count of each sentence."""
-    doc = Window.partitionBy("doc_id")
-    by_line = doc.orderBy("line_no")
+def _lines_told(lines: DataFrame) -> DataFrame:
+    """Lines with their fragments, the markers before them, the place that an empty marker lends, and their paragraph."""
+    by_line = Window.partitionBy("doc_id").orderBy("line_no")
+    earlier = by_line.rowsBetween(Window.unboundedPreceding, -1)
     told = _with_pieces(marked_lines(lines))
     merge = F.col("kind").isin(*PROSE_KINDS)
     hollow = ~F.col("block").isin("B", "T") & (F.size("pieces") == 0)
-    told = told.withColumn("hollow", F.coalesce(hollow, F.lit(False))).withColumn("breaks", F.sum(F.when(F.col("block") != "N", 1).otherwise(0)).over(by_line))
+    open_end = F.coalesce(F.col("block").isin("N", "I") & merge & ~F.element_at("pieces", -1)["ended"], F.lit(False))
+    told = told.withColumn("hollow", F.coalesce(hollow, F.lit(False))).withColumn("open_end", F.when(F.size("pieces") > 0, open_end).otherwise(False))
+    solid, block_before = F.when(~F.col("hollow"), F.col("line_no")), F.lag("block").over(by_line)
     # a run of hollow lines (a marker without content) may lend its place to the sentence after it
-    told = told.withColumn("solid", F.coalesce(F.max(F.when(~F.col("hollow"), F.col("line_no"))).over(by_line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    open_end = F.coalesce(F.col("block").isin("N", "I") & merge & ~F.element_at(F.filter("pieces", lambda x: x["text"] != ""), -1)["ended"], F.lit(False))
-    last_open = F.max_by(F.when(~F.col("hollow"), open_end), F.when(~F.col("hollow"), F.col("line_no"))).over(by_line.rowsBetween(Window.unboundedPreceding, -1))
-    told = told.withColumn("left_open", F.coalesce(last_open, F.lit(False)))
-    run = Window.partitionBy("doc_id", "solid")
+    told = (
+        told.withColumn("breaks", F.sum(F.when(F.col("block") != "N", 1).otherwise(0)).over(by_line))
+        .withColumn("solid", F.coalesce(F.max(solid).over(earlier), F.lit(0)))
+        .withColumn("left_open", F.coalesce(F.max_by(F.when(~F.col("hollow"), F.col("open_end")), solid).over(earlier), F.lit(False)))
+        .withColumn("opens", F.when(block_before.isNull(), 0).when((block_before == "B") | F.col("block").isin("T", "S", "I"), 1).otherwise(0))
+    )
+    # a paragraph with a line that isn't blank begins with one
+    heads = (F.col("line_no") == 1) | (F.col("opens") == 1)
+    head = F.max(F.when(heads, F.struct("line_no", "hushed"))).over(by_line)
+    told = told.withColumn("para", F.struct(F.sum("opens").over(by_line).cast("int").alias("no"), head.alias("head")))
     lends = F.col("hollow") & (~F.col("left_open") | F.col("block").isin("S", "I"))
-    lent = F.min(F.when(lends, F.struct("line_no", (F.octet_length("text") + 1).alias("col")))).over(run)
-    told = told.withColumn("lent", F.when(~F.col("hollow"), lent))
-    parts = told.filter(F.size("pieces") > 0).select("doc_id", "kind", "line_no", "block", "breaks", "lent", F.explode("pieces").alias("p"))
-    order = doc.orderBy("line_no", "p.ord")
-    before = lambda c: F.lag(c).over(order)
+    place = F.struct("line_no", (F.octet_length("text") + 1).alias("col"), "hushed", "para")
+    lent = F.min(F.when(lends, place)).over(Window.partitionBy("doc_id", "solid"))
+    return told.withColumn("lent", F.when(~F.col("hollow"), lent))
+
+
+def segmented(lines: DataFrame, hits: Column | None = None) -> DataFrame:
+    """A row for each sentence, with its place, paragraph and the rules hushed there, and one for each line with hits."""
+    if "hushed" not in lines.columns:
+        lines = lines.withColumn("hushed", F.expr("cast(array() as array<string>)"))
+    if hits is not None:
+        lines = lines.withColumn("hits", hits)
+    told = _lines_told(lines)
+    items = F.col("pieces")
+    if hits is not None:
+        # the line's hits travel as one more fragment, after all others of the document
+        mark = F.struct(F.lit(-1).alias("ord"), F.lit("").alias("text"), F.lit(0).alias("at"), F.lit(0).alias("skip"), F.lit(True).alias("ended"))
+        items = F.concat(F.coalesce(items, F.slice(F.array(mark), 1, 0)), F.when(F.size("hits") > 0, F.array(mark)).otherwise(F.slice(F.array(mark), 1, 0)))
+    kept = ["doc_id", "kind", "line_no", "block", "breaks", "lent", "hushed", "para", *(["hits"] if hits is not None else [])]
+    parts = told.withColumn("items", items).filter(F.size("items") > 0).select(*kept, F.explode("items").alias("p")).withColumn("is_hit", F.col("p.ord") < 0)
+    order = Window.partitionBy("doc_id").orderBy("is_hit", "line_no", "p.ord")
+    before, merge = lambda c: F.lag(c).over(order), F.col("kind").isin(*PROSE_KINDS)
     fresh_line = before("line_no") != F.col("line_no")
-    starts = F.coalesce(
-        before("p.ended") | (fresh_line & ((before("breaks") != F.col("breaks")) | (before("block") == "S") | ~merge)), F.lit(True)
-    )
-    parts = parts.withColumn("sid", F.sum(starts.cast("int")).over(order)).withColumn("first", F.coalesce(fresh_line, F.lit(True)))
-    own = F.struct(F.col("line_no").alias("line"), (F.col("p.at") + 1 + F.when(F.col("first") | ~F.col("p.ended"), F.col("p.skip")).otherwise(0)).alias("col"))
-    place = F.when(F.col("p.ended") & F.col("first") & F.col("lent").isNotNull(), F.struct(F.col("lent.line_no").alias("line"), F.col("lent.col").alias("col"))).otherwise(own)
+    starts = F.col("is_hit") | F.coalesce(before("p.ended") | (fresh_line & ((before("breaks") != F.col("breaks")) | (before("block") == "S") | ~merge)), F.lit(True))
+    parts = parts.withColumn("starts", starts.cast("int")).withColumn("first", F.coalesce(fresh_line, F.lit(True))).withColumn("sid", F.sum("starts").over(order))
+    own = F.struct(F.col("line_no"), (F.col("p.at") + 1 + F.when(F.col("first") | ~F.col("p.ended"), F.col("p.skip")).otherwise(0)).alias("col"), F.col("hushed"), F.col("para"))
+    place = F.when(F.col("p.ended") & F.col("first") & F.col("lent").isNotNull(), F.col("lent")).otherwise(own)
     key = F.struct("line_no", "p.ord")
-    out = parts.withColumn("place", place).groupBy("doc_id", "kind", "sid").agg(
+    more = [F.first(F.when(F.col("is_hit"), F.col("hits")), ignorenulls=True).alias("hits")] if hits is not None else []
+    out = parts.withColumn("place", place).groupBy("doc_id", "kind", "sid", "is_hit").agg(
         F.array_sort(F.collect_list(F.struct("line_no", F.col("p.ord").alias("ord"), F.col("p.text").alias("text")))).alias("t"),
         F.max_by(F.when(~F.col("p.ended"), F.col("place")), F.when(~F.col("p.ended"), key)).alias("open"),
         F.min_by("place", key).alias("only"),
         F.sum(n_words(F.col("p.text"))).cast("int").alias("word_count"),
+        *more,
     )
     at = F.coalesce("open", "only")
     return out.select(
-        "doc_id", "kind", F.col("sid").cast("int").alias("sent_no"), F.array_join(F.transform("t", lambda x: x["text"]), " ").alias("text"),
-        at["line"].alias("line"), at["col"].cast("long").alias("col"), "word_count",
+        "doc_id", "kind", "is_hit", F.col("sid").cast("int").alias("sent_no"), F.array_join(F.transform("t", lambda x: x["text"]), " ").alias("text"),
+        at["line_no"].alias("line"), at["col"].cast("long").alias("col"), "word_count", at["hushed"].alias("hushed"), at["para"].alias("para"),
+        *(["hits"] if hits is not None else []),
     )
 
 
-def paragraphs(lines: DataFrame, found: DataFrame) -> DataFrame:
+def sentences(lines: DataFrame) -> DataFrame:
+    """doc_id, kind, sent_no, text, line, col and word_count of each sentence."""
+    return segmented(lines).select("doc_id", "kind", "sent_no", "text", "line", "col", "word_count")
+
+
+def paragraphs(lines: DataFrame) -> DataFrame:
     """doc_id, kind, para_no, line and n_sentences of each paragraph that owns a sentence."""
-    by_line = Window.partitionBy("doc_id").orderBy("line_no")
-    told = marked_lines(lines).select("doc_id", "kind", "line_no", "block")
-    opens = F.when(F.lag("block").over(by_line).isNull(), 0).when((F.lag("block").over(by_line) == "B") | F.col("block").isin("T", "S", "I"), 1).otherwise(0)
-    told = told.withColumn("para_no", F.sum(opens).over(by_line).cast("int")).filter("block <> 'B'")
-    counted = found.groupBy("doc_id", "line").agg(F.count("*").alias("n")).withColumnRenamed("line", "line_no")
-    owned = told.join(counted, ["doc_id", "line_no"], "left")
-    out = owned.groupBy("doc_id", "kind", "para_no").agg(F.min("line_no").alias("line"), F.sum("n").cast("int").alias("n_sentences"))
-    return out.filter("n_sentences > 0")
+    found = segmented(lines).groupBy("doc_id", "kind", "para").agg(F.count("*").cast("int").alias("n_sentences"))
+    return found.select("doc_id", "kind", F.col("para.no").alias("para_no"), F.col("para.head.line_no").alias("line"), "n_sentences")

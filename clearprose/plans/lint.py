@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clearprose.config import LintConfig
@@ -12,29 +12,39 @@ from clearprose.operators import extract, rules, segment
 def lint(docs: DataFrame, config: LintConfig | None = None) -> DataFrame:
     """Violations of ``docs`` (doc_id, kind, text).
 
-    Rules that are off leave no trace in the plan. Line rules need no exchange; the
-    sentence and paragraph rules share one by document; suppression is an anti join
-    against the few directive lines.
+    One scan and one pass: rules that are off leave no trace in the plan, and line rules alone need
+    no exchange. Sentence and paragraph rules deal the texts out by document once, before lines
+    are cut; hits of lines, sentences and paragraphs and what a directive turns off are told
+    on the same rows, so nothing is joined.
     """
     config = config or LintConfig()
-    lines = extract.prose_lines(docs, config.exempt_block_quotes)
-    found = rules.line_violations(lines, config)
-    sentence_rule, paragraph_rule = config.severity("sentence-length"), config.severity("paragraph-length")
-    if sentence_rule or paragraph_rule:
-        sentences = segment.sentences(lines)
-        if sentence_rule:
-            found = found.unionByName(rules.sentence_violations(sentences, config))
-        if paragraph_rule and config.max_paragraph_sentences != 0:
-            found = found.unionByName(rules.paragraph_violations(segment.paragraphs(lines, sentences), config))
-    return found.join(rules.suppressions(lines), ["doc_id", "line", "rule_id"], "left_anti").select(*rules.VIOLATION)
+    sentence_rule, paragraph_rule = config.severity("sentence-length"), config.severity("paragraph-length") and config.max_paragraph_sentences != 0
+    if not (sentence_rule or paragraph_rule):
+        lines = extract.prose_lines(docs, config.exempt_block_quotes)
+        hits = lines.select("doc_id", F.col("line_no").alias("line"), F.explode(rules.heard(rules.line_hits(config), rules.hushed(F.col("before")))).alias("h"))
+        return rules.finished(hits.select("doc_id", "line", "h.*"), config)
+    lines = extract.prose_lines(docs.repartition("doc_id"), config.exempt_block_quotes)
+    lines = lines.withColumn("hushed", rules.hushed(F.col("before"))).drop("before")
+    told = segment.segmented(lines, rules.heard(rules.line_hits(config), F.col("hushed")))
+    found = [F.when(F.col("is_hit"), F.transform("hits", lambda h: F.struct(F.col("line").alias("line"), h.alias("h"))))]
+    if sentence_rule:
+        hits = F.transform(rules.heard(rules.sentence_hits(config), F.col("hushed")), lambda h: F.struct(F.col("line").alias("line"), h.alias("h")))
+        found.append(F.when(~F.col("is_hit"), hits))
+    if paragraph_rule:
+        same = Window.partitionBy("doc_id", "is_hit", "para")
+        told = told.withColumn("n_sentences", F.count("*").over(same).cast("int")).withColumn("nth", F.row_number().over(same.orderBy("sent_no")))
+        hits = rules.heard(rules.paragraph_hits(config, F.col("n_sentences"), F.col("para.no")), F.col("para.head.hushed"))
+        found.append(F.when(~F.col("is_hit") & (F.col("nth") == 1), F.transform(hits, lambda h: F.struct(F.col("para.head.line_no").alias("line"), h.alias("h")))))
+    every = F.flatten(F.array_compact(F.array(*found)))
+    return rules.finished(told.select("doc_id", F.explode(every).alias("x")).select("doc_id", "x.line", "x.h.*"), config)
 
 
 def long_sentences_by_language(docs: DataFrame, config: LintConfig | None = None) -> DataFrame:
     """Sentences, long ones and the most words by language of ``docs`` (doc_id, lang, text)."""
     config = config or LintConfig()
-    lines = extract.prose_lines(docs.select("doc_id", F.lit("prose-file").alias("kind"), "text"))
-    told = segment.sentences(lines).join(docs.select("doc_id", "lang"), "doc_id")
-    return told.groupBy("lang").agg(
+    keyed = docs.select(F.struct("doc_id", "lang").alias("doc_id"), F.lit("prose-file").alias("kind"), "text")
+    told = segment.sentences(extract.prose_lines(keyed.repartition("doc_id")))
+    return told.groupBy(F.col("doc_id.lang").alias("lang")).agg(
         F.count("*").alias("n_sentences"),
         F.count(F.when(F.col("word_count") > config.sentence_words, 1)).alias("n_long"),
         F.max("word_count").cast("bigint").alias("max_words"),

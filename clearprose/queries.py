@@ -122,7 +122,7 @@ def q_sentence_length_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"WITH {_sql_lines('documents', SEEDED)}, {_SQL_SENTENCES} SELECT doc_id, sid AS sent_no, line, col, word_count FROM sentences")
 def q_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segment.sentences(_lines(spark, sf_dir)).select("doc_id", F.col("sent_no").cast("bigint").alias("sent_no"), "line", "col", F.col("word_count").cast("bigint").alias("word_count"))
+    return segment.sentences(extract.prose_lines(_seeded(spark, sf_dir).repartition("doc_id"))).select("doc_id", F.col("sent_no").cast("bigint").alias("sent_no"), "line", "col", F.col("word_count").cast("bigint").alias("word_count"))
 
 
 @_query(f"WITH {_sql_lines('documents', SEEDED)}, {_SQL_SENTENCES} SELECT doc_id, line, col FROM sentences WHERE word_count > 25")
@@ -139,8 +139,8 @@ paragraphs AS (SELECT doc_id, para, min(line_no) AS line, CAST(sum(n) AS BIGINT)
 
 @_query(f"WITH {_sql_lines('documents', SEEDED)}, {_SQL_SENTENCES}, {_SQL_PARAGRAPHS} SELECT doc_id, line, n_sentences FROM paragraphs WHERE n_sentences > 6")
 def q_paragraph_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _lines(spark, sf_dir)
-    found = segment.paragraphs(lines, segment.sentences(lines)).filter("n_sentences > 6")
+    lines = extract.prose_lines(_seeded(spark, sf_dir).repartition("doc_id"))
+    found = segment.paragraphs(lines).filter("n_sentences > 6")
     return found.select("doc_id", "line", F.col("n_sentences").cast("bigint").alias("n_sentences"))
 
 
