@@ -159,6 +159,8 @@ def _searched(nearest: int):
                 ids, q_ids = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["q_ids"], np.int64)
                 first = np.append(0, np.cumsum(counts))
                 found, _ = search(graph, unit(v).astype(np.float32), unit(q).astype(np.float32), r["start"], SEARCH_BEAM)
+                # powers of two leave the digits alone; no norm overflows or vanishes
+                v, q = (np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1]) for x in (v, q))
                 out = {"query_id": [], "vec_id": [], "score": []}
                 for query, own, nodes in zip(q, q_ids.tolist(), found, strict=True):
                     nodes = nodes[nodes >= 0]

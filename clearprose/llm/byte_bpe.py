@@ -202,7 +202,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str
         yield flush()
 
     words = work.written(texts.select("text").mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    least, room = 63, HEAD_WORDS
+    least, room = 62, HEAD_WORDS
     for power, n in sorted(words.groupBy(F.floor(F.log2("n")).cast("int").alias("p")).count().collect(), reverse=True):
         if n > room:
             break

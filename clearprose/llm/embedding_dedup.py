@@ -85,8 +85,12 @@ def collisions(a: np.ndarray, b: np.ndarray, lines: np.ndarray) -> np.ndarray:
 
 def linked_pairs(a: np.ndarray, b: np.ndarray, table: int, threshold: float, needed: int) -> np.ndarray:
     """Boolean matrix of verified links between unit rows a and b."""
-    candidate = collisions(a, b, planes(1000 + table, PROJECTIONS, a.shape[1])) >= needed
-    return candidate & (a @ b.T >= threshold)
+    r, c = np.nonzero(collisions(a, b, planes(1000 + table, PROJECTIONS, a.shape[1])) >= needed)
+    out = np.zeros((len(a), len(b)), bool)
+    for at in range(0, len(r), 1 << 14):
+        x, y = r[at : at + (1 << 14)], c[at : at + (1 << 14)]
+        out[x, y] = np.einsum("ij,ij->i", a[x], b[y]) >= threshold
+    return out
 
 
 def _group(threshold: float):

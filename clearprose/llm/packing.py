@@ -4,17 +4,19 @@ Pieces (documents with their end token, cut only where longer than a sequence) a
 dealt at random into groups of a fixed expected size; each group is packed alone:
 a bin is filled greedily with the largest pieces that fit, then its smallest piece
 gives way to two unpacked ones whose sum fits the widened gap more tightly. Bins
-with a gap are opened again and packed in later, fewer groups, in at most ROUNDS rounds
-and until one group holds what is left. Where more is left, as with many pieces of over
-half a sequence, the last round packs groups apart, with slightly more sequences.
+with a gap are opened again and packed in later, fewer groups, until one group holds
+what is left. Only where a round leaves more than a share of LEFT of its pieces (many of over
+half a sequence) is the next one the last, and packs groups apart with slightly more sequences.
 
 Defined results: a null or empty text is a piece of one token. Every row is packed,
 repeated ones and ones with a null id too. Texts are tokenised whole. Ties go to
-the piece dealt first. Other columns are ignored.
+the piece dealt first. Other columns, whatever their names, are ignored. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -32,8 +34,8 @@ LENGTH = 4096
 END_ID = 1
 #: Expected pieces of a group.
 GROUP_PIECES = 1024
-#: Rounds of packing; all but the last open the bins with a gap again.
-ROUNDS = 3
+#: A round of packing that leaves more than this share of its pieces is the last; all others open the bins with a gap again.
+LEFT = 0.5
 #: Distinct words whose ids a worker remembers.
 REMEMBERED = 1_500_000
 
@@ -213,7 +215,7 @@ def _packer(length: int, round_: int, least: int):
             at = 0
             for i in packed:
                 item.append(i)
-                sequence.append((round_ << 60) + (group << 28) + number if whole else None)
+                sequence.append((round_ << 58) + (group << 28) + number if whole else None)
                 offset.append(at)
                 at += sizes[i]
         order = pa.array(item, pa.int64())
@@ -228,20 +230,19 @@ def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str
     pieces = work.written(pieces_of(docs, tokenizer_path, doc_id, text, length), "pieces")
     count = pieces.count()
     left = pieces.select("uid", "length")
-    placed, tables = [], []
-    for round_ in range(ROUNDS):
+    placed = []
+    earlier, round_ = math.inf, 0
+    while count:
         groups = max(1, -(-count // GROUP_PIECES))
-        last = round_ == ROUNDS - 1 or groups == 1
+        last = groups == 1 or count > LEFT * earlier
         grouped = left.withColumn("grp", F.pmod(F.xxhash64("uid", F.lit(round_)), F.lit(groups))).groupBy("grp")
         done = work.written(grouped.applyInArrow(_packer(length, round_, 0 if last else length), "uid long, length long, sequence_id long, offset long"), f"round{round_}")
         placed.append(done.filter(F.col("sequence_id").isNotNull()).select("uid", "sequence_id", "offset"))
-        tables.append(done)
         if last:
             break
         left = done.filter(F.col("sequence_id").isNull()).select("uid", "length")
-        if not (count := left.count()):
-            break
-    every = placed[0]
-    for more in placed[1:]:
+        earlier, count, round_ = count, left.count(), round_ + 1
+    every = pieces.select("uid", F.lit(None).cast("long").alias("sequence_id"), F.lit(None).cast("long").alias("offset")).limit(0)
+    for more in placed:
         every = every.unionByName(more)
     return pieces.join(every, "uid").drop("uid")

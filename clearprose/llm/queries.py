@@ -86,10 +86,10 @@ def _secrets_sql() -> str:
     return (
         f"WITH d AS (SELECT doc_id, source, lang, coalesce(text, '') AS t FROM documents), f AS ({' UNION ALL '.join(found)}), "
         "g AS (SELECT * FROM f x WHERE kind < 3 OR NOT EXISTS (SELECT 1 FROM f b WHERE b.doc_id = x.doc_id AND b.kind < 3 AND b.s < x.e AND x.s < b.e)), "
-        f"o AS (SELECT secret, count(DISTINCT source) AS owners FROM g GROUP BY secret), j AS (SELECT doc_id, kind, s, {name} AS told, owners FROM g JOIN o USING (secret) WHERE kind < 3 OR owners <= {secrets.MAX_OWNERS}) "
+        f"o AS (SELECT secret, count(DISTINCT coalesce(source, '')) AS owners, count(DISTINCT coalesce(source, '') || '/' || coalesce(lang, '')) AS repositories FROM g GROUP BY secret), j AS (SELECT doc_id, kind, s, {name} AS told, owners >= {secrets.EXAMPLE_OWNERS} OR repositories >= {secrets.EXAMPLE_REPOSITORIES} AS copied FROM g JOIN o USING (secret) WHERE kind < 3 OR (owners <= {secrets.MAX_OWNERS} AND repositories <= {secrets.MAX_REPOSITORIES})) "
         "SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, "
         "sha256(coalesce(string_agg(told, ',' ORDER BY s, kind) FILTER (kind < 3), '')) AS base_sha256, coalesce(string_agg(told, ',' ORDER BY s, kind), '') AS spans, "
-        f"count(*) FILTER (owners < {secrets.EXAMPLE_OWNERS}) AS n_live, count(*) FILTER (owners >= {secrets.EXAMPLE_OWNERS}) AS n_example FROM documents LEFT JOIN j USING (doc_id) GROUP BY doc_id"
+        "count(*) FILTER (NOT copied) AS n_live, count(*) FILTER (copied) AS n_example FROM documents LEFT JOIN j USING (doc_id) GROUP BY doc_id"
     )
 
 

@@ -4,13 +4,16 @@ Three base kinds are found by patterns; a broader kind, ``owned``, takes long mi
 strings. The hash of every found secret is counted over the whole corpus by
 distinct owners and repositories (two partial aggregations, so one value in a third
 of all rows is no hot key). A broader candidate counts only where at most
-``owners`` owners have it and it overlaps no base span; a base span always stays,
-and is told apart as live-looking or as a widely copied example.
+``owners`` owners and ``repositories`` repositories have it and it overlaps no base span; a
+base span always stays, and is told apart as live-looking (few owners and few repositories)
+or as a widely copied example.
 
 Defined results: a null or empty text has no spans. A null owner or repository is
 one of its own. Every row is reported, repeated ones and ones with a null id too.
 Matches are leftmost and don't overlap within a kind; spans of different kinds may.
-A table without the owner or repository column is read as if it were null.
+A table without the owner or repository column is read as if it were null. An empty table
+gives no rows. Other columns, whatever their names, are kept by ``redacted`` and otherwise
+ignored; texts of any length are scanned whole.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clearprose.llm.tables import Workspace
+from clearprose.llm.tables import Workspace, free_names
 
 # The patterns of the base kinds. Runs that are too short never hold a
 # longer match of their kind, so access and hex ask for the length at once.
@@ -31,6 +34,8 @@ KINDS = ("assign", "access", "hex", "owned")
 MAX_OWNERS = 2
 #: From so many owners on, a base span counts as a widely copied example.
 EXAMPLE_OWNERS = 3
+#: The same by repositories, for what few owners copy widely among their own.
+MAX_REPOSITORIES, EXAMPLE_REPOSITORIES = 5, 6
 REDACTED = "[REDACTED]"
 
 _SPAN = "array<struct<start:int,kind:int,end:int,secret:string>>"
@@ -90,7 +95,7 @@ def _plain(spans: Column) -> Column:
 class SecretScan:
     """Found spans of a table and the ownership of each secret."""
 
-    def __init__(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", repository: str = "lang", owners: int = MAX_OWNERS):
+    def __init__(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", repository: str = "lang", owners: int = MAX_OWNERS, repositories: int = MAX_REPOSITORIES):
         self.work = Workspace(docs.sparkSession, "secrets")
         self.names = (doc_id, text)
         body = F.coalesce(F.col(text), F.lit(""))
@@ -104,8 +109,8 @@ class SecretScan:
         by_owner = one.groupBy("hash", "owner").agg(F.count("*").alias("repositories"))
         self.ownership = self.work.written(by_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories")), "ownership")
         judged = each.select("doc_id", "text_hash", "span").join(self.ownership.withColumnRenamed("hash", "h"), F.col("span.hash") == F.col("h"))
-        kept = judged.filter((F.col("span.kind") < 3) | (F.col("owners") <= owners))
-        span = F.struct(F.col("span.start").alias("start"), F.col("span.kind").alias("kind"), F.col("span.end").alias("end"), "owners")
+        kept = judged.filter((F.col("span.kind") < 3) | ((F.col("owners") <= owners) & (F.col("repositories") <= repositories)))
+        span = F.struct(F.col("span.start").alias("start"), F.col("span.kind").alias("kind"), F.col("span.end").alias("end"), "owners", "repositories")
         self.judged = self.work.written(kept.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(span)).alias("spans")), "judged")
 
     def report(self) -> DataFrame:
@@ -114,24 +119,25 @@ class SecretScan:
         out = self.found.join(judged, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")), "left")
         spans = F.coalesce("spans", F.expr("array()").cast(judged.schema["spans"].dataType))
         counts = [_count("base", k).alias(f"n_{KINDS[k]}") for k in range(3)]
-        live = F.size(F.filter(spans, lambda s: s["owners"] < EXAMPLE_OWNERS)).cast("long")
+        live = F.size(F.filter(spans, lambda s: (s["owners"] < EXAMPLE_OWNERS) & (s["repositories"] < EXAMPLE_REPOSITORIES))).cast("long")
         return out.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(spans).alias("spans"), live.alias("n_live"), (F.size(spans) - live).cast("long").alias("n_example"))
 
     def redacted(self, docs: DataFrame) -> DataFrame:
         """The table's rows with every span's text replaced; other columns and the column order stay."""
         doc_id, text = self.names
-        judged = self.judged.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "spans")
+        of, hash_, own, spans = free_names(docs.columns, "of", "hash", "own", "spans")
+        judged = self.judged.select(F.col("doc_id").alias(of), F.col("text_hash").alias(hash_), F.col("spans").alias(spans))
         body = F.coalesce(F.col(text), F.lit(""))
-        out = docs.withColumn("__own", F.xxhash64(body)).join(judged, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash")), "left")
+        out = docs.withColumn(own, F.xxhash64(body)).join(judged, F.col(doc_id).eqNullSafe(F.col(of)) & (F.col(own) == F.col(hash_)), "left")
 
         def step(state, s):
             clear = F.substring(body, state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
             inside = s["start"] < state["at"]  # overlaps the span before
             return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(inside, state["out"]).otherwise(F.concat(state["out"], F.array(clear, F.lit(REDACTED)))).alias("out"))
 
-        state = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out")), step)
+        state = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out")), step)
         clean = F.concat(F.array_join(state["out"], ""), F.substring(body, state["at"] + 1, F.length(body)))
-        return out.withColumn(text, F.when(F.col("spans").isNull(), F.col(text)).otherwise(clean)).select(*docs.columns)
+        return out.withColumn(text, F.when(F.col(spans).isNull(), F.col(text)).otherwise(clean)).select(*docs.columns)
 
 
 def scan(docs: DataFrame, **options) -> DataFrame:

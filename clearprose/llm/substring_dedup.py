@@ -20,8 +20,9 @@ is a repeated passage of the larger document. Words are compared by 32-bit hashe
 
 Defined results: texts without MIN_WORDS words (null and empty ones too) and rows
 with a null id have no passages; repeated rows count as one document; a passage
-repeated only inside one document is none; ties go to the smaller id; other columns
-are ignored; an empty table gives no rows.
+repeated only inside one document is none; ties go to the smaller id; other columns,
+whatever their names, are ignored (kept by ``without_passages``); an empty table gives no
+rows; texts of any length are taken whole.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clearprose.llm.tables import Workspace
+from clearprose.llm.tables import Workspace, free_names
 from clearprose.llm.words import SHINGLE, batch_words, mix, shingles, signed, slices, text_bytes, words_of
 
 MIN_WORDS = 50
@@ -455,8 +456,9 @@ def _outermost(group: pa.Table) -> pa.Table:
 def without_passages(docs: DataFrame, passages: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The table's rows with the passages cut from the text; rows that lose all their words are dropped."""
     Workspace(docs.sparkSession, "passages")
-    cuts = passages.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("__cuts"))
-    marked = docs.join(cuts, F.col(doc_id) == F.col("__id"), "left").drop("__id")
+    of, named = free_names(docs.columns, "of", "cuts")
+    cuts = passages.groupBy(F.col("doc_id").alias(of)).agg(F.collect_list(F.struct("start_word", "end_word")).alias(named))
+    marked = docs.join(cuts, F.col(doc_id) == F.col(of), "left").drop(of)
     at_text, names = docs.columns.index(text), docs.columns
 
     def run(batches) -> Iterator[pa.RecordBatch]:

@@ -502,3 +502,47 @@ def test_pipeline_stages(spark, docs, tmp_path):
         if name != "packing":
             assert stage.columns == ["doc_id", "text", "lang", "source", "n_chars"] and stage.count() <= last.count()
     assert {r.doc_id for r in stage.collect()} == {r.doc_id for r in last.collect()}
+
+
+def test_clashing_names_are_kept(spark):
+    rng = random.Random(3)
+    shared = sentence(rng, 60)
+    rows = [(i, sentence(rng, 20) + " " + shared + " token=abcdef123456", "en", "s", 0, i, "c", 0.5, 7) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, spans bigint, CUTS string, Score double, key bigint")
+    clean = secrets.SecretScan(docs).redacted(docs)
+    assert clean.columns == docs.columns and all("abcdef123456" not in r.text and r.spans == r.doc_id for r in clean.collect())
+    cut = substring_dedup.without_passages(docs, substring_dedup.repeated_passages(docs)).collect()
+    assert len(cut) == 3 and sum(shared in r.text for r in cut) == 1 and all(r.CUTS == "c" and r.key == 7 for r in cut)
+    scored = quality.score(docs, 0.5)
+    assert [c.lower() for c in scored.columns].count("score") == 1 and scored.count() == 3
+    assert near_dedup.near_duplicates(docs).count() == 3
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert packing.pack(docs, path).count() == 3
+    assert token_count.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model")).count() == 3
+    assert byte_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).count() == 3
+
+
+def test_empty_tables_give_no_rows(spark):
+    none = empty(spark)
+    assert packing.pack(none, public_tokenizers.path("word_bpe_49k.json")).count() == 0
+    assert token_count.count_tokens(none, public_tokenizers.path("piece_bpe_32k.model")).count() == 0
+    assert byte_bpe.encode_documents(none, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).count() == 0
+    labels = spark.createDataFrame([], "doc_id bigint, quality int")
+    assert quality.score(none, quality.train(none, labels)).count() == 0
+    assert substring_dedup.repeated_passages(none).count() == 0 and secrets.scan(none).count() == 0
+
+
+def test_scores_of_very_large_and_small_vectors(spark):
+    rows = [(0, [1e200, 0.0]), (1, [1e200, 1e200]), (2, [1e-170, 1e-170]), (3, [-1.0, 0.5]), (4, [0.0, 0.0])]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in ann.nearest(table, table.filter("vec_id = 0")).collect()}
+    assert [got[0, k][0] for k in (1, 2, 3)] == [1, 2, 3] and len(got) == 3
+    assert all(math.isfinite(s) for _, s in got.values()) and abs(got[0, 1][1] - 0.5**0.5) < 1e-12
+
+
+def test_secrets_of_few_owners_and_of_many_repositories(spark):
+    own, wide = "Xk3Lm9Qp2Rt7Vw5Yz1Bn", "Hj4Kd8Sf6Gh2Lp9Qw3Er"
+    rows = [(0, f"use {own} here", "en", "s0", 0)] + [(i, f"use {wide} here", f"l{i}", "s1", 0) for i in range(1, 8)]
+    got = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[0].spans == "owned:4:24" and got[0].n_live == 1
+    assert all(got[i].spans == "" for i in range(1, 8))  # one owner, but seven repositories
