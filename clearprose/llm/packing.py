@@ -36,8 +36,8 @@ END_ID = 1
 GROUP_PIECES = 1024
 #: A round of packing that leaves more than this share of its pieces is the last; all others open the bins with a gap again.
 LEFT = 0.5
-#: Distinct words whose ids a worker remembers.
-REMEMBERED = 1_500_000
+#: Distinct words whose ids a worker remembers (about 50 bytes each), and the newest that are kept apart between merges.
+REMEMBERED, FRESH = 1_500_000, 1 << 16
 
 
 class WordEncoder:
@@ -62,7 +62,8 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[int, int] = {}
+        self.known = [(np.zeros(0, np.uint64), np.zeros(0, np.int32))] * 2  # sorted word hashes and their numbers: most, and the newest
+        self.count = 0
         self.flat, self.offset, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.used = 0
 
@@ -74,14 +75,29 @@ class WordEncoder:
         cuts = np.flatnonzero(ids == self.mark)
         return [ids[s:e] for s, e in zip(np.append(0, cuts + 1).tolist(), np.append(cuts, len(ids)).tolist(), strict=True)]
 
-    def learn(self, keys: list[int], words: list[str]) -> None:
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Each word's number; -1 for words not met yet."""
+        out = np.full(len(keys), -1, np.int64)
+        for held, numbers in self.known:
+            if len(held):
+                at = np.minimum(np.searchsorted(held, keys), len(held) - 1)
+                hit = held[at] == keys
+                out[hit] = numbers[at[hit]]
+        return out
+
+    def _merged(self, some: tuple[np.ndarray, np.ndarray], more: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        keys, numbers = (np.concatenate(x) for x in zip(some, more, strict=True))
+        order = np.argsort(keys, kind="stable")
+        return keys[order], numbers[order]
+
+    def learn(self, keys: np.ndarray, words: list[str]) -> None:
         odd = {i for i, w in enumerate(words) if "<|" in w}
         coded: dict[int, np.ndarray] = {i: self._one(words[i]) for i in odd}
         plain = [i for i in range(len(words)) if i not in odd]
         for k in range(0, len(plain), 256):
             coded.update(zip(plain[k : k + 256], self._several([words[i] for i in plain[k : k + 256]]), strict=True))
         sizes = np.array([len(coded[i]) for i in range(len(words))], np.int64)
-        n, total = len(self.number), int(sizes.sum())
+        n, total = self.count, int(sizes.sum())
         while n + len(keys) > len(self.size):
             self.offset, self.size = np.append(self.offset, np.zeros_like(self.offset)), np.append(self.size, np.zeros_like(self.size))
         while self.used + total > len(self.flat):
@@ -90,21 +106,27 @@ class WordEncoder:
         self.offset[n : n + len(keys)] = self.used + np.append(0, np.cumsum(sizes)[:-1])
         self.size[n : n + len(keys)] = sizes
         self.used += total
-        self.number.update(zip(keys, range(n, n + len(keys)), strict=True))
+        self.count += len(keys)
+        most, fresh = self.known
+        fresh = self._merged(fresh, (keys, np.arange(n, n + len(keys), dtype=np.int32)))
+        self.known = [most, fresh]
+        if len(fresh[0]) > FRESH:
+            self.known = [self._merged(most, fresh), (fresh[0][:0], fresh[1][:0])]
 
     def encode(self, column: pa.Array) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, then the end id."""
         blob, origins = text_bytes(column)
         w = words_of(blob, origins, self.STOPS)
         keys, first, where = np.unique(w.hashes, return_index=True, return_inverse=True)
-        listed = keys.tolist()
-        if len(self.number) > REMEMBERED:
+        if self.count > REMEMBERED:
             self.clear()
-        new = [i for i, k in enumerate(listed) if k not in self.number]
-        if new:
+        number = self.find(keys)
+        new = np.flatnonzero(number < 0)
+        if len(new):
             spans = zip(w.starts[first[new]].tolist(), w.ends[first[new]].tolist(), strict=True)
-            self.learn([listed[i] for i in new], [blob[s:e].tobytes().decode() for s, e in spans])
-        known = np.fromiter(map(self.number.__getitem__, listed), np.int64, len(listed))[where]
+            number[new] = np.arange(self.count, self.count + len(new))
+            self.learn(keys[new], [blob[s:e].tobytes().decode() for s, e in spans])
+        known = number[where]
         stop = w.stops > 0
         sizes = self.size[known] + stop
         ends = np.cumsum(sizes)

@@ -14,7 +14,7 @@ _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Most rows of an Arrow batch; it bounds what a Python worker holds of long rows.
-BATCH_ROWS = 1024
+BATCH_ROWS = 512
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
