@@ -278,18 +278,18 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     # windows whose words no passage covers yet may have met only a smaller document that has their key, not their passage
     places = shared.groupBy("doc_id").agg(F.collect_list("key").alias("keys"), F.collect_list("place").alias("places"), F.collect_list(F.col("doc_id") == F.col("source")).alias("owned"))
 
-    def uncovered(batches) -> Iterator[pa.RecordBatch]:
+    def marked(batches) -> Iterator[pa.RecordBatch]:
+        """Every shared window, and whether it waits: uncovered, of a document that isn't its key's smallest."""
         for b in batches:
-            out = [np.zeros(0, np.int64)]
-            for keys, places, owned, spans in zip(*(b.column(i) for i in range(1, 5)), strict=True):
-                keys, places = keys.values.to_numpy(), places.values.to_numpy()
-                low, high = _span(places, 1 << 40)
-                larger = ~owned.values.to_numpy(zero_copy_only=False)
-                out.append(keys[larger & ~_inside(low, high + MIN_WORDS, _pairs_of(spans))])
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(out)))], ["key"])
-
-    open_keys = work.written(places.join(_spans(found), "doc_id", "left").select("doc_id", "keys", "places", "owned", "spans").mapInArrow(uncovered, "key long").distinct(), "open")
-    again = shared.join(open_keys, "key", "left_semi").groupBy("doc_id").agg(F.collect_set("place").alias("places"))
+            for doc, keys, places, owned, spans in zip(*(b.column(i) for i in range(5)), strict=True):
+                place = places.values.to_numpy()
+                low, high = _span(place, 1 << 40)
+                waits = ~owned.values.to_numpy(zero_copy_only=False) & ~_inside(low, high + MIN_WORDS, _pairs_of(spans))
+                yield pa.RecordBatch.from_arrays([keys.values, pa.array(np.full(len(place), doc.as_py())), places.values, pa.array(waits)], ["key", "doc_id", "place", "waits"])
+
+    told = places.join(_spans(found), "doc_id", "left").select("doc_id", "keys", "places", "owned", "spans").mapInArrow(lambda batches: _gathered(marked(batches)), "key long, doc_id long, place long, waits boolean")
+    open_ = told.withColumn("open", F.max("waits").over(Window.partitionBy("key"))).filter("open")
+    again = open_.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
     seeds = again.join(_spans(found), "doc_id", "left").join(own, "doc_id").select("doc_id", "places", "spans", "text").mapInArrow(_seed_runs, RUN)
     shared_runs = work.written(_starred(seeds, "run", ~F.col("covered")), "runs")
     more = work.written(_checked(_met_runs(shared_runs, work), own, work), "found")
