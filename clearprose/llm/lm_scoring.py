@@ -238,9 +238,19 @@ class LogFrequencyModel:
 
     def _ranges(self, wave_bytes: int) -> list[tuple[int, int]]:
         """Ranges of segment numbers whose bits take at most ``wave_bytes`` (a segment is never cut)."""
-        longest = self.segments.agg(F.max(F.length("bits"))).first()[0] or 8
-        each = max(1, wave_bytes // longest)
-        return [(low, min(low + each, self.layout.total)) for low in range(0, self.layout.total, each)]
+        is_word = F.col("segment") < self.layout.words
+        word, pair = (x or 8 for x in self.segments.agg(F.max(F.when(is_word, F.length("bits"))), F.max(F.when(~is_word, F.length("bits")))).first())
+        out, low = [], 0
+        while low < self.layout.total:
+            room, high = wave_bytes, low
+            for longest, end in ((word, self.layout.words), (pair, self.layout.total)):
+                more = max(0, min(end - high, room // longest))
+                high, room = high + more, room - more * longest
+                if high < end:
+                    break
+            out.append((low, max(high, low + 1)))
+            low = out[-1][1]
+        return out
 
     def _sent(self, begin: int, end: int):
         """Broadcast of a range of segments; the driver's own copies end with the call."""
