@@ -1,8 +1,8 @@
 """Byte-level BPE: Spark higher-order functions fold ranked merges over distinct words.
 
-The ranks become two literal arrays, a collision-free hash table of all pairs of
-symbols whose concatenation has a rank (a flat map literal is searched from end to
-end for each look-up). One expression then folds merges over a word's array of
+The ranks become two literal arrays, the rows of a table of all pairs of symbols
+whose concatenation has a rank laid into each other's gaps (a flat map literal is
+searched from end to end for each look-up). One expression then folds merges over a word's array of
 byte symbols: it keeps the ranks of all adjacent pairs and, step by step, replaces
 the leftmost pair of the lowest rank.
 
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -43,16 +44,17 @@ HEAD_WORDS = 1 << 18
 FOLD_BYTES = 128
 #: Distinct space-separated units whose ids a worker remembers.
 REMEMBERED = 1 << 18
-SLICE = 8 << 20
+SLICE = 16 << 20
 #: Distinct units held before partial counts are sent on.
 PARTIAL_UNITS = 1 << 18
 
-# Fixed sizes of the pair table: primes, so that remainders spread.
-_SLOTS, _GROUPS, _STEPS = 262139, 32749, 8191
-_NO_RANK = 1 << 17
+_RANK_BITS = 16
+_NO_RANK = 1 << _RANK_BITS
+#: Places looked at together when a row of the pair table is laid.
+_PLACES = 4096
 
-# White space other than the space and line feed that the splitting pattern knows.
-_ODD_SPACE = regex.compile("[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
+# Cutting before every space may cut a run of white space where a space has more of it behind: such texts are matched whole.
+_IN_A_RUN = re.compile(r" \s")
 
 
 @lru_cache(2)
@@ -70,53 +72,61 @@ def pairs_of(path: str) -> np.ndarray:
 
 @lru_cache(2)
 def pair_arrays(path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Displacements by group and table entries (pair << 17 | rank) by slot."""
+    """Where each left symbol's row starts, and the rows (left << 16 | rank at start + right), laid into each other's gaps."""
     left, right, rank = pairs_of(path).T
-    key = left << 16 | right
-    if rank.max(initial=0) >= _NO_RANK or left.max(initial=0) >> 16 or right.max(initial=0) >> 16:
-        raise ValueError("the vocabulary has more than 65,536 ranks")
-    entries, shift = np.zeros(_SLOTS, np.int64) - 1, np.zeros(_GROUPS, np.int64)
-    group = key % _GROUPS
-    order = np.argsort(group, kind="stable")
-    bounds = np.searchsorted(group[order], np.arange(_GROUPS + 1))
-    for g in np.argsort(-np.diff(bounds), kind="stable"):
-        mine = order[bounds[g] : bounds[g + 1]]
+    top = int(max(left.max(initial=0), right.max(initial=0), rank.max(initial=0)))
+    if top >= _NO_RANK - 1:
+        raise ValueError("the vocabulary has more than 65,535 ranks")
+    order = np.argsort(left, kind="stable")
+    bounds = np.searchsorted(left[order], np.arange(top + 2))
+    start, entries, free = np.zeros(top + 1, np.int64), np.full(len(left) + top + 1, -1, np.int64), np.ones(len(left) + 2 * top + _PLACES, bool)
+    size, low = 0, 0
+    for row in np.argsort(-np.diff(bounds), kind="stable").tolist():
+        mine = order[bounds[row] : bounds[row + 1]]
         if not len(mine):
             break
-        k = key[mine]
-        for d in range(1 << 20):
-            at = (k % _SLOTS + d * (1 + k % _STEPS)) % _SLOTS
-            if len(set(at.tolist())) == len(at) and np.all(entries[at] < 0):
-                entries[at], shift[g] = k << 17 | rank[mine], d
+        size, low = len(mine), low if len(mine) == size else 0
+        while True:
+            if low + _PLACES + top >= len(free):
+                free = np.append(free, np.ones(len(free), bool))
+            fits = np.ones(_PLACES, bool)
+            for r in right[mine].tolist():
+                fits &= free[low + r : low + r + _PLACES]
+                if not fits.any():
+                    break
+            if fits.any():
                 break
-    return shift, entries
+            low += _PLACES
+        low += int(fits.argmax())
+        at = low + right[mine]
+        if at.max() >= len(entries):
+            entries = np.append(entries, np.full(len(entries), -1, np.int64))
+        start[row], free[at], entries[at] = low, False, left[mine] << _RANK_BITS | rank[mine]
+    used = int(np.flatnonzero(entries >= 0).max(initial=0)) + 1
+    return start.astype(np.int32), entries[:used].astype(np.uint32).view(np.int32)
 
 
 def _literal(values: np.ndarray) -> Column:
-    return F.expr("cast(split('" + ",".join(map(str, values.tolist())) + "', ',') as array<bigint>)")
+    return F.expr("cast(split('" + ",".join(map(str, values.tolist())) + "', ',') as array<int>)")
 
 
 def fold_merges(symbols: Column, path: str) -> Column:
-    """Ids of a word from its array of byte symbols (array<bigint>)."""
-    shift, entries = pair_arrays(path)
-    table = F.array(F.struct(_literal(shift).alias("shift"), _literal(entries).alias("entries")))
+    """Ids of a word from its array of byte symbols (array<int>)."""
+    start, entries = pair_arrays(path)
+    table = F.array(F.struct(_literal(start).alias("start"), _literal(entries).alias("entries")))
 
     def let(value: Column, body) -> Column:
         return F.get(F.transform(F.array(value), body), F.lit(0))
 
     def rank(t: Column, left: Column, right: Column) -> Column:
-        def found(key):
-            group = F.get(t["shift"], (key % _GROUPS).cast("int"))
-            slot = (key % _SLOTS + group * (1 + key % _STEPS)) % _SLOTS
-            return let(F.get(t["entries"], slot.cast("int")), lambda e: F.when(F.shiftright(e, 17) == key, e.bitwiseAND(_NO_RANK - 1)).otherwise(F.lit(_NO_RANK).cast("bigint")))
-
-        return let(left * 65536 + right, found)
+        entry = F.get(t["entries"], F.get(t["start"], left) + right)
+        return let(entry, lambda e: F.when(F.shiftrightunsigned(e, _RANK_BITS) == left, e.bitwiseAND(_NO_RANK - 1)).otherwise(F.lit(_NO_RANK)))
 
     def merged(t: Column, s: Column, r: Column, least: Column, p: Column) -> Column:
         """The state after replacing the pair at 1-based place p."""
         n = F.size(s)
-        before = F.when(p > 1, F.array(rank(t, F.get(s, p - 2), least))).otherwise(F.expr("cast(array() as array<bigint>)"))
-        after = F.when(p + 1 < n, F.array(rank(t, least, F.get(s, p + 1)))).otherwise(F.expr("cast(array() as array<bigint>)"))
+        before = F.when(p > 1, F.array(rank(t, F.get(s, p - 2), least))).otherwise(F.expr("cast(array() as array<int>)"))
+        after = F.when(p + 1 < n, F.array(rank(t, least, F.get(s, p + 1)))).otherwise(F.expr("cast(array() as array<int>)"))
         new_s = F.concat(F.slice(s, F.lit(1), p - 1), F.array(least), F.slice(s, p + 2, n))
         new_r = F.concat(F.slice(r, F.lit(1), F.greatest(p - 2, F.lit(0))), before, after, F.slice(r, p + 2, n))
         return F.struct(new_s.alias("s"), new_r.alias("r"))
@@ -146,18 +156,24 @@ class Splitter:
 
     def __init__(self, pattern: str, path: str):
         self.pattern, self.ranks = regex.compile(pattern), read_ranks(path)
-        self.byte = [self.ranks[bytes([b])] for b in range(256)]
+        self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
 
     def units(self, text: str) -> list[str]:
         if not text:
             return []
-        if "  " in text or " \n" in text or "\n " in text or _ODD_SPACE.search(text):
+        if "\0" in text or text[-1] == " " or _IN_A_RUN.search(text):
             return self.pattern.findall(text)
-        parts = text.replace(" ", "\0 ").split("\0") if "\0" not in text else None
-        return self.pattern.findall(text) if parts is None else parts[1:] if not parts[0] else parts
+        parts = text.replace(" ", "\0 ").split("\0")
+        return parts if parts[0] else parts[1:]
+
+    def words(self, unit: str) -> list[str]:
+        """The pattern's matches; letters after one space or none are one match."""
+        return [unit] if (unit[1:] if unit[0] == " " else unit).isalpha() else self.pattern.findall(unit)
 
-    def symbols(self, word: bytes) -> list[int]:
-        return [self.ranks[word]] if word in self.ranks else [self.byte[b] for b in word]
+    def symbols(self, words: list[bytes]) -> pa.ListArray:
+        """The byte symbols of each word."""
+        ends = np.cumsum([0, *map(len, words)])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(self.byte[np.frombuffer(b"".join(words), np.uint8)]))
 
 
 @lru_cache(2)
@@ -172,8 +188,26 @@ def _ragged(path: str) -> PairTable:
 
 
 def long_word_ids(word: bytes, path: str, pattern: str) -> list[int]:
-    symbols = splitter(pattern, path).symbols(word)
-    return merge_all(np.array(symbols), np.array([len(symbols)]), _ragged(path))[0].tolist()
+    symbols = splitter(pattern, path).byte[np.frombuffer(word, np.uint8)]
+    return merge_all(symbols, np.array([len(symbols)]), _ragged(path))[0].tolist()
+
+
+class Units(dict):
+    """A unit's ids, as text, and the bytes they decode to, found once."""
+
+    def __init__(self, own: Splitter, ids_of):
+        self.own, self.ids_of = own, ids_of
+        self.piece = {str(r): w for w, r in own.ranks.items()}
+
+    def __missing__(self, unit: str) -> tuple[str, bytes]:
+        ids = " ".join(map(self.ids_of, self.own.words(unit)))
+        self[unit] = found = ids, b"".join(map(self.piece.__getitem__, ids.split(" ")))
+        return found
+
+
+def told(symbols: Column, path: str) -> Column:
+    """The folded ids as text."""
+    return F.array_join(fold_merges(symbols, path).cast("array<string>"), " ")
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -187,7 +221,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str
         def flush():
             words = Counter()
             for unit, n in held.items():
-                for w in own.pattern.findall(unit):
+                for w in own.words(unit):
                     words[w] += n
             keep = [(w, n) for w, n in words.items() if w.encode() not in own.ranks and len(w.encode()) <= FOLD_BYTES]
             return pa.RecordBatch.from_arrays([pa.array([w for w, _ in keep], pa.string()), pa.array([n for _, n in keep], pa.int64())], ["word", "n"])
@@ -211,12 +245,11 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str
     def spelled(batches):
         own = splitter(pattern, ranks_path)
         for b in batches:
-            coded = [own.symbols(w.encode()) for w in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(coded, pa.list_(pa.int64()))], ["word", "symbols"])
+            yield pa.RecordBatch.from_arrays([b.column(0), own.symbols([w.encode() for w in b.column(0).to_pylist()])], ["word", "symbols"])
 
-    common = words.filter(F.col("n") >= 1 << least).select("word").repartition(8 * max(1, (HEAD_WORDS - room) >> 15), "word").mapInArrow(spelled, "word string, symbols array<bigint>")
-    got = common.select("word", fold_merges(F.col("symbols"), ranks_path).alias("ids")).toArrow()
-    coded = dict(zip(got["word"].to_pylist(), (" ".join(map(str, i)) for i in got["ids"].to_pylist()), strict=True))
+    common = words.filter(F.col("n") >= 1 << least).select("word").repartition(8 * max(1, (HEAD_WORDS - room) >> 15), "word").mapInArrow(spelled, "word string, symbols array<int>")
+    got = common.select("word", told(F.col("symbols"), ranks_path).alias("ids")).toArrow()
+    coded = dict(zip(got["word"].to_pylist(), got["ids"].to_pylist(), strict=True))
     head, head_words = (docs.sparkSession.sparkContext.broadcast(x) for x in (coded, frozenset(coded)))
 
     def sent(batches) -> Iterator[pa.RecordBatch]:
@@ -225,17 +258,16 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str
             for part in slices(batch, "text", SLICE):
                 slice_ += 1
                 units = set(chain.from_iterable(own.units(t) for t in part.column(1).to_pylist()))
-                new = {w for u in units for w in own.pattern.findall(u)} - known
-                new = [w for w in new if (b := w.encode()) not in own.ranks and len(b) <= FOLD_BYTES]
+                new = set(chain.from_iterable(map(own.words, units))) - known
+                new = [(w, b) for w in new if (b := w.encode()) not in own.ranks and len(b) <= FOLD_BYTES]
                 if new:
-                    coded = pa.array([own.symbols(w.encode()) for w in new], pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(new), slice_)), pa.nulls(len(new), part.column(0).type), pa.array(new, part.column(1).type), coded], ["slice", "doc_id", "text", "symbols"])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), slice_)), part.column(0), part.column(1), pa.nulls(len(part), pa.list_(pa.int64()))], ["slice", "doc_id", "text", "symbols"])
+                    coded = own.symbols([b for _, b in new])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(new), slice_)), pa.nulls(len(new), part.column(0).type), pa.array([w for w, _ in new], part.column(1).type), coded], ["slice", "doc_id", "text", "symbols"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), slice_)), part.column(0), part.column(1), pa.nulls(len(part), pa.list_(pa.int32()))], ["slice", "doc_id", "text", "symbols"])
 
     def assembled(batches) -> Iterator[pa.RecordBatch]:
-        own, known = splitter(pattern, ranks_path), head.value
-        piece = {str(r): w for w, r in own.ranks.items()}
-        slice_, tail, units = 0, {}, {}
+        own, known, tail = splitter(pattern, ranks_path), head.value, {}
+        slice_ = 0
 
         def ids_of(word: str) -> str:
             found = known.get(word) or tail.get(word)
@@ -244,39 +276,32 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str
                 found = str(own.ranks[b]) if b in own.ranks else " ".join(map(str, long_word_ids(b, ranks_path, pattern)))
             return found
 
-        def unit(u: str) -> tuple[str, bytes]:
-            ids = " ".join(map(ids_of, own.pattern.findall(u)))
-            return ids, b"".join(map(piece.__getitem__, ids.split(" ")))
-
+        units = Units(own, ids_of)
         for batch in batches:
-            number, names = batch.column(0).to_numpy(), batch.column(2).to_pylist()
+            number, names, coded = batch.column(0).to_numpy(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
             at = 0
             while at < len(names):
                 if number[at] != slice_:
-                    slice_, tail = number[at], {}
+                    slice_ = number[at]
+                    tail.clear()
                     if len(units) > REMEMBERED:
-                        units = {}
+                        units.clear()
                 end = at + int(np.searchsorted(number[at:], slice_, "right"))
-                coded = batch.column(3).slice(at, end - at)
-                is_word = coded.is_valid().to_numpy(zero_copy_only=False)
-                for i in np.flatnonzero(is_word).tolist():
-                    tail[names[at + i]] = " ".join(map(str, coded[i].as_py()))
-                rows = np.flatnonzero(~is_word)
-                n_tokens, ids_hash, text_hash = [], [], []
-                for i in rows.tolist():
-                    parts = own.units(names[at + i])
-                    for u in parts:
-                        if u not in units:
-                            units[u] = unit(u)
-                    found = [units[u] for u in parts]
-                    ids = " ".join([f[0] for f in found])
+                rows, n_tokens, ids_hash, text_hash = [], [], [], []
+                for i in range(at, end):
+                    if coded[i] is not None:
+                        tail[names[i]] = coded[i]
+                        continue
+                    ids, pieces = zip(*map(units.__getitem__, own.units(names[i])), strict=True) if names[i] else ((), ())
+                    ids = " ".join(ids)
+                    rows.append(i)
                     n_tokens.append(ids.count(" ") + 1 if ids else 0)
                     ids_hash.append(hashlib.sha256(ids.encode()).hexdigest())
-                    text_hash.append(hashlib.sha256(b"".join([f[1] for f in found])).hexdigest())
-                yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(rows + at)), pa.array(n_tokens, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                    text_hash.append(hashlib.sha256(b"".join(pieces)).hexdigest())
+                yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(rows, pa.int64())), pa.array(n_tokens, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
                 at = end
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    stream = texts.mapInArrow(sent, f"slice long, doc_id {kind}, text string, symbols array<bigint>")
-    folded = stream.select("slice", "doc_id", "text", fold_merges(F.col("symbols"), ranks_path).alias("ids"))
+    stream = texts.mapInArrow(sent, f"slice long, doc_id {kind}, text string, symbols array<int>")
+    folded = stream.select("slice", "doc_id", "text", told(F.col("symbols"), ranks_path).alias("ids"))
     return folded.mapInArrow(assembled, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
