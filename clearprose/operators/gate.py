@@ -85,10 +85,20 @@ def post_check(snapshots: DataFrame, current: DataFrame, open_files: DataFrame,
     return parts.select("call_id", F.concat(head, body, tail).alias("report")), left
 
 
-def spliced(results: DataFrame, reports: DataFrame) -> DataFrame:
-    """Results (call_id, text, ...) with a call's report after its text; calls without a report don't appear."""
-    told = reports.join(results, "call_id", "left")
-    return told.select("call_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\n\n"), F.col("report")).alias("text"))
+def spliced(results: DataFrame, reports: DataFrame, calls: DataFrame | None = None) -> DataFrame:
+    """Results (call_id, text, ...) with a call's report after its text and all else as it was; calls without a report don't appear.
+
+    A call without a result of its own takes the one at its place, where ``calls`` (call_id, place)
+    and the results' ``place`` tell it; otherwise the report follows an empty text.
+    """
+    whole = F.struct(*results.columns)
+    told = reports.join(results.select("call_id", whole.alias("own")), "call_id", "left")
+    base = F.col("own")
+    if calls is not None:
+        told = told.join(calls.select("call_id", "place"), "call_id", "left").join(results.select("place", whole.alias("beside")), "place", "left")
+        base = F.coalesce("own", "beside")
+    rest = [base[c].alias(c) for c in results.columns if c not in ("call_id", "text")]
+    return told.select("call_id", F.concat(F.coalesce(base["text"], F.lit("")), F.lit("\n\n"), F.col("report")).alias("text"), *rest)
 
 
 def identity_of(text: str) -> str:
