@@ -266,6 +266,18 @@ def test_nearest(spark):
     assert ann.nearest(table.limit(0), table.limit(0)).count() == 0
 
 
+def test_nearest_over_several_shards(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SHARD", 500)
+    x = np.random.default_rng(4).standard_normal((3000, 24))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = ann.nearest(table, table.filter("vec_id % 50 = 0")).collect()
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    cosine = x[::50] @ x.T
+    cosine[np.arange(60), np.arange(0, 3000, 50)] = -2
+    want = {(50 * q, int(i)) for q, best in enumerate(np.argsort(-cosine, axis=1)[:, :5]) for i in best}
+    assert len(got) == 300 and len({(r.query_id, r.vec_id) for r in got} & want) >= 0.9 * len(want)
+
+
 @pytest.mark.parametrize("cell", [256, 8])
 def test_embedding_links(spark, monkeypatch, cell):
     monkeypatch.setattr(embedding_dedup, "CELL", cell)
@@ -487,21 +499,62 @@ def test_quality(spark):
     assert quality.train(docs, labels.limit(0)) == 0.5 and quality.score(docs, 0.5).count() == len(rows)
 
 
+def runs_of(rows, n=50):
+    """Documents of each run of n words."""
+    out = {}
+    for r in rows:
+        w = words(r.text)
+        for i in range(len(w) - n + 1):
+            out.setdefault(tuple(w[i : i + n]), set()).add(r.doc_id)
+    return out
+
+
+def is_subsequence(some, every):
+    every = iter(every)
+    return all(w in every for w in some)
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
+    """Each stage's decisions, recomputed by brute force on its own input."""
     import corpus_pipeline
+    from tokenizers import Tokenizer
 
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, 1) for i in range(40)], "doc_id bigint, quality int").write.parquet(str(tmp_path / "labels.parquet"))
-    stage = docs
+    stage, after = docs, docs.collect()
     for name, f in corpus_pipeline.STAGES:
-        last = stage
+        before, last = after, stage
         stage = f(spark, stage, str(tmp_path))
         out = str(tmp_path / name)
         stage.write.parquet(out)
         stage = spark.read.parquet(out)
+        after = stage.collect()
         if name != "packing":
-            assert stage.columns == ["doc_id", "text", "lang", "source", "n_chars"] and stage.count() <= last.count()
-    assert {r.doc_id for r in stage.collect()} == {r.doc_id for r in last.collect()}
+            assert stage.columns == ["doc_id", "text", "lang", "source", "n_chars"] and len(after) <= len(before)
+            assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in after)
+        texts = {r.doc_id: r.text for r in before}
+        if name == "quality classifier":
+            model = quality.train(quality.training_documents(last), quality.training_labels(spark.read.parquet(str(tmp_path / "labels.parquet"))))
+            good = Counter((r.doc_id, r.text) for r in quality.score(last, model).collect() if r.score >= 0.3)
+            assert Counter((r.doc_id, r.text) for r in after) == good
+        elif name == "near-duplicates":
+            want = brute_near([(d, t) for d, t in texts.items() if d is not None], 80)
+            assert Counter((r.doc_id, r.text) for r in after) == Counter([(d, texts[d]) for d, v in want.items() if v[2]] + [(r.doc_id, r.text) for r in before if r.doc_id is None])
+        elif name == "substring dedup":
+            shared = {d for found in runs_of(before).values() if len(found) > 1 for d in found}
+            assert shared and all(len(found) == 1 for found in runs_of(after).values())
+            assert all(is_subsequence(words(r.text), words(texts[r.doc_id])) for r in after)
+            assert min(shared) in {r.doc_id for r in after if r.text == texts[r.doc_id]}
+            assert {d: t for d, t in texts.items() if d not in shared}.items() <= {r.doc_id: r.text for r in after}.items()
+        elif name == "secret scan":
+            assert [r.doc_id for r in sorted(after, key=str)] and Counter(r.doc_id for r in after) == Counter(r.doc_id for r in before)
+            assert not any(k for r in after for k in brute_secrets((r.text or "").replace("[REDACTED]", "\n")))
+            assert all(r.text == texts[r.doc_id] for r in after if "[REDACTED]" not in (r.text or ""))
+        else:
+            own, lengths = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), Counter()
+            for r in after:
+                lengths[r.doc_id] += r.length
+            assert lengths == Counter({d: len(own.encode(t or "", add_special_tokens=False).ids) + 1 for d, t in texts.items()})
 
 
 def test_clashing_names_are_kept(spark):
