@@ -321,6 +321,25 @@ def test_byte_bpe(spark, docs):
     assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == want
 
 
+def test_units_are_cut_like_the_whole_pattern():
+    own, rng, cut = byte_bpe.splitter(public_tokenizers.PATTERN, public_tokenizers.path("byte_bpe_50k.tiktoken")), random.Random(1), 0
+    parts = ["a", "b1", " ", " ", "  ", "\n", "\t", "\x1c", "\xa0", "'s", ".", "é", "\x85", "\0"]
+    for _ in range(20_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 8)))
+        units, whole = own.units(text), own.pattern.findall(text)
+        assert [m for u in units for m in own.words(u)] == whole, repr(text)
+        cut += units != whole
+    assert cut > 1000
+
+
+def test_pair_table_holds_every_rank():
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    start, entries = byte_bpe.pair_arrays(path)
+    left, right, rank = byte_bpe.pairs_of(path).T
+    found = entries.view(np.uint32).astype(np.int64)[start[left] + right]
+    assert np.array_equal(found >> 16, left) and np.array_equal(found & 65535, rank)
+
+
 def test_repeated_passages(spark, docs, texts):
     got = substring_dedup.repeated_passages(docs).collect()
     marked = {}
