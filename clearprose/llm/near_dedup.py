@@ -22,7 +22,8 @@ the registers. One SLACK standard deviations too low is turned away (about 1e-9)
 
 Defined results: documents without words (null, empty, blank) and rows with a null
 id are linked with nothing (their component is their id); repeated rows each get
-the same result; ids are unique but for repeated rows; ties go to the smaller id;
+the same result and cost one row's links; of different texts under one id one is compared and
+the others are linked with nothing; ties go to the smaller id;
 columns other than the id and text are ignored, whatever their names; an empty table gives
 no rows; texts of any length are taken whole.
 """
@@ -144,7 +145,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 sizes = np.diff(bounds)
                 prints = []
                 for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F):
-                    total = np.concatenate([[0], np.cumsum(mix(h ^ np.uint64(salt)), dtype=np.uint64)]).astype(np.uint64)
+                    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ np.uint64(salt)), dtype=np.uint64)])
                     prints.append(mix(total[bounds[1:]] - total[bounds[:-1]] + sizes.astype(np.uint64)))
                 registers = registers_of(h, bounds)
                 keys = pa.FixedSizeListArray.from_arrays(pa.array(signed(band_keys(registers).reshape(-1))), BANDS).cast(pa.list_(pa.int64()))
@@ -208,6 +209,14 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, threshold: int, work: Workspac
     return links
 
 
+def _once(docs: DataFrame, signed_docs: DataFrame, work: Workspace) -> tuple[DataFrame, bool]:
+    """``docs`` (id, text) with one row for each id, and whether any id has several; texts move only for those."""
+    several = work.written(signed_docs.filter("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n")).filter("n > 1").select("id"), "several")
+    if several.isEmpty():
+        return docs, False
+    return docs.join(several, "id", "left_anti").unionByName(docs.join(several, "id", "left_semi").dropDuplicates(["id"])), True
+
+
 def _keyed(classes: DataFrame) -> DataFrame:
     return classes.withColumn("key", F.explode("bands")).drop("bands")
 
@@ -334,8 +343,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     signed_docs = work.written(signatures(docs, doc_id, text), "signatures")
     own = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     usable = signed_docs.filter("doc_id is not null and n_shingles > 0")
+    own, repeated = _once(own, signed_docs, work)
     same = ["f", "f2", "n_shingles"]
-    classes = work.written(usable.groupBy(*same).agg(F.min("doc_id").alias("id"), F.first("nibbles").alias("nibbles"), F.first("bands").alias("bands")), "classes")
+    classes = usable.groupBy(*same).agg(F.min("doc_id").alias("id"), F.first("nibbles").alias("nibbles"), F.first("bands").alias("bands"))
+    if repeated:  # rows of one id whose texts differ: one of them stands for the id
+        classes = classes.groupBy("id").agg(F.min_by(F.struct(*same, "nibbles", "bands"), F.struct(*same)).alias("c")).select("id", "c.*")
+    classes = work.written(classes, "classes")
 
     sharing = work.written(_shared_keys(classes).join(classes.select("id", "n_shingles", "nibbles"), "id"), "sharing")
 

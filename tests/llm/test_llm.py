@@ -618,3 +618,23 @@ def test_secrets_of_few_owners_and_of_many_repositories(spark):
     got = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got[0].spans == "owned:4:24" and got[0].n_live == 1
     assert all(got[i].spans == "" for i in range(1, 8))  # one owner, but seven repositories
+
+
+def test_equal_sets_are_one_class_wherever_they_lie(spark):
+    rng = random.Random(3)
+    some = [sentence(rng, rng.randint(20, 400)) for _ in range(150)]
+    rows = [(i, some[i % 150]) for i in range(600)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = near_dedup.signatures(docs, "doc_id", "text").select("f", "f2", "n_shingles").distinct().count()
+    assert got == 150
+    assert {(r.doc_id, r.component_id) for r in near_dedup.near_duplicates(docs).collect()} == {(i, i % 150) for i in range(600)}
+
+
+def test_a_row_repeated_often_is_compared_once(spark):
+    rng = random.Random(4)
+    base = sentence(rng, 80).split()
+    other = [*base[:-1], "changed"]
+    rows = [(1, " ".join(base))] * 1000 + [(2, " ".join(other))] * 1000 + [(3, sentence(rng, 40)), (3, sentence(rng, 40))]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), threshold=85).collect()
+    assert Counter((r.doc_id, r.component_id) for r in got) == {(1, 1): 1000, (2, 1): 1000, (3, 3): 2}
