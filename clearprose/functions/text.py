@@ -1,4 +1,4 @@
-"""Text expressions: lines, byte columns and white space."""
+"""Text expressions: lines and white space."""
 
 from __future__ import annotations
 
@@ -23,34 +23,3 @@ def strip(x: Column) -> Column:
 def strip_start(x: Column) -> Column:
     spaceless = F.ltrim(x)
     return F.when(spaceless.rlike(r"(?U)^\s"), F.regexp_replace(x, r"(?U)^\s+", "")).otherwise(spaceless)
-
-
-def is_blank(x: Column) -> Column:
-    return x.rlike(r"(?U)^\s*\z")
-
-
-def leading_bytes(x: Column) -> Column:
-    """Bytes of leading white space."""
-    return F.octet_length(x) - F.octet_length(strip_start(x))
-
-
-def blanked(x: Column) -> Column:
-    """Spaces of the same number of bytes."""
-    return F.repeat(F.lit(" "), F.octet_length(x))
-
-
-def n_words(x: Column) -> Column:
-    return F.size(F.filter(F.split(x, r"(?U)\s+"), lambda w: w != ""))
-
-
-def spans_of(x: Column, pattern: str) -> Column:
-    """array<struct<at, found>> of all matches; at is the 1-based byte of each start."""
-    found = F.regexp_extract_all(x, F.lit(pattern), F.lit(0))
-    parts = F.arrays_zip(F.slice(F.split(x, pattern, -1), 1, F.size(found)).alias("gap"), found.alias("found"))
-    start = F.struct(F.lit(1).alias("at"), F.expr("cast(array() as array<struct<at:int,found:string>>)").alias("out"))
-
-    def step(state, p):
-        at = state["at"] + F.octet_length(p["gap"])
-        return F.struct((at + F.octet_length(p["found"])).alias("at"), F.concat(state["out"], F.array(F.struct(at.alias("at"), p["found"].alias("found")))).alias("out"))
-
-    return F.aggregate(parts, start, step)["out"]

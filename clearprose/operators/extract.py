@@ -1,45 +1,31 @@
 """Prose lines of documents by kind.
 
-Prose texts that hold no fence, span, comment, table or indent are only split, in
-the JVM; the others, and slash-comment sources, need a scan that carries state from
-line to line: one Arrow function, which gets null for all other rows.
+What is no prose in a markdown text turns to spaces, byte for byte, so offsets stay. One
+Arrow function finds fences, comments, indents and tables over the bytes of all lines of a
+batch at once; only lines that open or close something are steps of a loop. Comments of
+sources are taken out of their lines: hash comments in the JVM, slash comments line by line.
 """
 
 from __future__ import annotations
 
 import re
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pyspark.sql.types import ArrayType, StringType
-
 from clearprose.config import PROSE_KINDS
-from clearprose.functions.text import blanked, lines_of, strip, strip_start
+from clearprose.functions.text import lines_of, strip, strip_start
+from clearprose.operators.segment import Lines, _run_ends, lines_in, slices, space_bytes
 from clearprose.session import ready
 
-_FENCE = re.compile(r"(\s*)(`{3,}|~{3,})", re.UNICODE)
-#: A text with none of these, and without a line that begins with two spaces of any kind, is prose as it is.
-_MARKS = ("`", "~~~", "<!--", "|")
-_INDENTED = r"(?Um)^[\s&&[^\n]]{2}"
-
-
-def _indent(line: str) -> int:
-    return len(line.encode()) - len(line.lstrip().encode())
-
-
-def _clear(line: str) -> str:
-    return " " * len(line.encode())
-
 
-def clear_spans(line: str) -> str:
-    """The line with closed code spans turned to spaces, byte for byte."""
-    if "`" not in line:
-        return line
-    text = bytearray(line.encode())
-    runs = [(m.start(), m.end()) for m in re.finditer(rb"`+", text)]
-    source, at, k = bytes(text), 0, 0
+def clear_spans(source: bytes) -> bytes:
+    """The line with closed code spans turned to spaces."""
+    text = bytearray(source)
+    runs = [(m.start(), m.end()) for m in re.finditer(rb"`+", source)]
+    at = k = 0
     while k < len(runs):
         start, end = max(runs[k][0], at), runs[k][1]
         if start >= end:
@@ -54,58 +40,140 @@ def clear_spans(line: str) -> str:
             continue
         text[start : close[1]] = b" " * (close[1] - start)
         at = close[1] + 1
-    return text.decode("utf-8", "replace") if text != source else line
+    return bytes(text)
 
 
 def escaped_at(source: bytes, at: int) -> bool:
     return at > 0 and source[at - 1 : at] == b"\\"
 
 
-def clear_tables(lines: list[str]) -> list[str]:
-    """Lines with each table's header, delimiter and data rows turned to spaces."""
-    row = [_indent(x) <= 3 and "|" in x for x in lines]
-    delimiter = [bool(re.fullmatch(r"[|: \-]*-[|: \-]*", x.strip())) for x in lines]
-    out, inside = list(lines), False
-    for i, x in enumerate(lines):
-        if delimiter[i] and i and row[i - 1]:
-            out[i - 1], out[i], inside = _clear(lines[i - 1]), _clear(x), True
-        elif inside and row[i] and not delimiter[i]:
-            out[i] = _clear(x)
-        else:
-            inside = False
+def _holding(x: Lines, *found: bytes) -> np.ndarray:
+    """Whether each line holds these bytes one after another."""
+    p = np.flatnonzero(x.data[:-3] == found[0][0])
+    for k, byte in enumerate(found[0][1:], 1):
+        p = p[p + k < len(x.data)]
+        p = p[x.data[p + k] == byte]
+    out = np.zeros(len(x.low), bool)
+    line = np.searchsorted(x.at, p, "right") - 1
+    out[line[p + len(found[0]) <= x.high[line]]] = True
     return out
 
 
-def prose_of(lines: list[str]) -> list[str]:
-    """Prose lines of a markdown text; what is no prose turns to spaces."""
-    out, fence, comment = [], None, False
-    for line in lines:
-        mark = _FENCE.match(line)
-        if mark and _indent(line) <= 3:
-            run = mark[2]
-            rest = line[mark.end() :]
-            if fence:
-                if run[0] == fence[0] and len(run) >= len(fence) and not rest.strip():
-                    fence = None
-                out.append(_clear(line))
-            elif run[0] == "`" and "`" in rest:
-                out.append(line)
+def _tables(x: Lines) -> np.ndarray:
+    """Lines of tables: a header, its delimiter and the data rows after it."""
+    begin = np.minimum(x.next_solid(x.low), x.high)
+    row = (begin - x.low <= 3) & _holding(x, b"|")
+    dashes, plain = _holding(x, b"-"), np.isin(x.data[:-3], list(b"|:- "))
+    odd = np.concatenate([[0], np.cumsum(~plain & ~x.space[:-3])])
+    delimiter = dashes & (odd[x.high] == odd[x.low])
+    # white space other than blanks may only stand at the ends
+    inner = np.concatenate([[0], np.cumsum(~plain)])
+    for i in np.flatnonzero(delimiter & (inner[x.high] != inner[x.low])):
+        delimiter[i] = bool(re.fullmatch(r"[|: \-]+", x.data[x.low[i] : x.high[i]].tobytes().decode().strip()))
+    fresh = x.no == 1
+    above = np.concatenate([[False], row[:-1]]) & ~fresh
+    starts = delimiter & above
+    data = row & ~delimiter
+    # a run of data rows belongs to a table where a delimiter stands right above it
+    breaks = np.maximum.accumulate(np.where(~data | fresh, np.arange(len(data)), 0)) if len(data) else np.zeros(0, int)
+    out = starts | (data & ~fresh & starts[breaks] & (breaks < np.arange(len(data))))
+    out[np.flatnonzero(starts) - 1] = True
+    return out
+
+
+def _hidden(x: Lines) -> tuple[np.ndarray, np.ndarray]:
+    """Lines that are in fences or comments or are indented, and lines that stay as they are."""
+    d, begin = x.data, np.minimum(x.next_solid(x.low), x.high)
+    indent, first = begin - x.low, d[begin]
+    hidden, raw = np.zeros(len(begin) + 1, np.int64), np.zeros(len(begin), bool)
+    fence, size = np.zeros(len(begin), bool), np.zeros(len(begin), np.int64)
+    for c in b"`~":
+        here = (first == c) & (indent <= 3) & (begin < x.high)
+        run = _run_ends(d == c, begin, x.high) - begin
+        size = np.where(here, run, size)
+        fence |= here & (run >= 3)
+    ticks = np.concatenate([[0], np.cumsum(d == ord("`"))])
+    told = ticks[x.high] - ticks[begin + size] > 0  # a backtick after the run
+    bare = x.n_solid(begin + size, x.high) == 0
+    opens, closes = _holding(x, b"<!--"), _holding(x, b"-->")
+    for i in np.flatnonzero(opens):
+        opens[i] = d[begin[i] : begin[i] + 4].tobytes() == b"<!--"
+    events = np.flatnonzero(fence | opens | closes)
+    ends = np.searchsorted(x.doc, x.doc, "right")
+    state, comment, last, doc = None, False, 0, -1
+    for i in [*events.tolist(), len(begin)]:
+        if state or comment:  # lines since the last event
+            upto = i if i < len(begin) and x.doc[i] == doc else int(ends[last])
+            hidden[last + 1] += 1
+            hidden[upto] -= 1
+        if i == len(begin):
+            break
+        if x.doc[i] != doc:
+            state, comment, doc = None, False, x.doc[i]
+        last, hide = i, True
+        if fence[i]:
+            if state:
+                if first[i] == state[0] and size[i] >= state[1] and bare[i]:
+                    state = None
+            elif first[i] == ord("`") and told[i]:
+                hide, raw[i] = False, True
             else:
-                fence = run
-                out.append(_clear(line))
-        elif fence:
-            out.append(_clear(line))
-        elif comment:
-            comment = "-->" not in line
-            out.append(_clear(line))
-        elif line.lstrip().startswith("<!--"):
-            comment = "-->" not in line
-            out.append(_clear(line))
-        elif _indent(line) >= 4:
-            out.append(_clear(line))
-        else:
-            out.append(clear_spans(line))
-    return clear_tables(out)
+                state = (first[i], size[i])
+        elif not state:
+            hide = comment or bool(opens[i])
+            comment = hide and not closes[i]
+        if hide:
+            hidden[i] += 1
+            hidden[i + 1] -= 1
+    covered = np.cumsum(hidden)[:-1] > 0
+    return covered | (~raw & (indent >= 4)), raw
+
+
+def cleared(prose: pa.ListArray, is_prose: np.ndarray) -> pa.ListArray:
+    """The lists of lines with what is no prose turned to spaces, where ``is_prose`` holds."""
+    x = lines_in(prose)
+    mine = is_prose[x.doc] if len(x.doc) else np.zeros(0, bool)
+    if not mine.any():
+        return prose
+    before = x.data.copy()
+    hidden, raw = _hidden(x)
+    line_of = np.repeat(np.arange(len(x.low)), np.diff(x.at))
+
+    def blank(lines: np.ndarray) -> None:
+        x.data[:-3][(lines & mine)[line_of]] = 0x20
+
+    blank(hidden)
+    ticks = np.concatenate([[0], np.cumsum(x.data == ord("`"))])
+    for i in np.flatnonzero(mine & ~hidden & ~raw & (ticks[x.high] - ticks[x.low] > 1)).tolist():
+        x.data[x.low[i] : x.high[i]] = np.frombuffer(clear_spans(x.data[x.low[i] : x.high[i]].tobytes()), np.uint8)
+    x.space = space_bytes(x.data)
+    x.solid = np.append(np.flatnonzero(~x.space[:-3]), len(x.data) - 3)
+    blank(_tables(x))
+    if np.array_equal(before, x.data):
+        return prose
+    return with_bytes(prose, x)
+
+
+def with_bytes(prose: pa.ListArray, x: Lines) -> pa.ListArray:
+    flat = pa.LargeStringArray.from_buffers(len(x.low), pa.py_buffer(np.ascontiguousarray(x.at, np.int64)), pa.py_buffer(x.data[:-3].tobytes()))
+    bounds = prose.offsets.to_numpy()
+    return pa.ListArray.from_arrays(pa.array(bounds - bounds[0], pa.int32()), flat.cast(pa.string()))
+
+
+def without_quotes(prose: pa.ListArray) -> pa.ListArray:
+    """Lines that begin with > turned to spaces."""
+    x = lines_in(prose)
+    begin = np.minimum(x.next_solid(x.low), x.high)
+    quoted = (x.data[begin] == ord(">")) & (begin < x.high)
+    if not quoted.any():
+        return prose
+    x.data[:-3][quoted[np.repeat(np.arange(len(x.low)), np.diff(x.at))]] = 0x20
+    return with_bytes(prose, x)
+
+
+def prose_of(lines: list[str]) -> list[str]:
+    """Prose lines of one markdown text."""
+    return cleared(pa.array([lines], pa.list_(pa.string())), np.array([True])).to_pylist()[0]
 
 
 _CODE = re.compile(r'"(?:\\.|[^"\\])*(?:"|\\?$)|//', re.DOTALL)
@@ -139,9 +207,14 @@ def slash_lines(lines: list[str]) -> list[str]:
     return out
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _scanned(lines: pd.Series, slash: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None else (slash_lines if s else prose_of)(list(x)) for x, s in zip(lines, slash, strict=True)], dtype=object)
+def told_lines(lines: pa.ListArray, kind: pa.Array, exempt_quotes: bool = False) -> pa.ListArray:
+    """The prose lines of a batch: lists of a text's lines (of hash comments' texts for that kind) by kind."""
+    kinds = np.array(kind.to_pylist(), dtype=object)
+    if (kinds == "slash-source").any():
+        texts = [slash_lines(x) if k == "slash-source" else x for x, k in zip(lines.to_pylist(), kinds, strict=True)]
+        lines = pa.array(texts, pa.list_(pa.string()))
+    out = cleared(lines, np.isin(kinds, PROSE_KINDS))
+    return without_quotes(out) if exempt_quotes else out
 
 
 def hash_lines(lines: Column) -> Column:
@@ -150,26 +223,32 @@ def hash_lines(lines: Column) -> Column:
     return F.filter(F.transform(found, lambda x: strip(F.substring(x, 2, F.length(x)))), lambda x: x != "")
 
 
+#: Kinds whose texts hold prose.
+LINTED = (*PROSE_KINDS, "slash-source", "hash-source")
+
+
+def kind_lines(kind: Column, text: Column) -> Column:
+    """What told_lines takes: the lines of a text, for hash comments their texts."""
+    lines = lines_of(text)
+    return F.when(kind == "hash-source", hash_lines(lines)).otherwise(lines)
+
+
+def with_lines(docs: DataFrame) -> DataFrame:
+    """Documents (kind, text and others) of kinds that are linted, with their ``lines`` in place of text."""
+    ready(docs.sparkSession)
+    return docs.filter(F.col("kind").isin(*LINTED)).withColumn("lines", kind_lines(F.col("kind"), F.col("text"))).drop("text")
+
+
 def prose_arrays(docs: DataFrame, exempt_quotes: bool = False) -> DataFrame:
     """``docs`` (kind, text and others) with ``prose``, the array of prose lines, in place of text."""
-    ready(docs.sparkSession)
-    text, is_prose, is_slash = F.col("text"), F.col("kind").isin(*PROSE_KINDS), F.col("kind") == "slash-source"
-    marked = text.rlike(_INDENTED)
-    for mark in _MARKS:
-        marked = text.contains(mark) | marked
-    kinds = docs.filter((F.col("kind") != "skip") & (is_prose | is_slash | (F.col("kind") == "hash-source")))
-    lined = kinds.withColumn("lines", lines_of(text)).withColumn("scan", F.coalesce(is_slash | (is_prose & marked), F.lit(False)))
-    scanned = lined.withColumn("prose", _scanned(F.when(F.col("scan"), F.col("lines")), is_slash))
-    told = F.when(F.col("scan"), F.col("prose")).when(is_prose, F.col("lines")).otherwise(hash_lines(F.col("lines")))
-    out = scanned.withColumn("prose", told).drop("scan")
-    if exempt_quotes:
-        out = out.withColumn("prose", F.transform("prose", lambda x: F.when(strip_start(x).startswith(">"), blanked(x)).otherwise(x)))
-    return out.drop("lines", "text")
+
+    def run(lines: pa.Array, kind: pa.Array) -> pa.Array:
+        return pa.concat_arrays([told_lines(lines.slice(a, b - a), kind.slice(a, b - a), exempt_quotes) for a, b in slices(lines)])
+
+    return with_lines(docs).withColumn("prose", F.arrow_udf(run, "array<string>")("lines", "kind")).drop("lines")
 
 
 def prose_lines(docs: DataFrame, exempt_quotes: bool = False) -> DataFrame:
-    """doc_id, kind, line_no (from 1), text and before (the line before, null at the first) of each prose line."""
+    """doc_id, kind, line_no (from 1) and text of each prose line."""
     arrays = prose_arrays(docs.select("doc_id", "kind", "text"), exempt_quotes)
-    told = F.transform("prose", lambda x, i: F.struct(x.alias("text"), F.when(i > 0, F.get("prose", i - 1)).alias("before")))
-    rows = arrays.select("doc_id", "kind", F.posexplode(told).alias("p", "x"))
-    return rows.select("doc_id", "kind", (F.col("p") + 1).cast("long").alias("line_no"), "x.text", "x.before")
+    return arrays.select("doc_id", "kind", F.posexplode("prose").alias("p", "text")).select("doc_id", "kind", (F.col("p") + 1).cast("long").alias("line_no"), "text")

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from clearprose.config import LintConfig
 from clearprose.operators.classify import path_kind
-from clearprose.operators.diff import edited_texts, lint_writes
+from clearprose.operators.diff import edited_texts
 from clearprose.operators.report import feedback, sorted_violations
 from clearprose.operators.shell import commit_messages
-from clearprose.plans.lint import lint
+from clearprose.plans.lint import lint, lint_writes
 from clearprose.session import ready
 
 MAX_GATES, KEPT_IDENTITIES = 3, 16

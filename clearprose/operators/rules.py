@@ -1,131 +1,163 @@
 """Rules over prose lines, sentences and paragraphs.
 
-All line rules are arrays of hits of one projection, exploded once: no rule costs a
-scan or an exchange of its own. A form stands alone, so a line with it has the form's
-longest word among its words: only lines with such a word look at single forms.
+Rules that look at single lines share one walk over the text of a batch: an automaton
+of all forms, the places of marks and apostrophes, and the few lines with a directive. Work
+after the walk grows with what is found. Hits carry the rules that a directive on the line
+before turns off, so nothing is joined; severities, caps and suppression are
+expressions over the hits of a row.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from functools import lru_cache
 
+import ahocorasick
+import numpy as np
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clearprose import dictionary
 from clearprose.config import PROSE_KINDS, REGISTERED, RULE_ORDER, SOURCE_KINDS, LintConfig
-from clearprose.functions.text import spans_of, strip_start
+from clearprose.operators import extract
+from clearprose.operators.segment import lines_in, slices
 
 VIOLATION = ["doc_id", "rule_id", "severity", "message", "suggestions", "line", "col", "rule_ord", "entry_ord", "form_ord"]
 
-# The two contraction patterns and the directive's name.
-_VERBAL = r"(?iU)\b\w+['’](?:t|re|ve|ll|d|m)\b"
-_CLOSED = (
-    r"(?iU)\b(?:it|he|she|that|what|who|there|here|let|one|where|how|everyone|everybody|something|nothing|somebody|nobody)['’]s\b"
-)
+# What may follow the apostrophe of a contraction, the words that take 's, and the directive's name.
+_ENDINGS = "t re ve ll d m".split()
+_CLOSED = frozenset("it he she that what who there here let one where how everyone everybody something nothing somebody nobody".split())
 DIRECTIVE = "ste-disable-next-line"
-_DIRECTIVE = rf"(?U)^\s*(?:///|//|#)?\s*!?\s*{DIRECTIVE}"
-#: What a form's neighbours may not be, and what lies between words.
-_TOUCHING, _APART = r"[\p{IsAlphabetic}\p{N}]", r"[^\p{IsAlphabetic}\p{N}]+"
-_HIT = "rule_id string, message string, suggestions array<string>, col bigint, entry_ord int, form_ord int"
-_NO_HITS = f"cast(array() as array<struct<{_HIT.replace(' string', ':string').replace(' array', ':array').replace(' bigint', ':bigint').replace(' int', ':int')}>>)"
-
-
-def _hit(rule: str, message: Column, col: Column, suggestion: Column | None = None, entry: Column | int = 0, form: Column | int = 0) -> Column:
-    as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
-    return F.struct(
-        F.lit(rule).alias("rule_id") if isinstance(rule, str) else rule.alias("rule_id"),
-        message.alias("message"),
-        (F.array(suggestion) if suggestion is not None else F.lit(None).cast("array<string>")).alias("suggestions"),
-        col.cast("bigint").alias("col"), as_column(entry).cast("int").alias("entry_ord"), as_column(form).cast("int").alias("form_ord"),
-    )
-
-
-def contractions(text: Column) -> Column:
-    def told(pattern: str, order: int) -> Column:
-        found = F.transform(spans_of(text, pattern), lambda m: _hit("contraction", F.format_string('Do not use a contraction. Write the words in full. Found "%s".', m["found"]), m["at"], entry=order))
-        return F.when(text.rlike(pattern), found).otherwise(F.expr(_NO_HITS))
-
-    return F.concat(told(_VERBAL, 0), told(_CLOSED, 1))
-
-
-def semicolons(text: Column) -> Column:
-    found = F.transform(spans_of(text, ";"), lambda m: _hit("semicolon", F.lit("Do not use a semicolon in prose. Write two sentences."), m["at"]))
-    return F.when(text.contains(";"), found).otherwise(F.expr(_NO_HITS))
-
-
-def phrase_places(lower: Column, form: Column) -> Column:
-    """0-based characters where the form stands alone, from the pieces between its occurrences."""
-    pieces = F.split(lower, F.concat(F.lit("\\Q"), form, F.lit("\\E")), -1)
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
-    touching = lambda c: F.coalesce(c, F.lit("")).rlike(_TOUCHING)
-
-    def step(state, piece, i):
-        end = state["at"] + F.length(piece)
-        before = F.substring(lower, end, 1)
-        after = F.substring(lower, end + F.length(form) + 1, 1)
-        alone = ~((end > 0) & touching(before)) & ~touching(after) & (i < F.size(pieces) - 1)
-        return F.struct((end + F.length(form)).alias("at"), F.when(alone, F.concat(state["out"], F.array(end))).otherwise(state["out"]).alias("out"))
-
-    numbered = F.transform(pieces, lambda x, i: F.struct(x.alias("x"), i.alias("i")))
-    return F.aggregate(numbered, start, lambda s, p: step(s, p["x"], p["i"]))["out"]
-
-
-def overlapping_places(lower: Column, form: Column) -> Column:
-    """The same for a form that may overlap itself: every start is tried."""
-    last = F.length(lower) - F.length(form)
-    touching = lambda c: c.rlike(_TOUCHING)
-    every = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.expr("cast(array() as array<int>)"))
-    return F.filter(
-        every,
-        lambda p: (F.substring(lower, p + 1, F.length(form)) == form) & ~((p > 0) & touching(F.substring(lower, p, 1))) & ~touching(F.substring(lower, p + F.length(form) + 1, 1)),
-    )
-
-
-def _overlaps_itself(form: str) -> bool:
-    return any(form[k:] == form[: len(form) - k] for k in range(1, len(form)))
-
-
-def phrases(text: Column, config: LintConfig) -> Column:
-    """Hits of all phrase rules that are on."""
-    forms = dictionary.rows(config)
-    if not forms:
-        return F.expr(_NO_HITS)
-    lower = F.lower(text)
-
-    def told(some: list, places) -> Column:
-        if not some:
-            return F.expr(_NO_HITS)
-        listed = F.array(*[F.struct(F.lit(r[0]).alias("rule_id"), F.lit(r[1]).alias("e"), F.lit(r[2]).alias("f"), F.lit(r[3]).alias("form"), F.lit(r[4]).alias("phrase"), F.lit(r[5]).alias("s")) for r in some])
-        there = F.filter(listed, lambda d: lower.contains(d["form"]))
-        message = lambda d: F.concat(F.lit('Use an approved word instead of "'), d["phrase"], F.lit('".'))
-        return F.flatten(F.transform(there, lambda d: F.transform(places(lower, d["form"]), lambda p: _hit(d["rule_id"], message(d), F.octet_length(F.left(lower, p)) + 1, d["s"], d["e"], d["f"]))))
-
-    plain, odd = ([r for r in forms if _overlaps_itself(r[3]) is x and "\\e" not in r[3]] for x in (False, True))
-    odd += [r for r in forms if "\\e" in r[3]]
-    telling = [max(re.findall(r"[^\W_]+", r[3]), key=len, default="") for r in forms]
-    some = F.lit(True)
-    if all(w and w.isascii() for w in telling):
-        some = F.arrays_overlap(F.split(lower, _APART), F.array(*[F.lit(w) for w in sorted(set(telling))]))
-    return F.when(some, F.concat(told(plain, phrase_places), told(odd, overlapping_places))).otherwise(F.expr(_NO_HITS))
-
-
-def directive_names(text: Column) -> Column:
-    """Names after a directive at the line's beginning; null for other lines."""
-    rest = F.regexp_replace(text, _DIRECTIVE, "")
-    return F.when(text.rlike(_DIRECTIVE), F.filter(F.split(rest, r"(?U)[\s,:]+"), lambda n: n != ""))
-
-
-def invalid_suppressions(text: Column) -> Column:
-    names = directive_names(text)
-    unknown = F.filter(names, lambda n: ~n.isin(*REGISTERED))
-    listed = F.array_join(F.transform(unknown, lambda n: F.concat(F.lit('"'), n, F.lit('"'))), ", ")
-    message = F.when(F.size(names) == 0, "Suppression directive must name at least one rule id.").otherwise(
-        F.concat(F.lit("Suppression directive names unknown rule ids: "), listed, F.lit("."))
-    )
-    at = F.octet_length(F.substring_index(text, DIRECTIVE, 1)) + 1
-    bad = names.isNotNull() & ((F.size(names) == 0) | (F.size(unknown) > 0))
-    return F.when(bad, F.array(_hit("invalid-suppression", message, at))).otherwise(F.expr(_NO_HITS))
+# The messages.
+CONTRACTION = 'Do not use a contraction. Write the words in full. Found "{}".'
+SEMICOLON = "Do not use a semicolon in prose. Write two sentences."
+PHRASE = 'Use an approved word instead of "{}".'
+NO_IDS, UNKNOWN_IDS = "Suppression directive must name at least one rule id.", "Suppression directive names unknown rule ids: {}."
+SENTENCE_IS, SENTENCE_MOST = "Sentence has ", " words; the maximum is "
+PARAGRAPH_IS, PARAGRAPH_MOST = "Paragraph has ", " sentences; the maximum is "
+
+_DIRECTIVE = re.compile(rf"\s*(?:///|//|#)?\s*!?\s*{DIRECTIVE}(.*)", re.DOTALL)
+_WORD = r"[\p{Alphabetic}\p{M}\p{Nd}\p{Pc}\p{Join_Control}]"
+_APOSTROPHE = regex.compile(rf"['’](s|{'|'.join(_ENDINGS)})(?!{_WORD})", regex.I)
+_BEFORE = regex.compile(rf"{_WORD}+$")
+#: What a form's neighbours may not be.
+_TOUCHING = regex.compile(r"[\p{Alphabetic}\p{N}]")
+
+HIT = "line:bigint,rule_id:string,message:string,suggestions:array<string>,col:bigint,entry_ord:int,form_ord:int,hushed:array<string>"
+_HIT_TYPES = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string())]
+_HIT_NAMES = [f.split(":")[0] for f in HIT.split(",")]
+
+
+@lru_cache(maxsize=8)
+def _automaton(forms: tuple) -> ahocorasick.Automaton | None:
+    """All forms in one automaton; each holds its entries."""
+    by_form: dict[str, list] = {}
+    for row in forms:
+        by_form.setdefault(row[3], []).append(row)
+    out = ahocorasick.Automaton()
+    for form, rows in by_form.items():
+        if "\n" not in form:  # no line holds it
+            out.add_word(form, (len(form), rows))
+    if not len(out):
+        return None
+    out.make_automaton()
+    return out
+
+
+class Text:
+    """The lines of a batch as one text."""
+
+    def __init__(self, text: str, sizes: np.ndarray):
+        self.text, self.starts = text, (np.cumsum(sizes + 1) - sizes - 1).tolist()
+
+    def place(self, p: int) -> tuple[int, int]:
+        """The line of a character, and its byte column from 1."""
+        line = bisect_right(self.starts, p) - 1
+        return line, len(self.text[self.starts[line] : p].encode()) + 1
+
+
+def _phrases(low: Text, forms: tuple) -> list[tuple]:
+    """(line, rule, message, suggestion, col, entry, form) of every form that stands alone, overlapping ones too."""
+    automaton, out, text = _automaton(forms), [], low.text
+    for last, (size, rows) in automaton.iter(text) if automaton else ():
+        at = last + 1 - size
+        if (at and _TOUCHING.match(text[at - 1])) or _TOUCHING.match(text[last + 1 : last + 2]):
+            continue
+        line, col = low.place(at)
+        out += [(line, rule, PHRASE.format(phrase), [s], col, entry, form) for rule, entry, form, _, phrase, s in rows]
+    return out
+
+
+def _contractions(all_lines: Text) -> list[tuple]:
+    """Verbal contractions (entry 0) and 's after a closed list of words (entry 1)."""
+    out, text, done = [], all_lines.text, [-1, -1]
+    for m in _APOSTROPHE.finditer(text):
+        closed = m[1].lower() == "s"
+        line = bisect_right(all_lines.starts, m.start()) - 1
+        before = _BEFORE.search(text, all_lines.starts[line], m.start())
+        word = before[0] if before else ""
+        # a word that the match before it ends in is no word of its own
+        if not word or before.start() < done[closed] or (closed and word.lower() not in _CLOSED):
+            continue
+        done[closed] = m.end()
+        _, col = all_lines.place(before.start())
+        out.append((line, "contraction", CONTRACTION.format(text[before.start() : m.end()]), None, col, int(closed), 0))
+    return out
+
+
+def directive_names(line: str) -> list[str] | None:
+    """Names after a directive at the line's beginning; None for other lines."""
+    m = _DIRECTIVE.match(line)
+    return [n for n in re.split(r"[\s,:]+", m[1]) if n] if m else None
+
+
+def _directives(all_lines: Text, lines: list[str]) -> tuple[list[tuple], dict[int, list[str]]]:
+    """Hits of bad directives, and the registered names of each line with a directive."""
+    out, names, at = [], {}, all_lines.text.find(DIRECTIVE)
+    while at >= 0:
+        line, _ = all_lines.place(at)
+        found = directive_names(lines[line]) if line not in names else None
+        if found is not None:
+            unknown = [n for n in found if n not in REGISTERED]
+            names[line] = [n for n in found if n in REGISTERED]
+            if unknown or not found:
+                message = UNKNOWN_IDS.format(", ".join(f'"{n}"' for n in unknown)) if found else NO_IDS
+                out.append((line, "invalid-suppression", message, None, all_lines.place(all_lines.starts[line] + lines[line].find(DIRECTIVE))[1], 0, 0))
+        at = all_lines.text.find(DIRECTIVE, at + len(DIRECTIVE))
+    return out, names
+
+
+def line_hits(prose: pa.ListArray, is_prose: np.ndarray, config: LintConfig) -> tuple[pa.ListArray, dict[tuple[int, int], list[str]]]:
+    """Hits of the line rules that are on, a list a document, and by (document, line) the rules that the line before turns off."""
+    x = lines_in(prose)
+    bounds = prose.offsets
+    flat = prose.values.slice(bounds[0].as_py(), bounds[-1].as_py() - bounds[0].as_py())
+    lines = flat.to_pylist()
+    text = "\n".join(lines)
+    as_is = Text(text, np.array([len(v) for v in lines], np.int64))
+    found, names = _directives(as_is, lines)
+    hushed = {(int(x.doc[k]), int(x.no[k]) + 1): v for k, v in names.items() if v}
+    if not config.severity("invalid-suppression"):
+        found = []
+    if config.severity("contraction"):
+        found += _contractions(as_is)
+    if config.severity("semicolon"):
+        for p in np.flatnonzero(x.data == ord(";")).tolist():
+            line = bisect_right(x.at, p) - 1
+            if is_prose[x.doc[line]]:
+                found.append((line, "semicolon", SEMICOLON, None, p - int(x.at[line]) + 1, 0, 0))
+    if forms := tuple(dictionary.rows(config)):
+        low = text.lower()
+        found += _phrases(Text(low, np.array([len(v) for v in low.split("\n")], np.int64)), forms)
+    found.sort(key=lambda h: h[0])
+    doc = x.doc[[h[0] for h in found]] if found else np.zeros(0, np.int64)
+    line = [int(x.no[h[0]]) for h in found]
+    cells = [line, *([h[k] for h in found] for k in range(1, 7)), [hushed.get((int(d), n)) for d, n in zip(doc, line, strict=True)]]
+    rows = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(cells, _HIT_TYPES, strict=True)], _HIT_NAMES)
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(len(prose) + 1)), pa.int32()), rows), hushed
 
 
 def finished(hits: DataFrame, config: LintConfig) -> DataFrame:
@@ -138,54 +170,53 @@ def finished(hits: DataFrame, config: LintConfig) -> DataFrame:
     return hits.withColumn("severity", severity).withColumn("rule_ord", order).select(*VIOLATION)
 
 
-def line_hits(config: LintConfig) -> Column:
-    """Hits of the contraction, semicolon, phrase and directive rules on a line (kind, text), as one array."""
-    text, hits = F.col("text"), []
-    if config.severity("contraction"):
-        hits.append(contractions(text))
-    if config.severity("semicolon"):
-        hits.append(F.when(F.col("kind").isin(*PROSE_KINDS), semicolons(text)).otherwise(F.expr(_NO_HITS)))
-    hits.append(phrases(text, config))
-    if config.severity("invalid-suppression"):
-        hits.append(F.when(text.contains(DIRECTIVE), invalid_suppressions(text)).otherwise(F.expr(_NO_HITS)))
-    return F.concat(*hits)
+def line_violations(docs: DataFrame, config: LintConfig) -> DataFrame:
+    """Violations of contraction, semicolon, phrase and directive rules of documents (doc_id, kind, text), suppressed ones too."""
+
+    def run(lines: pa.Array, kind: pa.Array) -> pa.Array:
+        parts = []
+        for a, b in slices(lines):
+            prose = extract.told_lines(lines.slice(a, b - a), kind.slice(a, b - a), config.exempt_block_quotes)
+            parts.append(line_hits(prose, np.isin(np.array(kind.slice(a, b - a).to_pylist(), dtype=object), PROSE_KINDS), config)[0])
+        return pa.concat_arrays(parts)
+
+    told = extract.with_lines(docs.select("doc_id", "kind", "text")).select("doc_id", F.arrow_udf(run, f"array<struct<{HIT}>>")("lines", "kind").alias("hits"))
+    return finished(told.select("doc_id", F.inline("hits")), config)
 
 
-def line_violations(lines: DataFrame, config: LintConfig) -> DataFrame:
-    """Violations of contraction, semicolon, phrase and directive rules, suppressed ones too."""
-    found = lines.select("doc_id", F.col("line_no").alias("line"), F.explode(line_hits(config)).alias("h"))
-    return finished(found.select("doc_id", "line", "h.*"), config)
+def _hit(rule: str, line: Column, message: Column, col: Column, entry: Column, hushed: Column) -> Column:
+    none = F.lit(None)
+    return F.struct(
+        line.alias("line"), F.lit(rule).alias("rule_id"), message.alias("message"), none.cast("array<string>").alias("suggestions"),
+        col.cast("bigint").alias("col"), entry.cast("int").alias("entry_ord"), F.lit(0).alias("form_ord"), hushed.alias("hushed"),
+    )
 
 
-def sentence_hits(config: LintConfig) -> Column:
-    """The hit of a sentence (sent_no, text, col, word_count) that is too long, as an array."""
+def sentence_hits(config: LintConfig, sentences: Column) -> Column:
+    """Hits of sentences (line, col, word_count, sent_no, text, hushed) with too many words."""
     most = config.sentence_words
-    snippet = F.concat(F.left("text", F.lit(60)), F.when(F.char_length("text") > 60, "...").otherwise(""))
-    message = F.concat(F.lit("Sentence has "), F.col("word_count").cast("string"), F.lit(f' words; the maximum is {most}. "'), snippet, F.lit('"'))
-    long = F.array(_hit("sentence-length", message, F.col("col"), entry=F.col("sent_no")))
-    return F.when(F.col("word_count") > most, long).otherwise(F.expr(_NO_HITS))
 
+    def hit(s: Column) -> Column:
+        snippet = F.concat(F.left(s["text"], F.lit(60)), F.when(F.char_length(s["text"]) > 60, "...").otherwise(""))
+        message = F.concat(F.lit(SENTENCE_IS), s["word_count"].cast("string"), F.lit(f'{SENTENCE_MOST}{most}. "'), snippet, F.lit('"'))
+        return _hit("sentence-length", s["line"], message, s["col"], s["sent_no"], s["hushed"])
 
-def paragraph_hits(config: LintConfig, n_sentences: Column, para_no: Column) -> Column:
-    """The hit of a paragraph with more sentences than its kind allows, as an array."""
-    cap = F.lit(0)
-    for kind in (*PROSE_KINDS, *SOURCE_KINDS):
-        cap = F.when(F.col("kind") == kind, config.paragraph_sentences(kind)).otherwise(cap)
-    message = F.concat(F.lit("Paragraph has "), n_sentences.cast("string"), F.lit(" sentences; the maximum is "), cap.cast("string"), F.lit("."))
-    return F.when((cap > 0) & (n_sentences > cap), F.array(_hit("paragraph-length", message, F.lit(1), entry=para_no))).otherwise(F.expr(_NO_HITS))
+    return F.transform(F.filter(sentences, lambda s: s["word_count"] > most), hit)
 
 
-def hushed(before: Column) -> Column:
-    """Ids of the rules that a directive on the line before turns off."""
-    names = F.filter(directive_names(before), lambda n: n.isin(*REGISTERED))
-    return F.coalesce(F.when(before.contains(DIRECTIVE), names), F.expr("cast(array() as array<string>)"))
+def paragraph_hits(config: LintConfig, kind: Column, paragraphs: Column) -> Column:
+    """Hits of paragraphs (line, n_sentences, para_no, hushed) with more sentences than their kind allows."""
+    cap = F.lit(0)
+    for name in (*PROSE_KINDS, *SOURCE_KINDS):
+        cap = F.when(kind == name, config.paragraph_sentences(name)).otherwise(cap)
 
+    def hit(p: Column) -> Column:
+        message = F.concat(F.lit(PARAGRAPH_IS), p["n_sentences"].cast("string"), F.lit(PARAGRAPH_MOST), cap.cast("string"), F.lit("."))
+        return _hit("paragraph-length", p["line"], message, F.lit(1), p["para_no"], p["hushed"])
 
-def heard(hits: Column, quiet: Column) -> Column:
-    """The hits without those of hushed rules."""
-    return F.when(F.size(quiet) > 0, F.filter(hits, lambda h: ~F.array_contains(quiet, h["rule_id"]))).otherwise(hits)
+    return F.transform(F.filter(paragraphs, lambda p: (cap > 0) & (p["n_sentences"] > cap)), hit)
 
 
-def suppressions(lines: DataFrame) -> DataFrame:
-    """doc_id, line and rule_id that a directive on the line before turns off."""
-    return lines.select("doc_id", F.col("line_no").alias("line"), F.explode(hushed(F.col("before"))).alias("rule_id")).distinct()
+def heard(hits: Column) -> Column:
+    """The hits without those whose rule the line before turns off."""
+    return F.filter(hits, lambda h: h["hushed"].isNull() | ~F.array_contains(h["hushed"], h["rule_id"]))

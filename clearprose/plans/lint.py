@@ -2,50 +2,104 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clearprose.config import LintConfig
+from clearprose.config import PROSE_KINDS, LintConfig
 from clearprose.operators import extract, rules, segment
+from clearprose.operators.diff import changed_between, edited_texts
+from clearprose.session import ready
+
+_READ = f"hits:array<struct<{rules.HIT}>>,sentences:array<struct<{segment.SENTENCE},hushed:array<string>>>,paragraphs:array<struct<{segment.PARAGRAPH},hushed:array<string>>>,changed:array<bigint>"
+
+
+def _with_hushed(lists: pa.ListArray, hushed: dict) -> pa.ListArray:
+    """A list of structs with a line, and what the line before each turns off."""
+    rows = lists.values
+    names = pa.nulls(len(rows), pa.list_(pa.string()))
+    if hushed:
+        doc = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())).tolist()
+        names = pa.array([hushed.get(k) for k in zip(doc, rows.field("line").to_pylist(), strict=True)], pa.list_(pa.string()))
+    fields = [rows.field(i) for i in range(rows.type.num_fields)]
+    return pa.ListArray.from_arrays(lists.offsets, pa.StructArray.from_arrays([*fields, names], [*(f.name for f in rows.type), "hushed"]))
+
+
+def _read(config: LintConfig, old: bool):
+    """The function that reads a batch of documents: hits of lines, sentences, paragraphs, and changed lines where there are old ones."""
+    whole = config.severity("sentence-length") or config.severity("paragraph-length")
+
+    def part(lines: pa.ListArray, kind: pa.Array, was: pa.ListArray | None) -> pa.StructArray:
+        prose = extract.told_lines(lines, kind, config.exempt_block_quotes)
+        is_prose = np.isin(np.array(kind.to_pylist(), dtype=object), PROSE_KINDS)
+        hits, hushed = rules.line_hits(prose, is_prose, config)
+        sentences, paragraphs = segment.segmented(prose, is_prose, config.sentence_words) if whole else segment.segmented(prose.slice(0, 0), is_prose[:0])
+        if not whole:
+            none = pa.array(np.zeros(len(prose) + 1), pa.int32())
+            sentences, paragraphs = (pa.ListArray.from_arrays(none, x.values) for x in (sentences, paragraphs))
+        changed = pa.nulls(len(prose), pa.list_(pa.int64()))
+        if was is not None:
+            before = extract.told_lines(was, kind, config.exempt_block_quotes)
+            changed = changed_between(before, prose, was.is_null().to_numpy(zero_copy_only=False))
+        return pa.StructArray.from_arrays([hits, _with_hushed(sentences, hushed), _with_hushed(paragraphs, hushed), changed], ["hits", "sentences", "paragraphs", "changed"])
+
+    def run(lines: pa.Array, kind: pa.Array, was: pa.Array) -> pa.Array:
+        return pa.concat_arrays([part(lines.slice(a, b - a), kind.slice(a, b - a), was.slice(a, b - a)) for a, b in segment.slices(lines, also=was)])
+
+    def run_new(lines: pa.Array, kind: pa.Array) -> pa.Array:
+        return pa.concat_arrays([part(lines.slice(a, b - a), kind.slice(a, b - a), None) for a, b in segment.slices(lines)])
+
+    return F.arrow_udf(run if old else run_new, f"struct<{_READ}>")
+
+
+def _hits(config: LintConfig, read: Column, kind: Column) -> Column:
+    """All hits of a document that no directive turns off."""
+    found = [read["hits"]]
+    if config.severity("sentence-length"):
+        found.append(rules.sentence_hits(config, read["sentences"]))
+    if config.severity("paragraph-length") and config.max_paragraph_sentences != 0:
+        found.append(rules.paragraph_hits(config, kind, read["paragraphs"]))
+    return rules.heard(F.concat(*found))
 
 
 def lint(docs: DataFrame, config: LintConfig | None = None) -> DataFrame:
     """Violations of ``docs`` (doc_id, kind, text).
 
-    One scan and one pass: rules that are off leave no trace in the plan, and line rules alone need
-    no exchange. Sentence and paragraph rules deal the texts out by document once, before lines
-    are cut; hits of lines, sentences and paragraphs and what a directive turns off are told
-    on the same rows, so nothing is joined.
+    One scan and one Arrow evaluation, no exchange: a document's lines, sentences and paragraphs and what
+    directives turn off are told in its own row, and only violations leave it.
     """
     config = config or LintConfig()
-    sentence_rule, paragraph_rule = config.severity("sentence-length"), config.severity("paragraph-length") and config.max_paragraph_sentences != 0
-    if not (sentence_rule or paragraph_rule):
-        lines = extract.prose_lines(docs, config.exempt_block_quotes)
-        hits = lines.select("doc_id", F.col("line_no").alias("line"), F.explode(rules.heard(rules.line_hits(config), rules.hushed(F.col("before")))).alias("h"))
-        return rules.finished(hits.select("doc_id", "line", "h.*"), config)
-    lines = extract.prose_lines(docs.repartition("doc_id"), config.exempt_block_quotes)
-    lines = lines.withColumn("hushed", rules.hushed(F.col("before"))).drop("before")
-    told = segment.segmented(lines, rules.heard(rules.line_hits(config), F.col("hushed")))
-    found = [F.when(F.col("is_hit"), F.transform("hits", lambda h: F.struct(F.col("line").alias("line"), h.alias("h"))))]
-    if sentence_rule:
-        hits = F.transform(rules.heard(rules.sentence_hits(config), F.col("hushed")), lambda h: F.struct(F.col("line").alias("line"), h.alias("h")))
-        found.append(F.when(~F.col("is_hit"), hits))
-    if paragraph_rule:
-        same = Window.partitionBy("doc_id", "is_hit", "para")
-        told = told.withColumn("n_sentences", F.count("*").over(same).cast("int")).withColumn("nth", F.row_number().over(same.orderBy("sent_no")))
-        hits = rules.heard(rules.paragraph_hits(config, F.col("n_sentences"), F.col("para.no")), F.col("para.head.hushed"))
-        found.append(F.when(~F.col("is_hit") & (F.col("nth") == 1), F.transform(hits, lambda h: F.struct(F.col("para.head.line_no").alias("line"), h.alias("h")))))
-    every = F.flatten(F.array_compact(F.array(*found)))
-    return rules.finished(told.select("doc_id", F.explode(every).alias("x")).select("doc_id", "x.line", "x.h.*"), config)
+    read = extract.with_lines(docs.select("doc_id", "kind", "text")).select("doc_id", "kind", _read(config, False)("lines", "kind").alias("read"))
+    return rules.finished(read.select("doc_id", F.inline(_hits(config, F.col("read"), F.col("kind")))), config)
+
+
+def lint_writes(writes: DataFrame, config: LintConfig | None = None) -> DataFrame:
+    """Violations of new texts that lie on changed lines.
+
+    ``writes`` has doc_id, kind, new and old; a null old is a new file, whose
+    violations all count. Both texts are read in one row and one evaluation. The filter follows
+    segmentation: a sentence counts where the line it is reported on has changed.
+    """
+    config = config or LintConfig()
+    ready(writes.sparkSession)
+    old = F.when(F.col("old").isNotNull(), extract.kind_lines(F.col("kind"), F.col("old")))
+    lined = writes.filter(F.col("kind").isin(*extract.LINTED)).select("doc_id", "kind", extract.kind_lines(F.col("kind"), F.col("new")).alias("lines"), old.alias("was"))
+    read = lined.select("doc_id", "kind", _read(config, True)("lines", "kind", "was").alias("read"))
+    changed = F.col("read.changed")
+    hits = F.filter(_hits(config, F.col("read"), F.col("kind")), lambda h: changed.isNull() | F.array_contains(changed, h["line"]))
+    return rules.finished(read.select("doc_id", F.inline(hits)), config)
+
+
+def lint_edits(edits: DataFrame, config: LintConfig | None = None) -> DataFrame:
+    """Violations of edits on the lines they change; all of them where there is no content."""
+    return lint_writes(edited_texts(edits), config)
 
 
 def long_sentences_by_language(docs: DataFrame, config: LintConfig | None = None) -> DataFrame:
-    """Sentences, long ones and the most words by language of ``docs`` (doc_id, lang, text)."""
+    """Sentences, long ones and the most words by language of ``docs`` (lang, text)."""
     config = config or LintConfig()
-    keyed = docs.select(F.struct("doc_id", "lang").alias("doc_id"), F.lit("prose-file").alias("kind"), "text")
-    told = segment.sentences(extract.prose_lines(keyed.repartition("doc_id")))
-    return told.groupBy(F.col("doc_id.lang").alias("lang")).agg(
-        F.count("*").alias("n_sentences"),
-        F.count(F.when(F.col("word_count") > config.sentence_words, 1)).alias("n_long"),
-        F.max("word_count").cast("bigint").alias("max_words"),
-    )
+    arrays = extract.prose_arrays(docs.select("lang", F.lit("prose-file").alias("kind"), "text"))
+    counts = segment.with_segments(arrays, texts_over=segment.NO_TEXTS).select("lang", F.transform("segments.sentences", lambda s: s["word_count"]).alias("n"))
+    told = counts.select("lang", F.explode("n").alias("n"))
+    return told.groupBy("lang").agg(F.count("*").alias("n_sentences"), F.count(F.when(F.col("n") > config.sentence_words, 1)).alias("n_long"), F.max("n").cast("bigint").alias("max_words"))

@@ -12,10 +12,9 @@ from pyspark.sql import functions as F
 
 from clearprose import dictionary
 from clearprose.config import LintConfig, PhraseEntry
-from clearprose.functions.text import lines_of
 from clearprose.operators import diff, extract, gate, report, rules, segment, shell
 from clearprose.operators.classify import path_kind
-from clearprose.plans.lint import lint, long_sentences_by_language
+from clearprose.plans.lint import lint, lint_writes, long_sentences_by_language
 from clearprose.session import ready
 from clearprose.sources import readers
 
@@ -122,7 +121,7 @@ def q_sentence_length_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"WITH {_sql_lines('documents', SEEDED)}, {_SQL_SENTENCES} SELECT doc_id, sid AS sent_no, line, col, word_count FROM sentences")
 def q_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segment.sentences(extract.prose_lines(_seeded(spark, sf_dir).repartition("doc_id"))).select("doc_id", F.col("sent_no").cast("bigint").alias("sent_no"), "line", "col", F.col("word_count").cast("bigint").alias("word_count"))
+    return segment.sentences(extract.prose_arrays(_seeded(spark, sf_dir).select("doc_id", "kind", "text"))).select("doc_id", F.col("sent_no").cast("bigint").alias("sent_no"), "line", "col", F.col("word_count").cast("bigint").alias("word_count"))
 
 
 @_query(f"WITH {_sql_lines('documents', SEEDED)}, {_SQL_SENTENCES} SELECT doc_id, line, col FROM sentences WHERE word_count > 25")
@@ -139,8 +138,7 @@ paragraphs AS (SELECT doc_id, para, min(line_no) AS line, CAST(sum(n) AS BIGINT)
 
 @_query(f"WITH {_sql_lines('documents', SEEDED)}, {_SQL_SENTENCES}, {_SQL_PARAGRAPHS} SELECT doc_id, line, n_sentences FROM paragraphs WHERE n_sentences > 6")
 def q_paragraph_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = extract.prose_lines(_seeded(spark, sf_dir).repartition("doc_id"))
-    found = segment.paragraphs(lines).filter("n_sentences > 6")
+    found = segment.paragraphs(extract.prose_arrays(_seeded(spark, sf_dir).select("doc_id", "kind", "text"))).filter("n_sentences > 6")
     return found.select("doc_id", "line", F.col("n_sentences").cast("bigint").alias("n_sentences"))
 
 
@@ -174,7 +172,7 @@ def q_classify_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _line_hits(spark: SparkSession, sf_dir: str, *on: str) -> DataFrame:
-    return rules.line_violations(_lines(spark, sf_dir), _only(*on))
+    return rules.line_violations(_seeded(spark, sf_dir), _only(*on))
 
 
 @_query(f"WITH {_sql_lines('documents', SEEDED)}, p AS (SELECT doc_id, line_no, string_split(line, ';') AS p FROM lines WHERE contains(line, ';')), q AS (SELECT doc_id, line_no, len(p) AS n, unnest(range(1, len(p) + 1)) AS i, unnest(p) AS x FROM p), "
@@ -185,8 +183,8 @@ def q_semicolon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT page_id AS doc_id, CAST(length(html) - length(replace(html, ';', '')) AS BIGINT) AS n FROM pages WHERE contains(html, ';')")
 def q_page_semicolons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.lit("prose-file").alias("kind"), F.explode(lines_of(F.col("html"))).alias("text")).withColumn("line_no", F.lit(1).cast("bigint"))
-    return rules.line_violations(pages, _only("semicolon")).groupBy("doc_id").agg(F.count("*").alias("n"))
+    pages = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.lit("commit-message").alias("kind"), F.col("html").alias("text"))
+    return lint(pages, _only("semicolon")).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 @_query(f"WITH {_sql_lines('documents', SEEDED)}, m AS (SELECT doc_id, line_no, unnest(regexp_extract_all(line, '[A-Za-z0-9_]+[''’](t|re|ve|ll|d|m)\\b')) AS found FROM lines UNION ALL "
@@ -212,7 +210,7 @@ _SQL_PLACES = (
 
 def _phrase_query(name: str, config: LintConfig) -> None:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = rules.line_violations(_lines(spark, sf_dir), config).filter(F.col("suggestions").isNotNull())
+        found = rules.line_violations(_seeded(spark, sf_dir), config).filter(F.col("suggestions").isNotNull())
         return found.select("doc_id", "rule_id", F.regexp_extract("message", '"(.*)"', 1).alias("form"), F.get("suggestions", F.lit(0)).alias("suggestion"), "line", "col")
 
     QUERIES[name] = query
@@ -234,10 +232,9 @@ def q_invalid_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"WITH {_sql_lines('documents', SEEDED)}, d AS (SELECT doc_id, line_no + 1 AS line_no FROM lines WHERE regexp_matches(line, '^// ste-disable-next-line.*semicolon')) SELECT count(*) AS n_before, count(*) FILTER (d.doc_id IS NULL) AS n_after FROM (SELECT doc_id, line_no, unnest(range(0, CAST(length(line) - length(replace(line, ';', '')) AS INT))) AS i FROM lines) s LEFT JOIN d USING (doc_id, line_no)")
 def q_suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    config, lines = _only("semicolon"), _lines(spark, sf_dir)
-    gone = rules.suppressions(lines).withColumn("gone", F.lit(True))
-    told = rules.line_violations(lines, config).join(gone, ["doc_id", "line", "rule_id"], "left")
-    return told.agg(F.count("*").alias("n_before"), F.count(F.when(F.col("gone").isNull(), 1)).alias("n_after"))
+    config, docs = _only("semicolon"), _seeded(spark, sf_dir)
+    before = rules.line_violations(docs, config).agg(F.count("*").alias("n_before"))
+    return before.crossJoin(lint(docs, config).agg(F.count("*").alias("n_after")))  # two single rows
 
 
 _SQL_LINT = f"""WITH {_sql_lines('documents', SEEDED)}, {_SQL_SENTENCES}, {_SQL_PARAGRAPHS}, {_forms_sql(LintConfig())}, {_SQL_PLACES},
@@ -280,7 +277,7 @@ def q_density_by_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"WITH {_sql_lines('documents', SEEDED)}, n AS (SELECT doc_id, CAST(sum(length(line) - length(replace(line, ';', ''))) AS BIGINT) AS n FROM lines GROUP BY doc_id) SELECT doc_id, CASE WHEN coalesce(n, 0) = 0 THEN 'doc' || doc_id || ': clean' ELSE 'doc' || doc_id || ': ' || n || ' violation(s), ' || n || ' hard, 0 soft' END AS head, coalesce(n, 0) > 0 AS failed FROM documents LEFT JOIN n USING (doc_id)")
 def q_report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _seeded(spark, sf_dir).withColumn("label", F.concat(F.lit("doc"), F.col("doc_id").cast("string")))
-    told = report.text_reports(docs, rules.line_violations(extract.prose_lines(docs), _only("semicolon")))
+    told = report.text_reports(docs, rules.line_violations(docs, _only("semicolon")))
     return told.select("doc_id", F.substring_index("report", "\n", 1).alias("head"), "failed")
 
 
@@ -294,7 +291,7 @@ def q_apply_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("SELECT doc_id, CAST(len(string_split(text, chr(10))) + 1 AS BIGINT) AS line, CAST(9 AS BIGINT) AS col FROM documents WHERE text <> '' AND NOT ends_with(text, chr(10))")
 def q_diff_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
     writes = _docs(spark, sf_dir).filter("text <> '' and not endswith(text, '\n')").select("doc_id", "kind", F.concat("text", F.lit("\nAn extra; line.")).alias("new"), F.col("text").alias("old"))
-    return diff.lint_writes(writes, _only("semicolon")).select("doc_id", "line", "col")
+    return lint_writes(writes, _only("semicolon")).select("doc_id", "line", "col")
 
 
 _COMMANDS = (
