@@ -1,89 +1,121 @@
-"""Gates over batches of tool calls and over replies."""
+"""Gates over batches of tool calls and over replies; texts are linted in their rows, only verdicts are grouped."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clearprose.config import LintConfig
 from clearprose.operators.classify import path_kind
-from clearprose.operators.diff import edited_texts
-from clearprose.operators.report import feedback, sorted_violations
+from clearprose.operators.diff import apply_edit
+from clearprose.operators.report import feedback
 from clearprose.operators.shell import commit_messages
-from clearprose.plans.lint import lint, lint_writes
+from clearprose.plans.lint import with_found, with_found_in_change
 from clearprose.session import ready
 
 MAX_GATES, KEPT_IDENTITIES = 3, 16
+# The texts that gates put out.
 UNCHECKED = "Writing rules could not check the git commit message. Use git commit with a static -m or --message argument."
+BLOCKED, WARNED, HARD_IN, SOFT_IN = "Writing rules blocked", "Writing-rule warnings for", "Writing-rule violations in", "Writing-rule warnings in"
+CHECKED = "[simple-english] Post-check of files changed by this command.\n"
+TO_DO = "Fix the hard violations. A later write to a listed file re-runs this check until the file is clean."
 REPLY_STATE = "hard bigint, soft bigint, last_identity string, gate_count int, gated_replies array<string>"
 
 
-def _by_severity(violations: DataFrame) -> DataFrame:
-    """doc_id with arrays hard and soft in report order."""
-    told = sorted_violations(violations)
-    part = lambda s: F.filter("found", lambda v: v["severity"] == s).alias(s)
-    return told.select("doc_id", part("hard"), part("soft"))
+def of_severity(violations: Column, severity: str) -> Column:
+    return F.filter(violations, lambda v: v["severity"] == severity)
 
 
 def check_calls(calls: DataFrame, files: DataFrame, config: LintConfig | None = None) -> tuple[DataFrame, DataFrame]:
     """(blocked, warnings) of write, edit and bash calls; other tools pass.
 
     ``calls`` has call_id, name and arguments (a struct of file_path, path, content,
-    old_string, new_string, replace_all and command), ``files`` path and content.
+    old_string, new_string, replace_all and command), ``files`` path and content. An edit that can't be
+    applied passes; one of a missing file is judged by its new string alone.
     """
-    config = config or LintConfig()
+    ready(calls.sparkSession)
     a = lambda c: F.col(f"arguments.{c}")
-    known = files.select(F.col("path").alias("file_path"), F.col("content").alias("held"))
-    told = calls.filter("name in ('write', 'edit')").withColumn("file_path", F.coalesce(a("file_path"), F.lit(""))).join(known, "file_path", "left")
-    told = told.withColumn("doc_id", F.struct("call_id", F.lit(0).alias("ord"))).withColumn("kind", path_kind(F.col("file_path")))
     text = lambda c: F.coalesce(a(c), F.lit(""))
-    writes = told.filter("name = 'write'").select("doc_id", "kind", text("content").alias("new"), F.col("held").alias("old"))
-    edits = told.filter("name = 'edit'").select("doc_id", "kind", F.col("held").alias("content"), text("old_string").alias("old_string"), text("new_string").alias("new_string"), a("replace_all").alias("replace_all"))
+    known = files.select(F.col("path").alias("file_path"), F.col("content").alias("held"))
+    told = calls.filter("name in ('write', 'edit')").withColumn("file_path", text("file_path")).join(known, "file_path", "left")
+    told = told.withColumn("edit", apply_edit(F.col("held"), text("old_string"), text("new_string"), F.coalesce(a("replace_all"), F.lit(False))))
+    new = F.when(F.col("name") == "write", text("content")).when(F.col("held").isNull(), text("new_string")).otherwise(F.col("edit.result"))
+    shown = F.coalesce(a("file_path"), a("path"), F.lit("file")).alias("path")
+    judged = told.withColumn("new", new).filter("new is not null").withColumn("kind", path_kind(F.col("file_path")))
+    judged = with_found_in_change(judged, F.col("kind"), F.col("new"), F.col("held"), config).select("call_id", shown, F.col("changed").alias("found"))
+
     commits = commit_messages(calls.filter("name = 'bash'").select("call_id", text("command").alias("command")))
-    dynamic = commits.filter("dynamic").select("call_id").distinct()
-    static = commits.join(dynamic, "call_id", "left_anti").select(F.struct("call_id", "ord").alias("doc_id"), F.lit("commit-message").alias("kind"), F.col("message").alias("new"), F.lit(None).cast("string").alias("old"))
-    found = lint_writes(writes.unionByName(edited_texts(edits)).unionByName(static), config)  # one lint for all
-    found = found.withColumn("entry_ord", F.col("doc_id.ord") * 1_000_000 + F.col("entry_ord")).withColumn("doc_id", F.col("doc_id.call_id"))
-    display = F.when(F.col("name") == "bash", "commit message").otherwise(F.coalesce(a("file_path"), a("path"), F.lit("file")))
-    shown = calls.select(F.col("call_id").alias("doc_id"), display.alias("path"))
-    judged = _by_severity(found).join(shown, "doc_id")
-    total = F.size("hard") + F.size("soft")
+    read = with_found(commits, F.when(F.col("dynamic"), "skip").otherwise("commit-message"), F.col("message"), config)
+    gathered = read.groupBy("call_id").agg(F.max("dynamic").alias("dynamic"), F.array_sort(F.collect_list(F.struct("ord", "found"))).alias("f"))
+    messages = gathered.select("call_id", F.lit("commit message").alias("path"), F.flatten(F.transform("f", lambda x: x["found"])).alias("found"), "dynamic")
+    judged = judged.withColumn("dynamic", F.lit(False)).unionByName(messages)
+
+    hard, soft = of_severity(F.col("found"), "hard"), of_severity(F.col("found"), "soft")
+    judged = judged.withColumn("hard", hard).withColumn("soft", soft)
+    total = F.size("found")
     note = F.when(total > 1, F.concat(F.lit(" ("), total.cast("string"), F.lit(" total, "), F.size("hard").cast("string"), F.lit(" hard)"))).otherwise("")
-    reason = F.concat(F.lit("Writing rules blocked"), note, F.lit("\n"), feedback(F.lit(""), F.col("path"), F.col("hard")))
-    blocked = judged.filter(F.size("hard") > 0).select(F.col("doc_id").alias("call_id"), reason.alias("reason"))
-    blocked = blocked.unionByName(dynamic.withColumn("reason", F.lit(UNCHECKED)))
-    soft = judged.filter(F.size("hard") == 0)
-    return blocked, soft.select(F.col("doc_id").alias("call_id"), feedback(F.lit("Writing-rule warnings for"), F.col("path"), F.col("soft")).alias("warning"))
+    reason = F.when(F.col("dynamic"), UNCHECKED).otherwise(F.concat(F.lit(BLOCKED), note, F.lit("\n"), feedback(F.lit(""), F.col("path"), F.col("hard"))))
+    blocked = judged.filter(F.col("dynamic") | (F.size("hard") > 0)).select("call_id", reason.alias("reason"))
+    warned = judged.filter(~F.col("dynamic") & (F.size("hard") == 0) & (F.size("soft") > 0))
+    return blocked, warned.select("call_id", feedback(F.lit(WARNED), F.col("path"), F.col("soft")).alias("warning"))
+
+
+SECTION = "struct<hard:bigint,soft:boolean,text:string>"
+
+
+def judged_files(seen: DataFrame, config: LintConfig | None = None) -> DataFrame:
+    """``seen`` (path, prev, content and others) with outcome, and what a check of the whole file and of its changed lines would say.
+
+    Outcomes: gone (there is no file), same (nothing to check: unchanged, binary or skipped) and checked. ``whole`` and
+    ``changed`` are structs of the number of hard violations and the section of the report (null text: none).
+    """
+    ready(seen.sparkSession)
+    content, kind = F.col("content"), path_kind(F.col("path"))
+    same = F.col("prev").eqNullSafe(content) | content.contains("\0") | (kind == "skip")
+    told = seen.withColumn("outcome", F.when(content.isNull(), "gone").when(same, "same").otherwise("checked"))
+    told = with_found_in_change(told, F.when(F.col("outcome") == "checked", kind).otherwise("skip"), content, F.col("prev"), config)
+
+    def section(violations: str) -> Column:
+        hard, soft = of_severity(F.col(violations), "hard"), of_severity(F.col(violations), "soft")
+        text = F.when(F.size(hard) > 0, feedback(F.lit(HARD_IN), F.col("path"), hard)).when(F.size(soft) > 0, feedback(F.lit(SOFT_IN), F.col("path"), soft))
+        return F.struct(F.size(hard).cast("bigint").alias("hard"), (F.size(hard) == 0).alias("soft"), text.alias("text"))
+
+    return told.withColumn("whole", section("found")).withColumn("changed", section("changed")).drop("found", "prev", "content")
+
+
+def report_of(sections: Column) -> Column:
+    """The report of a call from its sections (soft, nth, text), hard ones first, in the order of mention; null without any."""
+    ordered = F.array_sort(sections)
+    body = F.concat(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n"), F.lit("\n"))
+    return F.when(F.size(sections) > 0, F.concat(F.lit(CHECKED), body, F.lit(TO_DO)))
 
 
 def post_check(snapshots: DataFrame, current: DataFrame, open_files: DataFrame, config: LintConfig | None = None) -> tuple[DataFrame, DataFrame]:
     """(reports, open files) after commands ran.
 
-    ``snapshots`` has call_id, path and prev, ``current`` path and content of the
-    files that exist, ``open_files`` path and hard. A changed file is linted where it
-    changed, one with open violations in full; the new open files follow.
+    ``snapshots`` has call_id, path and prev and, where a batch has several calls, ord (the call's
+    place) and nth (the mention's); ``current`` path and content of the files that exist, ``open_files`` path and hard.
+    A changed file is checked where it changed, one with open violations as a whole. Calls of a batch
+    follow one another: what a call opens or clears, the next call finds so. A check that finds violations, but none on changed
+    lines, leaves a file as it was; every other outcome tells its state, so the last of
+    those before a call does.
     """
-    config = config or LintConfig()
-    told = snapshots.join(current, "path", "left").join(open_files.select("path", F.lit(True).alias("was_open")), "path", "left")
-    gone = told.filter("content is null").select("path").distinct()
-    changed = told.filter("content is not null and not (prev <=> content)").filter(~F.col("content").contains("\0")).withColumn("kind", path_kind(F.col("path"))).filter("kind <> 'skip'")
-    key = F.struct("call_id", "path").alias("doc_id")
-    old = F.when(F.col("was_open").isNull(), F.col("prev"))
-    found = lint_writes(changed.select(key, "kind", F.col("content").alias("new"), old.alias("old")), config)
-    judged = changed.select(key).join(_by_severity(found), "doc_id", "left").select("doc_id.*", "hard", "soft")
-    is_hard = F.coalesce(F.size("hard"), F.lit(0)) > 0
-    now_open = judged.filter(is_hard).groupBy("path").agg(F.max(F.size("hard")).cast("bigint").alias("hard"))
-    checked = judged.select("path").unionByName(gone).distinct()
-    left = open_files.join(checked, "path", "left_anti").select("path", F.col("hard").cast("bigint").alias("hard")).unionByName(now_open)
-    section = F.when(is_hard, feedback(F.lit("Writing-rule violations in"), F.col("path"), F.col("hard"))).otherwise(feedback(F.lit("Writing-rule warnings in"), F.col("path"), F.col("soft")))
-    sections = judged.filter(is_hard | (F.coalesce(F.size("soft"), F.lit(0)) > 0)).select("call_id", F.struct((~is_hard).alias("soft"), "path", section.alias("text")).alias("s"))
-    parts = sections.groupBy("call_id").agg(F.array_sort(F.collect_list("s")).alias("s"))
-    body = F.concat(F.array_join(F.transform("s", lambda x: x["text"]), "\n"), F.lit("\n"))
-    head = F.lit("[simple-english] Post-check of files changed by this command.\n")
-    tail = F.lit("Fix the hard violations. A later write to a listed file re-runs this check until the file is clean.")
-    return parts.select("call_id", F.concat(head, body, tail).alias("report")), left
+    place = lambda c: F.col(c).cast("int") if c in snapshots.columns else F.lit(0)
+    seen = snapshots.select("call_id", place("ord").alias("ord"), place("nth").alias("nth"), "path", "prev").join(current.select("path", "content"), "path", "left")
+    seen = seen.join(open_files.select("path", F.col("hard").cast("bigint").alias("was")), "path", "left")
+    order = Window.partitionBy("path").orderBy("ord", "call_id", "nth")
+    checked = F.col("outcome") == "checked"
+    tells = F.when(F.col("outcome") == "gone", False).when(checked & (F.col("whole.hard") == 0), False).when(checked & (F.col("changed.hard") > 0), True)
+    before = F.last("tells", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    told = judged_files(seen, config).withColumn("tells", tells).withColumn("open", F.coalesce(before, F.col("was").isNotNull()))
+    told = told.withColumn("said", F.when(F.col("open"), F.col("whole")).otherwise(F.col("changed")))
+    count = F.when(F.col("outcome") == "gone", 0).when(checked, F.col("said.hard"))
+    last = told.withColumn("count", count).groupBy("path").agg(F.max_by(F.when(F.col("count").isNotNull(), F.col("count")), F.when(F.col("count").isNotNull(), F.struct("ord", "call_id", "nth"))).alias("count"))
+    left = open_files.select("path", F.col("hard").cast("bigint").alias("hard")).join(last, "path", "full").select("path", F.coalesce("count", "hard").alias("hard")).filter("hard > 0")
+    sections = told.filter((F.col("outcome") == "checked") & F.col("said.text").isNotNull()).groupBy("call_id").agg(F.collect_list(F.struct("said.soft", "nth", "said.text")).alias("s"))
+    return sections.select("call_id", report_of(F.col("s")).alias("report")), left
 
 
 def spliced(results: DataFrame, reports: DataFrame, calls: DataFrame | None = None) -> DataFrame:
@@ -150,6 +182,7 @@ def new_state() -> dict:
 def follow_up(hard_text, soft_text, hard, soft):
     """The message that asks for a corrected reply."""
     note = F.when(soft > 0, F.concat(F.lit(", "), soft.cast("string"), F.lit(" soft"))).otherwise("")
+    # fixed value
     ask = (
         ". Re-send the complete reply, in full, with every flagged issue below fixed. Do not reply with only the changed lines. "
         "Keep the same meaning and content; change only what the flagged issues require. Do not re-run, re-verify, or redo the work. "
@@ -160,19 +193,29 @@ def follow_up(hard_text, soft_text, hard, soft):
 
 
 def last_replies(events: DataFrame) -> DataFrame:
-    """session, seq and content of each session's last assistant message with content."""
+    """session, seq and content of each session's last assistant message with content.
+
+    The last one is that of the greatest ``place`` (of the greatest seq, where events have no place).
+    """
     some = events.filter("type = 'assistant_message' and trim(content) <> ''")
-    return some.groupBy("session").agg(F.max_by(F.struct("seq", "content"), "seq").alias("m")).select("session", "m.*")
+    by = "place" if "place" in events.columns else "seq"
+    return some.groupBy("session").agg(F.max_by(F.struct("seq", "content"), by).alias("m")).select("session", "m.*")
 
 
 def linted_replies(replies: DataFrame, config: LintConfig | None = None) -> DataFrame:
-    """Replies (session, seq, content) with hard and soft counts and the follow-up message."""
-    docs = replies.select(F.struct("session", "seq").alias("doc_id"), F.lit("prose-file").alias("kind"), F.col("content").alias("text"))
-    judged = _by_severity(lint(docs, config)).select("doc_id.*", "hard", "soft")
-    told = replies.join(judged, ["session", "seq"], "left")
-    n = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("bigint")
+    """Replies (session, seq, content) with hard and soft counts and the follow-up message, told in each reply's row."""
+    ready(replies.sparkSession)
+    told = with_found(replies, F.lit("prose-file"), F.col("content"), config)
+    told = told.withColumn("h", of_severity(F.col("found"), "hard")).withColumn("s", of_severity(F.col("found"), "soft"))
+    n = lambda c: F.size(c).cast("bigint")
     text = lambda c: feedback(F.lit(""), F.lit("reply"), F.col(c))
-    return told.select("session", "seq", "content", follow_up(text("hard"), text("soft"), n("hard"), n("soft")).alias("message"), n("hard").alias("hard"), n("soft").alias("soft"))
+    return told.select("session", "seq", "content", follow_up(text("h"), text("s"), n("h"), n("s")).alias("message"), n("h").alias("hard"), n("s").alias("soft"))
+
+
+def with_identity(linted: DataFrame) -> DataFrame:
+    """session, seq, identity, hard, soft and others of linted replies: identities of a batch are hashed together, texts go no further."""
+    identity = F.pandas_udf(_identities, "string")(F.coalesce("content", F.lit("")))
+    return linted.withColumn("identity", identity).drop("content")
 
 
 def _fold(rows: pd.DataFrame) -> pd.DataFrame:
@@ -189,6 +232,5 @@ def gate_replies(linted: DataFrame) -> DataFrame:
     """Each reply in its session's order: gated or not, and the count of gates in a row."""
     ready(linted.sparkSession)
     kind = linted.schema["session"].dataType.simpleString()
-    # only the identity of a reply travels to its session's task, not its text
-    identity = F.pandas_udf(_identities, "string")(F.coalesce("content", F.lit("")))
-    return linted.select("session", "seq", identity.alias("identity"), "hard", "soft").groupBy("session").applyInPandas(_fold, f"session {kind}, seq bigint, hard bigint, soft bigint, gated boolean, gate_count int")
+    told = with_identity(linted).select("session", "seq", "identity", "hard", "soft")
+    return told.groupBy("session").applyInPandas(_fold, f"session {kind}, seq bigint, hard bigint, soft bigint, gated boolean, gate_count int")

@@ -160,14 +160,20 @@ def line_hits(prose: pa.ListArray, is_prose: np.ndarray, config: LintConfig) ->
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(len(prose) + 1)), pa.int32()), rows), hushed
 
 
-def finished(hits: DataFrame, config: LintConfig) -> DataFrame:
-    """Adds severity and the rule's place in the report order."""
-    severity, order = F.lit(None).cast("string"), F.lit(None).cast("int")
-    for i, rule in enumerate(RULE_ORDER):
-        if config.severity(rule):
-            severity = F.when(F.col("rule_id") == rule, config.severity(rule)).otherwise(severity)
-        order = F.when(F.col("rule_id") == rule, i).otherwise(order)
-    return hits.withColumn("severity", severity).withColumn("rule_ord", order).select(*VIOLATION)
+#: A violation in an array, in the order of the report.
+FOUND = ["line", "col", "rule_ord", "entry_ord", "form_ord", "rule_id", "severity", "message", "suggestions"]
+
+
+def reported(hits: Column, config: LintConfig) -> Column:
+    """The hits with severity and the rule's place in the report order, sorted as a report has them."""
+    rows = [(r, config.severity(r), i) for i, r in enumerate(RULE_ORDER) if config.severity(r)]
+    def row(h: Column) -> Column:
+        severity, order = F.lit(None).cast("string"), F.lit(None).cast("int")
+        for rule, level, i in rows:
+            severity, order = F.when(h["rule_id"] == rule, level).otherwise(severity), F.when(h["rule_id"] == rule, i).otherwise(order)
+        return F.struct(h["line"].alias("line"), h["col"].alias("col"), order.alias("rule_ord"), h["entry_ord"].alias("entry_ord"), h["form_ord"].alias("form_ord"), h["rule_id"].alias("rule_id"), severity.alias("severity"), h["message"].alias("message"), h["suggestions"].alias("suggestions"))
+
+    return F.array_sort(F.transform(hits, row))
 
 
 def line_violations(docs: DataFrame, config: LintConfig) -> DataFrame:
@@ -181,7 +187,7 @@ def line_violations(docs: DataFrame, config: LintConfig) -> DataFrame:
         return pa.concat_arrays(parts)
 
     told = extract.with_lines(docs.select("doc_id", "kind", "text")).select("doc_id", F.arrow_udf(run, f"array<struct<{HIT}>>")("lines", "kind").alias("hits"))
-    return finished(told.select("doc_id", F.inline("hits")), config)
+    return told.select("doc_id", reported(F.col("hits"), config).alias("found")).select("doc_id", F.inline("found")).select(*VIOLATION)
 
 
 def _hit(rule: str, line: Column, message: Column, col: Column, entry: Column, hushed: Column) -> Column:

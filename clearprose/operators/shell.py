@@ -23,12 +23,17 @@ def path_mentions(command: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(command, F.lit(PATH), F.lit(0)))
 
 
-def resolved_path(path: Column, folder: Column, home: str) -> Column:
-    """An absolute path: ~ is the home folder, other relative paths lie in ``folder``."""
+def resolved_path(path: Column, folder: Column, home: str, session_folder: Column | None = None) -> Column:
+    """An absolute path: relative ones lie in the session's folder where it has one, else in ``folder``.
+
+    A ~ stands for the home folder; what follows it with a slash is absolute already, as joining paths has it.
+    """
+    beside = folder if session_folder is None else F.coalesce(F.when(F.trim(session_folder) != "", F.trim(session_folder)), folder)
     return (
-        F.when(path.startswith("~"), F.concat(F.lit(home + "/"), F.regexp_replace(path, "^~/?", "")))
+        F.when(path.startswith("~/"), F.substring(path, F.lit(2), F.length(path)))
+        .when(path.startswith("~"), F.concat(F.lit(home + "/"), F.substring(path, F.lit(2), F.length(path))))
         .when(path.startswith("/"), path)
-        .otherwise(F.concat_ws("/", folder, path))
+        .otherwise(F.concat_ws("/", F.regexp_replace(beside, "/$", ""), path))
     )
 
 
@@ -71,12 +76,15 @@ def commit_messages(commands: DataFrame) -> DataFrame:
 
 
 def snapshots(commands: DataFrame, files: DataFrame, home: str = "") -> DataFrame:
-    """call_id, path and prev of each lintable file a command mentions.
+    """call_id, ord, nth, path and prev of each lintable file a command mentions, in the order of mention.
 
-    ``commands`` has call_id, command and cwd, ``files`` path and content. A missing
-    file has a null prev; skipped kinds and large files are left out.
+    ``commands`` has call_id, command, cwd and, where known, ord (the call's place in its batch) and
+    session_cwd; ``files`` path and content. A missing file has a null prev; skipped kinds
+    and large files are left out; a path that two mentions name is there twice.
     """
-    told = commands.select("call_id", "cwd", F.explode(path_mentions(F.col("command"))).alias("token"))
-    told = told.withColumn("path", resolved_path(F.col("token"), F.col("cwd"), home)).filter(path_kind(F.col("path")) != "skip")
-    held = told.select("call_id", "path").distinct().join(files, "path", "left")
-    return held.filter(f"content is null or octet_length(content) <= {MAX_FILE_BYTES}").select("call_id", "path", F.col("content").alias("prev"))
+    order = F.col("ord") if "ord" in commands.columns else F.lit(0)
+    own = F.col("session_cwd") if "session_cwd" in commands.columns else None
+    told = commands.select("call_id", order.cast("int").alias("ord"), "cwd", *([own] if own is not None else []), F.posexplode(path_mentions(F.col("command"))).alias("nth", "token"))
+    told = told.withColumn("path", resolved_path(F.col("token"), F.col("cwd"), home, own)).filter(path_kind(F.col("path")) != "skip")
+    held = told.select("call_id", "ord", "nth", "path").join(files, "path", "left")
+    return held.filter(f"content is null or octet_length(content) <= {MAX_FILE_BYTES}").select("call_id", "ord", "nth", "path", F.col("content").alias("prev"))

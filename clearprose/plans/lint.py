@@ -54,41 +54,60 @@ def _read(config: LintConfig, old: bool):
 
 
 def _hits(config: LintConfig, read: Column, kind: Column) -> Column:
-    """All hits of a document that no directive turns off."""
+    """All hits of a document that no directive turns off, in report order."""
     found = [read["hits"]]
     if config.severity("sentence-length"):
         found.append(rules.sentence_hits(config, read["sentences"]))
     if config.severity("paragraph-length") and config.max_paragraph_sentences != 0:
         found.append(rules.paragraph_hits(config, kind, read["paragraphs"]))
-    return rules.heard(F.concat(*found))
+    return rules.reported(rules.heard(F.concat(*found)), config)
 
 
-def lint(docs: DataFrame, config: LintConfig | None = None) -> DataFrame:
-    """Violations of ``docs`` (doc_id, kind, text).
+def _lines(kind: Column, text: Column) -> Column:
+    return F.when(kind.isin(*extract.LINTED), extract.kind_lines(kind, text)).otherwise(F.expr("cast(array() as array<string>)"))
+
+
+def with_found(rows: DataFrame, kind: Column, text: Column, config: LintConfig | None = None) -> DataFrame:
+    """``rows`` with ``found``: the violations of each row's text, in report order, as an array.
 
-    One scan and one Arrow evaluation, no exchange: a document's lines, sentences and paragraphs and what
-    directives turn off are told in its own row, and only violations leave it.
+    Lines, sentences and paragraphs and what directives turn off are told by one Arrow evaluation;
+    no text leaves its row.
     """
-    config = config or LintConfig()
-    read = extract.with_lines(docs.select("doc_id", "kind", "text")).select("doc_id", "kind", _read(config, False)("lines", "kind").alias("read"))
-    return rules.finished(read.select("doc_id", F.inline(_hits(config, F.col("read"), F.col("kind")))), config)
+    config, kept = config or LintConfig(), rows.columns
+    ready(rows.sparkSession)
+    read = rows.withColumns({"_kind": kind, "_lines": _lines(kind, text)}).withColumn("_read", _read(config, False)("_lines", "_kind"))
+    return read.select(*kept, _hits(config, F.col("_read"), F.col("_kind")).alias("found"))
+
+
+def with_found_in_change(rows: DataFrame, kind: Column, new: Column, old: Column, config: LintConfig | None = None) -> DataFrame:
+    """``rows`` with ``found``, the violations of the new text, and ``changed``, those on changed lines; the same where there is no old text.
+
+    Both texts are read in one row and one evaluation. The filter follows segmentation: a sentence
+    counts where the line it is reported on has changed.
+    """
+    config, kept = config or LintConfig(), rows.columns
+    ready(rows.sparkSession)
+    lines = {"_kind": kind, "_lines": _lines(kind, new), "_was": F.when(old.isNotNull(), _lines(kind, old))}
+    read = rows.withColumns(lines).withColumn("_read", _read(config, True)("_lines", "_kind", "_was"))
+    told = read.select(*kept, _hits(config, F.col("_read"), F.col("_kind")).alias("found"), F.col("_read.changed").alias("_at"))
+    changed = F.when(F.col("_at").isNull(), F.col("found")).otherwise(F.filter("found", lambda h: F.array_contains("_at", h["line"])))
+    return told.select(*kept, "found", changed.alias("changed"))
+
+
+def lint(docs: DataFrame, config: LintConfig | None = None) -> DataFrame:
+    """Violations of ``docs`` (doc_id, kind, text): one scan, one Arrow evaluation, no exchange."""
+    told = docs.select("doc_id", "kind", "text").filter(F.col("kind").isin(*extract.LINTED))
+    return with_found(told, F.col("kind"), F.col("text"), config).select("doc_id", F.inline("found")).select(*rules.VIOLATION)
 
 
 def lint_writes(writes: DataFrame, config: LintConfig | None = None) -> DataFrame:
     """Violations of new texts that lie on changed lines.
 
-    ``writes`` has doc_id, kind, new and old; a null old is a new file, whose
-    violations all count. Both texts are read in one row and one evaluation. The filter follows
-    segmentation: a sentence counts where the line it is reported on has changed.
+    ``writes`` has doc_id, kind, new and old; a null old is a new file, whose violations all count.
     """
-    config = config or LintConfig()
-    ready(writes.sparkSession)
-    old = F.when(F.col("old").isNotNull(), extract.kind_lines(F.col("kind"), F.col("old")))
-    lined = writes.filter(F.col("kind").isin(*extract.LINTED)).select("doc_id", "kind", extract.kind_lines(F.col("kind"), F.col("new")).alias("lines"), old.alias("was"))
-    read = lined.select("doc_id", "kind", _read(config, True)("lines", "kind", "was").alias("read"))
-    changed = F.col("read.changed")
-    hits = F.filter(_hits(config, F.col("read"), F.col("kind")), lambda h: changed.isNull() | F.array_contains(changed, h["line"]))
-    return rules.finished(read.select("doc_id", F.inline(hits)), config)
+    told = writes.select("doc_id", "kind", "new", "old").filter(F.col("kind").isin(*extract.LINTED))
+    told = with_found_in_change(told, F.col("kind"), F.col("new"), F.col("old"), config)
+    return told.select("doc_id", F.inline("changed")).select(*rules.VIOLATION)
 
 
 def lint_edits(edits: DataFrame, config: LintConfig | None = None) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -16,3 +18,13 @@ def ready(spark: SparkSession) -> SparkSession:
     if _ROOT not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([_ROOT, *paths])
     return spark
+
+
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder's name in the one that spark.checkpoint.dir names; a local session without it takes a temporary one."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-work-")
+    return f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"

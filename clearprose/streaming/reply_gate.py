@@ -1,4 +1,9 @@
-"""The reply gate as a stateful stream, one state for each session."""
+"""The reply gate as a stateful stream, one state for each session in RocksDB.
+
+Texts are linted and hashed in the micro-batch, before rows are dealt by session: the
+state sees counts and identities only. A session's state is one value and a list of at
+most KEPT_IDENTITIES identities.
+"""
 
 from __future__ import annotations
 
@@ -6,30 +11,42 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from clearprose.operators.gate import REPLY_STATE, gate_step, identity_of, new_state
+from clearprose.operators.gate import gate_step, new_state, with_identity
 from clearprose.session import ready
+from clearprose.streaming.state import keyed_state
+
+OUTPUT = "session string, seq bigint, hard bigint, soft bigint, gated boolean, gate_count int, message string"
+
+
+class ReplyGate(StatefulProcessor):
+    """Replies of a session in order of seq, each sent back or let through."""
 
-OUTPUT = "session string, seq bigint, hard bigint, soft bigint, gated boolean, gate_count int"
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.value = handle.getValueState("gate", "hard bigint, soft bigint, last_identity string, gate_count int")
+        self.gated = handle.getListState("gated", "identity string")
 
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        state = new_state()
+        if self.value.exists():
+            state |= dict(zip(("hard", "soft", "last_identity", "gate_count"), self.value.get(), strict=True))
+            state["gated_replies"] = [x[0] for x in self.gated.get()] if self.gated.exists() else []
+        before, out = list(state["gated_replies"]), []
+        for r in pd.concat(list(rows)).sort_values("seq").itertuples():
+            state, stop = gate_step(state, int(r.hard), int(r.soft), r.identity)
+            out.append((key[0], r.seq, r.hard, r.soft, stop, state["gate_count"], r.message if stop else None))
+        self.value.update((state["hard"], state["soft"], state["last_identity"], state["gate_count"]))
+        if state["gated_replies"] != before:
+            self.gated.put([(x,) for x in state["gated_replies"]])
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
 
-def _advance(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-    """Replies of one session in a micro-batch, in order, against the kept state."""
-    names = list(new_state())
-    state = dict(zip(names, held.get, strict=True)) if held.exists else new_state()
-    state["gated_replies"] = list(state["gated_replies"])
-    rows = pd.concat(list(batches)).sort_values("seq")
-    out = []
-    for r in rows.itertuples():
-        state, stop = gate_step(state, int(r.hard), int(r.soft), identity_of(r.content))
-        out.append((key[0], r.seq, r.hard, r.soft, stop, state["gate_count"]))
-    held.update(tuple(state[n] for n in names))
-    yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
+    def close(self) -> None:
+        pass
 
 
 def gate_stream(linted: DataFrame) -> DataFrame:
-    """Gated replies of a stream of linted ones (session, seq, content, hard, soft)."""
+    """Verdicts on a stream of linted replies (session, seq, content, message, hard, soft); gated ones carry the message that sends them back."""
     ready(linted.sparkSession)
-    rows = linted.selectExpr("cast(session as string) as session", "seq", "content", "hard", "soft")
-    return rows.groupBy("session").applyInPandasWithState(_advance, OUTPUT, REPLY_STATE, "append", GroupStateTimeout.NoTimeout)
+    told = with_identity(linted).selectExpr("cast(session as string) as session", "seq", "identity", "hard", "soft", "message")
+    return keyed_state(told.groupBy("session"), ReplyGate(), OUTPUT)
