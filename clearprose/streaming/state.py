@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StatefulProcessor
 from clearprose.session import shared_folder
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+NO_DATA = "spark.sql.streaming.noDataMicroBatches.enabled"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -29,6 +30,12 @@ def drained(stream: DataFrame, folder: str | None = None) -> DataFrame:
     """
     spark = with_rocksdb(stream.sparkSession)
     folder = folder or shared_folder(spark, "stream")
-    query = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/rows")
-    query.awaitTermination()
+    # state with a lifetime would ask for batches without rows for ever
+    before = spark.conf.get(NO_DATA)
+    spark.conf.set(NO_DATA, "false")
+    try:
+        query = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/rows")
+        query.awaitTermination()
+    finally:
+        spark.conf.set(NO_DATA, before)
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
