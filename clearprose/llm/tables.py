@@ -13,6 +13,8 @@ _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__
 
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: For Python workers: freed memory goes back to the system, so that a worker that waits for its next stage holds none.
+_FREEING = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_TRIM_THRESHOLD_": str(1 << 20), "MALLOC_MMAP_THRESHOLD_": str(1 << 20)}
 #: Most rows of an Arrow batch; it bounds what a Python worker holds of long rows.
 BATCH_ROWS = 512
 
@@ -27,6 +29,8 @@ def ready(spark: SparkSession) -> None:
     paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if _ROOT not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([_ROOT, *paths])
+    for name, value in _FREEING.items():
+        environment.setdefault(name, value)
     # whole texts and shingle sets pass through Python in batches of so many rows
     if int(spark.conf.get(_BATCH)) > BATCH_ROWS:
         spark.conf.set(_BATCH, str(BATCH_ROWS))
