@@ -109,3 +109,12 @@ def edited_texts(edits: DataFrame) -> DataFrame:
     told = edits.withColumn("edit", apply_edit(F.col("content"), F.col("old_string"), F.col("new_string"), F.coalesce("replace_all", F.lit(False))))
     told = told.filter("content is null or edit.error is null")
     return told.select("doc_id", "kind", F.when(F.col("content").isNull(), F.col("new_string")).otherwise(F.col("edit.result")).alias("new"), F.col("content").alias("old"))
+
+
+def changed_column(old: Column, new: Column) -> Column:
+    """The changed lines of two arrays of lines; a null old array is all new."""
+
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        return changed_between(a, b, a.is_null().to_numpy(zero_copy_only=False))
+
+    return F.arrow_udf(run, "array<bigint>")(old, new)

@@ -17,14 +17,16 @@ FRAGMENT = "simple-english"
 def tool_before(calls: DataFrame, files: DataFrame, config: LintConfig, cwd: str = "", home: str = "") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(blocked, warnings, snapshots) of a batch of calls; the snapshots are the state for ``tool_after``."""
     blocked, warnings = gate.check_calls(calls, files, config)
-    commands = calls.filter("name = 'bash'").select("call_id", F.col("arguments.command").alias("command"), F.lit(cwd).alias("cwd"))
+    place = ["ord"] if "ord" in calls.columns else []
+    commands = calls.filter("name = 'bash'").select("call_id", *place, F.col("arguments.command").alias("command"), F.lit(cwd).alias("cwd"))
     return blocked, warnings, shell.snapshots(commands, files, home)
 
 
-def tool_after(snapshots: DataFrame, current: DataFrame, open_files: DataFrame, results: DataFrame, config: LintConfig) -> tuple[DataFrame, DataFrame]:
-    """(rewritten results, open files) after the calls ran."""
+def tool_after(snapshots: DataFrame, current: DataFrame, open_files: DataFrame, results: DataFrame, config: LintConfig, calls: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rewritten results, open files) after the calls ran; ``calls`` (call_id, ord) tells whose result stands at whose place."""
     reports, left = gate.post_check(snapshots, current, open_files, config)
-    return gate.spliced(results, reports), left
+    places = calls.select("call_id", F.col("ord").alias("place")) if calls is not None else None
+    return gate.spliced(results, reports, places), left
 
 
 def model_before(prompts: DataFrame, config: LintConfig) -> DataFrame:

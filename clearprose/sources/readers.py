@@ -49,12 +49,13 @@ def calls_of(parsed: DataFrame) -> DataFrame:
 def session_events(spark: SparkSession, path: str) -> DataFrame:
     """Events of session logs in JSON lines, by session (the file's folder); lines that aren't JSON are left out.
 
-    An event without a sequence number takes its place in the file.
+    ``place`` is the order of the file's lines, whatever the events' own sequence numbers say.
     """
     raw = spark.read.schema(EVENT + ", _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path)
     folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
-    kept = raw.withColumn("session", folder).withColumn("place", F.monotonically_increasing_id()).filter("_corrupt is null and type is not null")
-    return kept.select("session", F.coalesce("seq", "place").alias("seq"), "type", "ts", "content", "queue")
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    kept = raw.withColumn("session", folder).withColumn("place", place).filter("_corrupt is null and type is not null")
+    return kept.select("session", "seq", "place", "type", "ts", "content", "queue")
 
 
 def conversation_events(conversations: DataFrame) -> DataFrame:
@@ -69,8 +70,42 @@ def follow_up_events(gated: DataFrame) -> DataFrame:
     return gated.select("session", F.lit(1).alias("v"), F.lit("user_message").alias("type"), now.alias("ts"), F.col("message").alias("content"), F.lit("follow").alias("queue"))
 
 
-def write_json_state(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+#: Columns of the states that are kept as JSON, by name.
+STATES = {
+    "reply": "session string, version int, hard bigint, soft bigint, last_identity string, gate_count int, gated_replies array<string>",
+    "snapshots": "session string, version int, call_id string, ord int, nth int, path string, prev string",
+    "open": "session string, path string, hard bigint",
+}
+
+
+def write_state(df: DataFrame, path: str, state: str) -> None:
+    """Replaces a state's table; columns are those of STATES, missing ones null, version 1."""
+    fields = [f.split(" ", 1) for f in STATES[state].split(", ")]
+    value = lambda n, t: (F.lit(1) if n == "version" else F.col(n) if n in df.columns else F.lit(None)).cast(t).alias(n)
+    df.select(*[value(n, t) for n, t in fields]).write.mode("overwrite").json(path)
+
+
+def read_state(spark: SparkSession, path: str, state: str) -> DataFrame:
+    """A state's table; rows that aren't JSON are left out."""
+    raw = spark.read.schema(STATES[state] + ", _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    return raw.filter("_corrupt is null").drop("_corrupt")
+
+
+def session_folder(named: str | None, environment: dict[str, str], cwd: str = "") -> str | None:
+    """The session's folder: the payload's own if there is one, else SESSION in SESSIONS_ROOT; None without a folder."""
+    places = [os.path.join(cwd or os.getcwd(), named)] if named else []
+    if "SESSION" in environment and "SESSIONS_ROOT" in environment:
+        places.append(os.path.join(environment["SESSIONS_ROOT"], environment["SESSION"]))
+    return next((p for p in places if os.path.isdir(p)), None)
+
+
+def session_cwd(folder: str | None, fallback: str) -> str:
+    """The project folder that the session's ``cwd`` file names, else ``fallback``."""
+    try:
+        with open(os.path.join(folder or "", "cwd"), encoding="utf-8") as f:
+            return f.read().strip()
+    except OSError:
+        return fallback
 
 
 def sessions_root(config_path: str, folder: str = "") -> str:
