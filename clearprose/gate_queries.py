@@ -9,16 +9,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clearprose import config as settings
 from clearprose import dictionary
 from clearprose.config import LintConfig
 from clearprose.functions import table
 from clearprose.functions.prompt import rule_summary
-from clearprose.operators import diff, extract, gate, report, segment
+from clearprose.operators import diff, extract, gate, report, segment, shell
 from clearprose.plans.lint import lint, lint_edits
 from clearprose.plans.windows import FRAGMENT, WINDOWS, tool_after
 from clearprose.queries import _SQL_PLACES, _SQL_SENTENCES, SEEDED, _docs, _forms_sql, _only, _seeded, _sql_lines, _table
 from clearprose.session import shared_folder
-from clearprose.sources import session_logs
+from clearprose.sources import readers, session_logs
 from clearprose.streaming.follow_ups import follow_up_sink, follow_ups
 from clearprose.streaming.open_files import open_files_stream
 from clearprose.streaming.reply_gate import gate_stream
@@ -335,3 +336,88 @@ def q_changed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = docs.withColumn("l", lines).withColumn("new", new)
     changed = diff.changed_column(F.col("l"), F.col("new"))
     return told.select("lang", F.size(changed).alias("n")).groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_changed"))
+
+
+# --- payloads, kinds, paths, states -----------------------------------------------------------------
+
+
+@_query(
+    "SELECT 's' || (doc_id % 9) AS session, CAST(o AS INT) AS ord, CASE o WHEN 0 THEN 'w' || doc_id ELSE '' END AS call_id, CASE o WHEN 0 THEN 'write' ELSE 'bash' END AS name, CASE o WHEN 0 THEN sha256(coalesce(text, '')) ELSE sha256('ls d' || doc_id) END AS digest FROM documents, (VALUES (0), (1)) v(o) WHERE doc_id % 5 <> 0"
+)
+def q_payload_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of JSON payloads; a fifth of them is cut off."""
+    docs = _docs(spark, sf_dir)
+    calls = F.array(
+        F.struct(F.concat(F.lit("w"), F.col("doc_id").cast("string")).alias("id"), F.lit("write").alias("name"), F.struct(F.coalesce("text", F.lit("")).alias("content"), F.lit(None).cast("string").alias("command")).alias("arguments")),
+        F.struct(F.lit(None).cast("string").alias("id"), F.lit("bash").alias("name"), F.struct(F.lit(None).cast("string").alias("content"), F.concat(F.lit("ls d"), F.col("doc_id").cast("string")).alias("command")).alias("arguments")),
+    )
+    raw = F.to_json(F.struct(F.concat(F.lit("s"), (F.col("doc_id") % 9).cast("string")).alias("session"), calls.alias("calls"), F.lit(7).alias("unknown")))
+    told = readers.calls_of(readers.payloads(docs.select(F.when(F.col("doc_id") % 5 == 0, F.left(raw, F.lit(20))).otherwise(raw).alias("value"))))
+    return told.select("session", F.col("ord").cast("int").alias("ord"), "call_id", "name", F.sha2(F.coalesce("arguments.content", "arguments.command"), 256).alias("digest"))
+
+
+_TOML = """
+exempt_block_quotes = true
+[rules]
+semicolon = "soft"
+contraction = "loud"
+sentence-length = "off"
+paragraph-length = "off"
+phrasal-verb = "off"
+hedging = "off"
+marketing = "off"
+dictionary-not-approved-word = "off"
+no-such-rule = "hard"
+"""
+
+
+@_query("SELECT doc_id, line, CAST(6 AS BIGINT) AS col, 'semicolon' AS rule_id, 'soft' AS severity FROM documents, (VALUES (CAST(4 AS BIGINT)), (CAST(6 AS BIGINT))) v(line)")
+def q_configured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A TOML configuration: exempt quotes, a rule made soft, rules off by any other word, and directives that name rules without a check."""
+    head = "> Quoted; don't look.\n// ste-disable-next-line verb-passive, semicolon\nNever; said.\nThree; four.\n# ste-disable-next-line: contraction\nFive'; six.\n"
+    docs = _docs(spark, sf_dir).select("doc_id", "kind", F.concat(F.lit(head), F.coalesce("text", F.lit(""))).alias("text"))
+    return lint(docs, settings.from_toml(_TOML)).select("doc_id", "line", "col", "rule_id", "severity")
+
+
+_SOURCE = "'// ' || fl || chr(10) || '/// ' || fl || chr(10) || 'x = \"a // b\"; // ' || fl || chr(10) || '/* ' || fl || chr(10) || '  ' || fl || chr(10) || 'end */ y // no' || chr(10) || '/* one */ z' || chr(10) || '//' || chr(10) || 'plain'"
+
+
+@_query(f"WITH s AS (SELECT doc_id, trim(fl, ' ' || chr(9) || chr(13)) AS t, regexp_replace(fl, '^\\s+', '') AS l FROM {_SOME}) SELECT doc_id, CAST(unnest(range(1, 8)) AS BIGINT) AS line_no, unnest([t, '/ ' || t, t, t, l, 'end */', 'one']) AS text FROM s")
+def q_slash_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _some(spark, sf_dir).select("doc_id", F.lit("slash-source").alias("kind"), F.expr(_SOURCE).alias("text"))
+    return extract.prose_lines(docs).select("doc_id", "line_no", "text")
+
+
+@_query(f"WITH s AS (SELECT doc_id, trim(fl, ' ' || chr(9) || chr(13)) AS t FROM {_SOME}) SELECT doc_id, CAST(unnest([1, 2]) AS BIGINT) AS line_no, unnest([t, '# ' || t]) AS text FROM s")
+def q_hash_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = "'#!/bin/sh' || chr(10) || '# ' || fl || chr(10) || 'x = 1 # ' || fl || chr(10) || '   ## ' || fl || chr(10) || '#'"
+    docs = _some(spark, sf_dir).select("doc_id", F.lit("hash-source").alias("kind"), F.expr(text).alias("text"))
+    return extract.prose_lines(docs).select("doc_id", "line_no", "text")
+
+
+@_query(
+    "SELECT doc_id AS call_id, CAST(o AS INT) AS nth, CASE o WHEN 0 THEN '/h.md' WHEN 1 THEN f || '/d/' || doc_id || '.md' WHEN 2 THEN '/home/me/x.txt' ELSE '/abs/' || doc_id || '.rs' END AS path, CASE WHEN o = 1 AND doc_id % 2 = 0 THEN sha256(text) END AS prev FROM (SELECT *, CASE WHEN doc_id % 2 = 0 THEN '/p' ELSE '/w' END AS f FROM documents WHERE text IS NOT NULL), (VALUES (0), (1), (2), (4)) v(o)"
+)
+def q_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that commands mention, in order, below the session's own folder or the process's; data files are left out."""
+    docs = _docs(spark, sf_dir).filter("text is not null")
+    name = F.col("doc_id").cast("string")
+    command = F.concat(F.lit("cat ~/h.md d/"), name, F.lit(".md ~x.txt > out.css && cp d/"), name, F.lit(".md /abs/"), name, F.lit(".rs"))
+    commands = docs.select(F.col("doc_id").alias("call_id"), command.alias("command"), F.lit("/w/").alias("cwd"), F.when(F.col("doc_id") % 2 == 0, " /p\n").alias("session_cwd"))
+    files = docs.filter("doc_id % 2 = 0").select(F.concat(F.lit("/p/d/"), name, F.lit(".md")).alias("path"), F.col("text").alias("content"))
+    return shell.snapshots(commands, files, "/home/me").select("call_id", "nth", "path", F.sha2("prev", 256).alias("prev"))
+
+
+@_query(
+    "SELECT conv_id AS session, CAST(count(*) FILTER (role = 'assistant') AS BIGINT) AS hard, CAST(count(*) FILTER (role = 'user') AS BIGINT) AS soft, CAST(1 AS INT) AS version, CASE WHEN conv_id % 3 > 0 THEN ' Writing-rule reply: ' || count(*) FILTER (role = 'assistant') || ' hard, ' || count(*) FILTER (role = 'user') || ' soft ' END AS row_text FROM conversations GROUP BY conv_id"
+)
+def q_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reply states written and read again, and the rows that requests for some of them get."""
+    n = lambda r: F.count(F.when(F.col("role") == r, 1))
+    states = _table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("session")).agg(n("assistant").alias("hard"), n("user").alias("soft"))
+    path = shared_folder(spark, "states")
+    readers.write_state(states, path, "reply")
+    kept = readers.read_state(spark, path, "reply").withColumn("session", F.col("session").cast("bigint"))
+    ops = kept.select("session", F.when(F.col("session") % 3 == 0, 2).otherwise(1).alias("v"), F.lit("row").alias("op"))
+    rows = readers.status_ops(ops, kept.select("session", "hard", "soft")).select("session", F.col("text").alias("row_text"))
+    return kept.select("session", "hard", "soft", "version").join(rows, "session", "left")

@@ -9,6 +9,7 @@ sources are taken out of their lines: hash comments in the JVM, slash comments l
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,10 @@ def clear_spans(source: bytes) -> bytes:
     """The line with closed code spans turned to spaces."""
     text = bytearray(source)
     runs = [(m.start(), m.end()) for m in re.finditer(rb"`+", source)]
+    closers: dict[int, list[int]] = {}  # numbers of the runs of each length that may close
+    for i, (start, end) in enumerate(runs):
+        if not escaped_at(source, start):
+            closers.setdefault(end - start, []).append(i)
     at = k = 0
     while k < len(runs):
         start, end = max(runs[k][0], at), runs[k][1]
@@ -34,10 +39,11 @@ def clear_spans(source: bytes) -> bytes:
         if escaped_at(source, start):
             at = start + 1  # the rest of an escaped run may still open
             continue
-        close = next((r for r in runs[k + 1 :] if r[1] - r[0] == end - start and not escaped_at(source, r[0])), None)
-        if close is None:
+        same = closers.get(end - start, [])
+        if (i := bisect_right(same, k)) == len(same):
             at = start + 1
             continue
+        close = runs[same[i]]
         text[start : close[1]] = b" " * (close[1] - start)
         at = close[1] + 1
     return bytes(text)

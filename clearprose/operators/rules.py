@@ -42,7 +42,7 @@ PARAGRAPH_IS, PARAGRAPH_MOST = "Paragraph has ", " sentences; the maximum is "
 _DIRECTIVE = re.compile(rf"\s*(?:///|//|#)?\s*!?\s*{DIRECTIVE}(.*)", re.DOTALL)
 _WORD = r"[\p{Alphabetic}\p{M}\p{Nd}\p{Pc}\p{Join_Control}]"
 _APOSTROPHE = regex.compile(rf"['’](s|{'|'.join(_ENDINGS)})(?!{_WORD})", regex.I)
-_BEFORE = regex.compile(rf"{_WORD}+$")
+_BEFORE = regex.compile(rf"(?r){_WORD}+")  # read backwards
 #: What a form's neighbours may not be.
 _TOUCHING = regex.compile(r"[\p{Alphabetic}\p{N}]")
 
@@ -72,11 +72,14 @@ class Text:
 
     def __init__(self, text: str, sizes: np.ndarray):
         self.text, self.starts = text, (np.cumsum(sizes + 1) - sizes - 1).tolist()
+        self.last = (0, 0, 1)  # the place told last: later ones of its line are told from there
 
     def place(self, p: int) -> tuple[int, int]:
         """The line of a character, and its byte column from 1."""
         line = bisect_right(self.starts, p) - 1
-        return line, len(self.text[self.starts[line] : p].encode()) + 1
+        _, at, col = self.last if self.last[0] == line and self.last[1] <= p else (line, self.starts[line], 1)
+        self.last = (line, p, col + len(self.text[at:p].encode()))
+        return line, self.last[2]
 
 
 def _phrases(low: Text, forms: tuple) -> list[tuple]:
@@ -97,7 +100,7 @@ def _contractions(all_lines: Text) -> list[tuple]:
     for m in _APOSTROPHE.finditer(text):
         closed = m[1].lower() == "s"
         line = bisect_right(all_lines.starts, m.start()) - 1
-        before = _BEFORE.search(text, all_lines.starts[line], m.start())
+        before = _BEFORE.match(text, all_lines.starts[line], m.start())
         word = before[0] if before else ""
         # a word that the match before it ends in is no word of its own
         if not word or before.start() < done[closed] or (closed and word.lower() not in _CLOSED):
@@ -145,10 +148,10 @@ def line_hits(prose: pa.ListArray, is_prose: np.ndarray, config: LintConfig) ->
     if config.severity("contraction"):
         found += _contractions(as_is)
     if config.severity("semicolon"):
-        for p in np.flatnonzero(x.data == ord(";")).tolist():
-            line = bisect_right(x.at, p) - 1
-            if is_prose[x.doc[line]]:
-                found.append((line, "semicolon", SEMICOLON, None, p - int(x.at[line]) + 1, 0, 0))
+        marks = np.flatnonzero(x.data == ord(";"))
+        line = np.searchsorted(x.at, marks, "right") - 1
+        mine = is_prose[x.doc[line]] if len(line) else np.zeros(0, bool)
+        found += [(k, "semicolon", SEMICOLON, None, col, 0, 0) for k, col in zip(line[mine].tolist(), (marks - x.at[line] + 1)[mine].tolist(), strict=True)]
     if forms := tuple(dictionary.rows(config)):
         low = text.lower()
         found += _phrases(Text(low, np.array([len(v) for v in low.split("\n")], np.int64)), forms)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
+from clearprose.functions.text import strip
 from clearprose.operators.classify import path_kind
 from clearprose.session import ready
 
@@ -28,7 +29,7 @@ def resolved_path(path: Column, folder: Column, home: str, session_folder: Colum
 
     A ~ stands for the home folder; what follows it with a slash is absolute already, as joining paths has it.
     """
-    beside = folder if session_folder is None else F.coalesce(F.when(F.trim(session_folder) != "", F.trim(session_folder)), folder)
+    beside = folder if session_folder is None else F.coalesce(strip(session_folder), folder)
     return (
         F.when(path.startswith("~/"), F.substring(path, F.lit(2), F.length(path)))
         .when(path.startswith("~"), F.concat(F.lit(home + "/"), F.substring(path, F.lit(2), F.length(path))))

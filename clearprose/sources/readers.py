@@ -86,9 +86,8 @@ def write_state(df: DataFrame, path: str, state: str) -> None:
 
 
 def read_state(spark: SparkSession, path: str, state: str) -> DataFrame:
-    """A state's table; rows that aren't JSON are left out."""
-    raw = spark.read.schema(STATES[state] + ", _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    return raw.filter("_corrupt is null").drop("_corrupt")
+    """A state's table; rows that aren't JSON, or name no session, are left out."""
+    return spark.read.schema(STATES[state]).json(path).filter("session is not null")
 
 
 def session_folder(named: str | None, environment: dict[str, str], cwd: str = "") -> str | None:
