@@ -257,4 +257,4 @@ def prose_arrays(docs: DataFrame, exempt_quotes: bool = False) -> DataFrame:
 def prose_lines(docs: DataFrame, exempt_quotes: bool = False) -> DataFrame:
     """doc_id, kind, line_no (from 1) and text of each prose line."""
     arrays = prose_arrays(docs.select("doc_id", "kind", "text"), exempt_quotes)
-    return arrays.select("doc_id", "kind", F.posexplode("prose").alias("p", "text")).select("doc_id", "kind", (F.col("p") + 1).cast("long").alias("line_no"), "text")
+    return arrays.select("doc_id", "kind", F.posexplode_outer("prose").alias("p", "text")).filter("p is not null").select("doc_id", "kind", (F.col("p") + 1).cast("long").alias("line_no"), "text")

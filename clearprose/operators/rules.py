@@ -179,6 +179,14 @@ def reported(hits: Column, config: LintConfig) -> Column:
     return F.array_sort(F.transform(hits, row))
 
 
+def violations(told: DataFrame, column: str) -> DataFrame:
+    """A row for each violation in an array column of ``told`` (doc_id and others).
+
+    The outer form, as Spark would look for empty arrays first, below exchanges, and so read every text twice.
+    """
+    return told.select("doc_id", F.inline_outer(column)).filter("rule_id is not null").select(*VIOLATION)
+
+
 def line_violations(docs: DataFrame, config: LintConfig) -> DataFrame:
     """Violations of contraction, semicolon, phrase and directive rules of documents (doc_id, kind, text), suppressed ones too."""
 
@@ -190,7 +198,7 @@ def line_violations(docs: DataFrame, config: LintConfig) -> DataFrame:
         return pa.concat_arrays(parts)
 
     told = extract.with_lines(docs.select("doc_id", "kind", "text")).select("doc_id", F.arrow_udf(run, f"array<struct<{HIT}>>")("lines", "kind").alias("hits"))
-    return told.select("doc_id", reported(F.col("hits"), config).alias("found")).select("doc_id", F.inline("found")).select(*VIOLATION)
+    return violations(told.select("doc_id", reported(F.col("hits"), config).alias("found")), "found")
 
 
 def _hit(rule: str, line: Column, message: Column, col: Column, entry: Column, hushed: Column) -> Column:

@@ -338,9 +338,9 @@ def merges(kind: Column) -> Column:
 
 def sentences(arrays: DataFrame) -> DataFrame:
     """doc_id, kind, sent_no, line, col, word_count, para_no and text of each sentence of ``arrays`` (doc_id, kind, prose)."""
-    return with_segments(arrays).select("doc_id", "kind", F.inline("segments.sentences"))
+    return with_segments(arrays).select("doc_id", "kind", F.inline_outer("segments.sentences")).filter("line is not null")
 
 
 def paragraphs(arrays: DataFrame) -> DataFrame:
     """doc_id, kind, para_no, line and n_sentences of each paragraph that owns a sentence."""
-    return with_segments(arrays).select("doc_id", "kind", F.inline("segments.paragraphs"))
+    return with_segments(arrays, NO_TEXTS).select("doc_id", "kind", F.inline_outer("segments.paragraphs")).filter("line is not null")

@@ -73,7 +73,8 @@ def commit_messages(commands: DataFrame) -> DataFrame:
     """call_id, ord, message and dynamic of each commit in ``commands`` (call_id, command)."""
     ready(commands.sparkSession)
     some = commands.filter(F.lower("command").contains("git commit"))  # a Python function would see every row
-    return some.select("call_id", F.posexplode(_commits_udf("command")).alias("ord", "c")).select("call_id", "ord", "c.message", "c.dynamic")
+    rows = some.select("call_id", F.posexplode_outer(_commits_udf("command")).alias("ord", "c")).filter("ord is not null")
+    return rows.select("call_id", "ord", "c.message", "c.dynamic")
 
 
 def snapshots(commands: DataFrame, files: DataFrame, home: str = "") -> DataFrame:

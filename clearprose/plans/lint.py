@@ -97,7 +97,8 @@ def with_found_in_change(rows: DataFrame, kind: Column, new: Column, old: Column
 def lint(docs: DataFrame, config: LintConfig | None = None) -> DataFrame:
     """Violations of ``docs`` (doc_id, kind, text): one scan, one Arrow evaluation, no exchange."""
     told = docs.select("doc_id", "kind", "text").filter(F.col("kind").isin(*extract.LINTED))
-    return with_found(told, F.col("kind"), F.col("text"), config).select("doc_id", F.inline("found")).select(*rules.VIOLATION)
+    told = with_found(told, F.col("kind"), F.col("text"), config)
+    return rules.violations(told, "found")
 
 
 def lint_writes(writes: DataFrame, config: LintConfig | None = None) -> DataFrame:
@@ -107,7 +108,7 @@ def lint_writes(writes: DataFrame, config: LintConfig | None = None) -> DataFram
     """
     told = writes.select("doc_id", "kind", "new", "old").filter(F.col("kind").isin(*extract.LINTED))
     told = with_found_in_change(told, F.col("kind"), F.col("new"), F.col("old"), config)
-    return told.select("doc_id", F.inline("changed")).select(*rules.VIOLATION)
+    return rules.violations(told, "changed")
 
 
 def lint_edits(edits: DataFrame, config: LintConfig | None = None) -> DataFrame:
@@ -120,5 +121,5 @@ def long_sentences_by_language(docs: DataFrame, config: LintConfig | None = None
     config = config or LintConfig()
     arrays = extract.prose_arrays(docs.select("lang", F.lit("prose-file").alias("kind"), "text"))
     counts = segment.with_segments(arrays, texts_over=segment.NO_TEXTS).select("lang", F.transform("segments.sentences", lambda s: s["word_count"]).alias("n"))
-    told = counts.select("lang", F.explode("n").alias("n"))
+    told = counts.select("lang", F.explode_outer("n").alias("n")).filter("n is not null")
     return told.groupBy("lang").agg(F.count("*").alias("n_sentences"), F.count(F.when(F.col("n") > config.sentence_words, 1)).alias("n_long"), F.max("n").cast("bigint").alias("max_words"))

@@ -39,7 +39,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", F.lit("prose-file").alias("kind"), "text", "lang", "source")
+    return readers.spread(_table(spark, sf_dir, "documents")).select("doc_id", F.lit("prose-file").alias("kind"), "text", "lang", "source")
 
 
 def _seeded(spark: SparkSession, sf_dir: str) -> DataFrame:

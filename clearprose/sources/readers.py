@@ -36,6 +36,12 @@ def corpus(spark: SparkSession, path: str, doc_id: str = "doc_id", text: str = "
     return spark.read.parquet(path).select(F.col(doc_id).alias("doc_id"), F.lit(kind).alias("kind"), F.col(text).alias("text"))
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """The table dealt out to all cores where it has fewer splits than there are (a file of one row group); larger tables stay as they are read."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def payloads(raw: DataFrame, column: str = "value") -> DataFrame:
     """JSON payloads parsed; text that is no JSON gives a row of nulls."""
     return raw.select(F.from_json(F.col(column), PAYLOAD).alias("p")).select("p.*")
