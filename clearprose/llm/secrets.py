@@ -1,9 +1,10 @@
 """Secret scans with corpus-wide ownership, in DataFrame functions only.
 
 Three base kinds are found by patterns; a broader kind, ``owned``, takes long mixed
-strings. The hash of every found secret is counted over the whole corpus by
-distinct owners and repositories (two partial aggregations, so one value in a third
-of all rows is no hot key). A broader candidate counts only where at most
+strings. A text's matches leave it as rows of lengths, and their places are running sums
+over windows, so work grows with the matches of a text and not with their square. The
+hash of every found secret is counted over the whole corpus by distinct owners and
+repositories (two partial aggregations, so one value in a third of all rows is no hot key). A broader candidate counts only where at most
 ``owners`` owners and ``repositories`` repositories have it and it overlaps no base span; a
 base span always stays, and is told apart as live-looking (few owners and few repositories)
 or as a widely copied example.
@@ -18,7 +19,7 @@ ignored; texts of any length are scanned whole.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clearprose.llm.tables import Workspace, free_names
@@ -37,45 +38,61 @@ EXAMPLE_OWNERS = 3
 #: The same by repositories, for what few owners copy widely among their own.
 MAX_REPOSITORIES, EXAMPLE_REPOSITORIES = 5, 6
 REDACTED = "[REDACTED]"
+#: Code points of a block of a text that is put together anew.
+BLOCK = 4096
 
-_SPAN = "array<struct<start:int,kind:int,end:int,secret:string>>"
+#: Columns that tell the rows of one text of one owner.
+_ROW = ("doc_id", "text_hash", "owner", "repository")
 
 
-def _matches(text: Column, kind: int, pattern: str, value: Column, passes) -> Column:
-    """Spans of all matches: lengths of what lies between them and of themselves, summed from the left."""
+def _matches(text: Column, kind: int, pattern: str, group: int) -> Column:
+    """What lies before each match, the match and its secret, from the left."""
+    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     pieces = F.arrays_zip(
         F.slice(F.split(text, pattern, -1), 1, F.size(value)).alias("gap"),
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"),
         value.alias("secret"),
     )
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {_SPAN})").alias("spans"))
-
-    def step(state, x):
-        begin = state["at"] + F.length(x["gap"])
-        end = begin + F.length(x["found"])
-        span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["secret"].alias("secret"))
-        return F.struct(end.alias("at"), F.when(passes(x["secret"]), F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
-
-    found = F.aggregate(pieces, start, step)["spans"]
-    return F.when(text.rlike(pattern), found).otherwise(F.expr(f"cast(array() as {_SPAN})"))
-
-
-def base_spans(text: Column) -> Column:
-    """Spans of the base kinds by start, then kind."""
-    assign = _matches(text, 0, ASSIGN, F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(1)), lambda s: F.length(s) >= 6)
-    access = _matches(text, 1, ACCESS, F.regexp_extract_all(text, F.lit(ACCESS), F.lit(0)), lambda s: F.lit(True))
-    hexes = _matches(text, 2, HEX, F.regexp_extract_all(text, F.lit(HEX), F.lit(0)), lambda s: F.lit(True))
-    return F.array_sort(F.concat(assign, access, hexes))
-
-
-def broad_spans(text: Column, base: Column) -> Column:
-    """Long strings of letters and at least three digits that touch no base span."""
+    cells = F.transform(
+        pieces,
+        lambda x, i: F.struct(
+            F.lit(kind).alias("kind"), i.alias("place"), F.length(x["gap"]).alias("gap"), F.length(x["found"]).alias("size"), x["secret"].alias("secret")
+        ),
+    )
+    return F.when(text.rlike(pattern), cells).otherwise(F.array().cast("array<struct<kind:int,place:int,gap:int,size:int,secret:string>>"))
+
+
+def _passes(kind: Column, secret: Column) -> Column:
+    """Assigned values of six or more characters; broad strings with a letter and at least three digits; every other match."""
+    mixed = (F.length(F.regexp_replace(secret, "[^0-9]", "")) >= 3) & secret.rlike("[A-Za-z]")
+    return F.when(kind == 0, F.length(secret) >= 6).when(kind == 3, mixed).otherwise(True)
+
+
+def matches_of(docs: DataFrame) -> DataFrame:
+    """A row for each match of each text (doc_id, text_hash, owner, repository, text); a text without one has a row of nulls."""
+    text = F.col("text")
+    every = F.concat(*(_matches(text, k, pattern, group) for k, (pattern, group) in enumerate(((ASSIGN, 1), (ACCESS, 0), (HEX, 0), (BROAD, 0)))))
+    each = docs.select(*_ROW, F.posexplode_outer(every).alias("at", "x"))
+    passes = _passes(F.col("x.kind"), F.col("x.secret"))
+    return each.select(
+        *_ROW,
+        (F.coalesce("at", F.lit(0)) == 0).alias("first"),
+        *(F.col(f"x.{c}").alias(c) for c in ("kind", "place", "gap", "size")),
+        F.when(passes, F.sha2(F.col("x.secret"), 256)).alias("hash"),
+    )
 
-    def passes(s):
-        return (F.length(F.regexp_replace(s, "[^0-9]", "")) >= 3) & s.rlike("[A-Za-z]")
 
-    found = _matches(text, 3, BROAD, F.regexp_extract_all(text, F.lit(BROAD), F.lit(0)), passes)
-    return F.filter(found, lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+def spans_of(matches: DataFrame) -> DataFrame:
+    """start, kind, end and hash of the spans: places are running sums of lengths, and broad ones that touch a base one go."""
+    one = matches.filter("kind is not null").drop("first").dropDuplicates([*_ROW, "kind", "place"])
+    run = Window.partitionBy(*_ROW, "kind").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    placed = one.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(run).cast("int")).withColumn("start", F.col("end") - F.col("size")).filter("hash is not null")
+    text = Window.partitionBy(*_ROW)
+    before = F.max(F.expr("if(kind < 3, end, null)")).over(text.orderBy("start").rangeBetween(Window.unboundedPreceding, 0))
+    # the nearest base span from here on, by a window that grows from the end of the text
+    after = F.min(F.expr("if(kind < 3, start, null)")).over(text.orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, 0))
+    told = placed.withColumn("before", before).withColumn("after", after)
+    return told.filter("kind < 3 or (coalesce(before <= start, true) and coalesce(after >= end, true))").select(*_ROW, "start", "kind", "end", "hash")
 
 
 def _joined(spans: Column) -> Column:
@@ -87,9 +104,10 @@ def _count(spans: str, kind: int) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
 
-def _plain(spans: Column) -> Column:
-    """Spans with the secret's hash in place of the secret."""
-    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.sha2(s["secret"], 256).alias("hash")))
+def _part(blocks: Column, start: Column, end: Column) -> Column:
+    """The code points from start to end of a text cut in blocks, without a walk from the text's begin."""
+    first = F.floor(start / BLOCK).cast("int")
+    return F.substring(F.array_join(F.slice(blocks, first + 1, F.floor(end / BLOCK).cast("int") - first + 1), ""), start - first * BLOCK + 1, end - start)
 
 
 class SecretScan:
@@ -99,28 +117,29 @@ class SecretScan:
         self.work = Workspace(docs.sparkSession, "secrets")
         self.names = (doc_id, text)
         body = F.coalesce(F.col(text), F.lit(""))
-        held = lambda c: F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string")
-        found = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(body).alias("text_hash"), held(owner).alias("owner"), held(repository).alias("repository"), body.alias("text"))
-        found = found.withColumn("base", base_spans(F.col("text"))).withColumn("broad", broad_spans(F.col("text"), F.col("base")))
-        self.found = self.work.written(found.select("doc_id", "text_hash", "owner", "repository", _plain(F.col("base")).alias("base"), _plain(F.col("broad")).alias("broad")), "found")
-        some = self.found.filter((F.size("base") > 0) | (F.size("broad") > 0))
-        each = some.select("doc_id", "text_hash", "owner", F.concat_ws("/", F.coalesce("owner", F.lit("")), F.coalesce("repository", F.lit(""))).alias("repository"), F.explode(F.concat("base", "broad")).alias("span"))
-        one = each.select(F.col("span.hash").alias("hash"), F.coalesce("owner", F.lit("")).alias("owner"), "repository").distinct()
-        by_owner = one.groupBy("hash", "owner").agg(F.count("*").alias("repositories"))
+        held = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in docs.columns else F.lit("")
+        named = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(body).alias("text_hash"), held(owner).alias("owner"), F.concat_ws("/", held(owner), held(repository)).alias("repository"), body.alias("text"))
+        self.matches = self.work.written(matches_of(named), "matches")
+        spans = self.work.written(spans_of(self.matches), "spans")
+        by_owner = spans.select("hash", "owner", "repository").distinct().groupBy("hash", "owner").agg(F.count("*").alias("repositories"))
         self.ownership = self.work.written(by_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories")), "ownership")
-        judged = each.select("doc_id", "text_hash", "span").join(self.ownership.withColumnRenamed("hash", "h"), F.col("span.hash") == F.col("h"))
-        kept = judged.filter((F.col("span.kind") < 3) | ((F.col("owners") <= owners) & (F.col("repositories") <= repositories)))
-        span = F.struct(F.col("span.start").alias("start"), F.col("span.kind").alias("kind"), F.col("span.end").alias("end"), "owners", "repositories")
-        self.judged = self.work.written(kept.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(span)).alias("spans")), "judged")
+        judged = spans.select("doc_id", "text_hash", "start", "kind", "end", "hash").distinct().join(self.ownership, "hash")
+        kept = judged.filter((F.col("kind") < 3) | ((F.col("owners") <= owners) & (F.col("repositories") <= repositories)))
+        left = Window.partitionBy("doc_id", "text_hash").orderBy("start", "kind", "end").rowsBetween(Window.unboundedPreceding, -1)
+        reached = kept.withColumn("reached", F.coalesce(F.max("end").over(left), F.lit(0)))
+        span = F.struct("start", "kind", "end", "owners", "repositories", "reached")
+        self.judged = self.work.written(reached.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(span)).alias("spans")), "judged")
 
     def report(self) -> DataFrame:
         """One row for each input row: counts, digest of the base spans, all spans, and live and example counts."""
         judged = self.judged.withColumnsRenamed({"doc_id": "id", "text_hash": "hash"})
-        out = self.found.join(judged, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")), "left")
-        spans = F.coalesce("spans", F.expr("array()").cast(judged.schema["spans"].dataType))
-        counts = [_count("base", k).alias(f"n_{KINDS[k]}") for k in range(3)]
-        live = F.size(F.filter(spans, lambda s: (s["owners"] < EXAMPLE_OWNERS) & (s["repositories"] < EXAMPLE_REPOSITORIES))).cast("long")
-        return out.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(spans).alias("spans"), live.alias("n_live"), (F.size(spans) - live).cast("long").alias("n_example"))
+        rows = self.matches.filter("first").select("doc_id", "text_hash")
+        out = rows.join(judged, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")), "left")
+        out = out.withColumn("spans", F.coalesce("spans", F.expr("array()").cast(judged.schema["spans"].dataType)))
+        base = F.filter("spans", lambda s: s["kind"] < 3)
+        counts = [_count("spans", k).alias(f"n_{KINDS[k]}") for k in range(3)]
+        live = F.size(F.filter("spans", lambda s: (s["owners"] < EXAMPLE_OWNERS) & (s["repositories"] < EXAMPLE_REPOSITORIES))).cast("long")
+        return out.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), live.alias("n_live"), (F.size("spans") - live).cast("long").alias("n_example"))
 
     def redacted(self, docs: DataFrame) -> DataFrame:
         """The table's rows with every span's text replaced; other columns and the column order stay."""
@@ -129,14 +148,14 @@ class SecretScan:
         judged = self.judged.select(F.col("doc_id").alias(of), F.col("text_hash").alias(hash_), F.col("spans").alias(spans))
         body = F.coalesce(F.col(text), F.lit(""))
         out = docs.withColumn(own, F.xxhash64(body)).join(judged, F.col(doc_id).eqNullSafe(F.col(of)) & (F.col(own) == F.col(hash_)), "left")
+        apart = F.filter(spans, lambda s: s["start"] >= s["reached"])  # what overlaps the spans before needs no mark of its own
 
-        def step(state, s):
-            clear = F.substring(body, state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
-            inside = s["start"] < state["at"]  # overlaps the span before
-            return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(inside, state["out"]).otherwise(F.concat(state["out"], F.array(clear, F.lit(REDACTED)))).alias("out"))
+        def cleared(blocks):
+            between = F.transform(apart, lambda s: F.concat(_part(blocks, s["reached"], s["start"]), F.lit(REDACTED)))
+            return F.concat(F.array_join(between, ""), _part(blocks, F.array_max(F.transform(spans, lambda s: s["end"])), F.length(body)))
 
-        state = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out")), step)
-        clean = F.concat(F.array_join(state["out"], ""), F.substring(body, state["at"] + 1, F.length(body)))
+        # a lambda's argument is computed once, whatever its body names is computed for each of its elements
+        clean = F.get(F.transform(F.array(F.regexp_extract_all(body, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))), cleared), F.lit(0))
         return out.withColumn(text, F.when(F.col(spans).isNull(), F.col(text)).otherwise(clean)).select(*docs.columns)
 
 
