@@ -19,7 +19,8 @@ shingle similarity of at least SIMILARITY, or a single exact run of that length,
 is a repeated passage of the larger document. Words are compared by 32-bit hashes.
 
 Defined results: texts without MIN_WORDS words (null and empty ones too) and rows
-with a null id have no passages; repeated rows count as one document; a passage
+with a null id have no passages; rows of one id count as one document, of texts that differ
+the smallest (``without_passages`` takes one text an id); a passage
 repeated only inside one document is none; ties go to the smaller id; other columns,
 whatever their names, are ignored (kept by ``without_passages``); an empty table gives no
 rows; texts of any length are taken whole.
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clearprose.llm.tables import Workspace, free_names
+from clearprose.llm.tables import Workspace, free_names, once
 from clearprose.llm.words import SHINGLE, batch_words, mix, shingles, signed, slices, text_bytes, words_of
 
 MIN_WORDS = 50
@@ -261,6 +262,9 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     """doc_id, start_word, end_word, source_doc_id, source_start_word and similarity of each repeated passage."""
     work = Workspace(docs.sparkSession, "passages")
     own = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    repeated = work.written(own.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
+    if not repeated.isEmpty():
+        own = once(own, "doc_id", repeated)
     shared = work.written(_starred(windows_of(own), "key", F.lit(True)), "shared")
     met = shared.filter("doc_id <> source").groupBy("doc_id", "source").agg(F.collect_set("place").alias("places"))
     enough = F.size(F.array_distinct(F.transform("places", lambda p: p.bitwiseAND(7)))) >= HITS

@@ -95,3 +95,10 @@ def bucket_of(doc_id: str | Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as empty text."""
     doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+def once(docs: DataFrame, doc_id: str, repeated: DataFrame) -> DataFrame:
+    """The table with one row for each id, the smallest by its columns in order; ``repeated`` holds the ids of several rows, and only their rows move."""
+    (row,) = free_names(docs.columns, "row")
+    several = docs.join(repeated, doc_id, "left_semi").groupBy(doc_id).agg(F.min(F.struct(*docs.columns)).alias(row)).select(f"{row}.*")
+    return docs.join(repeated, doc_id, "left_anti").unionByName(several)

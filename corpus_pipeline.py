@@ -3,6 +3,13 @@
 quality classifier -> near-duplicates -> repeated passages -> secrets -> packing.
 Every stage but the last returns the columns of ``documents``; each result is
 written as Parquet in the shared folder and read again as the next stage's input.
+
+Defined results: null and empty texts are scored as any other, are near nothing and
+hold no passage or secret; if the classifier keeps them, they pass and are packed as one
+end token. Of the rows of one id, which count as one document from the second stage on, the
+smallest by the columns in order stays. Rows with a null id are never merged. Of equal or near
+documents, and of a passage's copies, the smallest id stays. An empty table gives no pieces. Columns
+beside those of ``documents`` are dropped by the first stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -12,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clearprose.llm import near_dedup, packing, quality, secrets, substring_dedup
-from clearprose.llm.tables import Workspace, read_table
+from clearprose.llm.tables import Workspace, once, read_table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -31,9 +38,11 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group of near-duplicates, once; rows without an id stay."""
-    verdicts = near_dedup.near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
-    kept = docs.join(verdicts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return _columns(kept.unionByName(docs.filter("doc_id is null")))
+    verdicts = near_dedup.near_duplicates(docs).filter("doc_id is not null").groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n"))
+    verdicts = Workspace(spark, "pipeline").written(verdicts.filter("kept").select("doc_id", "n"), "verdicts")
+    repeated = verdicts.filter("n > 1").select("doc_id")
+    kept = docs.join(verdicts.select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
+    return _columns((kept if repeated.isEmpty() else once(kept, "doc_id", repeated)).unionByName(docs.filter("doc_id is null").select(*COLUMNS)))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

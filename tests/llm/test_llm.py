@@ -663,3 +663,14 @@ def test_secrets_in_time_with_their_number(spark):
             at = max(at, e)
         assert r.text == ("".join(want) + whole[at:] if spans else whole)
     assert time.time() - begun < 60
+
+
+def test_passages_of_a_row_repeated_often_are_found_once(spark):
+    rng = random.Random(14)
+    passage = sentence(rng, 60)
+    one = [(i, f"{sentence(rng, 40)} {passage} {sentence(rng, 30)}") for i in range(3)]
+    schema = "doc_id bigint, text string"
+    want = sorted(map(tuple, substring_dedup.repeated_passages(spark.createDataFrame(one, schema)).collect()))
+    rows = one[:1] * 500 + one[1:2] * 500 + one[2:] + [(2, one[2][1] + "x" * 10), (None, passage), (None, passage)]
+    got = sorted(map(tuple, substring_dedup.repeated_passages(spark.createDataFrame(rows, schema).repartition(5)).collect()))
+    assert got == want and {r[0] for r in want} == {1, 2}
