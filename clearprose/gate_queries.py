@@ -72,7 +72,7 @@ _BLOCKS = "'> ' || fl || chr(10) || '1. ' || fl || chr(10) || '- - -' || chr(10)
 @_query(f"WITH {_sql_lines(_SOME, '(' + _BLOCKS + ')')}, {_SQL_SENTENCES} SELECT doc_id, sid AS sent_no, line, col, word_count FROM sentences")
 def q_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _some(spark, sf_dir).select("doc_id", "kind", F.expr(_BLOCKS).alias("text"))
-    told = segment.sentences(extract.prose_arrays(docs))
+    told = segment.sentences(extract.prose_arrays(docs), segment.NO_TEXTS)
     return told.select("doc_id", F.col("sent_no").cast("bigint").alias("sent_no"), "line", "col", F.col("word_count").cast("bigint").alias("word_count"))
 
 

@@ -336,9 +336,9 @@ def merges(kind: Column) -> Column:
     return F.coalesce(kind.isin(*PROSE_KINDS), F.lit(False))
 
 
-def sentences(arrays: DataFrame) -> DataFrame:
-    """doc_id, kind, sent_no, line, col, word_count, para_no and text of each sentence of ``arrays`` (doc_id, kind, prose)."""
-    return with_segments(arrays).select("doc_id", "kind", F.inline_outer("segments.sentences")).filter("line is not null")
+def sentences(arrays: DataFrame, texts_over: int = -1) -> DataFrame:
+    """doc_id, kind, sent_no, line, col, word_count, para_no and text (null up to ``texts_over`` words) of each sentence of ``arrays`` (doc_id, kind, prose)."""
+    return with_segments(arrays, texts_over).select("doc_id", "kind", F.inline_outer("segments.sentences")).filter("line is not null")
 
 
 def paragraphs(arrays: DataFrame) -> DataFrame:

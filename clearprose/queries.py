@@ -121,7 +121,7 @@ def q_sentence_length_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"WITH {_sql_lines('documents', SEEDED)}, {_SQL_SENTENCES} SELECT doc_id, sid AS sent_no, line, col, word_count FROM sentences")
 def q_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segment.sentences(extract.prose_arrays(_seeded(spark, sf_dir).select("doc_id", "kind", "text"))).select("doc_id", F.col("sent_no").cast("bigint").alias("sent_no"), "line", "col", F.col("word_count").cast("bigint").alias("word_count"))
+    return segment.sentences(extract.prose_arrays(_seeded(spark, sf_dir).select("doc_id", "kind", "text")), segment.NO_TEXTS).select("doc_id", F.col("sent_no").cast("bigint").alias("sent_no"), "line", "col", F.col("word_count").cast("bigint").alias("word_count"))
 
 
 @_query(f"WITH {_sql_lines('documents', SEEDED)}, {_SQL_SENTENCES} SELECT doc_id, line, col FROM sentences WHERE word_count > 25")
