@@ -9,7 +9,6 @@ without a log another, so a session without replies is told from one whose repli
 
 from __future__ import annotations
 
-import glob
 import gzip
 import json
 import os
@@ -24,6 +23,11 @@ from clearprose.session import ready
 
 SCHEMA = "session string, outcome string, place bigint, seq bigint, type string, ts string, content string, queue string"
 LOG = "events.jsonl"
+_ARROW = pa.schema([(n, {"string": pa.string(), "bigint": pa.int64()}[t]) for n, t in (f.split() for f in SCHEMA.split(", "))])
+#: Most rows of a batch, and characters of content after which one ends.
+_BATCH_ROWS, _BATCH_CHARS = 2048, 1 << 22
+#: Tasks that read a folder of sessions where nothing else is said.
+TASKS = 64
 #: Bytes at a log's end that are looked at for its last line feed at a time.
 _STEP = 1 << 16
 
@@ -33,7 +37,10 @@ def _local(path: str) -> str:
 
 
 def _folders(root: str) -> list[str]:
-    return sorted(d for d in glob.glob(os.path.join(_local(root), "*")) if os.path.isdir(d))
+    if not os.path.isdir(_local(root)):
+        return []
+    with os.scandir(_local(root)) as found:
+        return sorted(e.path for e in found if not e.name.startswith(".") and e.is_dir())
 
 
 def log_of(folder: str) -> str | None:
@@ -78,7 +85,7 @@ def events_in(raw: bytes, low: int = 0) -> Iterator[tuple]:
         if isinstance(e, dict):
             text = lambda k: e.get(k) if isinstance(e.get(k), str) else None  # noqa: B023, E731
             seq = e.get("seq")
-            yield place, seq if isinstance(seq, int) else None, text("type"), text("ts"), text("content"), text("queue")
+            yield place, seq if type(seq) is int and -(1 << 63) <= seq < 1 << 63 else None, text("type"), text("ts"), text("content"), text("queue")
 
 
 class _Part(InputPartition):
@@ -101,6 +108,23 @@ def _rows(part: _Part) -> Iterator[tuple]:
         yield session, "event", *event
 
 
+def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """The rows in Arrow batches of a few texts' size."""
+    some, size = [], 0
+    for row in rows:
+        some.append(row)
+        size += len(row[6] or "")
+        if len(some) >= _BATCH_ROWS or size >= _BATCH_CHARS:
+            yield _batch(some)
+            some, size = [], 0
+    if some:
+        yield _batch(some)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
+
+
 class SessionLogs(DataSource):
     """Format ``session_log`` with the option ``path``, the folder of sessions."""
 
@@ -112,21 +136,31 @@ class SessionLogs(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"])
+        return _Reader(self.options["path"], int(self.options.get("tasks", TASKS)))
 
     def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: N802
         return _Tail(self.options["path"])
 
 
+class _Folders(InputPartition):
+    """Folders of one task."""
+
+    def __init__(self, folders: list[str]):
+        self.folders = folders
+
+
 class _Reader(DataSourceReader):
-    def __init__(self, root: str):
-        self.root = root
+    def __init__(self, root: str, tasks: int):
+        self.root, self.tasks = root, tasks
 
-    def partitions(self) -> list[_Part]:
-        return [_Part(d, log_of(d)) for d in _folders(self.root)]
+    def partitions(self) -> list[_Folders]:
+        """Folders dealt in turn to a few tasks; each task looks up its own logs."""
+        found = _folders(self.root)
+        return [_Folders(found[i :: self.tasks]) for i in range(min(self.tasks, len(found)))]
 
-    def read(self, partition: _Part) -> Iterator[tuple]:
-        yield from _rows(partition)
+    def read(self, partition: _Folders | None) -> Iterator[pa.RecordBatch]:
+        folders = partition.folders if partition else []  # without folders Spark reads once with no partition
+        yield from _batches(row for d in folders for row in _rows(_Part(d, log_of(d))))
 
 
 class _Tail(DataSourceStreamReader):
@@ -151,7 +185,8 @@ class _Tail(DataSourceStreamReader):
 def session_logs(spark: SparkSession, root: str) -> DataFrame:
     """All rows of the logs below ``root``."""
     ready(spark).dataSource.register(SessionLogs)
-    return spark.read.format("session_log").option("path", root).load()
+    tasks = max(TASKS, 4 * spark.sparkContext.defaultParallelism)
+    return spark.read.format("session_log").option("path", root).option("tasks", tasks).load()
 
 
 def session_log_stream(spark: SparkSession, root: str) -> DataFrame:

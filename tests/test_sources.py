@@ -52,6 +52,16 @@ def test_last_replies_and_why_there_are_none(spark, tmp_path):
     }
 
 
+def test_many_sessions_are_read_by_few_tasks(spark, tmp_path):
+    for i in range(150):
+        os.makedirs(tmp_path / f"s{i}")
+        (tmp_path / f"s{i}" / "events.jsonl").write_text(event("assistant_message", f"said {i}", seq=True if i else 1 << 70) + "\n")
+    logs_read = session_logs.session_logs(spark, str(tmp_path))
+    assert logs_read.rdd.getNumPartitions() == session_logs.TASKS
+    assert sorted((r.session, r.outcome, r.content) for r in session_logs.last_reply_outcomes(logs_read).collect()) == sorted((f"s{i}", "event", f"said {i}") for i in range(150))
+    assert session_logs.session_logs(spark, str(tmp_path / "nowhere")).collect() == []
+
+
 def test_logs_are_tailed(spark, tmp_path):
     root, sink = str(tmp_path / "root"), str(tmp_path / "sink")
     os.makedirs(f"{root}/s")
