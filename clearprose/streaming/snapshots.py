@@ -8,6 +8,8 @@ ever reads expires.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import attrgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,21 +30,27 @@ class Snapshots(StatefulProcessor):
         self.held = handle.getMapState("snapshots", "ord int, nth int", "call_id string, path string, prev string", ttlDurationMs=self.life)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        out = []
+        out, before = [], dict(self.held.iterator())
+        held, changed = before, False
         events = pd.concat(list(rows)).astype(object)
         events = events.where(events.notna(), None).sort_values(["batch", "at", "ord", "nth"], kind="stable")
-        for (batch, at), some in events.groupby(["batch", "at"], sort=True):
+        # batches of the group follow one another over a dictionary; the state is read and written once
+        for (batch, at), group in groupby(events.itertuples(), attrgetter("batch", "at")):
+            some, changed = list(group), True
             if at == 0:  # before the calls
-                self.held.clear()
-                for r in some.itertuples():
-                    self.held.updateValue((int(r.ord), int(r.nth)), (r.call_id, r.path, r.prev))
+                held = {(int(r.ord), int(r.nth)): (r.call_id, r.path, r.prev) for r in some}
                 continue
-            now = {r.path: r.content for r in some.itertuples()}
-            ended = {r.call_id for r in some.itertuples()}
-            for (n, nth), (call, path, prev) in sorted(self.held.iterator()):
+            now = {r.path: r.content for r in some}
+            ended = {r.call_id for r in some}
+            for (n, nth), (call, path, prev) in sorted(held.items()):
                 if call in ended:
                     out.append((key[0], batch, n, call, nth, path, prev, now.get(path)))
-            self.held.clear()
+            held = {}
+        if changed and (before or held):
+            if before:
+                self.held.clear()
+            for place, snapshot in held.items():
+                self.held.updateValue(place, snapshot)
         yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
 
     def close(self) -> None:

@@ -3,6 +3,8 @@
 import random
 import tempfile
 
+import pandas as pd
+
 from clearprose.config import LintConfig
 from clearprose.operators import gate
 from clearprose.streaming import follow_ups, open_files, reply_gate, snapshots
@@ -81,6 +83,37 @@ def test_snapshots_are_read_once(spark):
     assert sorted((r.batch, r.call_id, r.path, r.prev, r.content) for r in got) == [(1, "c1", "a.md", "old a", "new a"), (1, "c2", "b.md", None, "new b"), (4, "c5", "e.md", "e", None)]
 
 
+class Held:
+    """A map state that counts what is asked of it."""
+
+    def __init__(self):
+        self.rows, self.asked = {}, 0
+
+    def iterator(self):
+        self.asked += 1
+        return iter(list(self.rows.items()))
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.asked += 1
+        self.rows[key] = value
+
+    def clear(self):
+        self.asked += 1
+        self.rows = {}
+
+
+def test_snapshots_of_many_batches_ask_the_state_once():
+    processor = snapshots.Snapshots()
+    processor.held = Held()
+    names = ["batch", "at", "ord", "call_id", "nth", "path", "prev", "content"]
+    told = []
+    for first in (0, 500):  # the last batch of each group of rows ends in the next
+        rows = [(b, 0, 0, f"c{b}", 0, f"{b}.md", f"old {b}", None) for b in range(first, first + 500)] + [(b, 1, 0, f"c{b}", 0, f"{b}.md", None, None if b % 2 else "new") for b in range(max(0, first - 1), first + 499)]
+        told += [r for frame in processor.handleInputRows(("s",), iter([pd.DataFrame(rows[:300], columns=names), pd.DataFrame(rows[300:], columns=names)]), None) for r in frame.itertuples(index=False)]
+    assert [tuple(r) for r in told] == [("s", b, 0, f"c{b}", 0, f"{b}.md", f"old {b}", None if b % 2 else "new") for b in range(999)]
+    assert processor.held.rows == {(0, 0): ("c999", "999.md", "old 999")} and processor.held.asked <= 6
+
+
 def test_follow_ups_of_a_replayed_batch_are_there_once(spark):
     path, checkpoint = tempfile.mkdtemp(), tempfile.mkdtemp()
     verdicts = reply_gate.gate_stream(gate.linted_replies(stream_of(spark, [replies(spark)])))
