@@ -345,7 +345,7 @@ def q_last_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _seeded_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     some = _table(spark, sf_dir, "conversations").filter("role = 'assistant' and trim(text) <> ''")
     content = F.when((F.col("conv_id") + F.col("turn")) % 3 < 2, F.concat(F.lit("One; two "), F.col("turn").cast("string"), F.lit("."))).otherwise("Fine.")
-    return some.select(F.col("conv_id").alias("session"), F.col("turn").alias("seq"), content.alias("content"))
+    return readers.spread(some.select(F.col("conv_id").alias("session"), F.col("turn").alias("seq"), content.alias("content")))
 
 
 @_query("WITH RECURSIVE r AS (SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 3 < 2 THEN 1 ELSE 0 END AS hard, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations WHERE role = 'assistant' AND trim(text) <> ''), "
