@@ -126,7 +126,7 @@ def _edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An inserted line after the first; every seventh file is missing."""
     docs, old = _some(spark, sf_dir), F.concat("fl", F.lit("\n"))
     content = F.when(F.col("doc_id") % 7 != 3, F.col("text"))
-    return docs.select("doc_id", "kind", content.alias("content"), old.alias("old_string"), F.concat(old, F.lit("Inserted; line.\n")).alias("new_string"), F.lit(False).alias("replace_all"))
+    return docs.select("doc_id", "kind", "text", content.alias("content"), old.alias("old_string"), F.concat(old, F.lit("Inserted; line.\n")).alias("new_string"), F.lit(False).alias("replace_all"))
 
 
 @_query(f"SELECT doc_id, CAST(2 AS BIGINT) AS line, CAST(9 AS BIGINT) AS col FROM (SELECT doc_id, {_TIMES} AS n FROM {_SOME}) WHERE doc_id % 7 = 3 OR n = 1")
@@ -143,8 +143,7 @@ def q_block_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(F.lit("docs/d"), F.col("doc_id").cast("string"), F.lit(".md"))
     write = F.col("doc_id") % 2 == 0
     whole = F.concat("new_string", F.substring("text", F.length("old_string") + 1, F.length("text")))
-    text = _some(spark, sf_dir).select("doc_id", "text")
-    calls = edits.join(text, "doc_id").withColumn("path", path)
+    calls = edits.withColumn("path", path)
     arguments = F.struct(
         F.col("path").alias("file_path"), F.lit(None).cast("string").alias("path"), F.when(write, whole).alias("content"), F.when(~write, F.col("old_string")).alias("old_string"),
         F.when(~write, F.col("new_string")).alias("new_string"), F.lit(False).alias("replace_all"), F.lit(None).cast("string").alias("command"),

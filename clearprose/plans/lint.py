@@ -50,7 +50,8 @@ def _read(config: LintConfig, old: bool):
     def run_new(lines: pa.Array, kind: pa.Array) -> pa.Array:
         return pa.concat_arrays([part(lines.slice(a, b - a), kind.slice(a, b - a), None) for a, b in segment.slices(lines)])
 
-    return F.arrow_udf(run if old else run_new, f"struct<{_READ}>")
+    # a filter on what it finds would else move below it with a second evaluation of its own
+    return F.arrow_udf(run if old else run_new, f"struct<{_READ}>").asNondeterministic()
 
 
 def _hits(config: LintConfig, read: Column, kind: Column) -> Column:
