@@ -1,12 +1,13 @@
 """Spelling variants: words one edit apart, by bands of letter-parity bitmasks.
 
-A word's mask has a bit for each letter, set where the word holds it an odd number of
-times. One inserted or deleted letter flips one bit, a replaced one flips two, so of three
-bands of the mask one is equal in any pair one edit apart. Words meet in units of
-(band, its bits, length): those of the length and those one longer (longer ones only
-in bands 0 and 1, as one flipped bit leaves two bands equal). In a unit, pairs whose other two bands differ in
-exactly two bits (one bit, where lengths differ) are verified letter by letter; a pair counts in the
-first band that is equal. A unit of more than BLOCK words is cut into blocks and each pair of
+A mask has a bit for each letter, set where the letters hold it an odd number of
+times. One inserted or deleted letter flips one bit, a replaced one flips two. A word has two bands, the masks of
+its first half and of the rest: an edit lies in one, so the other is equal in any pair one edit apart (halves of a slice of
+the alphabet would not do: most letters are absent from most words). Words meet in units of
+(band, its bits, length): those of the length and those one longer, whose inserted letter stands between the halves or in the
+other band. In a unit, pairs whose other bands differ in
+exactly two bits (one bit, where lengths differ) are verified letter by letter; a pair of two
+lengths counts in the first band if its first halves are equal. A unit of more than BLOCK words is cut into blocks and each pair of
 blocks is a unit of its own, so a frequent band value is spread over tasks; units are packed into
 groups of about GROUP rows. A group returns counts and the best near word of a word, never pairs.
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from clearprose.llm.line_dedup import lower_ascii
 from clearprose.llm.tables import Workspace
-from clearprose.llm.words import text_bytes
+from clearprose.llm.words import mix, text_bytes
 
 MIN_CHARS, MIN_COUNT, RATIO = 7, 2, 10
 #: One in so many hashes of (id, run) loses a letter.
@@ -35,9 +36,10 @@ DELETES = 31
 BLOCK, BLOCK_BYTES, GROUP = 4096, 4 << 20, 16384
 #: Most pairs whose masks are compared at once.
 _PAIRS = 1 << 19
-BAND = 30
+#: Bits of each third of a mask that fit one 64-bit word with those of the others.
+LOW = 21
 
-# Letters as Latin-1 bytes; commoner ones first, dealt to the bands in turn so that each band tells words apart.
+# Letters as Latin-1 bytes; commoner ones first, dealt to three thirds of a mask in turn.
 _LETTERS = b"etaoinshrdlcumwfgypbvkjxqz" + bytes(range(0xC0, 0x100))
 _BIT = np.zeros((3, 256), np.uint64)
 for _i, _c in enumerate(_LETTERS):
@@ -53,7 +55,7 @@ def latin(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def masks(letters: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """(3, words) bands of parity bits."""
+    """(3, words) thirds of the masks of parity bits."""
     out = np.zeros((3, len(bounds) - 1), np.uint64)
     some = np.flatnonzero(np.diff(bounds))
     if len(some):
@@ -73,22 +75,40 @@ def occurrences(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> Data
     return told.filter(F.length("word") >= min_chars)
 
 
+def packed(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two words of each mask: the bits of all but the rarest letters, and the others."""
+    low = np.uint64((1 << LOW) - 1)
+    rest, more = m & low, m >> np.uint64(LOW)
+    return tuple(x[0] << np.uint64(2 * LOW) | x[1] << np.uint64(LOW) | x[2] for x in (rest, more))
+
+
+def bands(letters: np.ndarray, bounds: np.ndarray, longer: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(3, words, 2) masks of each band, and of the other with the letter between them: of words one longer than their units, if ``longer``."""
+    first = bounds[:-1] + (np.diff(bounds) - longer).clip(0) // 2
+    cuts = np.stack([bounds[:-1], first, np.minimum(first + longer, bounds[1:])], axis=1).ravel()
+    m = masks(letters, np.append(cuts, bounds[-1:])).reshape(3, -1, 3)
+    return m[:, :, [0, 2]], m[:, :, [2, 0]] ^ m[:, :, [1]]
+
+
 def units(words: DataFrame) -> DataFrame:
-    """word, n, band, bits, home, longer and rest: each word in the units where it may meet others."""
+    """word, n, band, bits, home, longer, rest and more: each word in the units where it may meet others.
+
+    The bits are spread by a hash; where two bands have one hash their words meet for nothing.
+    """
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
             letters, bounds = latin(b.column(0))
-            m, sizes = masks(letters, bounds), np.diff(bounds)
-            parts = []
-            for band, longer in ((0, False), (1, False), (2, False), (0, True), (1, True)):
-                high, low = (x for x in range(3) if x != band)
-                rest = m[high] << np.uint64(BAND) | m[low]
-                cells = [b.column(0), b.column(1), pa.array(np.full(len(sizes), band, np.int32)), pa.array(m[band].astype(np.int64)), pa.array((sizes - longer).astype(np.int32)), pa.array(np.full(len(sizes), longer)), pa.array(rest.astype(np.int64))]
-                parts.append(pa.RecordBatch.from_arrays(cells, ["word", "n", "band", "bits", "home", "longer", "rest"]))
-            yield from parts
+            sizes = np.diff(bounds)
+            for longer in (False, True):
+                own, other = bands(letters, bounds, longer)
+                for band in (0, 1):
+                    rest, more = packed(own[:, :, band])
+                    bits, (rest, more) = mix(rest ^ mix(more)), packed(other[:, :, band])
+                    cells = [b.column(0), b.column(1), pa.array(np.full(len(sizes), band, np.int32)), pa.array(bits.view(np.int64)), pa.array((sizes - longer).astype(np.int32)), pa.array(np.full(len(sizes), longer)), pa.array(rest.view(np.int64)), pa.array(more.astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(cells, ["word", "n", "band", "bits", "home", "longer", "rest", "more"])
 
-    return words.select("word", "n").mapInArrow(run, "word string, n long, band int, bits long, home int, longer boolean, rest long")
+    return words.select("word", "n").mapInArrow(run, "word string, n long, band int, bits long, home int, longer boolean, rest long, more int")
 
 
 def _grid(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,21 +123,17 @@ def _grid(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, starts, np.append(starts[1:], len(order))
 
 
-def _alike(x: np.ndarray, y: np.ndarray, rest: np.ndarray, band: int, flips: int, triangle: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows of x and y whose other bands differ in ``flips`` bits and whose earlier bands differ."""
+def _alike(x: np.ndarray, y: np.ndarray, rest: np.ndarray, more: np.ndarray, flips: int, triangle: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of x and y whose other bands differ in ``flips`` bits."""
     step = max(1, _PAIRS // max(1, len(y)))
     for at in range(0, len(x), step):
-        differ = rest[x[at : at + step]][:, None] ^ rest[y][None, :]
-        good = np.bitwise_count(differ) == flips
-        if band:
-            good &= differ >> np.uint64(BAND) != 0
-        if band == 2:
-            good &= differ & np.uint64((1 << BAND) - 1) != 0
-        r, c = np.nonzero(good)
+        r, c = np.nonzero(np.bitwise_count(rest[x[at : at + step]][:, None] ^ rest[y][None, :]) <= flips)
         if triangle:
             r, c = r[r + at < c], c[r + at < c]
-        if len(r):
-            yield x[r + at], y[c]
+        p, q = x[r + at], y[c]
+        good = np.bitwise_count(rest[p] ^ rest[q]) + np.bitwise_count(more[p] ^ more[q]) == flips
+        if good.any():
+            yield p[good], q[good]
 
 
 def one_replaced(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -139,7 +155,7 @@ def near_in(group: pa.Table) -> pa.Table:
     group = group.take(pa.array(order)).combine_chunks()
     words, n = group["word"].combine_chunks(), group["n"].to_numpy()
     letters, bounds = latin(words)
-    rest = group["rest"].to_numpy().astype(np.uint64)
+    rest, more = group["rest"].to_numpy().view(np.uint64), group["more"].to_numpy().view(np.uint32)
     band, home, longer, block, i, j = (group[c].to_numpy(zero_copy_only=False) for c in ("band", "home", "longer", "block", "i", "j"))
     near = [np.zeros((2, 0), np.int64)]
 
@@ -157,11 +173,13 @@ def near_in(group: pa.Table) -> pa.Table:
         for x, y, flips, triangle in todo:
             if not len(x) or not len(y):
                 continue
-            for a, b in _alike(x, y, rest, int(band[s]), flips, triangle):
+            for a, b in _alike(x, y, rest, more, flips, triangle):
                 step = max(1, (1 << 22) // max(1, size))
                 for at in range(0, len(a), step):
                     p, q = a[at : at + step], b[at : at + step]
                     good = one_replaced(rows_of(p, size), rows_of(q, size)) if flips == 2 else one_inserted(rows_of(p, size), rows_of(q, size + 1))
+                    if flips == 1:  # the first band tells pairs with equal first halves; a half may also be another in another order
+                        good &= (rows_of(p, size // 2) == rows_of(q, size // 2)).all(axis=1) != bool(band[s])
                     near.append(np.stack([p[good], q[good]]))
     a, b = np.concatenate(near, axis=1)
     own, other = np.concatenate([a, b]), np.concatenate([b, a])
@@ -188,7 +206,7 @@ def near_words(words: DataFrame, work: Workspace) -> DataFrame:
     cut = placed.join(large, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     cut = cut.withColumn("block", F.pmod(F.xxhash64("word"), F.col("blocks")).cast("int"))
     pair = lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j"))
-    cut = cut.withColumn("p", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair))).select("word", "n", *key, "longer", "rest", "block", "p.i", "p.j")
+    cut = cut.withColumn("p", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair))).select("word", "n", *key, "longer", "rest", "more", "block", "p.i", "p.j")
     groups = max(1, placed.count() // GROUP)
     cut = cut.withColumn("g", F.pmod(F.xxhash64(*key, "i", "j"), F.lit(groups)).cast("int"))
     found = cut.groupBy("g").applyInArrow(near_in, "word string, n_near long, best_n long, best string")

@@ -225,3 +225,23 @@ def test_masks_of_words_one_edit_apart_share_a_band():
         v[at : at + (kind < 2)] = [] if kind == 0 else [rng.choice(letters)]
         m = spelling.masks(*spelling.latin(pa.array(["".join(w), "".join(v)])))
         assert (m[:, 0] == m[:, 1]).any() and np.bitwise_count(m[:, 0] ^ m[:, 1]).sum() <= 2
+
+
+def test_words_one_edit_apart_share_a_half_and_others_seldom_meet():
+    rng = random.Random(4)
+    letters = [chr(c) for c in [*range(97, 123), *range(0xC0, 0x100)]]
+    for _ in range(300):
+        w = [rng.choice(letters) for _ in range(rng.randint(1, 12))]
+        v, at = list(w), rng.randrange(len(w))
+        kind = rng.randrange(2)
+        v[at : at + kind] = [rng.choice(letters)]
+        own, other = zip(*(spelling.bands(*spelling.latin(pa.array(["".join(x)])), longer) for x, longer in ((w, False), (v, not kind))), strict=True)
+        equal = (own[0] == own[1]).all(axis=0)[0]
+        flips = np.bitwise_count(other[0] ^ other[1]).sum(axis=0)[0]
+        assert v == w or (equal & (flips == 1 + kind)).any()
+    # words of the same few letters: slices of the alphabet tell few of them apart
+    words = sorted({"".join(rng.choice("etaoinsh") for _ in range(10)) for _ in range(2000)})
+    own, _ = spelling.bands(*spelling.latin(pa.array(words)), False)
+    pairs = sum(int((n * (n - 1) // 2).sum()) for b in (0, 1) for n in [np.unique(own[:, :, b], axis=1, return_counts=True)[1]])
+    whole = spelling.masks(*spelling.latin(pa.array(words)))
+    assert 4 * pairs < sum(int((n * (n - 1) // 2).sum()) for b in range(3) for n in [np.unique(whole[b], return_counts=True)[1]])
