@@ -6,10 +6,10 @@ searched from end to end for each look-up). One expression then folds merges ove
 byte symbols: it keeps the ranks of all adjacent pairs and, step by step, replaces
 the leftmost pair of the lowest rank.
 
-Each word is folded once for many texts: the commonest words of the whole corpus
-are folded first and broadcast (at most HEAD_WORDS of them); every slice of texts
-then sends its remaining distinct words, followed by the texts themselves, through
-the same expression, in one pass without a shuffle. Words longer than FOLD_BYTES,
+Every word is folded once. Texts are read once: a slice of them becomes a row of its distinct
+words and of unit numbers for its texts (a unit is a word with its space, mostly). The words of all
+slices are sorted together, each is folded for all slices that have it, and its ids go back to
+them in blocks; the ids of a text are then taken by its unit numbers. Words longer than FOLD_BYTES,
 for which a quadratic fold is too slow, are merged by the ragged arrays of
 ``ragged_bpe`` with the same ranks. Decoding concatenates the ids' byte pieces.
 
@@ -23,35 +23,41 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clearprose.llm.ragged_bpe import PairTable, merge_all
 from clearprose.llm.tables import Workspace
-from clearprose.llm.words import slices
+from clearprose.llm.words import slices, text_bytes
 
-#: Most words folded beforehand and broadcast (about 100 bytes each).
-HEAD_WORDS = 1 << 18
 #: Longer words are merged by ragged arrays.
 FOLD_BYTES = 128
-#: Distinct space-separated units whose ids a worker remembers.
-REMEMBERED = 1 << 18
-SLICE = 16 << 20
-#: Distinct units held before partial counts are sent on.
-PARTIAL_UNITS = 1 << 18
-
+#: Bytes of text that share a row of words and unit numbers; a longer single text has its own.
+SLICE = 32 << 20
+#: Word places held before they are sent to their slices.
+PLACES = 1 << 20
+#: Units of texts whose ids are laid out at once.
+UNITS = 1 << 19
+
+#: In place of a unit's number: it comes for the first time, or is rarer and told apart.
+_FIRST, _RARE = 255, 254
 _RANK_BITS = 16
 _NO_RANK = 1 << _RANK_BITS
 #: Places looked at together when a row of the pair table is laid.
 _PLACES = 4096
+#: Bytes that may begin white space.
+_WHITE = np.zeros(256, bool)
+_WHITE[[*range(0x09, 0x0E), *range(0x1C, 0x21), 0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 # Cutting before every space may cut a run of white space where a space has more of it behind: such texts are matched whole.
 _IN_A_RUN = re.compile(r" \s")
@@ -157,6 +163,12 @@ class Splitter:
     def __init__(self, pattern: str, path: str):
         self.pattern, self.ranks = regex.compile(pattern), read_ranks(path)
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
+        pieces: list[bytes | None] = [None] * (max(self.ranks.values()) + 1)
+        for word, rank in self.ranks.items():
+            pieces[rank] = word
+        #: By id: the id as text after a space, and the bytes it decodes to.
+        self.told = pa.array([b" %d" % i for i in range(len(pieces))], pa.large_binary())
+        self.pieces = pa.array(pieces, pa.large_binary())
 
     def units(self, text: str) -> list[str]:
         if not text:
@@ -170,10 +182,34 @@ class Splitter:
         """The pattern's matches; letters after one space or none are one match."""
         return [unit] if (unit[1:] if unit[0] == " " else unit).isalpha() else self.pattern.findall(unit)
 
-    def symbols(self, words: list[bytes]) -> pa.ListArray:
+    def cut(self, column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The units of all texts one after another, and each text's count of them."""
+        blob, at = text_bytes(column)
+        spaces = np.flatnonzero(blob == 0x20)
+        opens = np.zeros(len(blob) + 1, bool)
+        opens[spaces] = True
+        opens[at] = True
+        # a space before white space or a text's end may be in a run: such texts are looked at one by one
+        doubtful = spaces[opens[spaces + 1] | _WHITE[blob[np.minimum(spaces + 1, len(blob) - 1)]]]
+        for i in np.unique(np.searchsorted(at, doubtful, "right") - 1).tolist():
+            text = column[i].as_py()
+            if text[-1] != " " and not _IN_A_RUN.search(text):
+                continue
+            ends = np.cumsum([len(u.encode()) for u in self.pattern.findall(text)], dtype=np.int64) + at[i]
+            if not len(ends) or ends[-1] != at[i + 1]:  # the pattern leaves something out
+                units = [self.units(t) for t in column.to_pylist()]
+                return pa.array(chain.from_iterable(units), pa.large_string()), np.array([len(u) for u in units], np.int32)
+            opens[at[i] + 1 : at[i + 1]] = False
+            opens[ends] = True
+        opens[len(blob)] = True
+        starts = np.flatnonzero(opens)
+        units = pa.LargeStringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts), pa.py_buffer(blob))
+        return units, np.diff(np.searchsorted(starts, at)).astype(np.int32)
+
+    def symbols(self, words: pa.Array) -> pa.ListArray:
         """The byte symbols of each word."""
-        ends = np.cumsum([0, *map(len, words)])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(self.byte[np.frombuffer(b"".join(words), np.uint8)]))
+        blob, at = text_bytes(words)
+        return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(self.byte[blob]))
 
 
 @lru_cache(2)
@@ -192,116 +228,214 @@ def long_word_ids(word: bytes, path: str, pattern: str) -> list[int]:
     return merge_all(symbols, np.array([len(symbols)]), _ragged(path))[0].tolist()
 
 
-class Units(dict):
-    """A unit's ids, as text, and the bytes they decode to, found once."""
-
-    def __init__(self, own: Splitter, ids_of):
-        self.own, self.ids_of = own, ids_of
-        self.piece = {str(r): w for w, r in own.ranks.items()}
-
-    def __missing__(self, unit: str) -> tuple[str, bytes]:
-        ids = " ".join(map(self.ids_of, self.own.words(unit)))
-        self[unit] = found = ids, b"".join(map(self.piece.__getitem__, ids.split(" ")))
-        return found
-
+def _packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of 32-bit integers, each as compressed planes of its bytes."""
+    out = []
+    for values in arrays:
+        planes = np.ascontiguousarray(np.asarray(values, np.int32).view(np.uint8).reshape(-1, 4).T)
+        data = pa.compress(planes, "zstd", asbytes=True)
+        out += [len(values).to_bytes(8, "little"), len(data).to_bytes(8, "little"), data]
+    return b"".join(out)
+
+
+def _unpacked(data: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(data):
+        n, size = (int.from_bytes(data[at + i : at + i + 8], "little") for i in (0, 8))
+        planes = np.frombuffer(pa.decompress(data[at + 16 : at + 16 + size], 4 * n, "zstd"), np.uint8).reshape(4, n)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(np.int32))
+        at += 16 + size
+    return out
+
+
+def _ends(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+
+
+def _ragged_places(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of runs that begin at ``start``, one run after another."""
+    ends = _ends(size)
+    return np.repeat(start - ends[:-1], size) + np.arange(ends[-1])
+
+
+class Slice:
+    """Texts as numbers of distinct units; a unit is a list of ids (-1 - id) and of places among the words to be folded."""
+
+    def __init__(self, ranks_path: str, pattern: str):
+        self.path, self.pattern, self.own = ranks_path, pattern, splitter(pattern, ranks_path)
+        self.size, self.ids, self.counts, self.codes = 0, [], [], []
+        self.units: dict[str, int] = {}
+        self.place: dict[str, int] = {}
+        self.words: list[str] = []
+        self.sizes, self.elements = array("i"), array("i")
+
+    def add(self, part: pa.RecordBatch) -> None:
+        units, counts = self.own.cut(part.column(1))
+        coded = units.dictionary_encode()
+        mine, numbers = coded.dictionary.to_pylist(), self.units
+        known = len(numbers)
+        number = np.array([numbers.setdefault(u, len(numbers)) for u in mine], np.int32)
+        for u, n in zip(mine, number.tolist(), strict=True):
+            if n >= known:
+                before = len(self.elements)
+                for word in self.own.words(u):
+                    self._tell(word)
+                self.sizes.append(len(self.elements) - before)
+        self.ids.append(part.column(0))
+        self.counts.append(counts)
+        self.codes.append(number[coded.indices.to_numpy()] if len(mine) else number)
+        self.size += part.column(1).nbytes
+
+    def _tell(self, word: str) -> None:
+        found = self.place.get(word)
+        if found is None:
+            data = word.encode()
+            rank = self.own.ranks.get(data)
+            if rank is None and len(data) > FOLD_BYTES:
+                self.elements.extend(-1 - i for i in long_word_ids(data, self.path, self.pattern))
+                return
+            if rank is None:
+                found = len(self.words)
+                self.words.append(word)
+            else:
+                found = -1 - rank
+            self.place[word] = found
+        self.elements.append(found)
+
+    def rows(self, number: int) -> Iterator[pa.RecordBatch]:
+        """The slice as two rows: its texts' unit numbers, and its words.
+
+        Units are numbered as they first come, so a first one needs no number; others are told by how common they are.
+        """
+        codes, sizes, elements = np.concatenate(self.codes), np.array(self.sizes, np.int32), np.array(self.elements, np.int32)
+        fresh = np.diff(np.maximum.accumulate(codes), prepend=-1) > 0
+        if fresh.sum() != len(sizes):
+            raise ValueError("units are not numbered as they first come")
+        times = np.bincount(codes, minlength=len(sizes))
+        order = np.argsort(-times, kind="stable")[: int((times > 1).sum())]
+        rank = np.empty(len(sizes), np.int32)
+        rank[order] = np.arange(len(order))
+        again = rank[codes[~fresh]]
+        low = np.full(len(codes), _FIRST)
+        low[~fresh] = np.minimum(again, _RARE)
+        direct = elements < 0
+        numbers = _packed(np.concatenate(self.counts), low, again[again >= _RARE] - _RARE, np.diff(order, prepend=0), sizes, direct, elements[direct], np.diff(elements[~direct], prepend=0))
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (pa.concat_arrays(self.ids), pa.array(self.words, pa.string()))]
+        for ids, data, words, of in ((lists[0], pa.array([numbers], pa.binary()), pa.nulls(1, lists[1].type), "texts"), (pa.nulls(1, lists[0].type), pa.nulls(1, pa.binary()), lists[1], "words")):
+            yield pa.RecordBatch.from_arrays([pa.array([number]), ids, data, words, pa.array([of])], ["slice", "doc_ids", "numbers", "words", "of"])
+
+
+def _blocks(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    """The held words' ids, a block for each slice: places, sizes, ids."""
+    slice_, place, size = (np.concatenate([x[i] for x in held]) for i in range(3))
+    start = np.concatenate([x[3] + base for x, base in zip(held, _ends(np.array([len(x[4]) for x in held])), strict=False)])
+    ids = np.concatenate([x[4] for x in held])
+    order = np.lexsort((place, slice_))
+    slice_, place, size, start = slice_[order], place[order], size[order], start[order]
+    ids, ends = ids[_ragged_places(start, size)], _ends(size)
+    first = np.flatnonzero(np.concatenate([[True], slice_[1:] != slice_[:-1]]))
+    cells = [_packed(np.diff(place[a:b], prepend=0), size[a:b], ids[ends[a] : ends[b]]) for a, b in zip(first.tolist(), np.append(first[1:], len(slice_)).tolist(), strict=True)]
+    yield pa.RecordBatch.from_arrays([pa.array(slice_[first]), pa.array(cells, pa.binary())], ["slice", "block"])
+
+
+def _digests(texts: pa.Table, blocks: pa.Table, own: Splitter) -> pa.Table:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of a slice's texts from its words' ids."""
+    counts, low, rare, order, sizes, direct, given, refs = _unpacked(texts["numbers"][0].as_py())
+    codes, fresh = np.empty(len(low), np.int32), low == _FIRST
+    codes[fresh], again = np.arange(len(sizes)), low[~fresh]
+    again[again == _RARE] += rare
+    codes[~fresh] = np.cumsum(order)[again]
+    direct = direct.astype(bool)
+    elements = np.empty(len(direct), np.int64)
+    elements[direct], elements[~direct] = given, np.cumsum(refs)
+    doc_ids = texts["doc_ids"].combine_chunks().flatten()
+    none = np.zeros(0, np.int64)
+    parts = [_unpacked(cell) for cell in blocks["block"].to_pylist()]
+    at, size, ids = (np.concatenate([none, *x]) for x in ([np.cumsum(p[0]) for p in parts], [p[1] for p in parts], [p[2] for p in parts]))
+    # words by place, then units as runs of ids
+    n_words = int(elements.max(initial=-1)) + 1
+    start_of, size_of = np.zeros(n_words, np.int64), np.zeros(n_words, np.int64)
+    start_of[at], size_of[at] = _ends(size)[:-1], size
+    if not size_of.all():
+        raise ValueError("a slice lacks the ids of a word")
+    start, length = np.zeros(len(elements), np.int64), np.ones(len(elements), np.int64)
+    start[direct], start[~direct], length[~direct] = len(ids) + np.arange(direct.sum()), start_of[elements[~direct]], size_of[elements[~direct]]
+    ids = np.concatenate([ids, -1 - elements[direct]])[_ragged_places(start, length)]
+    bounds = _ends(length)[_ends(sizes)]
+    named, pieces = own.told.take(pa.array(ids)), own.pieces.take(pa.array(ids))
+    n_ids = np.diff(bounds)
+    laid = []
+    for x in (named, pieces):
+        offsets = np.frombuffer(x.buffers()[1], np.int64, len(x) + 1)[bounds]
+        laid.append(pa.Array.from_buffers(pa.large_binary(), len(n_ids), [None, pa.py_buffer(offsets), x.buffers()[2]]))
+    ends, n_tokens, hashes = _ends(counts), np.zeros(len(counts), np.int64), ([], [])
+    row = 0
+    while row < len(counts):
+        stop = max(row + 1, int(np.searchsorted(ends, ends[row] + UNITS, "right")) - 1)
+        mine, edge = codes[ends[row] : ends[stop]], ends[row : stop + 1] - ends[row]
+        n_tokens[row:stop] = np.diff(_ends(n_ids[mine])[edge])
+        for x, skip, out in zip(laid, (1, 0), hashes, strict=True):
+            got = x.take(pa.array(mine))
+            offsets, data = np.frombuffer(got.buffers()[1], np.int64, len(got) + 1)[edge].tolist(), memoryview(got.buffers()[2] or b"")
+            out += [hashlib.sha256(data[a + skip : b] if b > a else b"").hexdigest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        row = stop
+    return pa.table([doc_ids, pa.array(n_tokens), pa.array(hashes[0], pa.string()), pa.array(hashes[1], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
+def folded_words(words: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """ids, slices and places of the words of all slices: one row a word, or one in each Arrow batch that has it."""
+
+    def spelled(batches) -> Iterator[pa.RecordBatch]:
+        """Each word once, with the slices and places it is wanted at."""
+        own = splitter(pattern, ranks_path)
+        for b in batches:
+            word = b.column(2)
+            first = np.flatnonzero(np.concatenate([[True], pc.not_equal(word[1:], word[:-1]).to_numpy(zero_copy_only=False)]))
+            bounds = pa.array(np.append(first, len(word)), pa.int32())
+            yield pa.RecordBatch.from_arrays([own.symbols(word.take(pa.array(first))), *(pa.ListArray.from_arrays(bounds, b.column(i)) for i in range(2))], ["symbols", "slices", "places"])
 
-def told(symbols: Column, path: str) -> Column:
-    """The folded ids as text."""
-    return F.array_join(fold_merges(symbols, path).cast("array<string>"), " ")
+    wanted = words.select("slice", F.posexplode("words").alias("place", "word")).repartition("word").sortWithinPartitions("word")
+    return wanted.mapInArrow(spelled, "symbols array<int>, slices array<long>, places array<int>").select(fold_merges(F.col("symbols"), ranks_path).alias("ids"), "slices", "places")
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row."""
     work = Workspace(docs.sparkSession, "bpe")
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    kind = docs.schema[doc_id].dataType.simpleString()
 
-    def counted(batches) -> Iterator[pa.RecordBatch]:
-        own, held = splitter(pattern, ranks_path), Counter()
-
-        def flush():
-            words = Counter()
-            for unit, n in held.items():
-                for w in own.words(unit):
-                    words[w] += n
-            keep = [(w, n) for w, n in words.items() if w.encode() not in own.ranks and len(w.encode()) <= FOLD_BYTES]
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in keep], pa.string()), pa.array([n for _, n in keep], pa.int64())], ["word", "n"])
-
+    def sliced(batches) -> Iterator[pa.RecordBatch]:
+        number, now = TaskContext.get().partitionId() << 32, Slice(ranks_path, pattern)
         for batch in batches:
             for part in slices(batch, "text", SLICE):
-                for t in part.column(0).to_pylist():
-                    held.update(own.units(t))
-                if len(held) > PARTIAL_UNITS:
-                    yield flush()
-                    held.clear()
-        yield flush()
-
-    words = work.written(texts.select("text").mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    least, room = 62, HEAD_WORDS
-    for power, n in sorted(words.groupBy(F.floor(F.log2("n")).cast("int").alias("p")).count().collect(), reverse=True):
-        if n > room:
-            break
-        least, room = power, room - n
-
-    def spelled(batches):
-        own = splitter(pattern, ranks_path)
+                if now.ids and now.size + part.column(1).nbytes > SLICE:
+                    yield from now.rows(number)
+                    number, now = number + 1, Slice(ranks_path, pattern)
+                now.add(part)
+        if now.ids:
+            yield from now.rows(number)
+
+    coded = work.written(texts.mapInArrow(sliced, f"slice long, doc_ids array<{kind}>, numbers binary, words array<string>, of string"), "coded", "zstd", "of")
+    words = coded.filter("of = 'words'")
+
+    def dealt(batches) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), own.symbols([w.encode() for w in b.column(0).to_pylist()])], ["word", "symbols"])
-
-    common = words.filter(F.col("n") >= 1 << least).select("word").repartition(8 * max(1, (HEAD_WORDS - room) >> 15), "word").mapInArrow(spelled, "word string, symbols array<int>")
-    got = common.select("word", told(F.col("symbols"), ranks_path).alias("ids")).toArrow()
-    coded = dict(zip(got["word"].to_pylist(), got["ids"].to_pylist(), strict=True))
-    head, head_words = (docs.sparkSession.sparkContext.broadcast(x) for x in (coded, frozenset(coded)))
-
-    def sent(batches) -> Iterator[pa.RecordBatch]:
-        own, known, slice_ = splitter(pattern, ranks_path), head_words.value, 0
-        for batch in batches:
-            for part in slices(batch, "text", SLICE):
-                slice_ += 1
-                units = set(chain.from_iterable(own.units(t) for t in part.column(1).to_pylist()))
-                new = set(chain.from_iterable(map(own.words, units))) - known
-                new = [(w, b) for w in new if (b := w.encode()) not in own.ranks and len(b) <= FOLD_BYTES]
-                if new:
-                    coded = own.symbols([b for _, b in new])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(new), slice_)), pa.nulls(len(new), part.column(0).type), pa.array([w for w, _ in new], part.column(1).type), coded], ["slice", "doc_id", "text", "symbols"])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), slice_)), part.column(0), part.column(1), pa.nulls(len(part), pa.list_(pa.int32()))], ["slice", "doc_id", "text", "symbols"])
-
-    def assembled(batches) -> Iterator[pa.RecordBatch]:
-        own, known, tail = splitter(pattern, ranks_path), head.value, {}
-        slice_ = 0
-
-        def ids_of(word: str) -> str:
-            found = known.get(word) or tail.get(word)
-            if found is None:
-                b = word.encode()
-                found = str(own.ranks[b]) if b in own.ranks else " ".join(map(str, long_word_ids(b, ranks_path, pattern)))
-            return found
-
-        units = Units(own, ids_of)
-        for batch in batches:
-            number, names, coded = batch.column(0).to_numpy(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            at = 0
-            while at < len(names):
-                if number[at] != slice_:
-                    slice_ = number[at]
-                    tail.clear()
-                    if len(units) > REMEMBERED:
-                        units.clear()
-                end = at + int(np.searchsorted(number[at:], slice_, "right"))
-                rows, n_tokens, ids_hash, text_hash = [], [], [], []
-                for i in range(at, end):
-                    if coded[i] is not None:
-                        tail[names[i]] = coded[i]
-                        continue
-                    ids, pieces = zip(*map(units.__getitem__, own.units(names[i])), strict=True) if names[i] else ((), ())
-                    ids = " ".join(ids)
-                    rows.append(i)
-                    n_tokens.append(ids.count(" ") + 1 if ids else 0)
-                    ids_hash.append(hashlib.sha256(ids.encode()).hexdigest())
-                    text_hash.append(hashlib.sha256(b"".join(pieces)).hexdigest())
-                yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(rows, pa.int64())), pa.array(n_tokens, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-                at = end
-
-    kind = docs.schema[doc_id].dataType.simpleString()
-    stream = texts.mapInArrow(sent, f"slice long, doc_id {kind}, text string, symbols array<int>")
-    folded = stream.select("slice", "doc_id", "text", told(F.col("symbols"), ranks_path).alias("ids"))
-    return folded.mapInArrow(assembled, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            ids, slices_, places = (b.column(i) for i in range(3))
+            times = np.diff(slices_.offsets.to_numpy())
+            at = ids.offsets.to_numpy().astype(np.int64)
+            held.append((slices_.flatten().to_numpy(), places.flatten().to_numpy(), np.repeat(np.diff(at), times), np.repeat(at[:-1] - at[0], times), ids.flatten().to_numpy()))
+            n += len(held[-1][0])
+            if n >= PLACES:
+                yield from _blocks(held)
+                held, n = [], 0
+        if n:
+            yield from _blocks(held)
+
+    blocks = work.written(folded_words(words, ranks_path, pattern).mapInArrow(dealt, "slice long, block binary"), "blocks", "zstd")
+    work.drop_part(coded, "of=words")
+
+    def digests(texts: pa.Table, blocks: pa.Table) -> pa.Table:
+        return _digests(texts, blocks, splitter(pattern, ranks_path))
+
+    return coded.filter("of = 'texts'").select("slice", "doc_ids", "numbers").groupBy("slice").cogroup(blocks.groupBy("slice")).applyInArrow(digests, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

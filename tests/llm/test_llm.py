@@ -333,6 +333,36 @@ def test_units_are_cut_like_the_whole_pattern():
     assert cut > 1000
 
 
+def test_words_of_many_slices_are_folded_once(spark, monkeypatch):
+    import tiktoken
+
+    path, rng = public_tokenizers.path("byte_bpe_50k.tiktoken"), random.Random(2)
+    rare = ["".join(rng.choice("qxzjkvw") for _ in range(9)) for _ in range(30)]
+    texts = [" ".join(rng.choice(rare) + rng.choice(["", ",", "  ", " ", "\n", "é"]) for _ in range(40)) for _ in range(60)] + [None, "", " ", "z" * 300, "\0 a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3)
+    monkeypatch.setattr(byte_bpe, "SLICE", 2000)  # a few texts a slice
+    folds, real = [], byte_bpe.folded_words
+    monkeypatch.setattr(byte_bpe, "folded_words", lambda *x: folds.append(real(*x).persist()) or folds[0])
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(path), special_tokens={})
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in byte_bpe.encode_documents(docs, path, public_tokenizers.PATTERN).collect()}
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    for i, t in enumerate(texts):
+        ids = own.encode_ordinary(t or "")
+        assert got[i] == (len(ids), sha(" ".join(map(str, ids)).encode()), sha((t or "").encode()))
+    times = [len(r.slices) for r in folds[0].collect()]
+    assert max(times) > 10 and len(times) <= 3 * len(rare)  # each word with and without the space before it, and with é
+
+
+def test_units_of_a_column_are_those_of_its_texts():
+    own, rng = byte_bpe.splitter(public_tokenizers.PATTERN, public_tokenizers.path("byte_bpe_50k.tiktoken")), random.Random(3)
+    parts = ["a", "b1", " ", " ", "  ", "\n", "\t", "\x1c", "\xa0", "\u3000", "'s", ".", "é", "\x85", "\0"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 8))) for _ in range(5000)] + [None]
+    units, counts = own.cut(pa.array(texts)[1:])
+    units, at = units.to_pylist(), np.cumsum([0, *counts])
+    for t, a, b in zip(texts[1:], at[:-1], at[1:], strict=True):
+        assert [m for u in units[a:b] for m in own.words(u)] == own.pattern.findall(t or ""), repr(t)
+
+
 def test_pair_table_holds_every_rank():
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     start, entries = byte_bpe.pair_arrays(path)
