@@ -406,6 +406,37 @@ def test_compact_windows_cover():
             assert x <= at and at + 19 <= y and values[k, x : y + 1].min() == values[k, p]
 
 
+def test_compact_windows_of_several_texts():
+    s = np.random.default_rng(1).integers(0, 40, 900).astype(np.uint64)
+    bounds = np.array([0, 0, 300, 310, 310, 700, 900])
+    got = set(zip(*(x.tolist() for x in substring_dedup.compact_windows(s, 20, bounds)), strict=True))
+    want = set()
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        f, key, *places = (x.tolist() for x in substring_dedup.compact_windows(s[a:b], 20))
+        want |= set(zip(f, key, *([v + a for v in x] for x in places), strict=True))
+    assert got == want
+
+
+def test_pivots_that_meet():
+    """Against all pairs of windows."""
+    rng, width = np.random.default_rng(2), substring_dedup.WINDOW
+    for n in (1, 2, 7, 300):
+        left = rng.integers(0, 800, n)
+        right = left + width - 1 + rng.integers(0, 60, n)
+        pivot, f = rng.integers(left, right + 1), rng.integers(0, substring_dedup.FUNCTIONS, n)
+        shared = np.minimum(right[:, None], right) - np.maximum(left[:, None], left) + 1
+        want = [p for p, row in zip(pivot.tolist(), shared >= width, strict=True) if len(set(f[row].tolist())) >= substring_dedup.HITS]
+        assert substring_dedup.meeting_pivots(pivot << 35 | (pivot - left) << 19 | (right - pivot) << 3 | f).tolist() == sorted(set(want))
+
+
+def test_work_tables_of_passages_go(spark, docs, tmp_path, monkeypatch):
+    """Only the passages stay once they are found."""
+    monkeypatch.setattr("clearprose.llm.tables.shared_folder", lambda _: str(tmp_path))
+    assert substring_dedup.repeated_passages(docs).count() > 0
+    left = {p.name.rsplit("-", 1)[0] for p in tmp_path.glob("passages-*/*")}
+    assert left == {"found", "repeated"}
+
+
 def near_pair(rng, w):
     """The words with one changed, left out or put in where the similarity stays 0.8 or more."""
     at, kind = rng.randint(20, len(w) - 21), rng.choice(("change", "drop", "add"))
