@@ -36,8 +36,8 @@ DELETES = 31
 BLOCK, BLOCK_BYTES, GROUP = 4096, 4 << 20, 16384
 #: Most pairs whose masks are compared at once.
 _PAIRS = 1 << 19
-#: Bits of each third of a mask that fit one 64-bit word with those of the others.
-LOW = 21
+#: Bits of each third of a mask that fit one 64-bit word with those of the others, and the rest of its 30 bits.
+LOW, HIGH = 21, 9
 
 # Letters as Latin-1 bytes; commoner ones first, dealt to three thirds of a mask in turn.
 _LETTERS = b"etaoinshrdlcumwfgypbvkjxqz" + bytes(range(0xC0, 0x100))
@@ -76,10 +76,10 @@ def occurrences(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> Data
 
 
 def packed(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two words of each mask: the bits of all but the rarest letters, and the others."""
+    """Two words of each mask: the bits of all but the rarest letters, and the others, which fit 32 bits."""
     low = np.uint64((1 << LOW) - 1)
-    rest, more = m & low, m >> np.uint64(LOW)
-    return tuple(x[0] << np.uint64(2 * LOW) | x[1] << np.uint64(LOW) | x[2] for x in (rest, more))
+    parts = (m & low, LOW), (m >> np.uint64(LOW), HIGH)
+    return tuple(x[0] << np.uint64(2 * n) | x[1] << np.uint64(n) | x[2] for x, n in parts)
 
 
 def bands(letters: np.ndarray, bounds: np.ndarray, longer: bool) -> tuple[np.ndarray, np.ndarray]:

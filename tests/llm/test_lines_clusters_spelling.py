@@ -207,6 +207,13 @@ def test_variants(spark, monkeypatch, spelled, block):
     assert spelling.variants(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_words_that_differ_in_any_letter_are_near(spark):
+    letters = [chr(c) for c in [*range(97, 123), *range(0xC0, 0x100)]]
+    rows = [(i, f"{w} {w}") for i, w in enumerate(["zornigeste", *(f"zornige{c}ste" for c in letters), *(f"zor{c}igeste" for c in letters if c != "n")])]
+    got = {r.word: r.n_near for r in spelling.variants(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {w: f[3] for w, f in brute_variants(rows).items()} and len(got) > 170
+
+
 def test_roots_follow_chains(spark):
     from clearprose.llm.tables import Workspace
 
