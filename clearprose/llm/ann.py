@@ -5,7 +5,8 @@ size; a shard's graph starts random and is rebuilt in two passes of batches: a
 greedy beam search from the medoid proposes neighbours, robust pruning drops a
 candidate that is nearer (by the factor ALPHA) to a kept one than to the node, and
 edges are added back and pruned again. Each shard is a row of an index table.
-Queries, in blocks, are joined to every shard by its number; a beam search gives the
+Queries, in blocks, meet every shard in a Cartesian product of the two tables' splits, so
+nothing is broadcast and no copies of blocks are shuffled; a beam search gives the
 shard's nearest, scored by the cosine in double precision on the original vectors,
 and a window over a query keeps the nearest of all shards.
 
@@ -35,44 +36,53 @@ SEARCH_BEAM = 192
 #: Nodes whose neighbours are looked up in one step of a search.
 WIDE = 4
 BATCH = 512
+#: Queries whose found nodes are scored at once.
+SCORED = 64
 _FAR = np.float32(np.inf)
 
 
 def search(graph: np.ndarray, x: np.ndarray, queries: np.ndarray, start: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """Node numbers (-1: none) and squared distances of the nearest found, nearest first."""
-    n = len(queries)
+    n, nodes = len(queries), len(x)
     ids = np.full((n, beam), -1, np.int64)
     far = np.full((n, beam), _FAR, np.float32)
     ids[:, 0], far[:, 0] = start, 2 - 2 * (queries @ x[start])
     seen = np.zeros((n, beam), bool)
+    # nodes met by each query: one that fell out of its beam can't come back
+    met = np.zeros((n, nodes), bool)
+    met[:, start] = True
+    flat, last = met.ravel(), np.zeros(n * nodes, np.int32)
     live = np.arange(n)
     while len(live):
-        open_ = np.where(seen[live] | (ids[live] < 0), _FAR, far[live])
-        pick = np.argsort(open_, axis=1, kind="stable")[:, :WIDE]
-        ok = np.take_along_axis(open_, pick, 1) < _FAR
-        keep = ok.any(axis=1)
-        live, pick, ok = live[keep], pick[keep], ok[keep]
-        if not len(live):
+        open_ = ~seen[live] & (ids[live] >= 0)
+        rows, pick = np.nonzero(open_ & (np.cumsum(open_, axis=1, dtype=np.int32) <= WIDE))
+        if not len(rows):
             break
-        rows = np.arange(len(live))[:, None]
-        marks = seen[live]
-        marks[rows, pick] |= ok
-        seen[live] = marks
-        near = graph[np.where(ok, ids[live[:, None], pick], 0)]
-        near = np.where(ok[:, :, None], near, -1).reshape(len(live), -1)
-        near = np.sort(near, axis=1)
-        near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
-        known = np.sort(ids[live], axis=1)
-        code = known + np.arange(len(live))[:, None] * (len(x) + 1)
-        asked = near + np.arange(len(live))[:, None] * (len(x) + 1)
-        at = np.minimum(np.searchsorted(code.ravel(), asked.ravel()), code.size - 1)
-        near[(code.ravel()[at] == asked.ravel()).reshape(near.shape)] = -1
-        d = 2 - 2 * np.einsum("ard,ad->ar", x[near], queries[live], optimize=True)
-        d[near < 0] = _FAR
-        all_ids, all_d = np.hstack([ids[live], near]), np.hstack([far[live], d.astype(np.float32)])
-        all_seen = np.hstack([seen[live], np.zeros(near.shape, bool)])
+        query = live[rows]
+        live = live[open_.any(axis=1)]
+        seen[query, pick] = True
+        near = graph[ids[query, pick]]
+        query, near = np.repeat(query, near.shape[1]), near.ravel()
+        cell = query * nodes + near
+        fresh = np.flatnonzero(near >= 0)
+        fresh = fresh[~flat[cell[fresh]]]
+        # of equal ones among the neighbours of one step, the last stands
+        last[cell[fresh]] = fresh
+        fresh = fresh[last[cell[fresh]] == fresh]
+        query, near = query[fresh], near[fresh]
+        flat[cell[fresh]] = True
+        d = (2 - 2 * np.einsum("ad,ad->a", x[near], queries[query])).astype(np.float32)
+        closer = d < far[query, -1]
+        query, near, d = query[closer], near[closer], d[closer]
+        if not len(query):
+            continue
+        some, first, count = np.unique(query, return_index=True, return_counts=True)
+        row, place = np.repeat(np.arange(len(some)), count), beam + np.arange(len(query)) - np.repeat(first, count)
+        all_ids, all_d, all_seen = (np.full((len(some), beam + count.max()), v, k) for v, k in ((-1, np.int64), (_FAR, np.float32), (False, bool)))
+        all_ids[:, :beam], all_d[:, :beam], all_seen[:, :beam] = ids[some], far[some], seen[some]
+        all_ids[row, place], all_d[row, place] = near, d
         best = np.argsort(all_d, axis=1, kind="stable")[:, :beam]
-        ids[live], far[live], seen[live] = (np.take_along_axis(a, best, 1) for a in (all_ids, all_d, all_seen))
+        ids[some], far[some], seen[some] = (np.take_along_axis(a, best, 1) for a in (all_ids, all_d, all_seen))
     return ids, far
 
 
@@ -151,7 +161,8 @@ def _block(group: pa.Table) -> pa.Table:
 def _searched(nearest: int):
     def run(batches):
         for batch in batches:
-            for r in batch.to_pylist():
+            # a row is a whole shard beside a block: only one is held as bytes
+            for r in (row for i in range(batch.num_rows) for row in batch.slice(i, 1).to_pylist()):
                 width = r["size"]
                 v, q = (np.frombuffer(r[c], np.float64).reshape(-1, width) for c in ("v", "q"))
                 graph = np.frombuffer(r["graph"], np.int32).reshape(-1, DEGREE).astype(np.int64)
@@ -161,18 +172,24 @@ def _searched(nearest: int):
                 found, _ = search(graph, unit(v).astype(np.float32), unit(q).astype(np.float32), r["start"], SEARCH_BEAM)
                 # powers of two leave the digits alone; no norm overflows or vanishes
                 v, q = (np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1]) for x in (v, q))
-                out = {"query_id": [], "vec_id": [], "score": []}
-                for query, own, nodes in zip(q, q_ids.tolist(), found, strict=True):
-                    nodes = nodes[nodes >= 0]
-                    score = v[nodes] @ query / (np.linalg.norm(v[nodes], axis=1) * np.linalg.norm(query))
-                    best = np.concatenate([ids[first[i] : first[i + 1]] for i in nodes])
-                    score = np.repeat(score, counts[nodes])
-                    score, best = score[best != own], best[best != own]
-                    top = np.lexsort((best, -score))[:nearest]
-                    out["query_id"] += [own] * len(top)
-                    out["vec_id"] += best[top].tolist()
-                    out["score"] += score[top].tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(out["query_id"], pa.int64()), pa.array(out["vec_id"], pa.int64()), pa.array(out["score"], pa.float64())], ["query_id", "vec_id", "score"])
+                norm, q_norm = np.linalg.norm(v, axis=1), np.linalg.norm(q, axis=1)
+                told = []
+                for at in range(0, len(q), SCORED):
+                    row, place = np.nonzero(found[at : at + SCORED] >= 0)
+                    row += at
+                    node = found[row, place]
+                    score = np.einsum("ad,ad->a", v[node], q[row]) / (norm[node] * q_norm[row])
+                    # the ids of each node, one after another
+                    n = counts[node]
+                    best = ids[np.repeat(first[node] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())]
+                    row, score = np.repeat(row, n), np.repeat(score, n)
+                    row, score, best = (x[best != q_ids[row]] for x in (row, score, best))
+                    by = np.lexsort((best, -score, row))
+                    row, score, best = row[by], score[by], best[by]
+                    top = np.arange(len(row)) - np.searchsorted(row, row) < nearest
+                    told.append((q_ids[row[top]], best[top], score[top]))
+                out = [pa.array(np.concatenate(x)) for x in zip(*told, strict=True)]
+                yield pa.RecordBatch.from_arrays(out, ["query_id", "vec_id", "score"])
 
     return run
 
@@ -191,9 +208,9 @@ def nearest(rows: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector:
     index = work.written(dealt.groupBy("shard", "size").applyInArrow(_index, "shard int, size int, start int, v binary, graph binary, ids binary, counts binary"), "index")
     asked = work.written(own(queries).withColumn("size", F.size("v")), "queries")
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    packed = asked.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).groupBy("size", "b").applyInArrow(_block, "size int, q binary, q_ids binary")
-    every = work.written(packed, "blocks").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    found = index.join(every, ["shard", "size"]).mapInArrow(_searched(k), "query_id long, vec_id long, score double")
+    packed = work.written(asked.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).groupBy("size", "b").applyInArrow(_block, "size int, q binary, q_ids binary"), "blocks")
+    # a broadcast of the blocks times the shards would pass the driver, whatever the files of one copy weigh
+    found = index.join(packed.hint("shuffle_replicate_nl"), "size").mapInArrow(_searched(k), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     best = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -279,6 +279,27 @@ def test_nearest_over_several_shards(spark, monkeypatch):
     assert len(got) == 300 and len({(r.query_id, r.vec_id) for r in got} & want) >= 0.9 * len(want)
 
 
+def test_nearest_broadcasts_no_copies_of_queries(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SHARD", 100)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 16)
+    x = np.random.default_rng(5).standard_normal((1000, 8))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = ann.nearest(table, table.filter("vec_id % 10 = 0"))
+    # blocks times shards in one broadcast pass through the driver's memory
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    best = got.collect()
+    assert len(best) == 500 and len({(r.query_id, r["rank"]) for r in best}) == 500
+
+
+def test_search_of_a_whole_beam_finds_all(spark):
+    x = np.random.default_rng(6).standard_normal((300, 12)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph, start = ann.build(x)
+    found, far = ann.search(graph, x, x[:40], start, 300)
+    assert (found[:, 0] == np.arange(40)).all() and (np.sort(found, axis=1) == np.arange(300)).all()
+    assert (np.diff(far, axis=1) >= 0).all() and np.allclose(far, 2 - 2 * np.take_along_axis(x[:40] @ x.T, found, 1), atol=1e-5)
+
+
 @pytest.mark.parametrize("cell", [256, 8])
 def test_embedding_links(spark, monkeypatch, cell):
     monkeypatch.setattr(embedding_dedup, "CELL", cell)
