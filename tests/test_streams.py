@@ -28,6 +28,17 @@ def test_reply_gate(spark):
     assert all((r.message is not None) == r.gated for r in got)
 
 
+def test_reply_gate_keeps_odd_rows(spark):
+    """Sessions and places without a value, and places that no float holds beside such a one; null places come last."""
+    big, schema = 2**53 + 1, "session string, seq bigint, content string, message string, hard bigint, soft bigint"
+    first = [("a", None, "y;", "m2", 1, 0), ("a", big, "x;", "m1", 1, 0), (None, 1, "x;", "m3", 1, 2)]
+    later = [("a", big + 2, "x;", "m4", 1, 0), (None, 2, "fine", "m5", 0, 0)]
+    stream = stream_of(spark, [spark.createDataFrame(rows, schema) for rows in (first, later)])
+    got = drained(reply_gate.gate_stream(stream)).select("session", "seq", "soft", "gated", "gate_count", "message").collect()
+    want = [("a", big, 0, True, 1, "m1"), ("a", None, 0, True, 2, "m2"), ("a", big + 2, 0, False, 2, None), (None, 1, 2, True, 1, "m3"), (None, 2, 0, False, 0, None)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def brute_open(rows):
     """Sections and open files of checks in order, by one lint of each text."""
     state, out = {}, []
