@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from clearprose import dictionary
 from clearprose.config import PROSE_KINDS, REGISTERED, RULE_ORDER, SOURCE_KINDS, LintConfig
 from clearprose.operators import extract
-from clearprose.operators.segment import lines_in, slices
+from clearprose.operators.segment import Lines, lines_in, slices
 
 VIOLATION = ["doc_id", "rule_id", "severity", "message", "suggestions", "line", "col", "rule_ord", "entry_ord", "form_ord"]
 
@@ -117,42 +117,51 @@ def directive_names(line: str) -> list[str] | None:
     return [n for n in re.split(r"[\s,:]+", m[1]) if n] if m else None
 
 
-def _directives(all_lines: Text, lines: list[str]) -> tuple[list[tuple], dict[int, list[str]]]:
-    """Hits of bad directives, and the registered names of each line with a directive."""
-    out, names, at = [], {}, all_lines.text.find(DIRECTIVE)
+def _directives(x: Lines) -> tuple[list[tuple], dict[int, list[str]]]:
+    """Hits of bad directives, and the registered names of each line with a directive; only lines that hold its name are decoded."""
+    raw, sought = x.data[:-3].tobytes(), DIRECTIVE.encode()
+    out, names, at = [], {}, raw.find(sought)
     while at >= 0:
-        line, _ = all_lines.place(at)
-        found = directive_names(lines[line]) if line not in names else None
-        if found is not None:
+        line = int(x.line_of(at))
+        low, high = int(x.low[line]), int(x.high[line])
+        if at + len(sought) > high:  # over the line's end
+            at = raw.find(sought, at + 1)
+            continue
+        if (found := directive_names(raw[low:high].decode())) is not None:
             unknown = [n for n in found if n not in REGISTERED]
             names[line] = [n for n in found if n in REGISTERED]
             if unknown or not found:
                 message = UNKNOWN_IDS.format(", ".join(f'"{n}"' for n in unknown)) if found else NO_IDS
-                out.append((line, "invalid-suppression", message, None, all_lines.place(all_lines.starts[line] + lines[line].find(DIRECTIVE))[1], 0, 0))
-        at = all_lines.text.find(DIRECTIVE, at + len(DIRECTIVE))
+                out.append((line, "invalid-suppression", message, None, at - low + 1, 0, 0))
+        at = raw.find(sought, high)  # a line's first name tells all of it
     return out, names
 
 
-def line_hits(prose: pa.ListArray, is_prose: np.ndarray, config: LintConfig) -> tuple[pa.ListArray, dict[tuple[int, int], list[str]]]:
-    """Hits of the line rules that are on, a list a document, and by (document, line) the rules that the line before turns off."""
-    x = lines_in(prose)
+def _strings(prose: pa.ListArray) -> list[str]:
     bounds = prose.offsets
-    flat = prose.values.slice(bounds[0].as_py(), bounds[-1].as_py() - bounds[0].as_py())
-    lines = flat.to_pylist()
+    return prose.values.slice(bounds[0].as_py(), bounds[-1].as_py() - bounds[0].as_py()).to_pylist()
+
+
+def line_hits(prose: pa.ListArray, is_prose: np.ndarray, config: LintConfig, x: Lines | None = None) -> tuple[pa.ListArray, dict[tuple[int, int], list[str]]]:
+    """Hits of the line rules that are on, a list a document, and by (document, line) the rules that the line before turns off.
+
+    The lines (``x``, where they are at hand) become one text only for rules that read characters.
+    """
+    x, forms = x or lines_in(prose), tuple(dictionary.rows(config))
+    lines = _strings(prose) if forms or config.severity("contraction") else []
     text = "\n".join(lines)
-    as_is = Text(text, np.array([len(v) for v in lines], np.int64))
-    found, names = _directives(as_is, lines)
+    found, names = _directives(x)
     hushed = {(int(x.doc[k]), int(x.no[k]) + 1): v for k, v in names.items() if v}
     if not config.severity("invalid-suppression"):
         found = []
     if config.severity("contraction"):
-        found += _contractions(as_is)
+        found += _contractions(Text(text, np.array([len(v) for v in lines], np.int64)))
     if config.severity("semicolon"):
         marks = np.flatnonzero(x.data == ord(";"))
-        line = np.searchsorted(x.at, marks, "right") - 1
+        line = x.line_of(marks)
         mine = is_prose[x.doc[line]] if len(line) else np.zeros(0, bool)
         found += [(k, "semicolon", SEMICOLON, None, col, 0, 0) for k, col in zip(line[mine].tolist(), (marks - x.at[line] + 1)[mine].tolist(), strict=True)]
-    if forms := tuple(dictionary.rows(config)):
+    if forms:
         low = text.lower()
         found += _phrases(Text(low, np.array([len(v) for v in low.split("\n")], np.int64)), forms)
     found.sort(key=lambda h: h[0])

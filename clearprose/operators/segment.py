@@ -50,6 +50,9 @@ class Lines:
     def high(self) -> np.ndarray:
         return self.at[1:]
 
+    def line_of(self, p: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.at, p, "right") - 1
+
     def next_solid(self, p: np.ndarray) -> np.ndarray:
         return self.solid[np.searchsorted(self.solid[:-1], p)]
 
@@ -60,7 +63,7 @@ class Lines:
 def space_bytes(b: np.ndarray) -> np.ndarray:
     """Bytes of characters that are white space in Unicode; ``b`` ends with three zero bytes."""
     space = (b == 0x20) | ((b >= 0x09) & (b <= 0x0D))
-    wide = np.flatnonzero(b >= 0xC2)
+    wide = np.flatnonzero((b == 0xC2) | ((b >= 0xE1) & (b <= 0xE3)))
     if len(wide):
         x, y, z = b[wide], b[wide + 1], b[wide + 2]
         two = (x == 0xC2) & ((y == 0x85) | (y == 0xA0))
@@ -71,6 +74,11 @@ def space_bytes(b: np.ndarray) -> np.ndarray:
     return space
 
 
+def solid_places(space: np.ndarray) -> np.ndarray:
+    """Places of bytes that aren't white space, and the end: the first of the three zero bytes."""
+    return np.flatnonzero(~space[:-2])
+
+
 def lines_in(prose: pa.ListArray) -> Lines:
     """The lines of an array of lists of lines; null lists have none, null lines are empty."""
     bounds = prose.offsets.to_numpy().astype(np.int64)
@@ -85,14 +93,23 @@ def lines_in(prose: pa.ListArray) -> Lines:
     counts = np.diff(bounds)
     doc = np.repeat(np.arange(len(counts)), counts)
     space = space_bytes(data)
-    solid = np.append(np.flatnonzero(~space[:-3]), len(data) - 3)
-    return Lines(data, at - at[0], doc, np.arange(len(doc)) - (bounds[:-1] - bounds[0])[doc] + 1, space, solid)
+    return Lines(data, at - at[0], doc, np.arange(len(doc)) - (bounds[:-1] - bounds[0])[doc] + 1, space, solid_places(space))
+
+
+def counted(mask: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many places from a to b ``mask`` holds for."""
+    on = np.flatnonzero(mask)
+    return np.searchsorted(on, b) - np.searchsorted(on, a)
 
 
 def _run_ends(mask: np.ndarray, p: np.ndarray, most: np.ndarray) -> np.ndarray:
     """The first place from p on where mask doesn't hold, ``most`` at the latest."""
-    off = np.append(np.flatnonzero(~mask), len(mask))
-    return np.minimum(off[np.searchsorted(off, p)], most)
+    on = np.flatnonzero(mask)
+    if not len(on):
+        return np.minimum(p, most)
+    last = on[np.append(np.flatnonzero(np.diff(on) > 1), len(on) - 1)]  # of each run
+    run = np.minimum(np.searchsorted(last, p), len(last) - 1)
+    return np.minimum(np.where(mask[p], last[run] + 1, p), most)
 
 
 def blocks(x: Lines) -> tuple[np.ndarray, np.ndarray]:
@@ -105,12 +122,11 @@ def blocks(x: Lines) -> tuple[np.ndarray, np.ndarray]:
     gap = lambda p: (p < high) & ((d[p] == 0x20) | (d[p] == 0x09))
     block, content = np.full(len(low), "N"), low.copy()
     block[blank] = "B"
-    solid = x.n_solid(low, high)
     thematic = np.zeros(len(low), bool)
     for c in b"-_*=":
-        same = np.concatenate([[0], np.cumsum(d == c)])
-        thematic |= (same[high] - same[low] == solid) & (solid >= 3)
-    thematic &= shallow
+        lines = np.flatnonzero(shallow & (first == c))
+        solid = x.n_solid(low[lines], high[lines])
+        thematic[lines] = (counted(d == c, low[lines], high[lines]) == solid) & (solid >= 3)
     block[thematic] = "T"
     some = shallow & ~thematic
 
@@ -151,13 +167,14 @@ def _marks(d: np.ndarray, characters: str) -> np.ndarray:
 def cuts(x: Lines, content: np.ndarray, prose: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places where a sentence ends, after its terminators and closers, and their lines; only ``prose`` lines have any."""
     d, n = x.data, len(x.data) - 3
-    line = np.repeat(np.arange(len(x.low)), np.diff(x.at))
     p = np.flatnonzero(_marks(d, TERMINATORS)[:n])
-    p = p[prose[line[p]] & (p >= content[line[p]])]
+    line = x.line_of(p)
+    mine = prose[line] & (p >= content[line])
+    p, line = p[mine], line[mine]
     # a dot after a digit, or between word characters, ends nothing; nor does the ! of a shebang and what follows it
     word = (d >= 48) & (d <= 57) | (d >= 65) & (d <= 90) | (d >= 97) & (d <= 122) | (d == 95)
-    inner = p > content[line[p]]
-    before, after = d[np.maximum(p - 1, 0)], (p + 1 < x.high[line[p]]) & word[p + 1]
+    inner = p > content[line]
+    before, after = d[np.maximum(p - 1, 0)], (p + 1 < x.high[line]) & word[p + 1]
     digit = (before >= 48) & (before <= 57)
     guarded = (d[p] == ord(".")) & inner & (digit | (word[np.maximum(p - 1, 0)] & after))
     ending = np.zeros(n + 1, bool)
@@ -170,16 +187,14 @@ def cuts(x: Lines, content: np.ndarray, prose: np.ndarray) -> tuple[np.ndarray,
     if not ending.any():
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     # closers count where a terminator stands before them in their run
-    starts = some.copy()
-    starts[1:] &= ~some[:-1]
-    opens = x.low[np.diff(x.at) > 0]
-    starts[opens] |= some[opens]
-    places = np.arange(n + 1)
-    held = some & (np.maximum.accumulate(np.where(ending, places, -1)) >= np.maximum.accumulate(np.where(starts, places, 0)))
-    last = np.flatnonzero(held[:n])
-    at_end = last + 1 == x.high[line[last]]
-    last = last[at_end | ~some[last + 1] | (closing[last] & ending[last + 1])]
-    return last + 1, line[last]
+    p = np.flatnonzero(some)
+    line, nth = x.line_of(p), np.arange(len(p))
+    starts = (np.diff(p, prepend=-2) > 1) | (p == x.low[line])
+    held = np.maximum.accumulate(np.where(ending[p], nth, -1)) >= np.maximum.accumulate(np.where(starts, nth, 0))
+    last, line = p[held], line[held]
+    at_end = last + 1 == x.high[line]
+    goes = at_end | ~some[last + 1] | (closing[last] & ending[last + 1])
+    return last[goes] + 1, line[goes]
 
 
 @dataclass
@@ -200,13 +215,12 @@ def fragments(x: Lines, content: np.ndarray, prose: np.ndarray) -> Fragments:
     start, line = start[order], line[order]
     more = np.append(line[1:] == line[:-1], False)
     end = np.where(more, np.append(start[1:], 0), x.high[line])
-    some = x.n_solid(start, end) > 0
+    some = x.next_solid(start) < end
     start, end, line, more = start[some], end[some], line[some], more[some]
     opens = ~x.space[:-3]
     opens[1:] &= x.space[:-4]
     opens[x.low[np.diff(x.at) > 0]] = ~x.space[x.low[np.diff(x.at) > 0]]
-    counted = np.concatenate([[0], np.cumsum(opens)])
-    words = counted[end] - counted[start] + (~x.space[start] & ~opens[np.minimum(start, len(opens) - 1)] if len(opens) else 0)
+    words = counted(opens, start, end) + (~x.space[start] & ~opens[np.minimum(start, len(opens) - 1)] if len(opens) else 0)
     return Fragments(start, end, line, more, words)
 
 
@@ -229,12 +243,12 @@ def _last_before(x: Lines, keep: np.ndarray, value: np.ndarray) -> np.ndarray:
     return mine & value[before]
 
 
-def segmented(prose: pa.ListArray, merge: np.ndarray, texts_over: int = -1) -> tuple[pa.ListArray, pa.ListArray]:
-    """The sentences and the paragraphs of each list of lines; lines of a document run on where ``merge`` holds.
+def segmented(prose: pa.ListArray, merge: np.ndarray, texts_over: int = -1, x: Lines | None = None) -> tuple[pa.ListArray, pa.ListArray]:
+    """The sentences and the paragraphs of each list of lines (``x``, where they are at hand); lines of a document run on where ``merge`` holds.
 
     A sentence has its text where it has more than ``texts_over`` words.
     """
-    x, n_docs = lines_in(prose), len(prose)
+    x, n_docs = x or lines_in(prose), len(prose)
     n = len(x.low)
     if not n:
         none = np.zeros(0, np.int64)
@@ -266,22 +280,25 @@ def segmented(prose: pa.ListArray, merge: np.ndarray, texts_over: int = -1) -> t
     back = np.maximum(np.arange(m) - 1, 0)
     fresh = ~same_doc | (f.line[back] != f.line)
     starts = ~same_doc | f.ended[back] | (fresh & ((breaks[f.line[back]] != breaks[f.line]) | (block[f.line[back]] == "S") | ~merged[f.line]))
-    skip = x.next_solid(f.start) - f.start
-    col = f.start - x.low[f.line] + 1 + np.where(fresh | ~f.ended, skip, 0)
+    begin = x.next_solid(f.start)
+    col = f.start - x.low[f.line] + 1 + np.where(fresh | ~f.ended, begin - f.start, 0)
     line = f.line.copy()
     lends = f.ended & fresh & (lent[f.line] >= 0)
     line[lends] = lent[f.line[lends]]
     col[lends] = x.high[line[lends]] - x.low[line[lends]] + 1
 
     s = np.flatnonzero(starts)
-    e = np.append(s[1:], m)
+    e = np.append(s[1:], m)[: len(s)]
     told = np.maximum(np.where(f.ended[e - 1], e - 2, e - 1), s)  # the last open fragment, or the only one
     words = np.add.reduceat(f.words, s) if len(s) else np.zeros(0, np.int64)
     doc, at = x.doc[line[told]], line[told]
     texts = [None] * len(s)
-    raw, ends = x.data.tobytes(), x.solid
-    for k in np.flatnonzero(words > texts_over).tolist():
-        texts[k] = b" ".join(raw[a:b] for a, b in ((ends[np.searchsorted(ends, f.start[i])], ends[np.searchsorted(ends, f.end[i]) - 1] + 1) for i in range(s[k], e[k]))).decode()
+    told_in_words = np.flatnonzero(words > texts_over)
+    if len(told_in_words):
+        # the fragments' ends without white space
+        raw, first, stop = x.data.tobytes(), begin.tolist(), (x.solid[np.searchsorted(x.solid, f.end) - 1] + 1).tolist()
+        for k, a, b in zip(told_in_words.tolist(), s[told_in_words].tolist(), e[told_in_words].tolist(), strict=True):
+            texts[k] = b" ".join(raw[first[i] : stop[i]] for i in range(a, b)).decode()
 
     # numbers count in each document
     origin = para[np.searchsorted(x.doc, np.arange(n_docs)).clip(max=n - 1)]

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clearprose.config import PROSE_KINDS, LintConfig
+from clearprose.config import PROSE_KINDS, SOURCE_KINDS, LintConfig
 from clearprose.operators import extract, rules, segment
 from clearprose.operators.diff import changed_between, edited_texts
 from clearprose.session import ready
@@ -26,16 +26,31 @@ def _with_hushed(lists: pa.ListArray, hushed: dict) -> pa.ListArray:
     return pa.ListArray.from_arrays(lists.offsets, pa.StructArray.from_arrays([*fields, names], [*(f.name for f in rows.type), "hushed"]))
 
 
+def _over(lists: pa.ListArray, field: str, most: int | None) -> pa.ListArray:
+    """The lists with those structs only whose field is over ``most``; without a most, none."""
+    rows = lists.values
+    kept = rows.field(field).to_numpy() > most if most is not None else np.zeros(len(rows), bool)
+    ends = np.concatenate([[0], np.cumsum(kept)])[lists.offsets.to_numpy()]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows.filter(pa.array(kept)))
+
+
 def _read(config: LintConfig, old: bool):
     """The function that reads a batch of documents: hits of lines, sentences, paragraphs, and changed lines where there are old ones."""
     whole = config.severity("sentence-length") or config.severity("paragraph-length")
+    # sentences and paragraphs that no rule can report stay here
+    caps = [c for c in map(config.paragraph_sentences, (*PROSE_KINDS, *SOURCE_KINDS)) if c > 0]
+    most_words = config.sentence_words if config.severity("sentence-length") else None
+    most_sentences = min(caps) if caps and config.severity("paragraph-length") else None
 
     def part(lines: pa.ListArray, kind: pa.Array, was: pa.ListArray | None) -> pa.StructArray:
         prose = extract.told_lines(lines, kind, config.exempt_block_quotes)
         is_prose = np.isin(np.array(kind.to_pylist(), dtype=object), PROSE_KINDS)
-        hits, hushed = rules.line_hits(prose, is_prose, config)
-        sentences, paragraphs = segment.segmented(prose, is_prose, config.sentence_words) if whole else segment.segmented(prose.slice(0, 0), is_prose[:0])
-        if not whole:
+        x = segment.lines_in(prose)
+        hits, hushed = rules.line_hits(prose, is_prose, config, x)
+        sentences, paragraphs = segment.segmented(prose, is_prose, config.sentence_words, x) if whole else segment.segmented(prose.slice(0, 0), is_prose[:0])
+        if whole:
+            sentences, paragraphs = _over(sentences, "word_count", most_words), _over(paragraphs, "n_sentences", most_sentences)
+        else:
             none = pa.array(np.zeros(len(prose) + 1), pa.int32())
             sentences, paragraphs = (pa.ListArray.from_arrays(none, x.values) for x in (sentences, paragraphs))
         changed = pa.nulls(len(prose), pa.list_(pa.int64()))

@@ -7,9 +7,10 @@ import time
 import numpy as np
 import pyarrow as pa
 
-from clearprose.config import LintConfig
+from clearprose.config import REGISTERED, LintConfig
 from clearprose.functions.table import violations_of
 from clearprose.operators import diff, extract, rules, segment
+from clearprose.plans.lint import _read
 
 PIECES = ["`", "``", "```", "~~~", "~~~~", "|", "-", "--", ":", " ", "    ", "\t", "é", "x", "a b", "<!--", "-->", "\\", " ", "　", ">", ";"]
 
@@ -250,3 +251,29 @@ def test_edits_are_shortest():
     a = [str(rng.randrange(300)) for _ in range(1500)]
     b = [str(rng.randrange(300)) for _ in range(1500)]
     assert len(b) - len(diff.changed_lines([*a, "end"], [*b, "end"])) == longest_common(a, b)
+
+
+def test_blank_texts_have_no_sentences():
+    """A batch whose lines are all blank, beside texts without lines."""
+    for texts in ([["", "  "]], [[], ["\t", ""], []]):
+        sentences, paragraphs = segment.segmented(lists(texts), np.full(len(texts), True))
+        assert sentences.to_pylist() == paragraphs.to_pylist() == [[] for _ in texts]
+
+
+def test_only_what_a_rule_reports_leaves_the_evaluation(spark):
+    """Long sentences alone, each with what the line before turns off; no paragraphs while their rule is off."""
+    long, short = "- " + "word " * 26 + "end.", "Short. One; two."
+    texts = [["ste-disable-next-line sentence-length", long, short, "", long], [short] * 9, [], [""]]
+    for on, n_paragraphs in (("sentence-length",), [0, 0, 0, 0]), (("sentence-length", "paragraph-length"), [0, 1, 0, 0]):
+        config = LintConfig(rules={r: "off" for r in REGISTERED if r not in on}, max_paragraph_sentences=3)
+        read = _read(config, False).func(lists(texts), pa.array(["prose-file"] * 4)).to_pylist()
+        assert [[(s["line"], s["word_count"], s["hushed"]) for s in d["sentences"]] for d in read] == [[(2, 27, ["sentence-length"]), (5, 27, None)], [], [], []]
+        assert [len(d["paragraphs"]) for d in read] == n_paragraphs
+
+
+def test_directives_are_found_inside_a_line():
+    """A name cut by a line's end is none; columns are bytes, and the first name of a line counts."""
+    texts = [["é ste-disable-", "next-line", "# ste-disable-next-line bogus ste-disable-next-line", "ste-disable-next-line", "é ste-disable-next-line x"], ["// ste-disable-next-line semicolon"]]
+    hits, hushed = rules.line_hits(lists(texts), np.ones(2, bool), LintConfig(rules={r: "off" for r in REGISTERED if r != "invalid-suppression"}))
+    assert [[(h["line"], h["col"]) for h in d] for d in hits.to_pylist()] == [[(3, 3), (4, 1)], []]
+    assert hushed == {(1, 2): ["semicolon"]}
